@@ -3,11 +3,12 @@
 Two fixed base rules fail short and repetitive texts. Beyond them, each measured ratio gets a
 cutoff per stratum (length class), chosen on labelled holdouts: a cutoff is certified if the
 exact (Clopper-Pearson) upper bound of its false-rejection rate on good documents is at most
-``risk / number of rules``, each test at level ``delta / number of tests`` (Bonferroni over
-strata, rules and grid). The strictest certified cutoff is used, provided all looser ones are
-certified too; with too few labels no cutoff is certified and the rule rejects nothing. Hence,
-with probability 1 - delta, in every stratum at most ``risk`` of good documents are rejected
-by the learned rules.
+``risk / number of rules``. Cutoffs are tested from loose to strict and testing stops at the
+first that fails (fixed sequence), each sequence at level ``delta / number of sequences``
+(Bonferroni over strata and rules). Hence, with probability 1 - delta, in every stratum the
+learned rules reject at most ``risk`` of good documents. With too few labels nothing is
+certified and the rule rejects nothing. Of the certified cutoffs the strictest is used, if its
+rejection rate among bad documents is ``GAIN`` times that among good ones, else the next looser.
 
 Defined cases: a null text has no words and fails the base; labels that are null or name no
 document are ignored; a document labelled more than once counts as good only if all its labels
@@ -28,7 +29,7 @@ from octofold.llm.common import map_rows, stored, table
 SYMBOLS = "[#*$%&|<>]"[1:-1]
 SPACES = " \t\n\x0b\x0c\r"
 #: Length classes: words of the upper ends.
-STRATA = (100, 300, 1000)
+STRATA = (150, 500)
 #: Rule, whether high values are bad, cutoffs from loose to strict.
 RULES = (
     ("symbol_share", True, (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.075, 0.05, 0.03, 0.02, 0.01)),
@@ -37,7 +38,7 @@ RULES = (
     ("mean_word", True, (40.0, 30.0, 20.0, 16.0, 14.0, 12.0, 10.0, 9.0, 8.0)),
     ("mean_word", False, (1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0)),
 )
-RISK, DELTA = 0.02, 0.05
+RISK, DELTA, GAIN = 0.03, 0.05, 10
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 
 
@@ -116,23 +117,28 @@ def upper_bound(k: int, n: int, level: float) -> float:
 def learn(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[int, int], float]:
     """{(stratum, rule index): cutoff}. Only counts by stratum and cutoff reach the driver:
     strata x (1 + grid points) numbers, whatever the input's size."""
-    good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = measured.join(good, "doc_id", "left_semi").where(~base_failed())
+    graded = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    held = measured.join(graded, "doc_id").where(~base_failed())
     for name, value in ratios().items():
         held = held.withColumn(name, value)
-    bad = [((F.col(n) > c) if high else (F.col(n) < c)).cast("long") for n, high, grid in RULES for c in grid]
-    sums = [F.sum(b).alias(f"r{i}") for i, b in enumerate(bad)]
-    counts = held.groupBy(stratum().alias("stratum")).agg(F.count("*").alias("n"), *sums).collect()
-    tests = (len(STRATA) + 1) * len(bad)
+    rejected = [((F.col(n) > c) if high else (F.col(n) < c)).cast("long") for n, high, grid in RULES for c in grid]
+    sums = [F.sum(x).alias(f"r{i}") for i, x in enumerate(rejected)]
+    rows = held.groupBy(stratum().alias("stratum"), (F.col("quality") > 0).alias("good")).agg(F.count("*").alias("n"), *sums).collect()
+    counts = {(row["stratum"], row["good"]): row for row in rows}
+    sequences = (len(STRATA) + 1) * len(RULES)
     cutoffs = {}
-    for row in counts:
+    for (s, is_good), row in counts.items():
+        bad = counts.get((s, False))
+        if not is_good or bad is None:
+            continue
         at = 0
         for r, (_, _, grid) in enumerate(RULES):
             for i, cut in enumerate(grid):
                 k, n, level = row[f"r{at + i}"], row["n"], risk / len(RULES)
-                if k > level * n or upper_bound(k, n, delta / tests) > level:
+                if k > level * n or upper_bound(k, n, delta / sequences) > level:
                     break
-                cutoffs[row["stratum"], r] = cut
+                if bad[f"r{at + i}"] * n >= GAIN * max(k, 1) * bad["n"]:
+                    cutoffs[s, r] = cut
             at += len(grid)
     return cutoffs
 
