@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from octofold.llm import quality_rules, secret_scan
+from octofold.llm import quality_rules, secret_scan, token_count
 
-MODULES = [secret_scan, quality_rules]
+MODULES = [token_count, secret_scan, quality_rules]
 
 
 def queries() -> dict:
