@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from octofold.llm import quality_rules, secret_scan, token_count
+from octofold.llm import language_id, quality_rules, secret_scan, token_count
 
-MODULES = [token_count, secret_scan, quality_rules]
+MODULES = [language_id, token_count, secret_scan, quality_rules]
 
 
 def queries() -> dict:
