@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from octofold.llm import language_id, quality_rules, secret_scan, token_count
+from octofold.llm import balanced_shards, language_id, quality_rules, secret_scan, token_count
 
-MODULES = [language_id, token_count, secret_scan, quality_rules]
+MODULES = [language_id, token_count, secret_scan, quality_rules, balanced_shards]
 
 
 def queries() -> dict:
