@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from octofold.llm.common import discard, stored, table
 
-SHARDS, ROUNDS = 16, 4
+#: SLACK: percent that a shard may exceed the even size during the rounds; settling ends that.
+SHARDS, ROUNDS, SLACK = 16, 4, 10
 #: Bins of the group hash within which requests are granted or refused together.
 BINS = 512
 
@@ -69,7 +70,7 @@ def quotas(asked: dict[tuple[int, int], int], counts: list[int], capacity: int)
 def propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
     """Label propagation under quotas; returns the rows with their shard, stored."""
     total = rows.count()
-    capacity = -(-total // shards)
+    capacity = -(-total * (100 + SLACK) // (100 * shards))
     for _ in range(rounds):
         spread = rows.groupBy("grp", "shard").agg(F.count("*").alias("n"))
         best = spread.groupBy("grp").agg(F.max(F.struct("n", F.pmod(F.xxhash64("grp", "shard"), F.lit(1 << 20)).alias("tie"), "shard")).alias("b"), F.count("*").alias("k"))
