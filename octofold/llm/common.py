@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: texts can hold over 100,000 characters each.
 ARROW_ROWS = 512
@@ -76,3 +78,19 @@ def arrow_types(schema: str) -> list[pa.DataType]:
         kind = part.split()[1]
         out.append(pa.list_(_ARROW[kind[6:-1]]) if kind.startswith("array<") else _ARROW[kind])
     return out
+
+
+#: Bits of a membership bitmap: 2 MB whatever the input's size. When very many keys fill it,
+#: more rows pass the first filter; the exact join that follows decides.
+BITMAP_BITS = 1 << 24
+
+
+def bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of BITMAP_BITS bits with those of the (well mixed) long keys set; at most
+    BITMAP_BITS / 64 numbers reach the driver."""
+    at = F.pmod(F.col(column), F.lit(BITMAP_BITS))
+    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    out = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
+    for r in words.toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
