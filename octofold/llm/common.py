@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 512
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches small: texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, with Arrow batches kept small for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -204,6 +204,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return keep.mapInArrow(run, schema)
 
 
+def known_language(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents, all columns unchanged, whose language is predicted (not ``und``)."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, _ = sent.value.predict(batch.column(text_at).to_pylist())
+            yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn(docs)

@@ -358,8 +358,7 @@ def redact(docs: DataFrame, model: SemiMarkov) -> DataFrame:
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else out
 
 
