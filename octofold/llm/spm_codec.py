@@ -10,9 +10,10 @@ position and its ids equal the library's (tests hold both against each other).
 
 Streaming: pieces are at most ``longest`` characters, so the next step sees only the last
 ``longest`` positions. When the surviving paths of all of these share a boundary, the ids before
-it are committed and the window moves there. No piece holds a space mark after another
-character, so every change from text to mark is such a boundary by construction; stretches
-between these boundaries are looked up in a bounded memo before they are searched.
+it are committed and the window moves there. Some boundaries are certain from the vocabulary alone:
+before a space mark that follows text, around characters that no longer piece holds, and before
+punctuation that no piece has after other text. Stretches between these are looked up in a
+bounded memo before they are searched.
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; characters
 outside the vocabulary become their UTF-8 bytes' pieces; lone surrogates become U+FFFD; the
@@ -23,7 +24,9 @@ gave the text back; repeated rows give repeated results.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from octofold.llm.common import table
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Stretches and neighbour pairs that a Python worker remembers at most.
-MEMO, PAIRS = 400_000, 1_000_000
+MEMO, PAIRS = 1_200_000, 1_000_000
 #: Positions between two looks for a common boundary.
 STRIDE = 64
 
@@ -67,18 +70,40 @@ class Codec:
                 self.score[i] = library.get_score(i)
                 self.text[i] = piece.replace(MARK, " ").encode()
         self.longest = max(map(len, self.ids), default=1)
-        own = [p for p in self.ids if len(p) > 1]
-        loose = "".join(c for c in "\n\t" if not any(c in p for p in own))
-        if any(MARK in p.lstrip(MARK) for p in own):
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces that hold a space mark after text are not supported")
-        x = MARK + re.escape(loose)
-        self.stretches = re.compile(f"{MARK}+[^{x}]+|{MARK}+|[{re.escape(loose)}]|[^{x}]+" if loose else f"{MARK}+[^{x}]*|[^{x}]+")
+        self.stretches = self.certain(self.ids)
         self.every, self.names = self.ids, {i: p for p, i in self.ids.items()}
         self.ids = {p: i for p, i in self.every.items() if self.merged(p) == [i]}  # no other piece can occur
         self.wide = np.dtype(np.uint16 if n <= 65536 else np.uint32)
-        self.pairs: dict[int, bool] = {}
+        self.follow: list[dict[int, bool]] = [{} for _ in range(n)]
+        self.n_pairs = 0
+        self.endings: dict = {}  # pieces from their last character back: (next node, id or -1)
+        for p, i in sorted(self.ids.items(), key=lambda x: len(x[0])):
+            node = self.endings
+            for c in p[:0:-1]:
+                if c not in node:
+                    node[c] = ({}, -1)
+                node = node[c][0]
+            node[p[0]] = (node[p[0]][0] if p[0] in node else {}, i)
         self.memo: dict[str, bytes] = {}
 
+    @staticmethod
+    def certain(pieces: Iterable[str]) -> re.Pattern:
+        """Cuts a text where no piece can cross: before spaces, around characters that no longer
+        piece holds, and between other text and a punctuation mark that no piece has there."""
+        steps = {(p[i], p[i + 1]) for p in pieces for i in range(len(p) - 1)}
+        within = {c for step in steps for c in step}
+        alone = "".join(c for c in "\n\t\r" if c not in within)
+        marks = set(string.punctuation) - set(alone)
+        odd = {a for a, b in steps if b in marks and a not in marks and a != MARK}  # these may precede a mark
+        if len(odd) > 20:
+            marks, odd = set(), set()
+        m, o, x = (re.escape("".join(sorted(s))) for s in (marks, odd, alone))
+        run = f"[^ {x}{m}]*" + (f"(?:(?<=[{o}])[{m}]+[^ {x}{m}]*)*" if odd else "")
+        start = f" *[{m}]*" if marks else " *"
+        return re.compile((f"[{x}]|" if alone else "") + f"(?! *\\Z){start}{run}(?<=[^{x}])| +")
+
     def merged(self, text: str) -> list[int]:
         """Segmentation of a short text by merging the best pair until none is left."""
         parts = list(text)
@@ -95,58 +120,67 @@ class Codec:
 
     def fit(self, a: int, b: int) -> bool:
         """Whether piece b may follow piece a: no merge crosses their boundary."""
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        good = self.pairs[a << 32 | b] = self.merged(self.names[a] + self.names[b]) == [a, b]
+        self.n_pairs += 1
+        if self.n_pairs > PAIRS:
+            self.n_pairs = 0
+            for known in self.follow:
+                known.clear()
+        good = self.follow[a][b] = self.merged(self.names[a] + self.names[b]) == [a, b]
         return good
 
     def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
         """Ids of the joined chunks, committed as soon as they are certain."""
-        window, piece, start = "", [-2], [0]  # piece[i] ends at position i of the window; -2: none yet
+        window, piece, start = "", [-2], [0]  # piece[i] ends at position i; -2: none yet, -3: no path
         for chunk in chunks:
             for at in range(0, len(chunk), STRIDE):
                 window += chunk[at : at + STRIDE]
                 self.advance(window, piece, start)
-                keep = self.common(piece, start) if len(window) > self.longest else 0
+                keep = self.common(piece, start)
                 if keep:
                     yield self.path(window, piece, start, keep)
-                    window = window[keep:]
-                    piece, start = piece[keep:], [0, *(max(0, s - keep) for s in start[keep + 1 :])]
+                    window, piece = window[keep:], piece[keep:]
+                    start = [0, *(max(0, s - keep) for s in start[keep + 1 :])]
         if window:
             yield self.path(window, piece, start, len(window))
 
     def advance(self, window: str, piece: list[int], start: list[int]) -> None:
         """Adds the states of the window's positions that have none yet."""
-        ids, pairs, fit, longest = self.ids, self.pairs, self.fit, self.longest
+        endings, follow = self.endings, self.follow
         for end in range(len(piece), len(window) + 1):
-            for at in range(max(0, end - longest), end):
-                before = piece[at]
-                if before == -3:
+            node, at = endings, end
+            while at:
+                step = node.get(window[at - 1])
+                if step is None:
+                    at = 0
+                    break
+                at -= 1
+                node, i = step
+                if i < 0:
                     continue
-                i = ids.get(window[at:end])
-                if i is None:
-                    if at < end - 1:
-                        continue
-                    i = -1
-                if before >= 0 and i >= 0:
-                    good = pairs.get(before << 32 | i)
+                before = piece[at]
+                if before >= 0:
+                    good = follow[before].get(i)
                     if good is None:
-                        good = fit(before, i)
-                    if not good:
-                        continue
-                piece.append(i)
-                start.append(at)
-                break
+                        good = self.fit(before, i)
+                    if good:
+                        break
+                elif before != -3:
+                    break
             else:
-                piece.append(-3)  # no path ends here
-                start.append(end)
+                i = -1
+            if step is None or i < 0:
+                i, at = (-1, end - 1) if window[end - 1] not in self.ids else (-3, end)  # bytes, or no path
+            piece.append(i)
+            start.append(at)
 
     def common(self, piece: list[int], start: list[int]) -> int:
-        """The last boundary that the paths from all live positions share."""
+        """The last boundary that the paths from all live positions share: pieces to come begin
+        at one of the last ``longest`` positions."""
         live = {p for p in range(max(0, len(piece) - self.longest), len(piece)) if piece[p] != -3}
         while len(live) > 1:
-            live.add(start[top := max(live)])
+            top = max(live)
             live.discard(top)
+            live.add(start[top])
         return live.pop() if live else 0
 
     def path(self, window: str, piece: list[int], start: list[int], end: int) -> list[int]:
@@ -157,20 +191,37 @@ class Codec:
             end = start[end]
         return out[::-1]
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.wide)
-        memo, out = self.memo, []
-        for s in self.stretches.findall(MARK + text.replace(" ", MARK)):
-            ids = memo.get(s)
-            if ids is None:
-                ids = np.array([i for part in self.stream([s]) for i in part], self.wide).tobytes()
-                if len(s) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[s] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), self.wide)
+    def search(self, stretches: Iterable[str]) -> None:
+        """Puts the ids of stretches into the memo. In sorted order a stretch shares its first
+        states with the one before."""
+        last, piece, start = "", [-2], [0]
+        for s in sorted(stretches):
+            text = s.replace(" ", MARK)
+            if len(text) > STRIDE:
+                ids = [i for part in self.stream([text]) for i in part]
+            else:
+                same = 0
+                for x, y in zip(text, last):
+                    if x != y:
+                        break
+                    same += 1
+                del piece[same + 1 :], start[same + 1 :]
+                self.advance(text, piece, start)
+                ids, last = self.path(text, piece, start, len(text)), text
+            self.memo[s] = np.array(ids, self.wide).tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; the texts' unknown stretches are searched together."""
+        parts = [self.stretches.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
+        if len(self.memo) >= MEMO:  # the older half goes; dicts keep the order of their entries
+            self.memo = dict(islice(self.memo.items(), len(self.memo) // 2, None))
+        unknown = set().union(*parts).difference(self.memo)
+        self.search(unknown)
+        out = [np.frombuffer(b"".join(map(self.memo.__getitem__, p)), self.wide) for p in parts]
+        for s in unknown:
+            if len(s) > STRIDE:
+                del self.memo[s]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.text.__getitem__, ids.tolist())).decode("utf-8", "replace")
@@ -194,8 +245,8 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
         own = codec(path)
         for batch in batches:
             values, ends, same = [], [0], []
-            for text in batch.column(1).to_pylist():
-                ids = own.encode(text or "")
+            texts = batch.column(1).to_pylist()
+            for text, ids in zip(texts, own.encode(texts)):
                 values.append(ids)
                 ends.append(ends[-1] + len(ids))
                 same.append(own.decode(ids) == (text or ""))
