@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from octofold.jobs import map_queries
+
+MODULES = [map_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {name: call for m in MODULES for name, call in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
