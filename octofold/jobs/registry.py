@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from octofold.jobs import map_queries
+from octofold.jobs import map_queries, series_queries, space_queries
 
-MODULES = [map_queries]
+MODULES = [map_queries, space_queries, series_queries]
 
 
 def queries() -> dict:
