@@ -70,7 +70,7 @@ def assoc_nearest(spark, d):
 @query()
 def assoc_one_to_one(spark, d):
     """Greedy one-to-one association; held against a plain greedy loop in the tests."""
-    return T.one_to_one(A.traj(spark, d, "est"), A.traj(spark, d, "gt"), TOLERANCE, lambda df: df.checkpoint())
+    return T.one_to_one(A.traj(spark, d, "est"), A.traj(spark, d, "gt"), TOLERANCE, A.checkpointed)
 
 
 MATCHED = f"""WITH {S.TRAJ}, c AS (SELECT e.stamp AS a, g.stamp AS b, abs(e.stamp-g.stamp) AS diff FROM est e JOIN gt g ON g.stamp > e.stamp-1200e0 AND g.stamp < e.stamp+1200e0),
