@@ -9,9 +9,10 @@
    pivot (the class with most copies): first by signature, where only a similarity far below
    the threshold (``SIGMAS`` standard errors) ends the matter, then on the full sets.
 4. Links so far give components (large-star, small-star). A bucket whose other members are still
-   in different components is searched fully: its members are dealt into blocks of about
-   ``BLOCK``, and pairs of blocks compare signatures as matrices. Only pairs of different
-   components that the signatures don't rule out are emitted and verified on full sets.
+   in different components is searched fully: its members get a sketch of ``LONG`` more minima
+   and are dealt into blocks of about ``BLOCK``, and pairs of blocks compare signatures as
+   matrices, then the sketches of what is left. Only pairs of different components that neither
+   rules out are emitted, by the first bucket that they share, and verified on full sets.
 5. Components over all links; each document gets its component's smallest doc_id.
 
 A pair at the threshold is missed only if no band agrees: (1 - 0.85 ** 5) ** 28 < 1e-7, and
@@ -40,17 +41,20 @@ SHINGLE, ROWS, BANDS = 5, 5, 28
 HASHES = ROWS * BANDS
 FACTOR, OFFSET = random_longs(HASHES) | np.uint64(1), random_longs(HASHES)
 SIGMAS, BLOCK = 5, 256
+#: Minima of the long sketch, of which one byte each is kept.
+LONG = 1024
+LONG_FACTOR, LONG_OFFSET = random_longs(LONG) | np.uint64(1), random_longs(LONG)
 #: Shingles whose hashes are computed at once.
 PART = 1024
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, factor: np.ndarray = FACTOR, offset: np.ndarray = OFFSET) -> np.ndarray:
     """The least value of each hash function over the set (upper 32 bits)."""
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
+    low = np.full(len(factor), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), PART):
         x = shingles[at : at + PART] >> np.uint64(32)
-        values = FACTOR[:, None] * x[None, :]
-        values += OFFSET[:, None]
+        values = factor[:, None] * x[None, :]
+        values += offset[:, None]
         np.minimum(low, values.min(axis=1), out=low)
     return low >> np.uint64(32)
 
@@ -90,10 +94,10 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, sign binary, keys array<long>")
 
 
-def least_agreement(percent: int) -> int:
-    """Minima that agree at least, unless the similarity is below the threshold for sure."""
+def least_agreement(percent: int, n: int = HASHES) -> int:
+    """Minima of n that agree at least, unless the similarity is below the threshold for sure."""
     p = percent / 100
-    return max(1, int(HASHES * p - SIGMAS * (HASHES * p * (1 - p)) ** 0.5))
+    return max(1, int(n * p - SIGMAS * (n * p * (1 - p)) ** 0.5))
 
 
 def likely(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -111,12 +115,10 @@ def likely(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * shared >= percent * all shingles of their full sets. Only
-    texts of documents in pairs are moved: a bitmap (fixed size) first, then an exact join."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    hashed = ids.select(F.xxhash64("doc_id").alias("h"))
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(hashed, "h"))
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and text of the documents in ids (stored): a bitmap of fixed size, then an exact
+    join, so that only these texts are moved."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("doc_id").alias("h")), "h"))
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,7 +127,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
     place = F.pmod(F.xxhash64("doc_id"), F.lit(len(bits.value))).alias("at")
     few = docs.where("doc_id is not null").select("doc_id", "text", place).mapInArrow(wanted, "doc_id long, text string")
-    texts = stored(few.join(ids, "doc_id", "left_semi"), "texts")
+    return few.join(ids, "doc_id", "left_semi")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * shared >= percent * all shingles of their full sets."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    texts = stored(texts_of(ids, docs), "texts")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, last_set = None, None
@@ -143,18 +151,29 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
 
 
+def sketches(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and the long sketch of the documents in ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            long = [minima(shingle_set(t, SHINGLE), LONG_FACTOR, LONG_OFFSET).astype(np.uint8).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(long, pa.binary())], names=["doc_id", "long"])
+
+    return texts_of(ids, docs).mapInArrow(run, "doc_id long, long binary").dropDuplicates(["doc_id"])
+
+
 def block_pairs(members: DataFrame, sizes: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a bucket's members (key, doc_id, component) in different components that
-    the signatures don't rule out. A bucket of n members is n / BLOCK blocks, and each pair of
+    neither signatures nor sketches rule out. A bucket of n members is n / BLOCK blocks, and each pair of
     blocks is a group of its own: no task holds more than two blocks at once."""
-    least = least_agreement(percent)
+    least, least_long = least_agreement(percent), least_agreement(percent, LONG)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.join(sizes.select("key", blocks.alias("k")), "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
     spread = dealt.select("key", "doc_id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp")
-    rows = spread.select(group, "doc_id", "component", "own").join(signs, "doc_id").repartition("grp").sortWithinPartitions("grp", "own", "doc_id")
+    rows = spread.select(group, "doc_id", "component", "own", "key").join(signs, "doc_id").repartition("grp").sortWithinPartitions("grp", "own", "doc_id")
 
-    def compare(ids: np.ndarray, comp: np.ndarray, own: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def compare(ids: np.ndarray, comp: np.ndarray, own: np.ndarray, sign: np.ndarray, long: np.ndarray, key: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = own == own[0]
         cut = int(first.sum())
         x, y = (slice(0, cut), slice(0, cut)) if cut == len(ids) else (slice(0, cut), slice(cut, len(ids)))
@@ -162,6 +181,13 @@ def block_pairs(members: DataFrame, sizes: DataFrame, signs: DataFrame, percent:
         for k in range(HASHES):
             same += sign[x, k][:, None] == sign[y, k][None, :]
         i, j = np.nonzero((same >= least) & (comp[x][:, None] != comp[y][None, :]))
+        agree = [(long[x][i[at : at + 4096]] == long[y][j[at : at + 4096]]).sum(axis=1) for at in range(0, len(i), 4096)]
+        if agree:
+            good = np.concatenate(agree) >= least_long
+            i, j = i[good], j[good]
+            shared = keys[x][i] == keys[y][j]  # a pair is left to the first bucket that it shares
+            good = keys[x][i][np.arange(len(i)), shared.argmax(axis=1)] == key
+            i, j = i[good], j[good]
         a, b = ids[x][i], ids[y][j]
         low = np.minimum(a, b)
         pairs = np.unique(np.stack([low, a + b - low], axis=1), axis=0)
@@ -173,19 +199,19 @@ def block_pairs(members: DataFrame, sizes: DataFrame, signs: DataFrame, percent:
         def done() -> Iterator[pa.RecordBatch]:
             if len(held) > 1 and any(r[2] != held[0][2] for r in held):
                 cols = list(zip(*held))
-                a, b = compare(np.array(cols[1]), np.array(cols[2]), np.array(cols[3]), np.frombuffer(b"".join(cols[4]), np.uint16).reshape(-1, HASHES))
+                a, b = compare(np.array(cols[1]), np.array(cols[2]), np.array(cols[3]), np.frombuffer(b"".join(cols[4]), np.uint16).reshape(-1, HASHES), np.frombuffer(b"".join(cols[5]), np.uint8).reshape(-1, LONG), cols[6][0], np.array(cols[7], np.int64))
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(5))):
+            for row in zip(*(batch.column(c).to_pylist() for c in range(8))):
                 if held and row[0] != held[0][0]:
                     yield from done()
                     held = []
                 held.append(row)
         yield from done()
 
-    return rows.select("grp", "doc_id", "component", "own", "sign").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("grp", "doc_id", "component", "own", "sign", "long", "key", "keys").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -206,7 +232,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     roots = components(links)
     here = members.where("n > 2").join(roots.select(F.col("a").alias("doc_id"), F.col("b").alias("root")), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("component"))
     mixed = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    others = stored(block_pairs(here, mixed, signs, percent), "others")
+    mixed = stored(mixed, "mixed")
+    open_ids = stored(here.join(mixed.select("key"), "key", "left_semi").select("doc_id").distinct(), "ids")
+    both = stored(reps.select("doc_id", "sign", "keys").join(sketches(open_ids, docs), "doc_id"), "sketches")
+    others = stored(block_pairs(here, mixed, both, percent), "others")
     more = confirmed(others, docs, percent)
     stars = components(links.union(more))
     for used in (buckets, members, roots):
