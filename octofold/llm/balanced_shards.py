@@ -6,11 +6,11 @@ documents are spread over shards (a join-free aggregate on group and shard), nam
 where most of its weight lies, and documents elsewhere ask to move there. Requests from shard s
 to shard t are granted only within the quota of (s, t): what t can give back to other shards at
 once plus its room under the law, so no shard outgrows its capacity. Which requests are granted
-follows the group's hash, so whole groups move together.
+follows the group's hash, so whole groups move together. A group larger than a shard stays
+spread: it could not be gathered and would take the room of all others.
 
-The law is ``rows``: shard sizes (counts of documents) differ by at most one. A group larger
-than a shard's quota stays split over as few shards as the quotas give. After the rounds an
-exact settlement moves the surplus rows of each shard to the shards that lack rows.
+The law is ``rows``: shard sizes (counts of documents) differ by at most one. After the rounds
+an exact settlement moves the surplus rows of each shard to the shards that lack rows.
 
 Scale: one pass over the texts makes narrow rows (a few dozen bytes), stored in the shared
 folder; rounds read those. Only counts by shard pair and hash bin reach the driver
@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from octofold.llm.common import discard, stored, table
 
-#: SLACK: percent that a shard may exceed the even size during the rounds; settling ends that.
-SHARDS, ROUNDS, SLACK = 16, 4, 10
+#: Percent, and at least rows, that a shard may exceed the even size during the rounds; settling
+#: ends that.
+SLACK, SLACK_ROWS = 10, 16
+SHARDS, ROUNDS = 16, 4
 #: Bins of the group hash within which requests are granted or refused together.
 BINS = 512
 
@@ -70,11 +72,12 @@ def quotas(asked: dict[tuple[int, int], int], counts: list[int], capacity: int)
 def propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
     """Label propagation under quotas; returns the rows with their shard, stored."""
     total = rows.count()
-    capacity = -(-total * (100 + SLACK) // (100 * shards))
+    even = -(-total // shards)
+    capacity = even + max(SLACK_ROWS, even * SLACK // 100)
     for _ in range(rounds):
         spread = rows.groupBy("grp", "shard").agg(F.count("*").alias("n"))
-        best = spread.groupBy("grp").agg(F.max(F.struct("n", F.pmod(F.xxhash64("grp", "shard"), F.lit(1 << 20)).alias("tie"), "shard")).alias("b"), F.count("*").alias("k"))
-        goal = best.where("k > 1").select("grp", F.col("b.shard").alias("goal"))
+        best = spread.groupBy("grp").agg(F.max(F.struct("n", F.pmod(F.xxhash64("grp", "shard"), F.lit(1 << 20)).alias("tie"), "shard")).alias("b"), F.count("*").alias("k"), F.sum("n").alias("total"))
+        goal = best.where((F.col("k") > 1) & (F.col("total") <= capacity)).select("grp", F.col("b.shard").alias("goal"))
         cells = spread.join(goal, "grp").where("shard <> goal").select("grp", "shard", "goal", "n", F.pmod(F.xxhash64("grp"), F.lit(BINS)).cast("int").alias("bin"))
         wish: dict[tuple[int, int], dict[int, int]] = {}
         for r in cells.groupBy("shard", "goal", "bin").agg(F.sum("n").alias("n")).collect():
