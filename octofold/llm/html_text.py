@@ -7,7 +7,7 @@ A page becomes a tree of block elements. Each node is content or not; potentials
 
 and evidence: elements that are never the article (menus, forms, scripts, adverts, reader
 comments and the like, by tag, role or class word) are clamped to "not content" with all below
-them. Sum-product messages pass upward and then downward, which gives every node's marginal
+them and cut from the tree, as an advert says nothing about the text around it. Sum-product messages pass upward and then downward, which gives every node's marginal
 probability of being content; blocks of nodes at 0.5 or more are the text.
 
 The potentials are counted on labelled pages: pages of a bounded sample that mark their article
@@ -56,8 +56,11 @@ IN_WORDS = frozenset("article content post entry story main body text prose".spl
 WHOLE = frozenset("html body article main".split())
 GROUPS = {t: g for g, tags in {"article": "article main", "text": "p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption", "list": "ul ol dl table tbody thead tr figure", "part": "div section"}.items() for t in tags.split()}
 SAMPLE_PAGES = 2_000
-#: Pseudo-counts of a change of label along an edge, by group, and of every observation.
+#: Pseudo-counts of keeping and of changing the parent's label (an article always starts as
+#: content), and of every observation.
 PRIOR_STAY, PRIOR_CHANGE, PRIOR_SEEN = 20.0, 0.5, 1.0
+#: Log-odds that observations have before any page is seen.
+LEAN = {"size=long": 1.0, "size=very": 2.0, "link=most": -2.0, "words=good": 3.0}
 
 
 class Page:
@@ -175,8 +178,11 @@ class Page:
         return ("good" if words & IN_WORDS else "named" if words else "none"), False
 
     def observations(self, i: int) -> list[str]:
+        """What a node shows: its class words, and if it has text of its own, length and links."""
         n = self.chars[i]
-        size = "none" if not n else "short" if n < 25 else "line" if n < 80 else "long" if n < 250 else "very"
+        if not n:
+            return ["words=" + self.words[i]]
+        size = "short" if n < 25 else "line" if n < 80 else "long" if n < 250 else "very"
         share = "none" if not self.linked[i] else "some" if 2 * self.linked[i] < n else "most"
         return ["size=" + size, "link=" + share, "words=" + self.words[i]]
 
@@ -195,16 +201,21 @@ class TreeModel:
         for group in {*GROUPS.values(), "other"} | {e.split("|")[0] for e in edges}:
             rows = []
             for up in (False, True):
-                n = [counts.get((f"{group}|{up}", "", label), 0) + (PRIOR_STAY if up == label else PRIOR_CHANGE) for label in (False, True)]
+                prior = (PRIOR_STAY, PRIOR_CHANGE) if not up and group != "article" else (PRIOR_CHANGE, PRIOR_STAY)
+                n = [counts.get((f"{group}|{up}", "", label), 0) + prior[label] for label in (False, True)]
                 rows.append([x / sum(n) for x in n])
             self.edge[group] = rows
         self.seen: dict[str, tuple[float, float]] = {}
-        kinds = {"size": ("none", "short", "line", "long", "very"), "link": ("none", "some", "most"), "words": ("none", "named", "good")}
+        kinds = {"size": ("short", "line", "long", "very"), "link": ("none", "some", "most"), "words": ("none", "named", "good")}
         for kind, values in kinds.items():
-            totals = [sum(counts.get(("seen", f"{kind}={v}", label), 0) for v in values) + PRIOR_SEEN * len(values) * 4 for label in (False, True)]
+            counted = {(v, label): counts.get(("seen", f"{kind}={v}", label), 0) for v in values for label in (False, True)}
             for v in values:
-                lean = {("size", "long"): (2, 6), ("size", "very"): (1, 7), ("link", "most"): (7, 1), ("words", "good"): (1, 7)}.get((kind, v), (4, 4))
-                self.seen[f"{kind}={v}"] = tuple((counts.get(("seen", f"{kind}={v}", label), 0) + PRIOR_SEEN * lean[label]) / totals[label] for label in (False, True))
+                p = []
+                for label in (False, True):  # smoothing in proportion: a value that was never seen favours neither label
+                    total = sum(counted[x, label] for x in values)
+                    p.append((counted[v, label] + PRIOR_SEEN * (1 + total / 100)) / (total + PRIOR_SEEN * (1 + total / 100) * len(values)))
+                lean = LEAN.get(f"{kind}={v}", 0.0)
+                self.seen[f"{kind}={v}"] = (p[0] * math.exp(-lean / 2), p[1] * math.exp(lean / 2))
 
     def marginals(self, page: Page) -> list[float]:
         """P(content) of every node: messages to the parents, last node first, then back down."""
@@ -212,16 +223,15 @@ class TreeModel:
         own = []
         for i in range(n):
             a = b = 0.0
-            if page.out[i]:
-                b = -math.inf
-            else:
-                for o in page.observations(i):
-                    x, y = self.seen[o]
-                    a, b = a + math.log(x), b + math.log(y)
+            for o in page.observations(i):
+                x, y = self.seen[o]
+                a, b = a + math.log(x), b + math.log(y)
             own.append([a, b])
         up = [[0.0, 0.0] for _ in range(n)]  # the message from a node to its parent
         below = [list(x) for x in own]
         for i in range(n - 1, 0, -1):
+            if page.out[i]:
+                continue
             edge, (a, b) = self.edge[GROUPS.get(page.tag[i], "other")], below[i]
             top = max(a, b)
             ea, eb = math.exp(a - top), math.exp(b - top)
@@ -241,7 +251,7 @@ class TreeModel:
         out = []
         for i in range(n):
             a, b = down[i][0] + below[i][0], down[i][1] + below[i][1]
-            out.append(0.0 if b == -math.inf else 1 / (1 + math.exp(min(700.0, a - b))))
+            out.append(0.0 if page.out[i] else 1 / (1 + math.exp(min(700.0, a - b))))
         return out
 
     def text(self, source: str | None) -> str:

@@ -116,7 +116,7 @@ class Model:
             self.roots.append(base)
             self.costs.append(math.log2(max(2, len(symbols))))
             base += steps.size
-        self.steps = np.concatenate(tables).astype(np.int32)
+        self.steps = np.concatenate(tables or [np.zeros(0)]).astype(np.int32)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): phrases that each text needs in each language."""
