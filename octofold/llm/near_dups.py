@@ -252,3 +252,14 @@ def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_near_dups": op4_near_dups}
+#: All pairs that share a shingle, so for small tables only; doc_ids are unique there.
+ORACLE = {
+    "op4_near_dups": r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS top FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.top = l.a),
+roots AS (SELECT doc_id, min(top) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, r.component_id, s.doc_id = r.component_id AS kept FROM sets s JOIN roots r USING (doc_id)"""
+}
