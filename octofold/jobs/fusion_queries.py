@@ -106,6 +106,21 @@ def sdf_alloc_list(spark, d):
     return U.band_points(f, CAMERA, VOXEL, MU).where(U.in_volume(SIZE)).select(K.block_key("x", "y", "z", 8).alias("key")).distinct()
 
 
+BAND = 0.6
+_FIXED, _FIRST = U.step_schedule(VOXEL, BAND, 8)
+STEPS = ", ".join(f"({t!r}e0, {level})" for t, level in [*_FIXED, *((_FIRST + k * 30 * VOXEL, 3) for k in range(40))])
+
+
+@query(f"""WITH {S.FRAMES}, st AS (SELECT * FROM (VALUES {STEPS}) s(t, level)), h AS (SELECT mm/1000e0 AS z, (u+0.5e0-25e0)/40e0*(mm/1000e0) AS wx, (v+0.5e0-25e0)/40e0*(mm/1000e0) AS wy FROM frames WHERE frame=0 AND mm>0 AND v<50),
+w AS (SELECT *, sqrt(wx*wx+wy*wy+z*z) AS norm FROM h), p AS (SELECT level, 1e0+(0.3e0-t)/norm AS k, wx, wy, z FROM w, st WHERE t < norm + 0.3e0),
+x AS (SELECT level, CAST(floor(wx*k/0.05e0) AS INTEGER) AS x, CAST(floor(wy*k/0.05e0) AS INTEGER) AS y, CAST(floor(z*k/0.05e0) AS INTEGER) AS z FROM p)
+SELECT DISTINCT {S.key('x', 'y', 'z', 'level')} AS key FROM x WHERE x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 255 AND z BETWEEN 0 AND 255""")
+def octant_alloc_list(spark, d):
+    f = frames(spark, d).where("frame = 0").select("u", "v", "depth")
+    p = U.octant_points(f, CAMERA, VOXEL, BAND, 8).where(U.in_volume(SIZE))
+    return p.select(K.encode("x", "y", "z", "level", 8).alias("key")).distinct()
+
+
 def field(spark, d):
     """A signed field on a slab of voxels: value from the samples' sums."""
     p = A.points(spark, d).where("x < 64 and y < 64 and z < 128")

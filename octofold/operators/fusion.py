@@ -109,6 +109,35 @@ def band_points(image: DataFrame, camera: Camera, voxel_size: float, mu: float)
     return walk.select("u", "v", "step", *[F.floor(F.col(f"w{n}") * scale / voxel_size).cast("int").alias(n) for n in "xyz"])
 
 
+def step_schedule(voxel_size: float, band: float, depth: int) -> tuple[list[tuple[float, int]], float]:
+    """The (distance travelled, octree level) of the steps of a voxel within the band
+    and of ten voxels within half a band more, and where the steps of thirty voxels begin. A
+    place has the level of the step that led to it, at most block level."""
+    out, travelled, level = [], 0.0, depth
+    while travelled < 1.5 * band:
+        out.append((travelled, min(level, depth - 3)))
+        size, level = (1, depth) if travelled < band else (10, depth - 4)
+        travelled += size * voxel_size
+    out.append((travelled, min(level, depth - 3)))
+    return out, travelled + 30 * voxel_size
+
+
+def octant_points(image: DataFrame, camera: Camera, voxel_size: float, band: float, depth: int) -> DataFrame:
+    """From half a band behind each measured point towards the camera in growing steps: the
+    voxel x, y, z of each step and the level of the octant to allocate there."""
+    z = F.col("depth")
+    hit = image.where("depth > 0").withColumns({"wx": (F.col("u") + 0.5 - camera.cx) / camera.fx * z, "wy": (F.col("v") + 0.5 - camera.cy) / camera.fy * z, "wz": z})
+    hit = hit.withColumn("norm", F.sqrt(F.col("wx") * F.col("wx") + F.col("wy") * F.col("wy") + F.col("wz") * F.col("wz")))
+    fixed, first = step_schedule(voxel_size, band, depth)
+    stride = 30 * voxel_size
+    near = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(level).alias("level")) for t, level in fixed])
+    more = F.greatest(F.lit(-1), F.floor((F.col("norm") + band / 2 - first) / stride).cast("int"))
+    far = F.when(more >= 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), more)), lambda k: F.struct((first + k * stride).alias("t"), F.lit(depth - 5).alias("level"))))
+    walk = hit.withColumn("s", F.explode(F.concat(near, F.coalesce(far, F.slice(near, 1, 0))))).where(F.col("s.t") < F.col("norm") + band / 2)
+    scale = 1.0 + (band / 2 - F.col("s.t")) / F.col("norm")
+    return walk.select("u", "v", "s.t", "s.level", *[F.floor(F.col(f"w{n}") * scale / voxel_size).cast("int").alias(n) for n in "xyz"])
+
+
 def in_volume(size: int) -> Column:
     """P10."""
     return F.col("x").between(0, size - 1) & F.col("y").between(0, size - 1) & F.col("z").between(0, size - 1)
