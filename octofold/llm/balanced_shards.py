@@ -14,7 +14,8 @@ an exact settlement moves the surplus rows of each shard to the shards that lack
 
 Scale: one pass over the texts makes narrow rows (a few dozen bytes), stored in the shared
 folder; rounds read those. Only counts by shard pair and hash bin reach the driver
-(``SHARDS ** 2 * BINS`` numbers at most). A group of a third of all rows is never gathered:
+(``SHARDS ** 2 * BINS`` numbers at most), and counts by cell (``2 * SHARDS * CHUNKS * BINS /
+JOINED``), whose running sums are broadcast: both are constants, 65536 and 16384. A group of a third of all rows is never gathered:
 its counts are partial sums, and ranks are taken inside (shard, bin, chunk) cells.
 
 Defined cases: a null text counts as empty (size 1, crc32 0) and all such texts are one group;
@@ -34,8 +35,9 @@ from octofold.llm.common import discard, stored, table
 #: ends that.
 SLACK, SLACK_ROWS = 10, 16
 SHARDS, ROUNDS = 16, 4
-#: Bins of the group hash within which requests are granted or refused together.
-BINS = 512
+#: Bins of the group hash within which requests are granted or refused together, and how many of
+#: them, and chunks of rows, share a cell within which slots are ranked.
+BINS, JOINED, CHUNKS = 256, 8, 16
 
 
 def narrow(docs: DataFrame, shards: int) -> DataFrame:
@@ -112,8 +114,9 @@ def ranked(rows: DataFrame, shards: int) -> tuple[DataFrame, list[int]]:
     come last, so that they are the surplus as far as possible; chunks keep cells of a hot
     group small."""
     linked = rows.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp", F.lit(0).alias("linked"))
-    chunk = F.coalesce("linked", F.lit(1)) * 16 + F.pmod(F.xxhash64("row"), F.lit(16))
-    rows = stored(rows.join(linked, "grp", "left").withColumn("chunk", chunk.cast("int")).drop("linked"), "cells")
+    chunk = F.coalesce("linked", F.lit(1)) * CHUNKS + F.pmod(F.xxhash64("row"), F.lit(CHUNKS))
+    rows = rows.join(linked, "grp", "left").withColumn("chunk", chunk.cast("int")).drop("linked")
+    rows = stored(rows.withColumn("bin", F.floor(F.col("bin") / JOINED).cast("int")), "cells")
     sizes = {(r["shard"], r["chunk"], r["bin"]): r["count"] for r in rows.groupBy("shard", "chunk", "bin").count().collect()}
     counts, first = [0] * shards, []
     for key in sorted(sizes):
