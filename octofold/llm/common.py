@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,10 +48,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Deletes the files of a ``stored`` table that nothing reads any more."""
+    """Deletes the files of a ``stored`` table that nothing reads any more, and has the JVM
+    collect its garbage, upon which Spark removes the shuffle files of the plans before it: with
+    many partitions these take more disk than the rows of iterative steps."""
     path = getattr(df, "_octofold_path", None)
     if path:
         jvm = df.sparkSession._jvm
+        gc.collect()
+        jvm.System.gc()
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 

@@ -148,7 +148,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct()
+    good = stored(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct(), "links")
+    for used in (texts, ids):
+        discard(used)
+    return good
 
 
 def sketches(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -227,7 +230,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     buckets = stored(member.groupBy("key").agg(pivot, F.count("*").alias("n")).where("n > 1").select("key", (-F.col("p.id")).alias("pivot"), "n"), "buckets")
     members = stored(member.select("key", "doc_id").join(buckets, "key").where("doc_id <> pivot"), "members")
     stars = members.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = stored(confirmed(stored(likely(stars, signs, percent), "likely"), docs, percent), "links")
+    near = stored(likely(stars, signs, percent), "likely")
+    links = confirmed(near, docs, percent)
+    discard(near)
 
     roots = components(links)
     here = members.where("n > 2").join(roots.select(F.col("a").alias("doc_id"), F.col("b").alias("root")), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("component"))
@@ -237,9 +242,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     both = stored(reps.select("doc_id", "sign", "keys").join(sketches(open_ids, docs), "doc_id"), "sketches")
     others = stored(block_pairs(here, mixed, both, percent), "others")
     more = confirmed(others, docs, percent)
-    stars = components(links.union(more))
-    for used in (buckets, members, roots):
+    for used in (buckets, members, roots, mixed, open_ids, both, others):
         discard(used)
+    stars = components(links.union(more))
 
     root = classes.join(stars.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     out = signed.select("doc_id", "n_shingles", "digest").join(root, "digest", "left")
