@@ -29,16 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octofold.llm.common import BITMAP_BITS, bitmap, stored, table
-from octofold.llm.shingles import windows, word_hashes
+from octofold.llm.shingles import hash_words, windows
 
 GRAM, RARE_DOCS = 3, 1_000
 SCORE, SHORT, SHORT_SCORE = 0.5, 8, 0.9
-#: Lower-cases A-Z and turns all other ASCII characters but digits and letters into spaces.
-PLAIN = {c: " " for c in range(128) if not chr(c).isalnum()}
+#: For UTF-8 bytes: lower-cases A-Z and turns ASCII characters but digits and letters into spaces.
+PLAIN = bytes(ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
 
 
 def words_of(text: str | None) -> np.ndarray:
-    return word_hashes(text.translate(PLAIN)) if text else np.zeros(0, np.uint64)
+    return hash_words(text.encode("utf-8", "surrogatepass").translate(PLAIN)) if text else np.zeros(0, np.uint64)
 
 
 def grams_of(words: np.ndarray) -> np.ndarray:

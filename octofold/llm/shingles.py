@@ -49,7 +49,12 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(text: str, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of each word; lower: A-Z count as a-z."""
     raw = text.encode("utf-8", "surrogatepass")
-    data = np.frombuffer(raw.lower() if lower else raw, dtype=np.uint8)
+    return hash_words(raw.lower() if lower else raw)
+
+
+def hash_words(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of UTF-8 bytes."""
+    data = np.frombuffer(raw, dtype=np.uint8)
     if not len(data):
         return np.zeros(0, np.uint64)
     start, end = word_bounds(data)
