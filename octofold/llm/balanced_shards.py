@@ -14,7 +14,7 @@ an exact settlement moves the surplus rows of each shard to the shards that lack
 
 Scale: one pass over the texts makes narrow rows (a few dozen bytes), stored in the shared
 folder; rounds read those. Only counts by shard pair and hash bin reach the driver
-(``SHARDS ** 2 * BINS`` numbers at most), and counts by cell (``2 * SHARDS * CHUNKS * BINS /
+(``SHARDS ** 2 * BINS`` numbers at most; those granted are broadcast), and counts by cell (``2 * SHARDS * CHUNKS * BINS /
 JOINED``), whose running sums are broadcast: both are constants, 65536 and 16384. A group of a third of all rows is never gathered:
 its counts are partial sums, and ranks are taken inside (shard, bin, chunk) cells.
 
@@ -76,11 +76,12 @@ def propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
     total = rows.count()
     even = -(-total // shards)
     capacity = even + max(SLACK_ROWS, even * SLACK // 100)
-    for _ in range(rounds):
+    for turn in range(rounds):
         spread = rows.groupBy("grp", "shard").agg(F.count("*").alias("n"))
         best = spread.groupBy("grp").agg(F.max(F.struct("n", F.pmod(F.xxhash64("grp", "shard"), F.lit(1 << 20)).alias("tie"), "shard")).alias("b"), F.count("*").alias("k"), F.sum("n").alias("total"))
         goal = best.where((F.col("k") > 1) & (F.col("total") <= capacity)).select("grp", F.col("b.shard").alias("goal"))
-        cells = spread.join(goal, "grp").where("shard <> goal").select("grp", "shard", "goal", "n", F.pmod(F.xxhash64("grp"), F.lit(BINS)).cast("int").alias("bin"))
+        # other bins in each round: a small group does not meet the same large ones again
+        cells = spread.join(goal, "grp").where("shard <> goal").select("grp", "shard", "goal", "n", F.pmod(F.xxhash64("grp", F.lit(turn)), F.lit(BINS)).cast("int").alias("bin"))
         wish: dict[tuple[int, int], dict[int, int]] = {}
         for r in cells.groupBy("shard", "goal", "bin").agg(F.sum("n").alias("n")).collect():
             wish.setdefault((r["shard"], r["goal"]), {})[r["bin"]] = r["n"]
@@ -90,19 +91,17 @@ def propagate(rows: DataFrame, shards: int, rounds: int) -> DataFrame:
         for r in rows.groupBy("shard").count().collect():
             counts[r["shard"]] = r["count"]
         allowed = quotas({k: sum(v.values()) for k, v in wish.items()}, counts, capacity)
-        upto, moved = {}, 0  # bins below this one move, as far as the quota of the pair goes
-        for k, bins in wish.items():
-            used, cut = 0, 0
-            for b in range(BINS):
-                if used + bins.get(b, 0) > allowed[k]:
-                    break
-                used, cut = used + bins.get(b, 0), b + 1
-            upto[k[0] * shards + k[1]] = cut
-            moved += used
-        if not moved:
-            break
-        limit = F.create_map(*[F.lit(x) for pair in sorted(upto.items()) for x in pair])[F.col("shard") * shards + F.col("goal")]
-        moves = cells.where(F.col("bin") < limit).select("grp", "shard", "goal")
+        granted = []  # (shard, goal, bin) that move; a bin beyond what is left of the quota waits
+        for k, bins in sorted(wish.items()):
+            left = allowed[k]
+            for b, n in sorted(bins.items()):
+                if n <= left:
+                    left -= n
+                    granted.append((*k, b))
+        if not granted:
+            continue
+        chosen = rows.sparkSession.createDataFrame(granted, "shard int, goal int, bin int")
+        moves = cells.join(F.broadcast(chosen), ["shard", "goal", "bin"], "left_semi").select("grp", "shard", "goal")
         joined = rows.join(moves, ["grp", "shard"], "left")
         before, rows = rows, stored(joined.select("doc_id", "size", "text_crc32", "grp", "row", "bin", F.coalesce("goal", "shard").alias("shard")), "shards")
         discard(before)
