@@ -7,7 +7,9 @@ A page becomes a tree of block elements. Each node is content or not; potentials
 
 and evidence: elements that are never the article (menus, forms, scripts, adverts, reader
 comments and the like, by tag, role or class word) are clamped to "not content" with all below
-them and cut from the tree, as an advert says nothing about the text around it. Sum-product messages pass upward and then downward, which gives every node's marginal
+them and cut from the tree, as an advert says nothing about the text around it. An element so
+marked that wraps the article (see ``Page.released``) is not clamped: its mark is an observation
+with strong log-odds, and the messages decide on it and on what it holds. Sum-product messages pass upward and then downward, which gives every node's marginal
 probability of being content; blocks of nodes at 0.5 or more are the text.
 
 The potentials are counted on labelled pages: pages of a bounded sample that mark their article
@@ -60,7 +62,7 @@ SAMPLE_PAGES = 2_000
 #: content), and of every observation.
 PRIOR_STAY, PRIOR_CHANGE, PRIOR_SEEN = 20.0, 0.5, 1.0
 #: Log-odds that observations have before any page is seen.
-LEAN = {"size=long": 1.0, "size=very": 2.0, "link=most": -2.0, "words=good": 3.0}
+LEAN = {"size=long": 1.0, "size=very": 2.0, "link=most": -2.0, "words=good": 3.0, "mark=out": -3.0}
 
 
 class Page:
@@ -152,13 +154,41 @@ class Page:
             above = stack[-1][1]
             self.tag.append(name)
             self.parent.append(above)
-            self.out.append(out or self.out[above])
+            self.out.append(out)
             self.words.append(words)
             self.chars.append(0)
             self.linked.append(0)
             self.inside.append(self.inside[above] or name in ("article", "main"))
             stack.append((name, len(self.tag) - 1))
         flush()
+        self.freed = self.released() if True in self.out else set()
+        for i in range(1, len(self.out)):
+            self.out[i] = self.out[i] and i not in self.freed or self.out[self.parent[i]]
+
+    def released(self) -> set[int]:
+        """Marked elements that wrap the article. With text in an ``article`` or ``main``: those
+        around the longest of them (without another inside), if there is none outside of marked
+        elements or it has over half of the page's text. Else those with over half of the page's
+        text, and over three times what is outside of marked elements."""
+        n = len(self.tag)
+        size, marked, inner = list(self.chars), list(self.out), [False] * n
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+            inner[self.parent[i]] |= size[i] > 0 and (inner[i] or self.tag[i] in ("article", "main"))
+        for i in range(1, n):
+            marked[i] |= marked[self.parent[i]]
+        articles = [i for i in range(1, n) if self.tag[i] in ("article", "main") and size[i] and not inner[i]]
+        if articles:
+            at = max(articles, key=lambda i: (size[i], -i))
+            found = set()
+            if all(marked[i] for i in articles) or 2 * size[at] > size[0]:
+                while at > 0:
+                    if self.out[at]:
+                        found.add(at)
+                    at = self.parent[at]
+            return found
+        free = sum(c for c, m in zip(self.chars, marked) if not m)
+        return {i for i in range(1, n) if self.out[i] and 2 * size[i] > size[0] and size[i] > 3 * free}
 
     @staticmethod
     def judge(name: str, attrs: str, within: bool) -> tuple[str, bool]:
@@ -173,18 +203,17 @@ class Page:
                     return "none", True
             elif key != "hidden":
                 words.update(WORD.findall(value))
-        if name not in WHOLE and (words & OUT_WORDS or not within and words & HEAD_WORDS):
-            return "none", True
-        return ("good" if words & IN_WORDS else "named" if words else "none"), False
+        out = name not in WHOLE and bool(words & OUT_WORDS or not within and words & HEAD_WORDS)
+        return ("good" if words & IN_WORDS else "named" if words else "none"), out
 
     def observations(self, i: int) -> list[str]:
         """What a node shows: its class words, and if it has text of its own, length and links."""
-        n = self.chars[i]
+        n, words = self.chars[i], ["words=" + self.words[i], *["mark=out"] * (i in self.freed)]
         if not n:
-            return ["words=" + self.words[i]]
+            return words
         size = "short" if n < 25 else "line" if n < 80 else "long" if n < 250 else "very"
         share = "none" if not self.linked[i] else "some" if 2 * self.linked[i] < n else "most"
-        return ["size=" + size, "link=" + share, "words=" + self.words[i]]
+        return ["size=" + size, "link=" + share, *words]
 
     def labels(self) -> list[bool] | None:
         """Which nodes are content by the page's own marks; None if it has none."""
@@ -206,7 +235,7 @@ class TreeModel:
                 rows.append([x / sum(n) for x in n])
             self.edge[group] = rows
         self.seen: dict[str, tuple[float, float]] = {}
-        kinds = {"size": ("short", "line", "long", "very"), "link": ("none", "some", "most"), "words": ("none", "named", "good")}
+        kinds = {"size": ("short", "line", "long", "very"), "link": ("none", "some", "most"), "words": ("none", "named", "good"), "mark": ("out",)}
         for kind, values in kinds.items():
             counted = {(v, label): counts.get(("seen", f"{kind}={v}", label), 0) for v in values for label in (False, True)}
             for v in values:
