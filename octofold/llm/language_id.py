@@ -39,6 +39,9 @@ MAX_CHARS, DOC_CHARS, SAMPLE_DOCS = 16_000, 1_000, 64
 #: Characters over all languages: with very many languages each gets less.
 TOTAL_CHARS = 512_000
 WINDOW = 512
+#: Symbols (the most frequent) that have a column in the table of steps; the others' transitions
+#: are looked up among sorted keys, with equal results.
+DENSE = 128
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -87,36 +90,60 @@ class Model:
     ``steps[state + symbol]`` is twice the next state, plus 1 if a new phrase begins there; a
     state is the place of its row in the table. Where an automaton has no transition, the step
     goes to where the root's transition leads, or stays at the root for a symbol it never saw.
+
+    Every letter of the samples has a symbol of its own, frequent ones first. Rows of the table
+    end at symbol ``last``; the transitions by that and later symbols are few and kept as sorted
+    keys, so that the size follows the automata also with thousands of letters.
     """
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         joined = {lang: " ".join(samples[lang]) for lang in self.languages}
-        known = sorted({u for text in joined.values() for u in letters_of(code_units(text))})[:250]
+        seen = np.zeros(65536, dtype=np.int64)
+        for text in joined.values():
+            seen += np.bincount(code_units(text), minlength=65536)
+        known = sorted(letters_of(np.flatnonzero(seen)), key=lambda u: (-seen[u], u))
         self.symbol = np.zeros(65536, dtype=np.int64)  # 0: anything that is no letter
-        other = len(known) + 1
+        other = len(known) + 1  # letters that no automaton knows
         for u in range(65536):
             if chr(u).isalpha():
                 self.symbol[u] = other
         self.symbol[known] = np.arange(1, len(known) + 1)
-        width = other + 1
-        tables, self.roots, self.costs, base = [], [], [], 0
+        self.alphabet, self.last = other + 1, min(other, DENSE)
+        width = self.last + 1
+        tables, keys, moved, firsts, self.roots, self.costs, base = [], [], [], [], [], [], 0
         for lang in self.languages:
             symbols = self.symbol[code_units(joined[lang])].tolist()
             moves = SuffixAutomaton(symbols).next
-            at = np.empty(width, dtype=np.int64)
-            at[:] = 2 * base + 1
+            first = np.full(self.alphabet, 2 * base + 1, dtype=np.int64)
             for s, q in moves[0].items():
-                at[s] = 2 * (base + q * width) + 1
+                first[s] = 2 * (base + q * width) + 1
+            at = first[:width].copy()
+            at[self.last] = 2 * base + 1
             steps = np.tile(at, (len(moves), 1))
             for p, out in enumerate(moves):
                 for s, q in out.items():
-                    steps[p, s] = 2 * (base + q * width) + (p == 0)
+                    step = 2 * (base + q * width) + (p == 0)
+                    if s < self.last:
+                        steps[p, s] = step
+                    else:
+                        keys.append((base + p * width) * self.alphabet + s)
+                        moved.append(step)
             tables.append(steps.ravel())
+            firsts.append(first)
             self.roots.append(base)
             self.costs.append(math.log2(max(2, len(symbols))))
             base += steps.size
         self.steps = np.concatenate(tables or [np.zeros(0)]).astype(np.int32)
+        self.first = np.array(firsts, dtype=np.int32).reshape(len(firsts), self.alphabet)
+        order = np.argsort(np.array(keys, dtype=np.int64))
+        self.rare_keys, self.rare_steps = np.array(keys, dtype=np.int64)[order], np.array(moved, dtype=np.int32)[order]
+
+    def rare(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Steps of (languages, texts) states by symbols from ``last`` on."""
+        keys = state.astype(np.int64) * self.alphabet + symbol
+        at = np.minimum(np.searchsorted(self.rare_keys, keys), len(self.rare_keys) - 1)
+        return np.where(self.rare_keys[at] == keys, self.rare_steps[at], self.first[:, symbol])
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """(texts, languages): phrases that each text needs in each language."""
@@ -129,6 +156,7 @@ class Model:
         if not sum(lengths):
             return out
         flat = np.concatenate(parts)
+        rare = bool(len(self.rare_keys))
         owner, start, size, at = [], [], [], 0
         for i, n in enumerate(lengths):
             begins = np.arange(at, at + n, WINDOW)
@@ -144,7 +172,12 @@ class Model:
         alive = np.searchsorted(-size, -np.arange(WINDOW), side="left")  # windows longer than t
         for t in range(int(size[0])):
             k = int(alive[t])
-            move = self.steps[state[:, :k] + flat[start[:k] + t]]
+            symbol = flat[start[:k] + t]
+            move = self.steps[state[:, :k] + (np.minimum(symbol, self.last) if rare else symbol)]
+            if rare:
+                late = np.flatnonzero(symbol >= self.last)
+                if late.size:
+                    move[:, late] = self.rare(state[:, late], symbol[late])
             count[:, :k] += move & 1
             state[:, :k] = move >> 1
         for j in range(len(self.languages)):
