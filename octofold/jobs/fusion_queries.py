@@ -46,7 +46,9 @@ def frustum_filter(spark, d):
 
 
 def frames(spark, d):
-    return A.frames(spark, d).where("v < 50").select("frame", "u", "v", (F.col("mm") / 1000.0).alias("depth"))
+    """Every event is a pixel: rows beyond the camera's height belong to the next four frames."""
+    more, row = (F.floor(F.col("v") / CAMERA.height) * 4).cast("int"), F.col("v") % CAMERA.height
+    return A.frames(spark, d).select((F.col("frame") + more).alias("frame"), "u", row.alias("v"), (F.col("mm") / 1000.0).alias("depth"))
 
 
 OBS = f"{PROJ}, {S.FRAMES}, ob AS (SELECT f.frame, pj.*, f.mm/1000e0 AS depth, (f.mm/1000e0-pz)*sqrt(1e0+(px/pz)*(px/pz)+(py/pz)*(py/pz)) AS diff FROM pj JOIN frames f ON f.u=pj.u AND f.v=pj.v AND f.v < 50)"
