@@ -72,20 +72,30 @@ def slab(lo: Column, hi: Column, o: Column, d: Column) -> tuple[Column, Column]:
 
 def ray_blocks(rays: DataFrame, blocks: DataFrame, far: float, depth: int, coarse: int = 32) -> DataFrame:
     """Blocks (key, x, y, z) that each ray pierces within (0, far], with entry and exit. A
-    ray first walks coarse cells along its steepest axis: each slice of ``coarse`` voxels names
-    the few cells its segment can touch there, and those join the blocks' own cells."""
-    size = 1 << depth
-    t0 = F.greatest(F.lit(0.0), (F.col("slice") * coarse - F.col("oz")) / F.col("dz"))
-    t1 = ((F.col("slice") + 1) * coarse - F.col("oz")) / F.col("dz")
-    walk = rays.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(size // coarse - 1)))).withColumns({"t0": t0, "t1": F.least(F.lit(far), t1)}).where("t1 >= t0")
-    for n in "xy":
-        a, b = F.col(f"o{n}") + F.col(f"d{n}") * F.col("t0"), F.col(f"o{n}") + F.col(f"d{n}") * F.col("t1")
-        first, last = (F.floor(f(a, b) / coarse + e).cast("int") for f, e in ((F.least, -1e-9), (F.greatest, 1e-9)))
-        first, last = F.greatest(F.lit(0), first), F.least(F.lit(size // coarse - 1), last)
-        walk = walk.withColumns({f"f{n}": first, f"l{n}": last}).where(f"f{n} <= l{n}").withColumn(f"c{n}", F.explode(F.sequence(f"f{n}", f"l{n}")))
+    ray first walks coarse cells along its steepest axis, either way: each slice of ``coarse`` voxels
+    names the few cells its segment can touch there, and those join the blocks' own cells."""
+    slices = (1 << depth) // coarse
+    steep = F.greatest(*[F.abs(f"d{n}") for n in "xyz"])
+    axis = F.when(F.abs("dx") == steep, "x").when(F.abs("dy") == steep, "y").otherwise("z")
+    named = None
+    for main in "xyz":
+        o, d, low = F.col(f"o{main}"), F.col(f"d{main}"), F.col(f"c{main}") * coarse
+        a, b = F.try_divide(low - o, d), F.try_divide(low + coarse - o, d)
+        still = (d == 0) & o.between(low, low + coarse)  # a ray without direction
+        t0 = F.when(still, 0.0).when(d != 0, F.greatest(F.lit(0.0), F.least(a, b)))
+        t1 = F.when(still, far).when(d != 0, F.least(F.lit(far), F.greatest(a, b)))
+        walk = rays.where(axis == main).withColumn(f"c{main}", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumns({"t0": t0, "t1": t1}).where("t1 >= t0")
+        for n in "xyz".replace(main, ""):
+            p, q = F.col(f"o{n}") + F.col(f"d{n}") * F.col("t0"), F.col(f"o{n}") + F.col(f"d{n}") * F.col("t1")
+            # a cell more at an exact border, where closed blocks of both sides are touched
+            first, last = F.ceil(F.least(p, q) / coarse - 1e-9).cast("int") - 1, F.floor(F.greatest(p, q) / coarse + 1e-9).cast("int")
+            first, last = F.greatest(F.lit(0), first), F.least(F.lit(slices - 1), last)
+            walk = walk.withColumns({f"f{n}": first, f"l{n}": last}).where(f"f{n} <= l{n}").withColumn(f"c{n}", F.explode(F.sequence(f"f{n}", f"l{n}")))
+        walk = walk.select(*rays.columns, "cx", "cy", "cz")
+        named = walk if named is None else named.unionByName(walk)
     cell = lambda n: F.floor(F.col(n) / coarse).cast("int")
-    placed = blocks.select("key", "x", "y", "z", cell("x").alias("cx"), cell("y").alias("cy"), cell("z").alias("slice"))
-    met = walk.join(placed, ["cx", "cy", "slice"])
+    placed = blocks.select("key", "x", "y", "z", *[cell(n).alias(f"c{n}") for n in "xyz"])
+    met = named.join(placed, ["cx", "cy", "cz"])
     t = [slab(F.col(n).cast("double"), F.col(n).cast("double") + 8, F.col(f"o{n}"), F.col(f"d{n}")) for n in "xyz"]
     met = met.select("ray_id", "key", F.greatest(*[x[0] for x in t], F.lit(0.0)).alias("t_in"), F.least(*[x[1] for x in t]).alias("t_out"))
     return met.where((F.col("t_in") <= F.col("t_out")) & (F.col("t_in") <= far)).distinct()
