@@ -28,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a new local one."""
+    """The folder of spark.checkpoint.dir; where it is unset and the master is local
+    (tests), a new one of this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -96,11 +99,17 @@ BITMAP_BITS = 1 << 24
 
 
 def bitmap(keys: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of BITMAP_BITS bits with those of the (well mixed) long keys set; at most
-    BITMAP_BITS / 64 numbers reach the driver."""
+    """A bitmap, eight bits to a byte, with the bits of the (well mixed) long keys set; at most
+    BITMAP_BITS / 64 numbers reach the driver. ``marked`` reads it."""
     at = F.pmod(F.col(column), F.lit(BITMAP_BITS))
     words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     out = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
     for r in words.toLocalIterator():
         out[r["word"]] = r["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+    return out.view(np.uint8)
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key (unsigned, or already in the range of the bitmap) is in the bitmap."""
+    at = keys & np.array(BITMAP_BITS - 1, keys.dtype)
+    return (bits[at >> np.array(3, keys.dtype)] >> (at & np.array(7, keys.dtype)).astype(np.uint8) & 1).astype(bool)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octofold.llm.common import BITMAP_BITS, bitmap, stored, table
+from octofold.llm.common import bitmap, marked, stored, table
 from octofold.llm.shingles import hash_words, windows
 
 GRAM, RARE_DOCS = 3, 1_000
@@ -78,8 +78,6 @@ def scan(docs: DataFrame, gram_bits, word_bits, reach: int) -> DataFrame:
     """Passages (doc_id, start, words, grams: the item n-grams inside), and for each task one
     row with the counts of items' words (start -1, words and their counts in grams) whose
     n_words is the number of all words it read."""
-    few = np.uint64(BITMAP_BITS - 1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, counts = 0, {}
         for batch in batches:
@@ -89,13 +87,13 @@ def scan(docs: DataFrame, gram_bits, word_bits, reach: int) -> DataFrame:
                 if not len(words):
                     continue
                 total += len(words)
-                seen.append(words[word_bits.value[words & few]])
+                seen.append(words[marked(word_bits.value, words)])
                 sizes = range(1, GRAM + 1) if len(words) >= GRAM else range(1, len(words) + 1)
                 hits = np.zeros(len(words), bool)
                 grams = {}
                 for n in sizes:
                     g = windows(words, n) + np.uint64(n)
-                    hit = gram_bits.value[g & few]
+                    hit = marked(gram_bits.value, g)
                     if hit.any():
                         grams[n] = (g, hit)
                         hits[: len(g)] |= hit

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octofold.llm.common import bitmap, discard, stored, table
+from octofold.llm.common import BITMAP_BITS, bitmap, discard, marked, stored, table
 from octofold.llm.components import components
 from octofold.llm.shingles import mix, random_longs, shingle_set
 
@@ -123,9 +123,9 @@ def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(2).to_numpy(zero_copy_only=False)
-            yield batch.select([0, 1]).filter(pa.array(bits.value[at]))
+            yield batch.select([0, 1]).filter(pa.array(marked(bits.value, at)))
 
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(len(bits.value))).alias("at")
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP_BITS)).alias("at")
     few = docs.where("doc_id is not null").select("doc_id", "text", place).mapInArrow(wanted, "doc_id long, text string")
     return few.join(ids, "doc_id", "left_semi")
 

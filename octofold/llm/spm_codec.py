@@ -36,8 +36,9 @@ from octofold.llm.common import table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Stretches and neighbour pairs that a Python worker remembers at most.
-MEMO, PAIRS = 1_200_000, 1_000_000
+#: Stretches (of STRIDE characters at most) and neighbour pairs that a Python worker remembers at
+#: most: some 30 MB each, since workers outlive their tasks.
+MEMO, PAIRS = 150_000, 200_000
 #: Positions between two looks for a common boundary.
 STRIDE = 64
 
