@@ -1,33 +1,36 @@
 """Main text of web pages by a tree-structured graphical model (operator 2).
 
-A page becomes a tree of block elements. Each node is content or not; potentials are
+A page becomes a tree of block elements, and of inline elements with a class, id or role. Each
+node has one of three labels: ``AROUND`` (holds the article, or nothing of interest), ``CONTENT``
+(the article) and ``BESIDE`` (menus, adverts, notices, comments and the like). Potentials are
 
 * on the edge to its parent: P(label | parent's label, group of the node's tag),
-* on the node: P(observation | label) for its text length, link share and class words,
+* on the node: P(observation | label) for its tag, each word of its class, id and role, its place
+  in the page, and the form of its own text: length, share of links, and whether a sentence ends.
 
-and evidence: elements that are never the article (menus, forms, scripts, adverts, reader
-comments and the like, by tag, role or class word) are clamped to "not content" with all below
-them and cut from the tree, as an advert says nothing about the text around it. An element so
-marked that wraps the article (see ``Page.released``) is not clamped: its mark is an observation
-with strong log-odds, and the messages decide on it and on what it holds. Sum-product messages pass upward and then downward, which gives every node's marginal
-probability of being content; blocks of nodes at 0.5 or more are the text.
+Sum-product messages pass upward and then downward, which gives every node's marginals; texts of
+nodes that are CONTENT with 0.5 or more are the result. Only elements that browsers don't show
+as text (scripts, styles, form controls, pictures) are left out beforehand.
 
-The potentials are counted on labelled pages: pages of a bounded sample that mark their article
-(one ``article``, or else one ``main``) label their own nodes. Counts have a prior, so with no
-such page the prior alone decides.
+The potentials are counted on labelled pages: of a bounded sample, the pages that mark their
+article (one ``article``, or else one ``main``). What holds it is AROUND, it is CONTENT, all else
+is BESIDE, also elements inside with a mark of ``BESIDE_TAGS`` or ``BESIDE_WORDS``. Each page
+counts three times: as it is, with the article as a plain ``div`` without class words, and without
+the element, so that text tells its label by its form too. Pseudo-counts for common tags and words
+stand for pages not seen; with no labelled page they alone decide.
 
 Text rules: character references are decoded, white space inside a block becomes one space, each
 block is trimmed and blocks are joined by one newline in page order. A ``br`` is white space.
 
-Defined cases: null or empty html gives the empty text; unclosed and stray tags are repaired;
-repeated rows give repeated results. Nothing is dropped or capped by length, and no step
-recurses, so depth is not bounded either.
+Defined cases: null or empty html gives the empty text; unclosed and stray tags are repaired; a
+tag that never ends is dropped with what follows; repeated rows give repeated results; an empty
+table gives none; other columns are ignored, whatever their names. Nothing is dropped or capped
+by length. Time is linear in a page's length, and no step recurses.
 """
 
 from __future__ import annotations
 
 import html as entities
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,257 +41,348 @@ from pyspark.sql import functions as F
 
 from octofold.llm.common import table
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+START = re.compile(r"<(/?)([A-Za-z][^\s/<>]*)")
+SIGNS = re.compile("<+")
+REST = re.compile(r"""(?:[^<>"']|"[^"]*"|'[^']*')*+>""")
 ATTR = re.compile(r"""(class|id|role|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 WORD = re.compile(r"[a-z]+|[0-9]+")
-SKIPPED = frozenset("script style noscript template iframe textarea title svg math object select button canvas video audio".split())
+#: Class names that deny a word: they count as one word.
+DENIES = re.compile(r"(?:has|no|not|with|without|hide|hidden)[-_]")
+SKIPPED = frozenset("script style noscript template iframe textarea title svg object select button canvas video audio".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-#: Tags whose start ends an open one of the second list, up to the third.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+#: Tags whose start ends an open one of the first list, up to one of the second.
 CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
-#: Never the article, with all below: tags, roles, words of class and id.
-OUT_TAGS = frozenset("nav aside footer form dialog menu head".split())
-OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
-OUT_WORDS = frozenset(
-    "nav navbar navigation menu sidebar footer ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs pagination pager widget login signup signin search toolbar masthead copyright".split()
+#: Common marks of what is beside the article, and of the article: label rules inside of marked
+#: articles, and pseudo-counts.
+BESIDE_TAGS = frozenset("nav aside footer form dialog menu".split())
+BESIDE_WORDS = frozenset(
+    "nav navbar navigation menu sidebar footer ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription share sharing social related recommended comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs pagination pager widget login signup signin search toolbar masthead copyright topbar hidden contentinfo complementary alert".split()
 )
-#: Words that only mark a page's own header: they count outside of an article.
-HEAD_WORDS = frozenset("header topbar".split())
-IN_WORDS = frozenset("article content post entry story main body text prose".split())
+CONTENT_WORDS = frozenset("article content post entry story main body text prose".split())
 WHOLE = frozenset("html body article main".split())
 GROUPS = {t: g for g, tags in {"article": "article main", "text": "p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption", "list": "ul ol dl table tbody thead tr figure", "part": "div section"}.items() for t in tags.split()}
+GROUPS |= {t: "inline" for t in INLINE}
+AROUND, CONTENT, BESIDE = LABELS = (0, 1, 2)
 SAMPLE_PAGES = 2_000
-#: Pseudo-counts of keeping and of changing the parent's label (an article always starts as
-#: content), and of every observation.
-PRIOR_STAY, PRIOR_CHANGE, PRIOR_SEEN = 20.0, 0.5, 1.0
-#: Log-odds that observations have before any page is seen.
-LEAN = {"size=long": 1.0, "size=very": 2.0, "link=most": -2.0, "words=good": 3.0, "mark=out": -3.0}
+#: Different observations that a model keeps, the most frequent first.
+VOCABULARY = 20_000
+#: Pseudo-counts: of an observation that tells nothing, of the marks above, of forms of text.
+SEEN, MARKED, FORMED = 0.25, 3_000.0, 10.0
+#: Share of an observation's probability that is the same for all labels: common tags, forms of
+#: text and places say little by themselves, marks much.
+MIXED = {"tag": 0.5, "text": 0.35, "place": 0.7}
+#: Neighbours are alike: children with text of one parent show as much as so many of them.
+BUDGET = 3
+#: Pseudo-counts of forms that wrap a page.
+WRAPPING = 75.0
+#: Pages count for so many edges of a kind at most, so that a change never gets impossible.
+EDGES = 90.0
+#: Pseudo-counts of a child's label (columns) by the parent's (rows), by group.
+STAY = {
+    "article": ((0.2, 8, 0.5), (0.01, 8, 1), (0.3, 4, 4)),
+    "part": ((4, 3, 3), (0.01, 10, 3), (0.1, 0.3, 12)),
+    "list": ((1, 3, 4), (0.01, 15, 0.4), (0.05, 0.1, 12)),
+    "text": ((0.1, 5, 3), (0.01, 15, 0.5), (0.05, 0.1, 12)),
+    "inline": ((0.1, 5, 3), (0.01, 12, 3), (0.01, 0.05, 15)),
+    "other": ((6, 0.5, 4), (0.01, 8, 2), (0.5, 0.1, 12)),
+}
+ROOT = (0.9, 0.05, 0.05)
+
+
+def group(tag: str) -> str:
+    return GROUPS.get(tag, "other")
 
 
 class Page:
-    """The block tree of a page: parents come before children."""
+    """The tree of a page: parents come before children."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.out, self.words = ["#root"], [-1], [False], ["none"]
-        self.chars, self.linked = [0], [0]
-        self.blocks: list[tuple[int, str]] = []
-        self.inside = [False]  # below an article or main
-        stack: list[tuple[str, int]] = [("#root", 0)]  # tag and block node
-        parts: list[str] = []
-        links = 0
-
-        def flush() -> None:
-            if parts:
-                text = " ".join("".join(parts).split())
-                if text:
-                    self.blocks.append((stack[-1][1], text))
-                    self.chars[stack[-1][1]] += len(text)
-                parts.clear()
-
-        def close(down_to: int) -> None:
-            nonlocal links
-            if any(n != stack[down_to - 1][1] for _, n in stack[down_to:]):
-                flush()
-            for t, _ in stack[down_to:]:
-                links -= t == "a"
-            del stack[down_to:]
-
-        def say(text: str) -> None:
-            if text:
-                text = entities.unescape(text) if "&" in text else text
-                parts.append(text)
-                if links:
-                    self.linked[stack[-1][1]] += len(text.strip())
-
-        at, end = 0, len(source)
+        self.tag, self.parent, self.words, self.place = ["#root"], [-1], [()], [0]
+        self.chars, self.linked, self.ends, self.inside = [0], [0], [False], [False]
+        self.blocks: list[list[tuple[int, str]]] = []
+        self.stack: list[tuple[str, int]] = [("#root", 0)]  # open elements and their nodes
+        self.open: dict[str, list[int]] = {}  # places in the stack by name
+        self.walls = [0]  # places in the stack of elements that are not inline
+        self.link = 0  # size of the stack where the open link began; 0: none
+        self.parts: list[tuple[int, str]] = []
+        at, end, last, gone = 0, len(source), source.rfind(">"), set()
         while at < end:
-            m = TAG.search(source, at)
-            if not m:
-                say(source[at:])
+            begin = source.find("<", at)
+            self.say(source[at:begin] if begin >= 0 else source[at:])
+            if begin < 0:
                 break
-            say(source[at : m.start()])
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
-            if not name:
-                continue
-            if m[1] or m[4]:  # an end tag
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
-                    if name in INLINE and stack[k][0] not in INLINE:
-                        break
+            if source.startswith("<!--", begin):
+                at = source.find("-->", begin + 2) + 3
+                if at == 2:
+                    break
                 continue
-            if name in SKIPPED:
-                ending = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                parts.append(" ")
-                at = ending.end() if ending else (end if name in ("script", "style", "textarea", "title") else at)
+            if source.startswith("<<", begin):
+                at = SIGNS.match(source, begin).end() - 1
+                self.say(source[begin:at])
                 continue
-            if name in VOID:
-                if name == "hr":
-                    flush()
-                parts.append(" ")
+            m = START.match(source, begin)
+            if not m and source[begin + 1 : begin + 2] not in ("!", "?", "/"):
+                self.say("<")
+                at = begin + 1
                 continue
-            attrs = m[3] if m[2] else m[6]
-            words, out = self.judge(name, attrs, any(t in ("article", "main") for t, _ in stack)) if attrs or name in OUT_TAGS or name == "header" else ("none", False)
-            if name in INLINE and not out:
-                stack.append((name, stack[-1][1]))
-                links += name == "a"
+            if begin > last:
+                break
+            head = m.end() if m else begin + 1
+            rest = REST.match(source, head) if m else None
+            at = rest.end() if rest else source.find(">", head) + 1
+            if not m:
                 continue
+            name = m[2].lower()
+            if m[1]:
+                self.end_tag(name)
+            elif name in SKIPPED:
+                self.parts.append((self.stack[-1][1], " "))
+                ending = None if name in gone else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+                if ending:
+                    at = ending.end()
+                else:
+                    gone.add(name)
+                    at = end if name in ("script", "style", "textarea", "title") else at
+            elif name in VOID:
+                if name == "hr":
+                    self.flush()
+                self.parts.append((self.stack[-1][1], " "))
+            else:
+                self.start_tag(name, source[head : at - 1], 5 * begin // end)
+        self.flush()
+
+    def say(self, text: str) -> None:
+        if text:
+            text = entities.unescape(text) if "&" in text else text
+            node, n = self.stack[-1][1], len(text.strip())
+            self.parts.append((node, text))
+            self.chars[node] += n
+            if self.link:
+                self.linked[node] += n
+
+    def flush(self) -> None:
+        """Ends a block: its text, in parts by node."""
+        if self.parts:
+            for node, text in reversed(self.parts):
+                if text and not text.isspace():
+                    self.ends[node] |= text.rstrip()[-1] in ".!?…:;\"”»"
+                    self.blocks.append(self.parts)
+                    break
+            self.parts = []
+
+    def close(self, down_to: int) -> None:
+        if self.walls[-1] >= down_to:
+            self.flush()
+        for name, _ in self.stack[down_to:]:
+            self.open[name].pop()
+        del self.stack[down_to:]
+        while self.walls[-1] >= down_to:
+            self.walls.pop()
+        if self.link > len(self.stack):
+            self.link = 0
+
+    def top(self, names: tuple[str, ...]) -> int:
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=0)
+
+    def end_tag(self, name: str) -> None:
+        if name == "a":
+            self.link = 0
+        k = self.top((name,))
+        if k and not (name in INLINE and k < self.walls[-1]):
+            self.close(k)
+
+    def start_tag(self, name: str, attrs: str, place: int) -> None:
+        words = self.named(attrs) if attrs else ()
+        if name == "a":
+            self.link = len(self.stack)
+        if name in INLINE:
+            if not words:
+                return
+        else:
             if name in CLOSES:
-                inner, bounds = CLOSES[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in inner:
-                        close(k)
-                        break
-                    if stack[k][0] in bounds:
-                        break
-            elif name not in INLINE:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            flush()
-            above = stack[-1][1]
-            self.tag.append(name)
-            self.parent.append(above)
-            self.out.append(out)
-            self.words.append(words)
-            self.chars.append(0)
-            self.linked.append(0)
-            self.inside.append(self.inside[above] or name in ("article", "main"))
-            stack.append((name, len(self.tag) - 1))
-        flush()
-        self.freed = self.released() if True in self.out else set()
-        for i in range(1, len(self.out)):
-            self.out[i] = self.out[i] and i not in self.freed or self.out[self.parent[i]]
-
-    def released(self) -> set[int]:
-        """Marked elements that wrap the article. With text in an ``article`` or ``main``: those
-        around the longest of them (without another inside), if there is none outside of marked
-        elements or it has over half of the page's text. Else those with over half of the page's
-        text, and over three times what is outside of marked elements."""
-        n = len(self.tag)
-        size, marked, inner = list(self.chars), list(self.out), [False] * n
-        for i in range(n - 1, 0, -1):
-            size[self.parent[i]] += size[i]
-            inner[self.parent[i]] |= size[i] > 0 and (inner[i] or self.tag[i] in ("article", "main"))
-        for i in range(1, n):
-            marked[i] |= marked[self.parent[i]]
-        articles = [i for i in range(1, n) if self.tag[i] in ("article", "main") and size[i] and not inner[i]]
-        if articles:
-            at = max(articles, key=lambda i: (size[i], -i))
-            found = set()
-            if all(marked[i] for i in articles) or 2 * size[at] > size[0]:
-                while at > 0:
-                    if self.out[at]:
-                        found.add(at)
-                    at = self.parent[at]
-            return found
-        free = sum(c for c, m in zip(self.chars, marked) if not m)
-        return {i for i in range(1, n) if self.out[i] and 2 * size[i] > size[0] and size[i] > 3 * free}
+                k, bound = map(self.top, CLOSES[name])
+                if k > bound:
+                    self.close(k)
+            elif self.stack[self.walls[-1]][0] == "p":
+                self.close(self.walls[-1])
+            self.flush()
+            self.walls.append(len(self.stack))
+        above, node = self.stack[-1][1], len(self.tag)
+        self.tag.append(name)
+        self.parent.append(above)
+        self.words.append(words)
+        self.place.append(place)
+        self.chars.append(0)
+        self.linked.append(0)
+        self.ends.append(False)
+        self.inside.append(self.inside[above] or name in ("article", "main"))
+        self.open.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, node))
 
     @staticmethod
-    def judge(name: str, attrs: str, within: bool) -> tuple[str, bool]:
-        """The group of the class words, and whether the element is never the article."""
-        if name in OUT_TAGS or name == "header" and not within:
-            return "none", True
-        words: set[str] = set()
+    def named(attrs: str) -> tuple[str, ...]:
+        """The different words of class, id and role."""
+        found = {}
         for a in ATTR.finditer(attrs):
-            key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
-            if key == "role":
-                if value.strip() in OUT_ROLES and name not in WHOLE:
-                    return "none", True
-            elif key != "hidden":
-                words.update(WORD.findall(value))
-        out = name not in WHOLE and bool(words & OUT_WORDS or not within and words & HEAD_WORDS)
-        return ("good" if words & IN_WORDS else "named" if words else "none"), out
-
-    def observations(self, i: int) -> list[str]:
-        """What a node shows: its class words, and if it has text of its own, length and links."""
-        n, words = self.chars[i], ["words=" + self.words[i], *["mark=out"] * (i in self.freed)]
-        if not n:
-            return words
-        size = "short" if n < 25 else "line" if n < 80 else "long" if n < 250 else "very"
-        share = "none" if not self.linked[i] else "some" if 2 * self.linked[i] < n else "most"
-        return ["size=" + size, "link=" + share, *words]
-
-    def labels(self) -> list[bool] | None:
-        """Which nodes are content by the page's own marks; None if it has none."""
-        marks = self.tag.count("article") or self.tag.count("main")
-        return [a and not b for a, b in zip(self.inside, self.out)] if marks == 1 else None
+            if a[1].lower() == "hidden":
+                found["hidden"] = None
+            for name in (a[2] or a[3] or a[4] or "").lower().split():
+                found.update(dict.fromkeys([name] if DENIES.match(name) else WORD.findall(name)))
+        return tuple(found)
+
+    def tag_of(self, i: int) -> str:
+        """The tag; a header inside an article is another thing than the page's."""
+        return "inner header" if self.tag[i] == "header" and self.inside[i] else self.tag[i]
+
+    def observations(self, i: int) -> list[tuple[str, str]]:
+        """(kind, value) of what a node shows."""
+        tag = self.tag_of(i)
+        out = [("tag" if tag in GROUPS else "mark", tag), ("place", str(self.place[i]))]
+        out += [("word", w) for w in self.words[i]]
+        n = self.chars[i]
+        if n:
+            size = "short" if n < 25 else "line" if n < 80 else "long" if n < 250 else "very long"
+            share = "no" if not self.linked[i] else "some" if 2 * self.linked[i] < n else "most"
+            out.append(("text", f"{size}, {share} links, {'a' if self.ends[i] else 'no'} sentence"))
+        return out
+
+    def marked(self, i: int) -> bool:
+        """Whether a common mark says that the node is beside the article."""
+        return self.tag[i] not in WHOLE and (self.tag_of(i) in BESIDE_TAGS or self.tag_of(i) == "header" or not BESIDE_WORDS.isdisjoint(self.words[i]))
+
+    def labels(self) -> tuple[list[int], int] | None:
+        """Labels by the page's own marks, and its article's node; None if it has none."""
+        mark = next((t for t in ("article", "main") if self.tag.count(t)), None)
+        if mark is None or self.tag.count(mark) > 1:
+            return None
+        at = self.tag.index(mark)
+        out = [BESIDE] * len(self.tag)
+        up = self.parent[at]
+        while up >= 0:
+            out[up] = AROUND
+            up = self.parent[up]
+        out[at] = CONTENT
+        for i in range(at + 1, len(out)):
+            if out[self.parent[i]] == CONTENT and not self.marked(i):
+                out[i] = CONTENT
+        return out, at
+
+    def cases(self) -> Iterator[tuple[str, str, int]]:
+        """(kind, value, label) to count: of the page, of the page with its article as a plain
+        div, and of the page without the element."""
+        found = self.labels()
+        if found is None:
+            return
+        labels, at = found
+        for turn in ("whole", "plain", "bare"):
+            for i in range(1, len(labels)):
+                if turn == "bare" and i == at:
+                    continue
+                plain = turn == "plain" and i == at
+                up = labels[self.parent[at if turn == "bare" and self.parent[i] == at else i]]
+                yield f"edge {group('div' if plain else self.tag[i])}", str(up), labels[i]
+                if plain:
+                    yield "tag", "div", CONTENT
+                    continue
+                for kind, value in self.observations(i):
+                    yield kind, value, labels[i]
+
+
+def prior() -> dict[tuple[str, str, int], float]:
+    """Pseudo-counts of common marks, and of forms of text."""
+    out = {("tag", "p", CONTENT): FORMED, ("tag", "h1", CONTENT): FORMED, ("tag", "h2", CONTENT): FORMED, ("mark", "form", AROUND): WRAPPING, ("mark", "html", AROUND): MARKED, ("mark", "body", AROUND): MARKED} | {("mark", t, BESIDE): MARKED for t in (*BESIDE_TAGS, "header")}
+    out |= {("word", w, BESIDE): MARKED for w in BESIDE_WORDS} | {("word", w, CONTENT): MARKED for w in CONTENT_WORDS}
+    for size, share, stop, label in (("long", "no", "a", CONTENT), ("very long", "no", "a", CONTENT), ("line", "no", "a", CONTENT), ("short", "most", "no", BESIDE), ("line", "most", "no", BESIDE)):
+        out["text", f"{size}, {share} links, {stop} sentence", label] = FORMED
+    return out
 
 
 class TreeModel:
-    """Counts turned into potentials."""
-
-    def __init__(self, counts: dict[tuple[str, str, bool], int]):
-        self.edge: dict[str, list[list[float]]] = {}
-        edges = {k[0] for k in counts if "|" in k[0]}
-        for group in {*GROUPS.values(), "other"} | {e.split("|")[0] for e in edges}:
-            rows = []
-            for up in (False, True):
-                prior = (PRIOR_STAY, PRIOR_CHANGE) if not up and group != "article" else (PRIOR_CHANGE, PRIOR_STAY)
-                n = [counts.get((f"{group}|{up}", "", label), 0) + prior[label] for label in (False, True)]
-                rows.append([x / sum(n) for x in n])
-            self.edge[group] = rows
-        self.seen: dict[str, tuple[float, float]] = {}
-        kinds = {"size": ("short", "line", "long", "very"), "link": ("none", "some", "most"), "words": ("none", "named", "good"), "mark": ("out",)}
-        for kind, values in kinds.items():
-            counted = {(v, label): counts.get(("seen", f"{kind}={v}", label), 0) for v in values for label in (False, True)}
-            for v in values:
-                p = []
-                for label in (False, True):  # smoothing in proportion: a value that was never seen favours neither label
-                    total = sum(counted[x, label] for x in values)
-                    p.append((counted[v, label] + PRIOR_SEEN * (1 + total / 100)) / (total + PRIOR_SEEN * (1 + total / 100) * len(values)))
-                lean = LEAN.get(f"{kind}={v}", 0.0)
-                self.seen[f"{kind}={v}"] = (p[0] * math.exp(-lean / 2), p[1] * math.exp(lean / 2))
+    """Counts {(kind, value, label): n} turned into potentials."""
+
+    def __init__(self, counts: dict[tuple[str, str, int], float]):
+        self.edge: dict[str, list[tuple[float, float, float]]] = {}
+        for g, rows in STAY.items():
+            self.edge[g] = []
+            for up, pseudo in zip(LABELS, rows):
+                n = [counts.get((f"edge {g}", str(up), label), 0) for label in LABELS]
+                share = min(1.0, EDGES / max(1.0, sum(n)))
+                total = sum(pseudo) + share * sum(n)
+                self.edge[g].append(tuple((p + share * x) / total for p, x in zip(pseudo, n)))
+        seen: dict[tuple[str, str], list[float]] = {}
+        for source in (prior(), counts):
+            for (kind, value, label), n in source.items():
+                if not kind.startswith("edge "):
+                    seen.setdefault((kind, value), [0.0, 0.0, 0.0])[label] += n
+        totals: dict[str, list[float]] = {}
+        for (kind, _), n in seen.items():
+            have = totals.setdefault(kind, [1.0, 1.0, 1.0])
+            for label in LABELS:
+                have[label] += n[label]
+        self.seen: dict[tuple[str, str], tuple[float, float, float]] = {}
+        for (kind, value), n in seen.items():
+            # smoothed in proportion to the labels' totals: a value never seen favours none
+            share = [(x + SEEN * t / sum(totals[kind])) / t for x, t in zip(n, totals[kind])]
+            whole, mixed = sum(n) / sum(totals[kind]), MIXED.get(kind, 0.0)
+            share = [(1 - mixed) * x + mixed * whole for x in share]
+            self.seen[kind, value] = tuple(x / max(share) for x in share)
+
+    def own(self, page: Page, i: int, share: float = 1.0) -> list[float]:
+        """The product of a node's observations, for each label; ``share`` is the power of those
+        that are no marks."""
+        a = b = c = 1.0
+        for o in page.observations(i):
+            p = self.seen.get(o)
+            if p:
+                if share < 1 and o[0] in MIXED:
+                    p = [x**share for x in p]
+                a, b, c = a * p[0], b * p[1], c * p[2]
+                if a + b + c < 1e-200:
+                    a, b, c = a * 1e200, b * 1e200, c * 1e200
+        return [a, b, c]
 
     def marginals(self, page: Page) -> list[float]:
-        """P(content) of every node: messages to the parents, last node first, then back down."""
+        """P(CONTENT) of every node: messages to the parents, last node first, then back down.
+        Messages are products of positive numbers, scaled to a largest one of 1."""
         n = len(page.tag)
-        own = []
-        for i in range(n):
-            a = b = 0.0
-            for o in page.observations(i):
-                x, y = self.seen[o]
-                a, b = a + math.log(x), b + math.log(y)
-            own.append([a, b])
-        up = [[0.0, 0.0] for _ in range(n)]  # the message from a node to its parent
-        below = [list(x) for x in own]
+        edges = [self.edge[group(t)] for t in page.tag]
+        beside = Counter(p for p, chars in zip(page.parent, page.chars) if chars)
+        below = [self.own(page, i, min(1.0, BUDGET / max(1, beside[page.parent[i]]))) for i in range(n)]
+        up: list[tuple[float, float, float]] = [(1.0, 1.0, 1.0)] * n
         for i in range(n - 1, 0, -1):
-            if page.out[i]:
-                continue
-            edge, (a, b) = self.edge[GROUPS.get(page.tag[i], "other")], below[i]
-            top = max(a, b)
-            ea, eb = math.exp(a - top), math.exp(b - top)
-            up[i] = [top + math.log(edge[u][0] * ea + edge[u][1] * eb) for u in (0, 1)]
+            x, y, z = below[i]
+            m = [e[0] * x + e[1] * y + e[2] * z for e in edges[i]]
+            top = max(m)
+            up[i] = u = (m[0] / top, m[1] / top, m[2] / top)
             p = below[page.parent[i]]
-            p[0] += up[i][0]
-            p[1] += up[i][1]
-        down = [[0.0, 0.0] for _ in range(n)]
-        down[0] = [math.log(0.98), math.log(0.02)]
-        for i in range(1, n):
-            p = page.parent[i]
-            edge = self.edge[GROUPS.get(page.tag[i], "other")]
-            x = [down[p][u] + below[p][u] - up[i][u] for u in (0, 1)]
-            top = max(x)
-            x = [math.exp(v - top) for v in x]
-            down[i] = [math.log(max(1e-300, x[0] * edge[0][v] + x[1] * edge[1][v])) for v in (0, 1)]
+            p[0], p[1], p[2] = p[0] * u[0], p[1] * u[1], p[2] * u[2]
+            top = max(p)
+            if top < 1e-50:
+                p[0], p[1], p[2] = p[0] / top, p[1] / top, p[2] / top
+        down: list[tuple[float, ...]] = [ROOT] * n
         out = []
         for i in range(n):
-            a, b = down[i][0] + below[i][0], down[i][1] + below[i][1]
-            out.append(0.0 if page.out[i] else 1 / (1 + math.exp(min(700.0, a - b))))
+            if i:
+                p, u, q = down[page.parent[i]], up[i], below[page.parent[i]]
+                x, y, z = p[0] * q[0] / u[0], p[1] * q[1] / u[1], p[2] * q[2] / u[2]
+                e = edges[i]
+                d = [e[0][v] * x + e[1][v] * y + e[2][v] * z for v in LABELS]
+                top = max(d)
+                down[i] = (d[0] / top, d[1] / top, d[2] / top)
+            a, b, c = (s * t for s, t in zip(down[i], below[i]))
+            out.append(b / (a + b + c))
         return out
 
     def text(self, source: str | None) -> str:
         if not source:
             return ""
         page = Page(source)
-        p = self.marginals(page)
-        return "\n".join(text for node, text in page.blocks if p[node] >= 0.5)
+        if not page.blocks:
+            return ""
+        good = [p >= 0.5 for p in self.marginals(page)]
+        texts = (" ".join("".join(t for node, t in block if good[node]).split()) for block in page.blocks)
+        return "\n".join(t for t in texts if t)
 
 
 def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> TreeModel:
@@ -303,22 +397,14 @@ def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> TreeModel:
         counts: Counter = Counter()
         for batch in batches:
             for source in batch.column(0).to_pylist():
-                page = Page(source)
-                labels = page.labels()
-                if labels is None:
-                    continue
-                for i in range(1, len(labels)):
-                    if page.out[i]:
-                        continue  # evidence, not learnt from
-                    counts[f"{GROUPS.get(page.tag[i], 'other')}|{labels[page.parent[i]]}", "", labels[i]] += 1
-                    for o in page.observations(i):
-                        counts["seen", o, labels[i]] += 1
+                counts.update(Page(source).cases())
         keys = list(counts)
-        cols = [pa.array([k[j] for k in keys], t) for j, t in enumerate((pa.string(), pa.string(), pa.bool_()))]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array([counts[k] for k in keys], pa.int64())], names=["kind", "what", "label", "n"])
+        cols = [pa.array([k[j] for k in keys], t) for j, t in enumerate((pa.string(), pa.string(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array([counts[k] for k in keys], pa.int64())], names=["kind", "value", "label", "n"])
 
-    rows = drawn.mapInArrow(run, "kind string, what string, label boolean, n long").groupBy("kind", "what", "label").agg(F.sum("n").alias("n")).collect()
-    return TreeModel({(r["kind"], r["what"], r["label"]): r["n"] for r in rows})
+    rows = drawn.mapInArrow(run, "kind string, value string, label int, n long").groupBy("kind", "value", "label").agg(F.sum("n").alias("n"))
+    kept = rows.orderBy(F.desc("n"), "kind", "value", "label").limit(VOCABULARY).collect()
+    return TreeModel({(r["kind"], r["value"], r["label"]): r["n"] for r in kept})
 
 
 def extract(pages: DataFrame, model: TreeModel) -> DataFrame:

@@ -99,26 +99,21 @@ def brute_marginals(model, page):
 
     n = len(page.tag)
     total, on = 0.0, [0.0] * n
-    for labels in product((0, 1), repeat=n):
-        p = (0.98, 0.02)[labels[0]]
-        for i in range(n):
-            if page.out[i]:
-                p *= 1 - labels[i]
-                continue
-            for o in page.observations(i):
-                p *= model.seen[o][labels[i]]
-            if i:
-                p *= model.edge[html_text.GROUPS.get(page.tag[i], "other")][labels[page.parent[i]]][labels[i]]
+    own = [model.own(page, i) for i in range(n)]
+    for labels in product(html_text.LABELS, repeat=n):
+        p = html_text.ROOT[labels[0]] * own[0][labels[0]]
+        for i in range(1, n):
+            p *= own[i][labels[i]] * model.edge[html_text.group(page.tag[i])][labels[page.parent[i]]][labels[i]]
         total += p
         for i in range(n):
-            on[i] += p * labels[i]
+            on[i] += p * (labels[i] == html_text.CONTENT)
     return [x / total for x in on]
 
 
-def test_messages_give_exact_marginals():
-    model = html_text.TreeModel({})
-    page = html_text.Page(f"<body><div class=menu>a</div><div><p>{W}</p><p>b</p><ul><li>c<li>d</ul></div></body>")
-    assert np.allclose(model.marginals(page), brute_marginals(model, page))
+def test_messages_give_exact_marginals(spark):
+    page = html_text.Page(f"<body><div class=menu>a</div><div><p>{W}</p><ul><li>c<li>d</ul></div><span id=x>e</span></body>")
+    for model in (html_text.TreeModel({}), html_text.learn(spark.read.parquet(f"{SMALL}/pages.parquet"))):
+        assert np.allclose(model.marginals(page), brute_marginals(model, page))
 
 
 def test_codec_equals_the_library(spark):
