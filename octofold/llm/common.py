@@ -63,6 +63,31 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: A key is hot if it has over 1 / HOT of all rows (and HOT_ROWS at least): HOT keys at most.
+HOT, HOT_ROWS = 256, 500
+
+
+def hot_keys(df: DataFrame, key: str, n: str | None = None) -> list[tuple]:
+    """The hot keys of df, each with the number of tasks that its rows are dealt to; at most HOT
+    pairs reach the driver. ``n``: a column that holds the rows that a row of df stands for."""
+    counts = df.groupBy(key).agg((F.sum(n) if n else F.count("*")).alias("n")).where(F.col(key).isNotNull())
+    least = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // HOT)
+    return [(r[0], -(-r["n"] // least)) for r in counts.where(F.col("n") > least).collect()]
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str], hot: list[tuple], how: str = "inner") -> DataFrame:
+    """left.join(right, key, how), where the rows of hot keys of left are dealt to several tasks
+    by a hash of the columns ``by``; right's rows of those keys (few) are repeated for each."""
+    if not hot:
+        return left.join(right, key, how)
+    kind = left.schema[key].dataType.simpleString()
+    parts = F.broadcast(left.sparkSession.createDataFrame(hot, f"`{key}` {kind}, _parts long"))
+    n = F.coalesce("_parts", F.lit(1))
+    a = left.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(*by), n)).drop("_parts")
+    b = right.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("_parts")
+    return a.join(b, [key, "_part"], how).drop("_part")
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """One output row for each row of df[columns].
 

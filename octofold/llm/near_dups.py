@@ -10,7 +10,7 @@
    the threshold (``SIGMAS`` standard errors) ends the matter, then on the full sets.
 4. Links so far give components (large-star, small-star). A bucket whose other members are still
    in different components is searched fully: its members get a sketch of ``LONG`` more minima
-   and are dealt into blocks of about ``BLOCK``, and pairs of blocks compare signatures as
+   and are dealt into blocks of about ``BLOCK`` (ids, keys and sketches, under 2 KB each), and pairs of blocks compare signatures as
    matrices, then the sketches of what is left. Only pairs of different components that neither
    rules out are emitted, by the first bucket that they share, and verified on full sets.
 5. Components over all links; each document gets its component's smallest doc_id.
@@ -33,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octofold.llm.common import BITMAP_BITS, bitmap, discard, marked, stored, table
+from octofold.llm.common import BITMAP_BITS, bitmap, discard, hot_keys, marked, spread_join, stored, table
 from octofold.llm.components import components
 from octofold.llm.shingles import mix, random_longs, shingle_set
 
 SHINGLE, ROWS, BANDS = 5, 5, 28
 HASHES = ROWS * BANDS
 FACTOR, OFFSET = random_longs(HASHES) | np.uint64(1), random_longs(HASHES)
-SIGMAS, BLOCK = 5, 256
+SIGMAS, BLOCK = 5, 1024
+#: Members of a block that are compared with another block at once.
+TILE = 128
 #: Minima of the long sketch, of which one byte each is kept.
 LONG = 1024
 LONG_FACTOR, LONG_OFFSET = random_longs(LONG) | np.uint64(1), random_longs(LONG)
@@ -112,7 +114,8 @@ def likely(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= least))
 
     a, b = (signs.select(F.col("doc_id").alias(x), F.col("sign").alias(f"sign_{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
+    both = spread_join(pairs, a, "a", ["b"], hot_keys(pairs, "a")).join(b, "b")
+    return both.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
@@ -148,7 +151,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    good = stored(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct(), "links")
+    both = spread_join(spread_join(pairs, b, "b", ["a"], hot_keys(pairs, "b")), a, "a", ["b"], hot_keys(pairs, "a"))
+    good = stored(both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long").distinct(), "links")
     for used in (texts, ids):
         discard(used)
     return good
@@ -165,13 +169,13 @@ def sketches(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return texts_of(ids, docs).mapInArrow(run, "doc_id long, long binary").dropDuplicates(["doc_id"])
 
 
-def block_pairs(members: DataFrame, sizes: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+def block_pairs(members: DataFrame, sizes: DataFrame, signs: DataFrame, percent: int, hot: list[tuple]) -> DataFrame:
     """Pairs (a, b) of a bucket's members (key, doc_id, component) in different components that
     neither signatures nor sketches rule out. A bucket of n members is n / BLOCK blocks, and each pair of
     blocks is a group of its own: no task holds more than two blocks at once."""
     least, least_long = least_agreement(percent), least_agreement(percent, LONG)
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(sizes.select("key", blocks.alias("k")), "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
+    dealt = spread_join(members, sizes.select("key", blocks.alias("k")), "key", ["doc_id"], hot).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
     spread = dealt.select("key", "doc_id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp")
     rows = spread.select(group, "doc_id", "component", "own", "key").join(signs, "doc_id").repartition("grp").sortWithinPartitions("grp", "own", "doc_id")
@@ -180,10 +184,15 @@ def block_pairs(members: DataFrame, sizes: DataFrame, signs: DataFrame, percent:
         first = own == own[0]
         cut = int(first.sum())
         x, y = (slice(0, cut), slice(0, cut)) if cut == len(ids) else (slice(0, cut), slice(cut, len(ids)))
-        same = np.zeros((len(ids[x]), len(ids[y])), np.int16)
-        for k in range(HASHES):
-            same += sign[x, k][:, None] == sign[y, k][None, :]
-        i, j = np.nonzero((same >= least) & (comp[x][:, None] != comp[y][None, :]))
+        found = []
+        for at in range(0, len(ids[x]), TILE):
+            rows = slice(at, min(at + TILE, cut))
+            same = np.zeros((len(ids[rows]), len(ids[y])), np.int16)
+            for k in range(HASHES):
+                same += sign[rows, k][:, None] == sign[y, k][None, :]
+            i, j = np.nonzero((same >= least) & (comp[rows][:, None] != comp[y][None, :]))
+            found.append((i + at, j))
+        i, j = (np.concatenate(z) for z in zip(*found))
         agree = [(long[x][i[at : at + 4096]] == long[y][j[at : at + 4096]]).sum(axis=1) for at in range(0, len(i), 4096)]
         if agree:
             good = np.concatenate(agree) >= least_long
@@ -228,11 +237,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     member = reps.select("doc_id", "copies", F.explode("keys").alias("key"))
     pivot = F.max(F.struct("copies", (-F.col("doc_id")).alias("id"))).alias("p")
     buckets = stored(member.groupBy("key").agg(pivot, F.count("*").alias("n")).where("n > 1").select("key", (-F.col("p.id")).alias("pivot"), "n"), "buckets")
-    members = stored(member.select("key", "doc_id").join(buckets, "key").where("doc_id <> pivot"), "members")
-    stars = members.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    hot = hot_keys(buckets, "key", "n")
+    members = stored(spread_join(member.select("key", "doc_id"), buckets, "key", ["doc_id"], hot).where("doc_id <> pivot"), "members")
+    stars = stored(members.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     near = stored(likely(stars, signs, percent), "likely")
     links = confirmed(near, docs, percent)
     discard(near)
+    discard(stars)
 
     roots = components(links)
     here = members.where("n > 2").join(roots.select(F.col("a").alias("doc_id"), F.col("b").alias("root")), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("component"))
@@ -240,14 +251,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     mixed = stored(mixed, "mixed")
     open_ids = stored(here.join(mixed.select("key"), "key", "left_semi").select("doc_id").distinct(), "ids")
     both = stored(reps.select("doc_id", "sign", "keys").join(sketches(open_ids, docs), "doc_id"), "sketches")
-    others = stored(block_pairs(here, mixed, both, percent), "others")
+    others = stored(block_pairs(here, mixed, both, percent, hot), "others")
     more = confirmed(others, docs, percent)
     for used in (buckets, members, roots, mixed, open_ids, both, others):
         discard(used)
     stars = components(links.union(more))
 
     root = classes.join(stars.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(root, "digest", "left")
+    out = spread_join(signed.select("doc_id", "n_shingles", "digest"), root, "digest", ["doc_id"], hot_keys(classes, "digest", "copies"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
