@@ -21,6 +21,7 @@ table gives none; null ids of documents are reported as such.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octofold.llm.common import bitmap, marked, stored, table
+from octofold.llm.common import bitmap, discard, hot_keys, marked, spread_join, stored, table
 from octofold.llm.shingles import hash_words, windows
 
 GRAM, RARE_DOCS = 3, 1_000
@@ -37,6 +38,9 @@ SCORE, SHORT, SHORT_SCORE = 0.5, 8, 0.9
 PLAIN = bytes(ord(chr(c).lower()) if chr(c).isalnum() else 32 for c in range(128)) + bytes(range(128, 256))
 
 
+COLUMNS = ["doc_id", "passage", "start", "words", "grams", "n_words"]
+
+
 def words_of(text: str | None) -> np.ndarray:
     return hash_words(text.encode("utf-8", "surrogatepass").translate(PLAIN)) if text else np.zeros(0, np.uint64)
 
@@ -75,13 +79,13 @@ def item_grams(items: DataFrame) -> DataFrame:
 
 
 def scan(docs: DataFrame, gram_bits, word_bits, reach: int) -> DataFrame:
-    """Passages (doc_id, start, words, grams: the item n-grams inside), and for each task one
-    row with the counts of items' words (start -1, words and their counts in grams) whose
+    """Passages (doc_id, passage, start, words, grams: the item n-grams inside), and for each task
+    one row with the counts of items' words (start -1, words and their counts in grams) whose
     n_words is the number of all words it read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, counts = 0, {}
         for batch in batches:
-            ids, starts, words_out, grams_out, seen = [], [], [], [], []
+            ids, names, starts, words_out, grams_out, seen = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
                 if not len(words):
@@ -104,6 +108,7 @@ def scan(docs: DataFrame, gram_bits, word_bits, reach: int) -> DataFrame:
                 for group in np.split(at, cut):
                     a, b = max(0, int(group[0]) - reach), min(len(words), int(group[-1]) + reach)
                     ids.append(doc)
+                    names.append(int.from_bytes(hashlib.blake2b(words[a:b].tobytes() + f"{doc} {a}".encode(), digest_size=8).digest(), "big", signed=True))
                     starts.append(a)
                     words_out.append(words[a:b].view(np.int64))
                     grams_out.append(np.unique(np.concatenate([g[a:b][hit[a:b]] for g, hit in grams.values()])).view(np.int64))
@@ -111,14 +116,14 @@ def scan(docs: DataFrame, gram_bits, word_bits, reach: int) -> DataFrame:
                 for w, n in zip(*(x.tolist() for x in np.unique(np.concatenate(seen), return_counts=True))):
                     counts[w] = counts.get(w, 0) + n
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(words_out, pa.list_(pa.int64())), pa.array(grams_out, pa.list_(pa.int64())), pa.array([0] * len(ids), pa.int64())],
-                names=["doc_id", "start", "words", "grams", "n_words"],
+                [pa.array(ids, pa.int64()), pa.array(names, pa.int64()), pa.array(starts, pa.int64()), pa.array(words_out, pa.list_(pa.int64())), pa.array(grams_out, pa.list_(pa.int64())), pa.array([0] * len(ids), pa.int64())],
+                names=COLUMNS,
             )
         keys = np.array(list(counts), np.uint64).view(np.int64)
-        last = [pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([list(counts.values())], pa.list_(pa.int64())), pa.array([total], pa.int64())]
-        yield pa.RecordBatch.from_arrays(last, names=["doc_id", "start", "words", "grams", "n_words"])
+        last = [pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([-1], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([list(counts.values())], pa.list_(pa.int64())), pa.array([total], pa.int64())]
+        yield pa.RecordBatch.from_arrays(last, names=COLUMNS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, start long, words array<long>, grams array<long>, n_words long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, passage long, start long, words array<long>, grams array<long>, n_words long")
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -135,6 +140,21 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def align_near(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
+    """``align`` around the item's n-grams in the passage, as far as the item can reach from
+    them: a passage is as long as the longest item needs."""
+    reach = len(item) + len(item) // 4 + 1
+    n = min(GRAM, len(item))
+    at = np.flatnonzero(np.isin(windows(passage, n), windows(item, n)))
+    best, end = 0, 0
+    for part in np.split(at, np.flatnonzero(np.diff(at) > 2 * reach) + 1) if len(at) else []:
+        first = max(0, int(part[0]) - reach)
+        value, stop = align(item, passage[first : int(part[-1]) + n + reach])
+        if value > best:
+            best, end = value, first + stop
+    return best, end
+
+
 def leaks(docs: DataFrame, items: DataFrame, score: float = SCORE) -> DataFrame:
     """doc_id, item_id, score and end_word of every document that holds (an edited copy of) a
     test item; one row for each pair."""
@@ -157,15 +177,18 @@ def leaks(docs: DataFrame, items: DataFrame, score: float = SCORE) -> DataFrame:
     third = chance.groupBy("item_id").agg(F.percentile_approx("chance", F.lit(1 / 3), F.lit(10_000)).alias("third"))
     seeds = chance.join(third, "item_id").where((F.col("chance") <= float(np.log(n_docs / RARE_DOCS))) | (F.col("chance") <= F.col("third"))).select("item_id", "gram")
 
-    passages = found.where("start >= 0").withColumn("passage", F.monotonically_increasing_id())
-    pairs = passages.select("passage", F.explode("grams").alias("gram")).join(seeds, "gram").select("passage", "item_id").distinct()
-    ready = pairs.join(passages.select("passage", "doc_id", "start", "words"), "passage").join(items.select("item_id", F.col("words").alias("item")), "item_id")
+    passages = found.where("start >= 0")
+    held = passages.select("passage", F.explode("grams").alias("gram"))
+    met = spread_join(held, seeds, "gram", ["passage"], hot_keys(held, "gram")).select("passage", "item_id").distinct()
+    pairs = stored(met, "pairs")
+    ready = pairs.join(passages.select("passage", "doc_id", "start", "words"), "passage")
+    ready = spread_join(ready, items.select("item_id", F.col("words").alias("item")), "item_id", ["passage"], hot_keys(pairs, "item_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, ends = [], []
             for start, words, item in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))):
-                value, end = align(np.array(item, np.int64), np.array(words, np.int64))
+                value, end = align_near(np.array(item, np.int64).view(np.uint64), np.array(words, np.int64).view(np.uint64))
                 scores.append(value / (2 * len(item)))
                 ends.append(start + end)
             need = [SHORT_SCORE if len(x) < SHORT else score for x in batch.column(4).to_pylist()]
