@@ -26,7 +26,6 @@ from __future__ import annotations
 import re
 import string
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +36,8 @@ from octofold.llm.common import table
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Stretches (of STRIDE characters at most) and neighbour pairs that a Python worker remembers at
-#: most: some 30 MB each, since workers outlive their tasks.
-MEMO, PAIRS = 150_000, 200_000
+#: most: some 80 and 40 MB, since workers outlive their tasks.
+MEMO, PAIRS = 400_000, 200_000
 #: Positions between two looks for a common boundary.
 STRIDE = 64
 
@@ -88,6 +87,7 @@ class Codec:
                 node = node[c][0]
             node[p[0]] = (node[p[0]][0] if p[0] in node else {}, i)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was in use before the memo was filled
 
     @staticmethod
     def certain(pieces: Iterable[str]) -> re.Pattern:
@@ -214,9 +214,12 @@ class Codec:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; the texts' unknown stretches are searched together."""
         parts = [self.stretches.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        if len(self.memo) >= MEMO:  # the older half goes; dicts keep the order of their entries
-            self.memo = dict(islice(self.memo.items(), len(self.memo) // 2, None))
+        if len(self.memo) >= MEMO // 2:  # what isn't used until it is full again goes
+            self.memo, self.older = {}, self.memo
         unknown = set().union(*parts).difference(self.memo)
+        again = unknown & self.older.keys()
+        self.memo.update((s, self.older[s]) for s in again)
+        unknown -= again
         self.search(unknown)
         out = [np.frombuffer(b"".join(map(self.memo.__getitem__, p)), self.wide) for p in parts]
         for s in unknown:
