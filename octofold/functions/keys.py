@@ -28,24 +28,32 @@ _tables: dict = {}
 
 
 def _table(name: str) -> Column:
-    """One literal of 128 values made by the rule: of seven bits spread, or of nine compacted."""
+    """One literal array made by the rule: of seven bits spread to every third place (128), or of
+    nine code bits taken apart, three for each axis at places 0, 21 and 42 (512)."""
     gateway = SparkContext._gateway
     if (name, gateway) not in _tables:
-        rule = {"spread": lambda n: sum((n >> i & 1) << 3 * i for i in range(7)), "compact": lambda n: sum((n >> 3 * k & 1) << k for k in range(3))}[name]
-        _tables[name, gateway] = F.lit(np.array([rule(i) for i in range(128)], dtype=np.int64))
+        spread = [sum((n >> i & 1) << 3 * i for i in range(7)) for n in range(128)]
+        apart = [sum((n >> (3 * k + axis) & 1) << (21 * axis + k) for k in range(3) for axis in range(3)) for n in range(512)]
+        _tables[name, gateway] = F.lit(np.array({"spread": spread, "apart": apart}[name], dtype=np.int64))
     return _tables[name, gateway]
 
 
+def held(df: DataFrame, *keep: str, **new: Column) -> DataFrame:
+    """df[keep] and the new columns, which are evaluated once, here: neither filters that Spark
+    pushes down or infers nor later expressions repeat them. Key expressions are long."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in new.items()]))))
+
+
 def expand(v) -> Column:
     """K1: the 21 low bits of v, each at three times its place, seven bits at a time by table:
     shorter than shift-and-mask steps, whose operands a Column expression would repeat."""
-    parts = [F.shiftleft(F.element_at(_table("spread"), F.shiftrightunsigned(big(v), s).bitwiseAND(F.lit(127)).cast("int") + 1), 3 * s) for s in (0, 7, 14)]
+    parts = [F.shiftleft(F.get(_table("spread"), F.shiftrightunsigned(big(v), s).bitwiseAND(F.lit(127)).cast("int")), 3 * s) for s in (0, 7, 14)]
     return reduce(Column.bitwiseOR, parts)
 
 
-def compact(v) -> Column:
-    """K2: the inverse of expand; bits between those of the axis are ignored."""
-    parts = [F.shiftleft(F.element_at(_table("compact"), F.shiftrightunsigned(big(v), 9 * g).bitwiseAND(F.lit(127)).cast("int") + 1), 3 * g) for g in range(7)]
+def apart(code) -> Column:
+    """K2: x, y and z of a code, at bits 0, 21 and 42 of one number."""
+    parts = [F.shiftleft(F.get(_table("apart"), F.shiftrightunsigned(big(code), 9 * g).bitwiseAND(F.lit(511)).cast("int")), 3 * g) for g in range(7)]
     return reduce(Column.bitwiseOR, parts)
 
 
@@ -56,7 +64,8 @@ def morton(x, y, z) -> Column:
 
 def unpack(code) -> tuple[Column, Column, Column]:
     """K4: the three coordinates as INT."""
-    return tuple(compact(F.shiftrightunsigned(big(code), i)).cast("int") for i in range(3))
+    whole = apart(code)
+    return tuple(F.shiftrightunsigned(whole, 21 * i).bitwiseAND(F.lit((1 << 21) - 1)).cast("int") for i in range(3))
 
 
 def power_of_two(n: Column) -> Column:
@@ -66,8 +75,8 @@ def power_of_two(n: Column) -> Column:
 
 def cut(code, level, depth: int) -> Column:
     """Clears the low 3 (depth - level) bits."""
-    span = power_of_two(3 * (F.lit(depth) - col(level)))
-    return big(code) - F.pmod(big(code), span)
+    bits = (3 * (F.lit(depth) - col(level))).cast("int") if not isinstance(level, int) else F.lit(3 * (depth - level))
+    return F.call_function("shiftleft", F.call_function("shiftright", big(code), bits), bits)
 
 
 def encode(x, y, z, level, depth: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -35,14 +37,64 @@ def small_voxels(spark, d):
     return p.select((F.col("x") % 40 - 20).alias("x"), (F.col("y") % 40 - 20).alias("y"), (F.col("z") % 60 + 8).alias("z")).distinct()
 
 
+def turned(c: float, s: float, axis: int, shift: tuple[float, float, float]) -> list[float]:
+    """A rotation about an axis and a shift, as twelve numbers."""
+    i, j = (axis + 1) % 3, (axis + 2) % 3
+    m = [[float(r == k) for k in range(3)] for r in range(3)]
+    m[i][i] = m[j][j] = c
+    m[i][j], m[j][i] = -s, s
+    return [x for r in range(3) for x in (*m[r], float(shift[r]))]
+
+
+#: Where frames are seen from, in turn: camera from world.
+VIEWS = [turned(1.0, 0.0, 0, (0, 0, 0)), turned(0.96, 0.28, 1, (0, 0.05, 0)), turned(0.96, -0.28, 0, (0, 0, 0.1)), turned(1.0, 0.0, 0, (0.05, -0.1, 0.2))]
+#: The first guess of a frame's pose in the space of the frame before.
+GUESS = turned(0.9998, 0.019999, 1, (0.01, 0.005, 0.02))
+
+
+def back(view: list[float]) -> list[float]:
+    m, t = [view[4 * r : 4 * r + 3] for r in range(3)], [view[4 * r + 3] for r in range(3)]
+    return [x for r in range(3) for x in (*(m[k][r] for k in range(3)), -(m[0][r] * t[0] + m[1][r] * t[1] + m[2][r] * t[2]))]
+
+
+def with_views(frames, views, key="frame"):
+    """Adds POSE of the view of each frame."""
+    pick = [F.element_at(F.array(*[F.lit(v[i]) for v in views]), F.pmod(F.col(key), F.lit(len(views))).cast("int") + 1).alias(c) for i, c in enumerate(U.POSE)]
+    return frames.select("*", *pick)
+
+
+def sql_views(name: str, views) -> str:
+    rows = ", ".join("(" + ", ".join([str(k), *(f"{x!r}e0" for x in v)]) + ")" for k, v in enumerate(views))
+    return f"{name} AS (SELECT * FROM (VALUES {rows}) p(k, {', '.join(U.POSE)}))"
+
+
+def sql_moved(x: str, y: str, z: str) -> list[str]:
+    return [f"m{r}0*{x}+m{r}1*{y}+m{r}2*{z}+m{r}3" for r in range(3)]
+
+
 VOXELS = f"{S.POINTS}, vox AS (SELECT DISTINCT x%40-20 AS x, y%40-20 AS y, z%60+8 AS z FROM points)"
-PROJ = f"""{VOXELS}, pr AS (SELECT x, y, z, x*0.05e0 AS px, y*0.05e0 AS py, z*0.05e0 AS pz FROM vox), pq AS (SELECT *, px*40e0/pz+25e0+0.5e0 AS fu, py*40e0/pz+25e0+0.5e0 AS fv FROM pr WHERE pz >= 1e-4),
-pj AS (SELECT x, y, z, px, py, pz, CAST(floor(fu) AS INTEGER) AS u, CAST(floor(fv) AS INTEGER) AS v FROM pq WHERE fu BETWEEN 0.5e0 AND 48.5e0 AND fv BETWEEN 0.5e0 AND 48.5e0)"""
+_P = sql_moved("(x*0.05e0)", "(y*0.05e0)", "(z*0.05e0)")
+PROJ = f"""{VOXELS}, {sql_views('ps', VIEWS)}, pr AS (SELECT k, x, y, z, {_P[0]} AS px, {_P[1]} AS py, {_P[2]} AS pz FROM vox, ps), pq AS (SELECT *, px*40e0/pz+25e0+0.5e0 AS fu, py*40e0/pz+25e0+0.5e0 AS fv FROM pr WHERE pz >= 1e-4),
+pj AS (SELECT k, x, y, z, px, py, pz, CAST(floor(fu) AS INTEGER) AS u, CAST(floor(fv) AS INTEGER) AS v FROM pq WHERE fu BETWEEN 0.5e0 AND 48.5e0 AND fv BETWEEN 0.5e0 AND 48.5e0)"""
 
 
-@query(f"WITH {PROJ} SELECT x, y, z, u, v FROM pj")
+@query(f"WITH {PROJ} SELECT k AS frame, x, y, z, u, v FROM pj")
 def frustum_filter(spark, d):
-    return U.project(small_voxels(spark, d), CAMERA, VOXEL).select("x", "y", "z", "u", "v")
+    views = with_views(spark.range(len(VIEWS)).select(F.col("id").cast("int").alias("frame")), VIEWS)
+    return U.project(U.seen_by(small_voxels(spark, d), views, CAMERA, VOXEL), CAMERA, VOXEL).select("frame", "x", "y", "z", "u", "v")
+
+
+_C = sql_moved("(x*0.05e0)", "(y*0.05e0)", "(z*0.05e0)")
+
+
+@query(f"""WITH {VOXELS}, {sql_views('ps', VIEWS)}, b AS (SELECT DISTINCT CAST(floor(x/8e0) AS INTEGER)*8 AS x, CAST(floor(y/8e0) AS INTEGER)*8 AS y, CAST(floor(z/8e0) AS INTEGER)*8 AS z FROM vox),
+q AS (SELECT k, x, y, z, ({_C[0]})*40e0+({_C[2]})*25e0 AS pu, ({_C[1]})*40e0+({_C[2]})*25e0 AS pv, {_C[2]} AS pz FROM b, ps), r AS (SELECT k, x, y, z, CAST(trunc(pu/pz) AS INTEGER) AS u, CAST(trunc(pv/pz) AS INTEGER) AS v FROM q WHERE pz <> 0)
+SELECT k AS frame, x, y, z, u, v FROM r WHERE u BETWEEN 0 AND 49 AND v BETWEEN 0 AND 49""")
+def frustum_blocks(spark, d):
+    """Blocks by their corner, from every view."""
+    block = small_voxels(spark, d).select(*[(F.floor(F.col(n) / 8.0) * 8).cast("int").alias(n) for n in "xyz"]).distinct()
+    posed = with_views(block.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(len(VIEWS) - 1)))), VIEWS)
+    return U.in_frustum(posed, CAMERA, VOXEL).select("frame", "x", "y", "z", "u", "v")
 
 
 def frames(spark, d):
@@ -51,11 +103,15 @@ def frames(spark, d):
     return A.frames(spark, d).select((F.col("frame") + more).alias("frame"), "u", row.alias("v"), (F.col("mm") / 1000.0).alias("depth"))
 
 
-OBS = f"{PROJ}, {S.FRAMES}, ob AS (SELECT f.frame, pj.*, f.mm/1000e0 AS depth, (f.mm/1000e0-pz)*sqrt(1e0+(px/pz)*(px/pz)+(py/pz)*(py/pz)) AS diff FROM pj JOIN frames f ON f.u=pj.u AND f.v=pj.v AND f.v < 50)"
+FRAMES = f"{S.FRAMES}, fr AS (SELECT frame + 4*(v//50) AS frame, u, v%50 AS v, mm/1000e0 AS depth FROM frames)"
+OBS = f"{PROJ}, {FRAMES}, ob AS (SELECT f.frame, pj.*, f.depth AS depth, (f.depth-pz)*sqrt(1e0+(px/pz)*(px/pz)+(py/pz)*(py/pz)) AS diff FROM pj JOIN fr f ON f.u=pj.u AND f.v=pj.v AND f.frame%4=pj.k)"
 
 
 def observations(spark, d):
-    return U.observe(small_voxels(spark, d), frames(spark, d), CAMERA, VOXEL).withColumn("diff", U.distance_along_ray())
+    """Voxels with the depth of every frame that sees them, each frame from its own pose."""
+    image = frames(spark, d)
+    posed = U.seen_by(small_voxels(spark, d), with_views(image.select("frame").distinct(), VIEWS), CAMERA, VOXEL)
+    return U.observe(posed, image, CAMERA, VOXEL, ["frame"]).withColumn("diff", U.distance_along_ray())
 
 
 @query(f"WITH {OBS} SELECT frame, x, y, z, round(diff,6)+0e0 AS diff FROM ob")
@@ -63,11 +119,36 @@ def projective_join(spark, d):
     return observations(spark, d).select("frame", "x", "y", "z", (F.round("diff", 6) + 0.0).alias("diff"))
 
 
-@query(f"WITH {OBS} SELECT x, y, z, round(greatest(-1e0, least(1e0, (0e0*1e0+least(1e0,diff/0.2e0))/1e0)),6)+0e0 AS x_new, 1e0 AS w_new FROM ob WHERE frame=0 AND depth>0 AND diff>-0.2e0")
+@query(f"WITH {OBS} SELECT frame, CAST(floor(x/8e0) AS INTEGER) AS bx, CAST(floor(y/8e0) AS INTEGER) AS b_y, CAST(floor(z/8e0) AS INTEGER) AS bz, count(*) AS n_seen FROM ob GROUP BY 1, 2, 3, 4")
+def projective_active(spark, d):
+    """The blocks that each frame makes active."""
+    o = observations(spark, d).withColumn("key", F.struct(*[F.floor(F.col(n) / 8.0).cast("int").alias(n) for n in "xyz"]))
+    return U.visible_blocks(o).select("frame", F.col("key.x").alias("bx"), F.col("key.y").alias("b_y"), F.col("key.z").alias("bz"), "n_seen")
+
+
+@query(f"""WITH {VOXELS}, {sql_views('ps', VIEWS)}, {FRAMES}, nd AS (SELECT DISTINCT l.s AS s, CAST(floor(x/l.s) AS INTEGER)*CAST(l.s AS INTEGER) AS bx, CAST(floor(y/l.s) AS INTEGER)*CAST(l.s AS INTEGER) AS b_y, CAST(floor(z/l.s) AS INTEGER)*CAST(l.s AS INTEGER) AS bz FROM vox, (VALUES (16e0),(32e0)) l(s)),
+sl AS (SELECT CAST(s AS INTEGER) AS side, c.c AS child, bx + CAST(s/2 AS INTEGER)*CAST(c.c & 1 AS INTEGER) AS x, b_y + CAST(s/2 AS INTEGER)*CAST((c.c >> 1) & 1 AS INTEGER) AS y, bz + CAST(s/2 AS INTEGER)*CAST((c.c >> 2) & 1 AS INTEGER) AS z FROM nd, range(0, 8) c(c)),
+pr AS (SELECT k, side, x, y, z, {_P[0]} AS px, {_P[1]} AS py, {_P[2]} AS pz FROM sl, ps), pq AS (SELECT *, px*40e0/pz+25e0+0.5e0 AS fu, py*40e0/pz+25e0+0.5e0 AS fv FROM pr WHERE pz >= 1e-4),
+pj AS (SELECT *, CAST(floor(fu) AS INTEGER) AS u, CAST(floor(fv) AS INTEGER) AS v FROM pq WHERE fu BETWEEN 0.5e0 AND 48.5e0 AND fv BETWEEN 0.5e0 AND 48.5e0),
+ob AS (SELECT f.frame, side, x, y, z, (f.depth-pz)*sqrt(1e0+(px/pz)*(px/pz)+(py/pz)*(py/pz)) AS diff FROM pj JOIN fr f ON f.u=pj.u AND f.v=pj.v AND f.frame%4=pj.k WHERE f.depth > 0)
+SELECT frame, side, x, y, z, round(least(1e0, diff/0.2e0),6)+0e0 AS sdf FROM ob WHERE diff > -0.2e0""")
+def projective_nodes(spark, d):
+    """The places of interior nodes' children against the depth of every frame."""
+    depth, image, slots = 8, frames(spark, d), None
+    for side, level in ((16, 4), (32, 3)):
+        node = small_voxels(spark, d).select(*[(F.floor(F.col(n) / float(side)) * side).cast("int").alias(n) for n in "xyz"]).distinct()
+        part = U.node_slots(node.select(F.struct("x", "y", "z").alias("key"), "x", "y", "z", F.lit(level).alias("level")), depth).select("x", "y", "z", F.lit(side).alias("side"))
+        slots = part if slots is None else slots.union(part)
+    posed = U.seen_by(slots, with_views(image.select("frame").distinct(), VIEWS), CAMERA, VOXEL)
+    o = U.observe(posed, image, CAMERA, VOXEL, ["frame"]).withColumn("diff", U.distance_along_ray()).where((F.col("depth") > 0) & (F.col("diff") > -MU))
+    return o.select("frame", "side", "x", "y", "z", (F.round(U.tsdf(F.col("diff"), MU), 6) + 0.0).alias("sdf"))
+
+
+@query(f"WITH {OBS} SELECT frame, x, y, z, round(greatest(-1e0, least(1e0, (0e0*1e0+least(1e0,diff/0.2e0))/1e0)),6)+0e0 AS x_new, 1e0 AS w_new FROM ob WHERE depth>0 AND diff>-0.2e0")
 def sdf_update_frame(spark, d):
-    o = observations(spark, d).where((F.col("frame") == 0) & (F.col("depth") > 0) & (F.col("diff") > -MU))
+    o = observations(spark, d).where((F.col("depth") > 0) & (F.col("diff") > -MU))
     x, w = U.sdf_step(F.lit(1.0), F.lit(0.0), U.tsdf(F.col("diff"), MU))
-    return o.select("x", "y", "z", (F.round(x, 6) + 0.0).alias("x_new"), w.alias("w_new"))
+    return o.select("frame", "x", "y", "z", (F.round(x, 6) + 0.0).alias("x_new"), w.alias("w_new"))
 
 
 @query(f"WITH {OBS}, s AS (SELECT x, y, z, least(1e0, diff/0.2e0) AS s FROM ob WHERE depth>0 AND diff>-0.2e0) SELECT x, y, z, round(avg(s),5)+0e0 AS mean, CAST(count(*) AS DOUBLE) AS weight FROM s GROUP BY x, y, z")
@@ -79,6 +160,7 @@ def sdf_fold_frames(spark, d):
 
 SPL = "CASE WHEN {t}<=-3 THEN 0e0 WHEN {t}>=3 THEN 1e0 WHEN {t}<=-1 THEN power(3e0+{t},3)/48e0 WHEN {t}<=1 THEN 0.5e0+{t}*(3e0+{t})*(3e0-{t})/24e0 ELSE 1e0-power(3e0-{t},3)/48e0 END"
 OCC = f"{OBS}, oc AS (SELECT frame, x, y, z, -diff/greatest(0.1e0, least(pz*pz*0.01e0, 0.05e0)) AS t FROM ob WHERE depth>0), os AS (SELECT frame, x, y, z, ({SPL.format(t='t')}) - 0.5e0*({SPL.format(t='(t-3e0)')}) AS s FROM oc)"
+ODDS = "log2(greatest(0.03e0,least(0.97e0,s))/(1e0-greatest(0.03e0,least(0.97e0,s))))"
 
 
 def occupancies(spark, d):
@@ -86,26 +168,35 @@ def occupancies(spark, d):
     return o.select("frame", "x", "y", "z", U.occupancy(-F.col("diff") / U.noise(F.col("pz"), VOXEL)).alias("s"))
 
 
-@query(f"WITH {OCC} SELECT frame, x, y, z, round(log2(greatest(0.03e0,least(0.97e0,s))/(1e0-greatest(0.03e0,least(0.97e0,s)))),5)+0e0 AS x_new FROM os WHERE s <> 0.5e0")
+@query(f"WITH {OCC} SELECT frame, x, y, z, round({ODDS},5)+0e0 AS x_new FROM os WHERE s <> 0.5e0")
 def occupancy_update_frame(spark, d):
     o = occupancies(spark, d).where("s <> 0.5")
     return o.select("frame", "x", "y", "z", (F.round(U.log_odds_step(F.lit(0.0), F.lit(0.0), F.col("s")), 5) + 0.0).alias("x_new"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {OCC}, r AS (SELECT x, y, z, frame, {ODDS} AS o, row_number() OVER (PARTITION BY x, y, z ORDER BY frame) AS i, frame - lag(frame) OVER (PARTITION BY x, y, z ORDER BY frame) AS gap FROM os WHERE s <> 0.5e0),
+f AS (SELECT x, y, z, i, greatest(-1000e0, least(1000e0, o)) AS v FROM r WHERE i = 1 UNION ALL SELECT r.x, r.y, r.z, r.i, greatest(-1000e0, least(1000e0, f.v*greatest(0.5e0, 1e0/(1e0+r.gap/4e0)) + r.o)) FROM f JOIN r ON r.x=f.x AND r.y=f.y AND r.z=f.z AND r.i=f.i+1)
+SELECT x, y, z, round(arg_max(v, i), 5)+0e0 AS log_odds, CAST(count(*) AS INTEGER) AS n FROM f GROUP BY x, y, z""")
 def occupancy_fold_frames(spark, d):
-    """Order-dependent decay and sums; the tests hold it against a plain loop."""
+    """D14 for occupancy: order-dependent decay and sums over frames."""
     o = occupancies(spark, d).withColumn("t", F.col("frame").cast("double")).withColumnRenamed("x", "vx")
-    return U.fold_occupancy(o, ["vx", "y", "z"], "t").select(F.col("vx").alias("x"), "y", "z", F.round("x", 5).alias("log_odds"), "n")
+    return U.fold_occupancy(o, ["vx", "y", "z"], "t").select(F.col("vx").alias("x"), "y", "z", (F.round("x", 5) + 0.0).alias("log_odds"), "n")
+
+
+_W = sql_moved("ax", "ay", "az")
+HITS = "h AS (SELECT frame, depth AS z, (u+0.5e0-25e0)/40e0*depth AS wx, (v+0.5e0-25e0)/40e0*depth AS wy FROM fr WHERE depth>0), w AS (SELECT *, sqrt(wx*wx+wy*wy+z*z) AS norm FROM h)"
+
+
+def placed(spark, d):
+    return with_views(frames(spark, d), [back(v) for v in VIEWS])
 
 
-@query(f"""WITH {S.FRAMES}, h AS (SELECT u, v, mm/1000e0 AS z, (u+0.5e0-25e0)/40e0*(mm/1000e0) AS wx, (v+0.5e0-25e0)/40e0*(mm/1000e0) AS wy FROM frames WHERE frame=0 AND mm>0 AND v<50),
-w AS (SELECT *, sqrt(wx*wx+wy*wy+z*z) AS norm FROM h), p AS (SELECT 1e0+(0.2e0-s.s*(0.4e0/8))/norm AS k, wx, wy, z FROM w, range(0,8) s(s)),
-x AS (SELECT CAST(floor(wx*k/0.05e0) AS INTEGER) AS x, CAST(floor(wy*k/0.05e0) AS INTEGER) AS y, CAST(floor(z*k/0.05e0) AS INTEGER) AS z FROM p)
-SELECT DISTINCT {S.block()} AS key FROM x WHERE x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 255 AND z BETWEEN 0 AND 255""")
+@query(f"""WITH {FRAMES}, {sql_views('pi', [back(v) for v in VIEWS])}, {HITS}, p AS (SELECT frame, 1e0+(0.2e0-s.s*(0.4e0/8))/norm AS f, wx, wy, z FROM w, range(0,8) s(s)), a AS (SELECT frame, wx*f AS ax, wy*f AS ay, z*f AS az FROM p),
+x AS (SELECT frame, CAST(floor(({_W[0]})/0.05e0) AS INTEGER) AS x, CAST(floor(({_W[1]})/0.05e0) AS INTEGER) AS y, CAST(floor(({_W[2]})/0.05e0) AS INTEGER) AS z FROM a JOIN pi ON pi.k = a.frame%4)
+SELECT DISTINCT frame, {S.block()} AS key FROM x WHERE x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 255 AND z BETWEEN 0 AND 255""")
 def sdf_alloc_list(spark, d):
-    f = frames(spark, d).where("frame = 0").select("u", "v", "depth")
-    return U.band_points(f, CAMERA, VOXEL, MU).where(U.in_volume(SIZE)).select(K.block_key("x", "y", "z", 8).alias("key")).distinct()
+    p = U.band_points(placed(spark, d), CAMERA, VOXEL, MU).where(U.in_volume(SIZE))
+    return K.held(p, "frame", key=K.block_key("x", "y", "z", 8)).distinct()
 
 
 BAND = 0.6
@@ -113,54 +204,64 @@ _FIXED, _FIRST = U.step_schedule(VOXEL, BAND, 8)
 STEPS = ", ".join(f"({t!r}e0, {level})" for t, level in [*_FIXED, *((_FIRST + k * 30 * VOXEL, 3) for k in range(40))])
 
 
-@query(f"""WITH {S.FRAMES}, st AS (SELECT * FROM (VALUES {STEPS}) s(t, level)), h AS (SELECT mm/1000e0 AS z, (u+0.5e0-25e0)/40e0*(mm/1000e0) AS wx, (v+0.5e0-25e0)/40e0*(mm/1000e0) AS wy FROM frames WHERE frame=0 AND mm>0 AND v<50),
-w AS (SELECT *, sqrt(wx*wx+wy*wy+z*z) AS norm FROM h), p AS (SELECT level, 1e0+(0.3e0-t)/norm AS k, wx, wy, z FROM w, st WHERE t < norm + 0.3e0),
-x AS (SELECT level, CAST(floor(wx*k/0.05e0) AS INTEGER) AS x, CAST(floor(wy*k/0.05e0) AS INTEGER) AS y, CAST(floor(z*k/0.05e0) AS INTEGER) AS z FROM p)
-SELECT DISTINCT {S.key('x', 'y', 'z', 'level')} AS key FROM x WHERE x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 255 AND z BETWEEN 0 AND 255""")
+@query(f"""WITH {FRAMES}, {sql_views('pi', [back(v) for v in VIEWS])}, st AS (SELECT * FROM (VALUES {STEPS}) s(t, level)), {HITS}, p AS (SELECT frame, level, 1e0+(0.3e0-t)/norm AS f, wx, wy, z FROM w, st WHERE t < norm + 0.3e0), a AS (SELECT frame, level, wx*f AS ax, wy*f AS ay, z*f AS az FROM p),
+x AS (SELECT frame, level, CAST(floor(({_W[0]})/0.05e0) AS INTEGER) AS x, CAST(floor(({_W[1]})/0.05e0) AS INTEGER) AS y, CAST(floor(({_W[2]})/0.05e0) AS INTEGER) AS z FROM a JOIN pi ON pi.k = a.frame%4)
+SELECT DISTINCT frame, {S.key('x', 'y', 'z', 'level')} AS key FROM x WHERE x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 255 AND z BETWEEN 0 AND 255""")
 def octant_alloc_list(spark, d):
-    f = frames(spark, d).where("frame = 0").select("u", "v", "depth")
-    p = U.octant_points(f, CAMERA, VOXEL, BAND, 8).where(U.in_volume(SIZE))
-    return p.select(K.encode("x", "y", "z", "level", 8).alias("key")).distinct()
+    p = U.octant_points(placed(spark, d), CAMERA, VOXEL, BAND, 8).where(U.in_volume(SIZE))
+    return K.held(p, "frame", key=K.encode("x", "y", "z", "level", 8)).distinct()
 
 
-def field(spark, d):
-    """A signed field on a slab of voxels: value from the samples' sums."""
-    p = A.points(spark, d).where("x < 64 and y < 64 and z < 128")
-    return p.groupBy((F.col("x") % 16).alias("x"), (F.col("y") % 16).alias("y"), (F.col("z") % 16).alias("z")).agg((F.sum(F.col("val") * F.col("w")) % 41 - 20).alias("value"))
+def edge_of(spark, d) -> int:
+    """The edge of the field: a power of two with eight samples a voxel or more."""
+    n = A.points(spark, d).count()
+    return 1 << max(0, int(math.floor(math.log2(max(1.0, (n / 8.0) ** (1 / 3))))))
 
 
-FIELD = f"{S.POINTS}, fld AS (SELECT x%16 AS x, y%16 AS y, z%16 AS z, sum(val*w)%41-20 AS value FROM points WHERE x<64 AND y<64 AND z<128 GROUP BY 1,2,3)"
+def field(spark, d, edge: int):
+    """A signed field: all samples folded into a cube that grows with the table."""
+    return A.points(spark, d).groupBy(*[(F.col(n) % edge).alias(n) for n in "xyz"]).agg((F.sum(F.col("val") * F.col("w")) % 41 - 20).alias("value"))
+
+
+FIELD = f"{S.POINTS}, ed0 AS (SELECT CAST(power(2, greatest(0, floor(log2(greatest(1e0, power(count(*)/8e0, 1e0/3e0)))))) AS INTEGER) AS n FROM points), fld AS (SELECT x%n AS x, y%n AS y, z%n AS z, sum(val*w)%41-20 AS value FROM points, ed0 GROUP BY 1,2,3)"
 CELLS = f"""{FIELD}, cr AS (SELECT * FROM (VALUES (0,0,0,0),(1,1,0,0),(2,1,0,1),(3,0,0,1),(4,0,1,0),(5,1,1,0),(6,1,1,1),(7,0,1,1)) c(i,dx,dy,dz)),
 cv AS (SELECT b.x, b.y, b.z, c.i, c.dx, c.dy, c.dz, coalesce(f.value, 1e0) AS value, f.value IS NOT NULL AS seen FROM fld b, cr c LEFT JOIN fld f ON f.x=b.x+c.dx AND f.y=b.y+c.dy AND f.z=b.z+c.dz)"""
 
 
 def bases(spark, d):
-    v = field(spark, d)
-    return v, v.select((F.col("x") + 16 * F.col("y") + 256 * F.col("z")).alias("id"), "x", "y", "z")
+    v = field(spark, d, edge_of(spark, d))
+    return v, v.select((F.col("x") + 256 * F.col("y") + 65536 * F.col("z")).alias("id"), "x", "y", "z")
 
 
-@query(f"WITH {CELLS} SELECT x+16*y+256*z AS id, " + ", ".join(f"max(CASE WHEN i={i} THEN value END) AS c{i}" for i in range(8)) + " FROM cv GROUP BY x, y, z")
+@query(f"WITH {CELLS} SELECT x+256*y+65536*z AS id, " + ", ".join(f"max(CASE WHEN i={i} THEN value END) AS c{i}" for i in range(8)) + " FROM cv GROUP BY x, y, z")
 def gather8(spark, d):
     v, b = bases(spark, d)
     g = R.corner_values(b, v, 1.0)
     return g.select("id", *[F.col("corners")[i].alias(f"c{i}") for i in range(8)])
 
 
-@query(f"WITH {CELLS} SELECT x+16*y+256*z AS id, round(sum(value * CASE dx WHEN 1 THEN 0.25e0 ELSE 0.75e0 END * CASE dy WHEN 1 THEN 0.5e0 ELSE 0.5e0 END * CASE dz WHEN 1 THEN 0.125e0 ELSE 0.875e0 END),6)+0e0 AS value FROM cv GROUP BY x, y, z")
+@query(f"WITH {CELLS} SELECT x+256*y+65536*z AS id, round(sum(value * CASE dx WHEN 1 THEN 0.25e0 ELSE 0.75e0 END * CASE dy WHEN 1 THEN 0.5e0 ELSE 0.5e0 END * CASE dz WHEN 1 THEN 0.125e0 ELSE 0.875e0 END),6)+0e0 AS value FROM cv GROUP BY x, y, z")
 def trilinear_interp(spark, d):
     v, b = bases(spark, d)
     p = b.select("id", (F.col("x") + 0.25).alias("px"), (F.col("y") + 0.5).alias("py"), (F.col("z") + 0.125).alias("pz"))
     return R.trilinear(p, v, 1.0).select("id", (F.round("value", 6) + 0.0).alias("value"))
 
 
-@query(f"""WITH {FIELD}, o AS (SELECT * FROM (VALUES (0,-1),(0,1),(1,-1),(1,1),(2,-1),(2,1)) o(a,s)),
-n AS (SELECT b.x+16*b.y+256*b.z AS id, o.a, o.s, CASE WHEN a=0 THEN greatest(0,least(15,b.x+s)) ELSE b.x END AS nx, CASE WHEN a=1 THEN greatest(0,least(15,b.y+s)) ELSE b.y END AS ny, CASE WHEN a=2 THEN greatest(0,least(15,b.z+s)) ELSE b.z END AS nz FROM fld b, o),
-g AS (SELECT id, a, s*coalesce(f.value,1e0)*0.03125e0 AS t FROM n LEFT JOIN fld f ON f.x=nx AND f.y=ny AND f.z=nz)
-SELECT id, """ + ", ".join(f"round(sum(CASE WHEN a={k} THEN t ELSE 0e0 END),6)+0e0 AS g{n}" for k, n in enumerate("xyz")) + " FROM g GROUP BY id")
+_LIN = "CASE d{n} WHEN 0 THEN 1e0-f{n} WHEN 1 THEN f{n} ELSE 0e0 END"
+_ACR = "CASE d{n} WHEN -1 THEN f{n}-1e0 WHEN 0 THEN -f{n} WHEN 1 THEN 1e0-f{n} ELSE f{n} END"
+_AXES = [" * ".join(["(" + _ACR.format(n=n) + ")", *("(" + _LIN.format(n=m) + ")" for m in "xyz" if m != n)]) for n in "xyz"]
+
+
+@query(f"""WITH {FIELD}, o AS (SELECT * FROM (VALUES {', '.join(str(o) for o in R.STENCIL)}) o(dx,dy,dz)),
+n AS (SELECT b.x+256*b.y+65536*b.z AS id, dx, dy, dz, 0.25e0 AS fx, 0.5e0 AS fy, 0.125e0 AS fz, greatest(0,least(n-1,b.x+dx)) AS nx, greatest(0,least(n-1,b.y+dy)) AS ny, greatest(0,least(n-1,b.z+dz)) AS nz, n AS size FROM fld b, o, ed0),
+g AS (SELECT n.*, coalesce(f.value, 1e0) AS value FROM n LEFT JOIN fld f ON f.x=nx AND f.y=ny AND f.z=nz)
+SELECT id, """ + ", ".join(f"round(sum({w}*value)*(0.5e0/max(size)),5)+0e0 AS g{n}" for w, n in zip(_AXES, "xyz")) + " FROM g GROUP BY id")
 def gradient(spark, d):
+    edge = edge_of(spark, d)
     v, b = bases(spark, d)
-    g = R.gradient(b, v, 1.0, 16, 1.0)
-    return g.select("id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("gx", "gy", "gz")])
+    p = b.select("id", (F.col("x") + 0.25).alias("px"), (F.col("y") + 0.5).alias("py"), (F.col("z") + 0.125).alias("pz"))
+    g = R.gradient(p, v, 1.0, edge, 1.0)
+    return g.select("id", *[(F.round(c, 5) + 0.0).alias(c) for c in ("gx", "gy", "gz")])
 
 
 CASE = f"{CELLS}, cs AS (SELECT x, y, z, CAST(CASE WHEN min(CASE WHEN seen THEN 1 ELSE 0 END)=1 THEN sum(CASE WHEN value<0 THEN 1<<i ELSE 0 END) ELSE 0 END AS INTEGER) AS k FROM cv GROUP BY x, y, z)"
@@ -178,39 +279,167 @@ def mc_case_index(spark, d):
 
 
 @query(f"""WITH {CASE}, ed AS (SELECT * FROM (VALUES (0,0,1),(1,1,2),(2,2,3),(3,3,0),(4,4,5),(5,5,6),(6,6,7),(7,7,4),(8,0,4),(9,1,5),(10,2,6),(11,3,7)) e(edge,a,b)),
-x AS (SELECT cs.x+16*cs.y+256*cs.z AS id, edge, p.value AS v1, q.value AS v2, cs.x AS x, cs.y AS y, cs.z AS z, p.dx AS sx, p.dy AS sy, p.dz AS sz, q.dx-p.dx AS ex, q.dy-p.dy AS ey, q.dz-p.dz AS ez
+x AS (SELECT cs.x+256*cs.y+65536*cs.z AS id, edge, p.value AS v1, q.value AS v2, cs.x AS x, cs.y AS y, cs.z AS z, p.dx AS sx, p.dy AS sy, p.dz AS sz, q.dx-p.dx AS ex, q.dy-p.dy AS ey, q.dz-p.dz AS ez
  FROM cs, ed JOIN cv p ON p.x=cs.x AND p.y=cs.y AND p.z=cs.z AND p.i=ed.a JOIN cv q ON q.x=cs.x AND q.y=cs.y AND q.z=cs.z AND q.i=ed.b WHERE k BETWEEN 1 AND 254 AND (p.value<0) <> (q.value<0))
 SELECT id, edge, round(x+sx+(0e0-v1)/(v2-v1)*ex,6) AS vx, round(y+sy+(0e0-v1)/(v2-v1)*ey,6) AS vy, round(z+sz+(0e0-v1)/(v2-v1)*ez,6) AS vz FROM x""")
 def mc_vertices(spark, d):
     return R.crossings(cases(spark, d)).select("id", "edge", *[F.round(c, 6).alias(c) for c in ("vx", "vy", "vz")])
 
 
-def tracked(spark, d):
-    """Frame 1 against frame 0 as the model, at the same pixels."""
-    def maps(k):
-        v = I.vertices(frames(spark, d).where(F.col("frame") == k).select("u", "v", "depth"), 40.0, 40.0, 25.0, 25.0)
-        return v.join(I.normals(v), ["u", "v"]).select("u", "v", v.x, v.y, v.z, "nx", "ny", "nz")
+COUNTS = ", ".join(f"({case}, {len(R.case_triangles(case))})" for case in range(256))
 
-    live = maps(1).withColumns({"ru": F.col("u"), "rv": F.col("v")})
-    return T.associate(live, maps(0), far=0.5, least_dot=0.2)
+
+@query(f"WITH {CASE}, tr AS (SELECT * FROM (VALUES {COUNTS}) t(k, n)) SELECT cs.k AS case_index, count(*) AS cells, CAST(sum(tr.n) AS BIGINT) AS triangles FROM cs JOIN tr USING (k) WHERE tr.n > 0 GROUP BY 1")
+def mc_triangle_counts(spark, d):
+    """Triangles by case."""
+    rows = [(c, len(R.case_triangles(c))) for c in range(256) if R.case_triangles(c)]
+    known = F.broadcast(spark.createDataFrame(rows, "case_index int, n int"))
+    by = cases(spark, d).groupBy(F.col("case").alias("case_index")).agg(F.count("*").alias("cells")).join(known, "case_index")
+    return by.select("case_index", "cells", (F.col("cells") * F.col("n")).alias("triangles"))
 
 
 @query()
-def icp_associate(spark, d):
-    return tracked(spark, d).groupBy("result").agg(F.count("*").alias("n"))
+def mc_triangles(spark, d):
+    """The surface; the tests check that it is closed and faces outward."""
+    t = R.triangles(cases(spark, d), edge_of(spark, d))
+    return t.select("id", "tri", *[F.round(F.col(f"v{k}")[n], 6).alias(f"{n}{k}") for k in range(3) for n in "xyz"])
+
+
+def camera_rays(spark, d):
+    """Rays of every pixel of as many frames as the table has, into the field, in voxels."""
+    edge = edge_of(spark, d)
+    views = [turned(0.96, 0.28, 1, (edge * 0.3, edge * 0.4, 0.5)), turned(0.96, -0.28, 0, (edge * 0.5, edge * 0.2, 0.5)), turned(1.0, 0.0, 0, (edge * 0.5, edge * 0.5, 0.5)), turned(0.96, 0.28, 0, (edge * 0.5, edge * 0.6, 0.5))]
+    return edge, R.pixel_rays(with_views(frames(spark, d).select("frame").distinct(), views), CAMERA)
+
+
+def cast(spark, d, rising: bool):
+    edge, rays = camera_rays(spark, d)
+    v, _ = bases(spark, d)
+    blocks = v.select(*[(F.floor(F.col(n) / 8) * 8).cast("int").alias(n) for n in "xyz"]).distinct()
+    blocks = K.held(blocks, *"xyz", key=K.block_key("x", "y", "z", 8))
+    return edge, v, rays, R.raycast(rays, blocks, v, 40.0, 0.5, 8, rising)
+
+
+_V = "CASE c.dx WHEN 1 THEN px-floor(px) ELSE 1e0-(px-floor(px)) END * CASE c.dy WHEN 1 THEN py-floor(py) ELSE 1e0-(py-floor(py)) END * CASE c.dz WHEN 1 THEN pz-floor(pz) ELSE 1e0-(pz-floor(pz)) END"
+
+
+def sql_cast(before: str, after: str, start: str) -> str:
+    e = "(SELECT n FROM ed0)"
+    views = f"cw AS (SELECT * FROM (VALUES (0, 0.96e0,0e0,0.28e0,0.3e0, 0e0,1e0,0e0,0.4e0, -0.28e0,0e0,0.96e0), (1, 1e0,0e0,0e0,0.5e0, 0e0,0.96e0,0.28e0,0.2e0, 0e0,-0.28e0,0.96e0), (2, 1e0,0e0,0e0,0.5e0, 0e0,1e0,0e0,0.5e0, 0e0,0e0,1e0), (3, 1e0,0e0,0e0,0.5e0, 0e0,0.96e0,-0.28e0,0.6e0, 0e0,0.28e0,0.96e0)) p(k,m00,m01,m02,m03,m10,m11,m12,m13,m20,m21,m22))"
+    return f"""WITH {FIELD}, {FRAMES}, {views}, cr AS (SELECT * FROM (VALUES (0,0,0),(1,0,0),(0,1,0),(1,1,0),(0,0,1),(1,0,1),(0,1,1),(1,1,1)) c(dx,dy,dz)),
+px AS (SELECT f.frame, CAST(u.u AS INTEGER) AS u, CAST(v.v AS INTEGER) AS v, m03*{e} AS ox, m13*{e} AS oy, 0.5e0 AS oz, m00*((u.u-25e0)/40e0)+m01*((v.v-25e0)/40e0)+m02 AS ex, m10*((u.u-25e0)/40e0)+m11*((v.v-25e0)/40e0)+m12 AS ey, m20*((u.u-25e0)/40e0)+m21*((v.v-25e0)/40e0)+m22 AS ez FROM (SELECT DISTINCT frame FROM fr) f JOIN cw ON cw.k=f.frame%4, range(0,50) u(u), range(0,50) v(v)),
+ry AS (SELECT (frame*50+v)*50+u AS ray_id, ox, oy, oz, ex/sqrt(ex*ex+ey*ey+ez*ez) AS dx, ey/sqrt(ex*ex+ey*ey+ez*ez) AS dy, ez/sqrt(ex*ex+ey*ey+ez*ez) AS dz FROM px),
+sm AS (SELECT ray_id, CAST(k.k AS INTEGER) AS k, ox+k.k*0.5e0*dx AS px, oy+k.k*0.5e0*dy AS py, oz+k.k*0.5e0*dz AS pz FROM ry, range(0,81) k(k)),
+vl AS (SELECT ray_id, k, sum(({_V})*f.value) AS value FROM sm, cr c JOIN fld f ON f.x=CAST(floor(px) AS INTEGER)+c.dx AND f.y=CAST(floor(py) AS INTEGER)+c.dy AND f.z=CAST(floor(pz) AS INTEGER)+c.dz WHERE px>=0 AND py>=0 AND pz>=0 GROUP BY ray_id, k HAVING count(*)=8),
+pr AS (SELECT a.ray_id, a.k AS k0, a.value AS v0, b.value AS v1 FROM vl a JOIN vl b ON b.ray_id=a.ray_id AND b.k=a.k+1), ht AS (SELECT ray_id, min(k0) AS k0 FROM pr WHERE {before} AND {after} GROUP BY ray_id),
+st AS (SELECT ray_id FROM vl GROUP BY ray_id HAVING arg_min(value, k) {start})
+SELECT ht.ray_id AS ray_id, round((ht.k0 + v0/(v0-v1))*0.5e0, 4) AS t FROM ht JOIN pr ON pr.ray_id=ht.ray_id AND pr.k0=ht.k0 JOIN st ON st.ray_id=ht.ray_id"""
+
+
+@query(sql_cast("v0 > 0", "v1 <= 0", "> 0"))
+def raycast_sdf(spark, d):
+    """The surface that each pixel sees in the field taken as distances."""
+    return cast(spark, d, False)[3].select("ray_id", F.round("t", 4).alias("t"))
+
+
+@query(sql_cast("v0 <= 0", "v1 > 0", "<= 0"))
+def raycast_occupancy(spark, d):
+    """The same with the field taken as log-odds."""
+    return cast(spark, d, True)[3].select("ray_id", F.round("t", 4).alias("t"))
 
 
 @query()
+def render_volume(spark, d):
+    """Grey and normal of every pixel; pixels without a surface are black."""
+    edge, v, rays, hits = cast(spark, d, False)
+    seen = R.with_normals(hits, v, 1.0, edge, 1.0, inward=True)
+    grey = I.shade([F.col(f"n{n}") for n in "xyz"], [F.col(n) for n in "xyz"], (edge * 1.0, edge * 1.0, -1.0))
+    return rays.select("ray_id", "frame", "u", "v").join(seen.select("ray_id", grey.alias("grey"), *[F.round(f"n{n}", 5).alias(f"n{n}") for n in "xyz"]), "ray_id", "left").withColumn("grey", F.coalesce("grey", F.lit(0)))
+
+
+def sql_pyramid(level: int) -> str:
+    """Images, vertices and normals of one level, after halving as often."""
+    out = f"{FRAMES}, l0 AS (SELECT frame, u, v, depth FROM fr)"
+    for k in range(1, level + 1):
+        out += f", c{k} AS (SELECT frame, u//2 AS u, v//2 AS v, arg_min(depth, v*100000+u) AS c FROM l{k - 1} GROUP BY 1, 2, 3), l{k} AS (SELECT c.frame, c.u, c.v, avg(i.depth) AS depth FROM c{k} c JOIN l{k - 1} i ON i.frame=c.frame AND i.u//2=c.u AND i.v//2=c.v WHERE abs(i.depth-c.c) < 0.3e0 GROUP BY 1, 2, 3)"
+    k = float(1 << level)
+    beside = ", ".join(f"CASE WHEN {f}(u) OVER {w} IS NULL THEN {n} ELSE {f}({n}) OVER {w} END AS {w}{f[:2]}_{n}" for w in ("a", "b") for f in ("lead", "lag") for n in "xyz")
+    return out + f""", vx AS (SELECT frame, u, v, CASE WHEN depth>0 THEN depth*(u-{25 / k!r}e0)/{40 / k!r}e0 END AS x, CASE WHEN depth>0 THEN depth*(v-{25 / k!r}e0)/{40 / k!r}e0 END AS y, CASE WHEN depth>0 THEN depth END AS z FROM l{level}),
+nb AS (SELECT frame, u, v, x, y, z, {beside} FROM vx WINDOW a AS (PARTITION BY frame, v ORDER BY u), b AS (PARTITION BY frame, u ORDER BY v)),
+df AS (SELECT frame, u, v, x, y, z, ale_x-ala_x AS ax, ale_y-ala_y AS ay, ale_z-ala_z AS az, ble_x-bla_x AS bx, ble_y-bla_y AS b_y, ble_z-bla_z AS bz FROM nb),
+kr AS (SELECT frame, u, v, x, y, z, ay*bz-az*b_y AS kx, az*bx-ax*bz AS ky, ax*b_y-ay*bx AS kz FROM df), qn AS (SELECT *, sqrt(kx*kx+ky*ky+kz*kz) AS norm FROM kr),
+nm AS (SELECT frame, u, v, x, y, z, {', '.join(f'CASE WHEN z IS NOT NULL AND norm>0 THEN k{n}/norm END AS n{n}' for n in 'xyz')} FROM qn)"""
+
+
+LEVELS = 3
+
+
+@query(" UNION ALL ".join(f"(WITH {sql_pyramid(k)} SELECT {k} AS level, frame, u, v, " + ", ".join(f"round({c}, {12 if len(c) == 1 else 5})+0e0 AS {c}" for c in ("x", "y", "z", "nx", "ny", "nz")) + " FROM nm)" for k in range(LEVELS)))
+def depth_pyramid(spark, d):
+    """Three levels of every frame with vertices and normals."""
+    p = I.pyramid(frames(spark, d), LEVELS, 40.0, 40.0, 25.0, 25.0)
+    return p.select("level", "frame", "u", "v", *[(F.round(c, 12 if len(c) == 1 else 5) + 0.0).alias(c) for c in ("x", "y", "z", "nx", "ny", "nz")])
+
+
+def surfaces(image, k: float = 1.0):
+    v = I.vertices(image.select("frame", "u", "v", "depth"), 40.0 / k, 40.0 / k, 25.0 / k, 25.0 / k)
+    return v.join(I.normals(v), ["frame", "u", "v"])
+
+
+def pairs(maps):
+    """Each frame's surface, and the frame before as its model."""
+    return maps.where("frame > 0"), maps.withColumn("frame", F.col("frame") + 1)
+
+
+def tracked(spark, d):
+    """Every frame against the frame before, moved by a first guess and projected."""
+    live, model = pairs(surfaces(frames(spark, d)))
+    return T.associate(with_views(live, [GUESS]), model, CAMERA, far=0.5, least_dot=0.2, by=("frame",))
+
+
+_T = sql_moved("x", "y", "z")
+_N = [f"m{r}0*nx+m{r}1*ny+m{r}2*nz" for r in range(3)]
+ICP = f"""{sql_pyramid(0)}, {sql_views('gs', [GUESS])}, lv AS (SELECT frame, u, v, {', '.join(f'{c} AS p{n}' for c, n in zip(_T, 'xyz'))}, {', '.join(f'{c} AS q{n}' for c, n in zip(_N, 'xyz'))} FROM nm, gs WHERE frame > 0),
+pp AS (SELECT *, px/nullif(pz,0)*40e0+25e0+0.5e0 AS fu, py/nullif(pz,0)*40e0+25e0+0.5e0 AS fv FROM lv), rr AS (SELECT *, CASE WHEN fu BETWEEN 0 AND 49 AND fv BETWEEN 0 AND 49 THEN CAST(floor(fu) AS INTEGER) END AS ru, CASE WHEN fu BETWEEN 0 AND 49 AND fv BETWEEN 0 AND 49 THEN CAST(floor(fv) AS INTEGER) END AS rv FROM pp),
+mm AS (SELECT r.frame, r.u, r.v, r.px, r.py, r.pz, r.qx, r.qy, r.qz, r.ru, m.nx AS mx, m.ny AS m_y, m.nz AS mz, m.x-r.px AS dx, m.y-r.py AS dy, m.z-r.pz AS dz FROM rr r LEFT JOIN nm m ON m.frame=r.frame-1 AND m.u=r.ru AND m.v=r.rv),
+tk AS (SELECT frame, CASE WHEN qx IS NULL THEN -1 WHEN ru IS NULL THEN -2 WHEN mx IS NULL THEN -3 WHEN sqrt(dx*dx+dy*dy+dz*dz) > 0.5e0 THEN -4 WHEN qx*mx+qy*m_y+qz*mz < 0.2e0 THEN -5 ELSE 1 END AS result, mx*dx+m_y*dy+mz*dz AS e, mx AS j0, m_y AS j1, mz AS j2, py*mz-pz*m_y AS j3, pz*mx-px*mz AS j4, px*m_y-py*mx AS j5 FROM mm)"""
+
+
+@query(f"WITH {ICP} SELECT frame, result, count(*) AS n FROM tk GROUP BY 1, 2")
+def icp_associate(spark, d):
+    return tracked(spark, d).groupBy("frame", "result").agg(F.count("*").alias("n"))
+
+
+def _sum(x: str) -> str:
+    return f"round(coalesce(sum(CASE WHEN result=1 THEN {x} END), 0e0), 3)+0e0"
+
+
+@query(f"WITH {ICP} SELECT frame, {_sum('e*e')} AS ee, " + ", ".join(f"{_sum(f'e*j{i}')} AS b{i}" for i in range(6)) + ", " + ", ".join(f"{_sum(f'j{i}*j{k}')} AS a{i}{k}" for i in range(6) for k in range(i, 6)) + ", count(CASE WHEN result=1 THEN 1 END) AS n, count(CASE WHEN result=-4 THEN 1 END) AS n4, count(CASE WHEN result=-5 THEN 1 END) AS n5, count(CASE WHEN result>-4 AND result<>1 THEN 1 END) AS n_other FROM tk GROUP BY frame")
 def icp_reduce(spark, d):
-    s = T.reduce_sums(tracked(spark, d))
-    return s.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in s.dtypes])
+    s = T.reduce_sums(tracked(spark, d), ("frame",))
+    return s.select(*[(F.round(c, 3) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
 
 
 @query()
 def icp_solve(spark, d):
-    """The pose step of one iteration: 32 sums reach the driver, where the 6 x 6 solve runs."""
-    x = T.solve(T.reduce_sums(tracked(spark, d)).first())
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "i int, x double")
+    """One step of every frame's pose; the 6 x 6 solves run in tasks, one a frame."""
+    guess = with_views(frames(spark, d).select("frame").distinct().where("frame > 0"), [GUESS])
+    return T.corrected(T.reduce_sums(tracked(spark, d), ("frame",)), guess, "frame")
+
+
+@query()
+def track_frames(spark, d):
+    """All frames aligned with the ones before, coarse to fine, with the verdict."""
+    image, live, model, cameras = frames(spark, d), [], [], []
+    for level in range(LEVELS):
+        k = 2.0**level
+        image = I.half_sample(image) if level else image
+        a, b = pairs(A.checkpointed(surfaces(image, k)))
+        live.append(a)
+        model.append(b)
+        cameras.append(U.Camera(40.0 / k, 40.0 / k, 25.0 / k, 25.0 / k, 50 >> level, 50 >> level))
+    guess = with_views(frames(spark, d).select("frame").distinct().where("frame > 0"), [GUESS])
+    return T.coarse_to_fine(live, model, cameras, guess, [2, 1, 1], "frame", A.checkpointed, far=0.5, least_dot=0.2)
 
 
 @query()

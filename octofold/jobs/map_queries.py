@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def mixed(spark, d):
-    return A.mixed_keys(spark, d).select(K.encode("x", "y", "z", "level", D).alias("key")).distinct()
+    return K.held(A.mixed_keys(spark, d), key=K.encode("x", "y", "z", "level", D)).distinct()
 
 
 MIXED = f"WITH {S.MIXED}, keys AS (SELECT DISTINCT {S.key('x', 'y', 'z', 'level')} AS key, x - x%(1<<(8-level)) AS x, y - y%(1<<(8-level)) AS y, z - z%(1<<(8-level)) AS z, level, 1<<(8-level) AS side FROM mixed)"
@@ -129,7 +129,7 @@ def leaves_nodes_count(spark, d):
 @query(f"""WITH {S.POINTS}, a AS (SELECT DISTINCT {S.block()} AS key FROM points WHERE w <= 2), b AS (SELECT DISTINCT {S.block()} AS key FROM points WHERE w > 2)
 SELECT key, 5 AS level FROM b WHERE key NOT IN (SELECT key FROM a)""")
 def new_blocks_anti(spark, d):
-    p = A.points(spark, d).select("w", K.block_key("x", "y", "z", D).alias("key"))
+    p = K.held(A.points(spark, d), "w", key=K.block_key("x", "y", "z", D))
     return alloc.allocate(p.where("w > 2").select("key").distinct(), p.where("w <= 2").select("key").distinct(), D).where(F.col("level") == BL)
 
 
@@ -183,7 +183,7 @@ LO, HI = (40, 50, 60), (59, 66, 71)
 @query(f"""WITH {S.POINTS}, c AS (SELECT DISTINCT x - x%8 AS bx, y - y%8 AS b_y, z - z%8 AS bz FROM points), v AS (SELECT bx, b_y, bz, bx + CAST(i.i AS INTEGER) AS x, b_y + CAST(j.j AS INTEGER) AS y, bz + CAST(k.k AS INTEGER) AS z FROM c, range(0,8) i(i), range(0,8) j(j), range(0,8) k(k) WHERE bx BETWEEN 32 AND 58 AND b_y BETWEEN 42 AND 65 AND bz BETWEEN 52 AND 70)
 SELECT {S.key('bx', 'b_y', 'bz', '5')} AS key, x, y, z, CAST(x+y+z AS DOUBLE) AS value FROM v WHERE x>=40 AND x<59 AND y>=50 AND y<66 AND z>=60 AND z<71""")
 def axis_aligned_update(spark, d):
-    blocks = A.points(spark, d).select(K.block_key("x", "y", "z", D).alias("key")).distinct()
+    blocks = K.held(A.points(spark, d), key=K.block_key("x", "y", "z", D)).distinct()
     return access.block_update(blocks, LO, HI, (F.col("x") + F.col("y") + F.col("z")).cast("double"))
 
 
@@ -201,7 +201,7 @@ def node_iterate(spark, d):
 
 @query(f"""WITH {S.POINTS}, b AS (SELECT {S.block()} AS key, max(w) >= 7 AS active, x - x%8 AS x, y - y%8 AS y, z - z%8 AS z FROM points GROUP BY 1, 3, 4, 5) SELECT key, active, x, y, z FROM b WHERE active OR (x < 64 AND z < 64)""")
 def active_blocks(spark, d):
-    blocks = A.points(spark, d).groupBy(K.block_key("x", "y", "z", D).alias("key")).agg((F.max("w") >= 7).alias("active"))
+    blocks = K.held(A.points(spark, d), "w", key=K.block_key("x", "y", "z", D)).groupBy("key").agg((F.max("w") >= 7).alias("active"))
     x, y, z = K.corner("key")
-    placed = blocks.select("key", "active", x.alias("x"), y.alias("y"), z.alias("z"))
+    placed = K.held(blocks, "key", "active", x=x, y=y, z=z)
     return access.any_of(placed, F.col("active"), (F.col("x") < 64) & (F.col("z") < 64))

@@ -11,6 +11,7 @@ from octofold.sources import adapters as A
 QUERIES, ORACLE = {}, {}
 #: Seconds: association tolerance, and the bucket of ordered trajectories.
 TOLERANCE, BUCKET = 1200.0, 1_000_000.0
+PHASES = ["view", "click", "error", "signup", "purchase"]
 SAMPLES = "samples AS (SELECT event_type AS key, event_id AS seq, value FROM events)"
 
 
@@ -160,9 +161,9 @@ def rpe_stats(spark, d):
     return rounded(T.error_stats(m.select(F.sqrt(sq).alias("e"))), 4, "rmse", "mean", "median", "std", "min", "max")
 
 
-@query("""SELECT user_id % 8 AS run, """ + ", ".join(f"round(avg(CASE WHEN event_type='{k}' THEN value END),4) AS avg_{k}" for k in ("view", "click", "error")) + " FROM events GROUP BY 1")
+@query("""SELECT user_id % 8 AS run, """ + ", ".join(f"round(avg(CASE WHEN event_type='{k}' THEN value END),4) AS avg_{k}" for k in PHASES) + " FROM events GROUP BY 1")
 def run_pivot(spark, d):
     """One row for each run with the mean of every phase."""
     e = A.table(spark, d, "events").select((F.col("user_id") % 8).alias("run"), "event_type", "value")
-    p = e.groupBy("run").pivot("event_type", ["view", "click", "error"]).agg(F.round(F.avg("value"), 4))
-    return p.select("run", *[F.col(k).alias(f"avg_{k}") for k in ("view", "click", "error")])
+    p = e.groupBy("run").pivot("event_type", PHASES).agg(F.round(F.avg("value"), 4))
+    return p.select("run", *[F.col(k).alias(f"avg_{k}") for k in PHASES])

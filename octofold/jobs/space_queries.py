@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from octofold.functions import keys as K
 from octofold.jobs import sqltext as S
+from octofold.operators import alloc
 from octofold.operators import geometry as G
 from octofold.operators import images as I
 from octofold.sources import adapters as A
@@ -49,15 +50,32 @@ def aabb_inclusion_join(spark, d):
     return G.pairs(*two_sets(spark, d), G.inside).select(F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id"))
 
 
-@query(f"""WITH {S.POINTS}, {S.BOXES}, blocks AS (SELECT x//8 AS kx, y//8 AS ky, z//8 AS kz, CASE WHEN max(w) >= 6 THEN 2 WHEN max(w) >= 3 THEN 1 ELSE 0 END AS status FROM points GROUP BY 1,2,3),
-n AS (SELECT box_id, CAST(i.i AS INTEGER) AS kx, CAST(j.j AS INTEGER) AS ky, CAST(k.k AS INTEGER) AS kz FROM boxes, range(0,32) i(i), range(0,32) j(j), range(0,32) k(k)
- WHERE i.i BETWEEN bx//8 AND (bx+ex-1)//8 AND j.j BETWEEN by_//8 AND (by_+ey-1)//8 AND k.k BETWEEN bz//8 AND (bz+ez-1)//8),
-s AS (SELECT box_id, max(coalesce(status,1)) AS worst, count(status) AS n_blocks FROM n LEFT JOIN blocks USING (kx,ky,kz) GROUP BY box_id)
-SELECT box_id, CASE worst WHEN 0 THEN 'empty' WHEN 1 THEN 'unseen' ELSE 'occupied' END AS status, n_blocks FROM s""")
+def sql_touch(n: str, e: str, place: str, side: str) -> str:
+    return f"abs({place}+({side})//2-{n}-{e}//2) <= ({e}+{side})//2"
+
+
+_AXES = (("bx", "ex", "x"), ("by_", "ey", "y"), ("bz", "ez", "z"))
+
+
+@query(f"""WITH {S.POINTS}, {S.BOXES}, mp AS (SELECT * FROM points WHERE w <= 4), vx AS (SELECT x, y, z, x-x%8 AS cx, y-y%8 AS cy, z-z%8 AS cz, CASE WHEN max(w) >= 4 THEN 2 WHEN max(w) >= 3 THEN 1 ELSE 0 END AS status FROM mp GROUP BY x, y, z),
+oc AS (SELECT DISTINCT CAST(l.l AS INTEGER) AS level, cx-cx%(256>>CAST(l.l AS INTEGER)) AS x, cy-cy%(256>>CAST(l.l AS INTEGER)) AS y, cz-cz%(256>>CAST(l.l AS INTEGER)) AS z FROM vx, range(0,6) l(l)),
+ch AS (SELECT level+1 AS level, x+(128>>level)*CAST(i.i AS INTEGER) AS x, y+(128>>level)*CAST(j.j AS INTEGER) AS y, z+(128>>level)*CAST(k.k AS INTEGER) AS z FROM oc, range(0,2) i(i), range(0,2) j(j), range(0,2) k(k) WHERE level < 5),
+ms AS (SELECT ch.*, 256>>ch.level AS s FROM ch ANTI JOIN oc ON oc.level=ch.level AND oc.x=ch.x AND oc.y=ch.y AND oc.z=ch.z),
+bl AS (SELECT x, y, z FROM oc WHERE level=5),
+r1 AS (SELECT box_id, 1 AS status FROM boxes JOIN ms ON {' AND '.join(sql_touch(n, e, 'ms.' + c, 'ms.s') for n, e, c in _AXES)}),
+al AS (SELECT box_id, bl.x+CAST(i.i AS INTEGER) AS x, bl.y+CAST(j.j AS INTEGER) AS y, bl.z+CAST(k.k AS INTEGER) AS z FROM boxes JOIN bl ON {' AND '.join(sql_touch(n, e, 'bl.' + c, '8') for n, e, c in _AXES)}, range(0,8) i(i), range(0,8) j(j), range(0,8) k(k)
+ WHERE {' AND '.join(sql_touch(n, e, f'(bl.{c}+CAST({i}.{i} AS INTEGER))', '1') for (n, e, c), i in zip(_AXES, 'ijk'))}),
+r2 AS (SELECT box_id, coalesce(status, 1) AS status FROM al LEFT JOIN vx ON vx.x=al.x AND vx.y=al.y AND vx.z=al.z)
+SELECT b.box_id, CASE coalesce(max(r.status), 0) WHEN 0 THEN 'empty' WHEN 1 THEN 'unseen' ELSE 'occupied' END AS status FROM boxes b LEFT JOIN (SELECT * FROM r1 UNION ALL SELECT * FROM r2) r ON r.box_id=b.box_id GROUP BY b.box_id""")
 def box_octree_collision(spark, d):
-    status = F.when(F.max("w") >= 6, 2).when(F.max("w") >= 3, 1).otherwise(0)
-    blocks = A.points(spark, d).groupBy(K.block_key("x", "y", "z", D).alias("key")).agg(status.alias("status"))
-    return G.collide(A.boxes(spark, d), blocks, D)
+    """Boxes against the voxels, unwritten voxels and missing children of a map of the samples
+    with w <= 4."""
+    status = F.when(F.max("w") >= 4, 2).when(F.max("w") >= 3, 1).otherwise(0)
+    v = A.points(spark, d).where("w <= 4").groupBy("x", "y", "z").agg(status.alias("status"))
+    v = K.held(v, "x", "y", "z", "status", key=K.block_key("x", "y", "z", D))
+    blocks = v.select("key").distinct()
+    slots = alloc.empty_slots(alloc.levels(blocks, D), D).withColumn("status", F.lit(1))
+    return G.collide(A.boxes(spark, d), slots, v, blocks, D)
 
 
 def sql_slab(n):
@@ -68,15 +86,14 @@ def sql_slab(n):
 
 
 _SLABS = [sql_slab(n) for n in "xyz"]
-HITS = f"""WITH {S.POINTS}, {S.RAYS}, b AS (SELECT DISTINCT x - x%8 AS cx, y - y%8 AS cy, z - z%8 AS cz FROM points WHERE w = 7),
+HITS = f"""WITH {S.POINTS}, {S.RAYS}, b AS (SELECT DISTINCT x - x%8 AS cx, y - y%8 AS cy, z - z%8 AS cz FROM points),
 t AS (SELECT ray_id, {S.key('cx', 'cy', 'cz', '5')} AS key, greatest({', '.join(s[0] for s in _SLABS)}, 0e0) AS t_in, least({', '.join(s[1] for s in _SLABS)}) AS t_out FROM rays, b),
 hits AS (SELECT * FROM t WHERE t_in <= t_out AND t_in <= 40e0)"""
 
 
 def hits(spark, d):
-    blocks = A.points(spark, d).where("w = 7").select(K.block_key("x", "y", "z", D).alias("key")).distinct()
-    x, y, z = K.corner("key")
-    return G.ray_blocks(A.rays(spark, d), blocks.select("key", x.alias("x"), y.alias("y"), z.alias("z")), 40.0, D)
+    corner = A.points(spark, d).select(*[(F.col(n) - F.col(n) % 8).alias(n) for n in "xyz"]).distinct()
+    return G.ray_blocks(A.rays(spark, d), K.held(corner, "x", "y", "z", key=K.block_key("x", "y", "z", D)), 40.0, D)
 
 
 @query(f"{HITS} SELECT ray_id, key, round(t_in, 6) AS t_in, round(t_out, 6) AS t_out FROM hits")
@@ -101,7 +118,7 @@ def mm_to_metres(spark, d):
     return I.metres(A.image(spark, d), 2)
 
 
-@query(f"WITH {IMG}, c AS (SELECT u//2 AS u, v//2 AS v, depth AS c FROM img WHERE u%2=0 AND v%2=0) SELECT c.u AS u, c.v AS v, round(avg(i.depth), 6) AS depth FROM c JOIN img i ON i.u//2=c.u AND i.v//2=c.v WHERE abs(i.depth-c.c) <= 0.3e0 GROUP BY c.u, c.v")
+@query(f"WITH {IMG}, c AS (SELECT u//2 AS u, v//2 AS v, depth AS c FROM img WHERE u%2=0 AND v%2=0) SELECT c.u AS u, c.v AS v, round(avg(i.depth), 6) AS depth FROM c JOIN img i ON i.u//2=c.u AND i.v//2=c.v WHERE abs(i.depth-c.c) < 0.3e0 GROUP BY c.u, c.v")
 def half_sample(spark, d):
     return I.half_sample(depth_image(spark, d)).withColumn("depth", F.round("depth", 6))
 
@@ -109,7 +126,7 @@ def half_sample(spark, d):
 @query(f"""WITH {IMG}, h AS (SELECT max(v) AS top FROM img), o AS (SELECT CAST(i.i AS INTEGER) AS i, CAST(j.j AS INTEGER) AS j FROM range(-2,3) i(i), range(-2,3) j(j)),
 s AS (SELECT c.u AS cu, c.v AS cv, c.depth AS c, i*i+j*j AS r2, greatest(0, least(99, c.u+i)) AS u, greatest(0, least(h.top, c.v+j)) AS v FROM img c, o, h WHERE c.depth > 0),
 n AS (SELECT s.*, img.depth, exp(-(r2/32e0)) * exp(-((img.depth-c)*(img.depth-c)/0.02e0)) AS wt FROM s JOIN img ON s.u=img.u AND s.v=img.v WHERE img.depth > 0)
-SELECT cu AS u, cv AS v, round(sum(wt*depth)/sum(wt), 6) AS depth FROM n GROUP BY cu, cv""")
+SELECT cu AS u, cv AS v, round(sum(wt*depth)/sum(wt), 6) AS depth FROM n GROUP BY cu, cv UNION ALL SELECT u, v, 0e0 AS depth FROM img WHERE depth = 0""")
 def bilateral(spark, d):
     image = depth_image(spark, d)
     height = image.agg(F.max("v")).first()[0] + 1

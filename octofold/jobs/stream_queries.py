@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -15,8 +14,7 @@ QUERIES, ORACLE = {}, {}
 
 
 def folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{A.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_rate_windows(spark, d):

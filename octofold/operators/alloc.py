@@ -11,7 +11,7 @@ from octofold.functions import keys as K
 def prefixes(keyed: DataFrame, depth: int, top: int, key: str = "key") -> DataFrame:
     """Each key with all its ancestors from level ``top`` to its own level: columns key, up."""
     levels = F.explode(F.sequence(F.lit(top), K.level_of(key))).alias("l")
-    return keyed.select(F.col(key).alias("key"), levels).select("key", K.ancestor("key", "l", depth).alias("up"))
+    return K.held(keyed.select(F.col(key).alias("key"), levels), "key", up=K.ancestor("key", "l", depth))
 
 
 def filter_ancestors(keyed: DataFrame, depth: int) -> DataFrame:
@@ -25,7 +25,7 @@ def filter_ancestors(keyed: DataFrame, depth: int) -> DataFrame:
 def unique_multiscale(keyed: DataFrame, level: int) -> DataFrame:
     """A3: of keys at ``level`` or finer, one for each code, the deepest."""
     deep = keyed.where(K.level_of("key") >= level)
-    return deep.groupBy(K.code_of("key").alias("code")).agg(F.max("key").alias("key"))
+    return K.held(deep, "key", code=K.code_of("key")).groupBy("code").agg(F.max("key").alias("key"))
 
 
 def levels(keyed: DataFrame, depth: int) -> DataFrame:
@@ -33,7 +33,7 @@ def levels(keyed: DataFrame, depth: int) -> DataFrame:
     the root down to the key's own level, at most block level."""
     low = F.least(K.level_of("key"), F.lit(depth - K.BLOCK_LOG))
     each = keyed.select("key", F.explode(F.sequence(F.lit(1), low)).alias("level"))
-    return each.select(K.ancestor("key", "level", depth).alias("key"), "level").distinct()
+    return K.held(each, "level", up=K.ancestor("key", "level", depth)).select(F.col("up").alias("key"), "level").distinct()
 
 
 def allocate(keyed: DataFrame, present: DataFrame, depth: int) -> DataFrame:
@@ -41,11 +41,21 @@ def allocate(keyed: DataFrame, present: DataFrame, depth: int) -> DataFrame:
     return levels(keyed, depth).join(present.select("key"), "key", "left_anti")
 
 
+def empty_slots(octants: DataFrame, depth: int) -> DataFrame:
+    """The places (key, level) below the root and below interior ``octants`` (key, level) that
+    hold no child."""
+    inner = octants.where(F.col("level") < depth - K.BLOCK_LOG).select("key", "level")
+    root = octants.sparkSession.createDataFrame([(0, 0)], "key long, level int")
+    span = K.power_of_two(3 * (F.lit(depth - 1) - F.col("level")))
+    child = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: (F.col("key") - F.col("level") + i * span).bitwiseOR(F.col("level").cast("long") + 1))
+    every = inner.unionByName(root).select(F.explode(child).alias("key"), (F.col("level") + 1).alias("level"))
+    return every.join(octants.select("key"), "key", "left_anti")
+
+
 def children_mask(octants: DataFrame, depth: int) -> DataFrame:
     """A5: parent key and the bits of its present children."""
-    bit = F.shiftleft(F.lit(1), 0)
     bit = F.call_function("shiftleft", F.lit(1), K.child_id("key", depth))
-    return octants.groupBy(K.parent("key", depth).alias("key")).agg(F.bit_or(bit).cast("int").alias("mask"))
+    return K.held(octants, up=K.parent("key", depth), bit=bit).groupBy(F.col("up").alias("key")).agg(F.bit_or("bit").cast("int").alias("mask"))
 
 
 def counts(octants: DataFrame, depth: int) -> DataFrame:
@@ -57,4 +67,5 @@ def counts(octants: DataFrame, depth: int) -> DataFrame:
 def voxels(points: DataFrame, depth: int) -> DataFrame:
     """Fused samples of a map: block key, slot, coordinates, weighted mean value, weight."""
     fused = points.groupBy("x", "y", "z").agg(F.sum(F.col("val") * F.col("w")).alias("s"), F.sum("w").cast("long").alias("weight"))
-    return fused.select(K.block_key("x", "y", "z", depth).alias("key"), K.slot("x", "y", "z").alias("slot"), "x", "y", "z", (F.col("s") / F.col("weight")).alias("value"), "weight")
+    named = K.held(fused, "x", "y", "z", "s", "weight", key=K.block_key("x", "y", "z", depth), slot=K.slot("x", "y", "z"))
+    return named.select("key", "slot", "x", "y", "z", (F.col("s") / F.col("weight")).alias("value"), "weight")

@@ -18,11 +18,66 @@ class Camera:
     height: int
 
 
+#: The columns of a rigid transform, row by row: rotation, then translation.
+POSE = [f"m{r}{c}" for r in range(3) for c in range(4)]
+
+
+def moved(point: list[Column]) -> list[Column]:
+    """A point under the transform in the columns POSE of its row."""
+    return [F.col(f"m{r}0") * point[0] + F.col(f"m{r}1") * point[1] + F.col(f"m{r}2") * point[2] + F.col(f"m{r}3") for r in range(3)]
+
+
+def inverse(poses: DataFrame) -> DataFrame:
+    """M6: rigid transforms turned round; other columns are kept."""
+    rotation = {f"m{r}{c}": F.col(f"m{c}{r}") for r in range(3) for c in range(3)}
+    shift = {f"m{r}3": -(F.col(f"m0{r}") * F.col("m03") + F.col(f"m1{r}") * F.col("m13") + F.col(f"m2{r}") * F.col("m23")) for r in range(3)}
+    return poses.select(*[c for c in poses.columns if c not in POSE], *[{**rotation, **shift}[c].alias(c) for c in POSE])
+
+
+def seen_by(voxels: DataFrame, poses: DataFrame, camera: Camera, voxel_size: float, cell: int = 16) -> DataFrame:
+    """Voxels with the frames (frame, POSE: camera from world) that may see them. A frame names
+    the coarse cells that reach into the four planes of its view; voxels meet it there."""
+    span = voxels.agg(*[f(F.floor(F.col(n) / cell)).cast("int").alias(f"{k}{n}") for n in "xyz" for k, f in (("lo", F.min), ("hi", F.max))])
+    named = poses.crossJoin(F.broadcast(span.where("lox is not null")))  # one row
+    for n in "xyz":
+        named = named.withColumn(f"c{n}", F.explode(F.sequence(f"lo{n}", f"hi{n}")))
+    centre = moved([(F.col(f"c{n}") + 0.5) * (cell * voxel_size) for n in "xyz"])
+    named = named.select("frame", *POSE, "cx", "cy", "cz", *[c.alias(f"p{n}") for c, n in zip(centre, "xyz")])
+    reach = cell * voxel_size * 3**0.5 / 2 + 2 * voxel_size
+    near = F.col("pz") >= -reach
+    for axis, f, c, size in (("px", camera.fx, camera.cx, camera.width), ("py", camera.fy, camera.cy, camera.height)):
+        for edge in (c, c - size):
+            inward = (F.col(axis) * f + F.col("pz") * edge) * (1 if edge == c else -1) * (1 if f > 0 else -1)
+            near = near & (inward >= -reach * (f * f + edge * edge) ** 0.5)
+    named = named.where(near).drop("px", "py", "pz")
+    placed = voxels.withColumns({f"c{n}": F.floor(F.col(n) / cell).cast("int") for n in "xyz"})
+    return placed.join(named, ["cx", "cy", "cz"]).drop("cx", "cy", "cz")
+
+
+def in_frustum(blocks: DataFrame, camera: Camera, voxel_size: float) -> DataFrame:
+    """Blocks (x, y, z, POSE) whose corner's pixel, cut to whole numbers, lies in the image;
+    as in the original, depth has no sign here."""
+    p = moved([F.col(n) * voxel_size for n in "xyz"])
+    at = blocks.withColumns({"pu": p[0] * camera.fx + p[2] * camera.cx, "pv": p[1] * camera.fy + p[2] * camera.cy, "pz": p[2]})
+    at = at.withColumns({n: F.try_divide(f"p{n}", "pz").cast("int") for n in "uv"})
+    return at.where(F.col("u").between(0, camera.width - 1) & F.col("v").between(0, camera.height - 1)).drop("pu", "pv", "pz")
+
+
+def node_slots(nodes: DataFrame, depth: int) -> DataFrame:
+    """The eight places (child, x, y, z) of interior nodes (key, x, y, z, level)."""
+    half = F.call_function("shiftleft", F.lit(1), (F.lit(depth - 1) - F.col("level")).cast("int"))
+    slots = nodes.select("key", "x", "y", "z", half.alias("half"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("child"))
+    return slots.select("key", "child", *[(F.col(n) + F.shiftright("child", i).bitwiseAND(F.lit(1)) * F.col("half")).cast("int").alias(n) for i, n in enumerate("xyz")])
+
+
 def project(voxels: DataFrame, camera: Camera, voxel_size: float) -> DataFrame:
-    """Voxel corners (x, y, z as INT) in camera space (px, py, pz in metres) with the pixel
-    (u, v) they fall on; P4: in front of the camera and half a pixel inside the image."""
-    at = voxels.withColumns({f"p{n}": F.col(n) * voxel_size for n in "xyz"}).where("pz >= 1e-4")
-    at = at.withColumns({"fu": F.col("px") * camera.fx / F.col("pz") + camera.cx + 0.5, "fv": F.col("py") * camera.fy / F.col("pz") + camera.cy + 0.5})
+    """Voxel corners (x, y, z as INT, with POSE if the camera is not at the origin) in camera space
+    (px, py, pz in metres) with the pixel (u, v) they fall on; P4: in front of the camera and half
+    a pixel inside the image."""
+    place = [F.col(n) * voxel_size for n in "xyz"]
+    place = moved(place) if "m00" in voxels.columns else place
+    at = voxels.withColumns({f"p{n}": c for c, n in zip(place, "xyz")}).where("pz >= 1e-4")
+    at = at.withColumns({f"f{n}": F.try_divide(F.col(f"p{a}") * f, "pz") + c + 0.5 for n, a, f, c in (("u", "x", camera.fx, camera.cx), ("v", "y", camera.fy, camera.cy))})
     seen = at.where(F.col("fu").between(0.5, camera.width - 1.5) & F.col("fv").between(0.5, camera.height - 1.5))
     return seen.withColumns({"u": F.floor("fu").cast("int"), "v": F.floor("fv").cast("int")}).drop("fu", "fv")
 
@@ -97,16 +152,29 @@ def fold_occupancy(observations: DataFrame, by: list[str], time: str) -> DataFra
     return lists.select(*by, F.aggregate("l", start, step).alias("a")).select(*by, "a.x", "a.n")
 
 
-def band_points(image: DataFrame, camera: Camera, voxel_size: float, mu: float) -> DataFrame:
-    """Sample points of a band of 2 mu around each measured point, from its far end towards
-    the camera in steps of a voxel: u, v, step and the voxel x, y, z (inside or outside a map)."""
+def back_projected(image: DataFrame, camera: Camera) -> DataFrame:
+    """The measured point of each pixel centre in camera space (wx, wy, wz) and its distance."""
     z = F.col("depth")
     hit = image.where("depth > 0").withColumns({"wx": (F.col("u") + 0.5 - camera.cx) / camera.fx * z, "wy": (F.col("v") + 0.5 - camera.cy) / camera.fy * z, "wz": z})
-    norm = F.sqrt(F.col("wx") * F.col("wx") + F.col("wy") * F.col("wy") + F.col("wz") * F.col("wz"))
+    return hit.withColumn("norm", F.sqrt(F.col("wx") * F.col("wx") + F.col("wy") * F.col("wy") + F.col("wz") * F.col("wz")))
+
+
+def on_ray(walk: DataFrame, behind: Column, voxel_size: float) -> list[Column]:
+    """The voxel on a pixel's ray so far behind its measured point; with POSE (world from camera)
+    in world space."""
+    place = [F.col(f"w{n}") * (1.0 + behind / F.col("norm")) for n in "xyz"]
+    place = moved(place) if "m00" in walk.columns else place
+    return [F.floor(c / voxel_size).cast("int").alias(n) for c, n in zip(place, "xyz")]
+
+
+def band_points(image: DataFrame, camera: Camera, voxel_size: float, mu: float) -> DataFrame:
+    """Sample points of a band of 2 mu around each measured point, from its far end towards
+    the camera in steps of a voxel: the image's columns, step and the voxel x, y, z (inside or
+    outside a map)."""
     steps = int(-(-2 * mu // voxel_size))
-    walk = hit.withColumn("norm", norm).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    scale = 1.0 + (mu - F.col("step") * (2 * mu / steps)) / F.col("norm")
-    return walk.select("u", "v", "step", *[F.floor(F.col(f"w{n}") * scale / voxel_size).cast("int").alias(n) for n in "xyz"])
+    walk = back_projected(image, camera).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    keep = [c for c in image.columns if c not in POSE and c != "depth"]
+    return walk.select(*keep, "step", *on_ray(walk, mu - F.col("step") * (2 * mu / steps), voxel_size))
 
 
 def step_schedule(voxel_size: float, band: float, depth: int) -> tuple[list[tuple[float, int]], float]:
@@ -125,17 +193,20 @@ def step_schedule(voxel_size: float, band: float, depth: int) -> tuple[list[tupl
 def octant_points(image: DataFrame, camera: Camera, voxel_size: float, band: float, depth: int) -> DataFrame:
     """From half a band behind each measured point towards the camera in growing steps: the
     voxel x, y, z of each step and the level of the octant to allocate there."""
-    z = F.col("depth")
-    hit = image.where("depth > 0").withColumns({"wx": (F.col("u") + 0.5 - camera.cx) / camera.fx * z, "wy": (F.col("v") + 0.5 - camera.cy) / camera.fy * z, "wz": z})
-    hit = hit.withColumn("norm", F.sqrt(F.col("wx") * F.col("wx") + F.col("wy") * F.col("wy") + F.col("wz") * F.col("wz")))
+    hit = back_projected(image, camera)
     fixed, first = step_schedule(voxel_size, band, depth)
     stride = 30 * voxel_size
     near = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(level).alias("level")) for t, level in fixed])
     more = F.greatest(F.lit(-1), F.floor((F.col("norm") + band / 2 - first) / stride).cast("int"))
     far = F.when(more >= 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), more)), lambda k: F.struct((first + k * stride).alias("t"), F.lit(depth - 5).alias("level"))))
     walk = hit.withColumn("s", F.explode(F.concat(near, F.coalesce(far, F.slice(near, 1, 0))))).where(F.col("s.t") < F.col("norm") + band / 2)
-    scale = 1.0 + (band / 2 - F.col("s.t")) / F.col("norm")
-    return walk.select("u", "v", "s.t", "s.level", *[F.floor(F.col(f"w{n}") * scale / voxel_size).cast("int").alias(n) for n in "xyz"])
+    keep = [c for c in image.columns if c not in POSE and c != "depth"]
+    return walk.select(*keep, "s.t", "s.level", *on_ray(walk, band / 2 - F.col("s.t"), voxel_size))
+
+
+def visible_blocks(observed: DataFrame) -> DataFrame:
+    """By block (key) and frame whether any of its voxels was seen: the new active flag."""
+    return observed.groupBy("frame", "key").agg(F.count("*").alias("n_seen"))
 
 
 def in_volume(size: int) -> Column:

@@ -46,19 +46,44 @@ def pairs(left: DataFrame, right: DataFrame, test, cell: int = 16) -> DataFrame:
     return met.where(ok)
 
 
-def collide(boxes: DataFrame, blocks: DataFrame, depth: int) -> DataFrame:
-    """Per box the status of the blocks (key, status 0 empty, 1 unseen, 2 occupied)
-    that it overlaps: occupied over unseen over empty; space without a block is unseen. Boxes
-    name the blocks they touch, so the join is on the key."""
-    side = 8
-    named = boxes
+def touched(box: str, edge: str, side: Column | int) -> tuple[Column, Column]:
+    """P6 solved for the other box: the first and last place, in units of ``side``, at which a box
+    of that side overlaps or touches along an axis."""
+    half = lambda c: F.floor(c / 2).cast("int")
+    side = F.lit(side) if isinstance(side, int) else side
+    middle, reach = F.col(box) + half(F.col(edge)) - half(side), half(F.col(edge) + side)
+    return F.ceil((middle - reach) / side).cast("int"), F.floor((middle + reach) / side).cast("int")
+
+
+def collide(boxes: DataFrame, slots: DataFrame, voxels: DataFrame, blocks: DataFrame, depth: int) -> DataFrame:
+    """Per box the worst status (0 empty, 1 unseen, 2 occupied) of what it overlaps or
+    touches: stored voxels (key, x, y, z, status), voxels of ``blocks`` (key) that were never
+    written (unseen), and places without a child in the tree (``slots``: key, level, status).
+    Boxes name the octants they touch on each level, so all joins are on the key; nothing touched
+    is empty."""
+    names = ["box_id", *[f"{c}{n}" for c in "be" for n in "xyz"]]
+    named = boxes.select(*names, F.explode(F.sequence(F.lit(1), F.lit(depth - K.BLOCK_LOG))).alias("level")).withColumn("side", K.side("level", depth))
+    for n in "xyz":
+        first, last = touched(f"b{n}", f"e{n}", F.col("side"))
+        first, last = F.greatest(F.lit(0), first), F.least((F.lit(1 << depth) / F.col("side") - 1).cast("int"), last)
+        named = named.withColumns({f"f{n}": first, f"l{n}": last}).where(f"f{n} <= l{n}").withColumn(f"k{n}", F.explode(F.sequence(f"f{n}", f"l{n}")))
+    named = K.held(named, *names, "level", key=K.encode(*[F.col(f"k{n}") * F.col("side") for n in "xyz"], F.col("level"), depth))
+    missing = named.join(slots.select("key", "status"), "key").select("box_id", "status")
+    here = named.where(F.col("level") == depth - K.BLOCK_LOG).join(blocks.select("key"), "key", "left_semi")
+    inside, count = F.lit(True), F.lit(1)
+    x, y, z = K.corner("key")
+    here = K.held(here, *[c for c in here.columns if c != "level"], cx=x, cy=y, cz=z)
     for n in "xyz":
-        first, last = F.floor(F.col(f"b{n}") / side).cast("int"), F.floor((F.col(f"b{n}") + F.col(f"e{n}") - 1) / side).cast("int")
-        named = named.withColumn(f"k{n}", F.explode(F.sequence(first, last)))
-    keyed = named.select("box_id", K.block_key(F.col("kx") * side, F.col("ky") * side, F.col("kz") * side, depth).alias("key"))
-    status = keyed.join(blocks.select("key", "status"), "key", "left").groupBy("box_id").agg(F.max(F.coalesce("status", F.lit(1))).alias("worst"), F.count("status").alias("n_blocks"))
-    name = F.element_at(F.array(*map(F.lit, ("empty", "unseen", "occupied"))), F.col("worst") + 1)
-    return status.select("box_id", name.alias("status"), "n_blocks")
+        first, last = touched(f"b{n}", f"e{n}", 1)
+        inside = inside & F.col(n).between(first, last)
+        count = count * (F.least(last, F.col(f"c{n}") + 7) - F.greatest(first, F.col(f"c{n}")) + 1)
+    met = here.withColumn("n", count).join(voxels.select("key", "x", "y", "z", "status"), "key", "left")
+    met = met.groupBy("box_id", "key", "n").agg(F.max(F.when(inside, F.col("status"))).alias("worst"), F.count(F.when(inside, 1)).alias("stored"))
+    unseen = F.when(F.col("stored") < F.col("n"), 1).otherwise(0)
+    leaves = met.select("box_id", F.greatest(F.coalesce("worst", F.lit(0)), unseen).alias("status"))
+    worst = missing.unionByName(leaves).groupBy("box_id").agg(F.max("status").alias("worst"))
+    name = F.element_at(F.array(*map(F.lit, ("empty", "unseen", "occupied"))), F.coalesce("worst", F.lit(0)) + 1)
+    return boxes.select("box_id").join(worst, "box_id", "left").select("box_id", name.alias("status"))
 
 
 def slab(lo: Column, hi: Column, o: Column, d: Column) -> tuple[Column, Column]:

@@ -15,49 +15,79 @@ def metres(image: DataFrame, ratio: int = 1) -> DataFrame:
 
 
 def bilateral(image: DataFrame, width: int, height: int, radius: int = 2, sigma: float = 4.0, gate: float = 0.1) -> DataFrame:
-    """Weights fall with distance and with depth difference; border pixels are repeated and
-    pixels without depth ignored. Each pixel sends its depth to the centres that see it, so the
+    """Weights fall with distance and with depth difference; border pixels are repeated,
+    neighbours without depth ignored, and pixels without depth stay 0. Other columns name the
+    image. Each pixel sends its depth to the centres that see it, so the
     join is on (u, v); a centre counts a clamped neighbour as often as it is clamped to."""
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(i * i + j * j)).alias("r2")) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)])
-    centre = image.where("depth > 0").select(F.col("u").alias("cu"), F.col("v").alias("cv"), F.col("depth").alias("c"), F.explode(offsets).alias("o"))
+    by = [c for c in image.columns if c not in ("u", "v", "depth")]
+    centre = image.where("depth > 0").select(*by, F.col("u").alias("cu"), F.col("v").alias("cv"), F.col("depth").alias("c"), F.explode(offsets).alias("o"))
     clamp = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), c)).cast("int")
-    seen = centre.select("cu", "cv", "c", "o.r2", clamp(F.col("cu") + F.col("o.i"), width).alias("u"), clamp(F.col("cv") + F.col("o.j"), height).alias("v"))
-    near = seen.join(image.where("depth > 0"), ["u", "v"])
+    seen = centre.select(*by, "cu", "cv", "c", "o.r2", clamp(F.col("cu") + F.col("o.i"), width).alias("u"), clamp(F.col("cv") + F.col("o.j"), height).alias("v"))
+    near = seen.join(image.where("depth > 0"), [*by, "u", "v"])
     d = F.col("depth") - F.col("c")
     w = F.exp(-F.col("r2") / (2 * sigma * sigma)) * F.exp(-d * d / (2 * gate * gate))
-    return near.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg((F.sum(w * F.col("depth")) / F.sum(w)).alias("depth"))
+    smooth = near.groupBy(*by, F.col("cu").alias("u"), F.col("cv").alias("v")).agg((F.sum(w * F.col("depth")) / F.sum(w)).alias("depth"))
+    return smooth.unionByName(image.where("depth = 0").select(*by, "u", "v", F.lit(0.0).alias("depth")))
 
 
 def half_sample(image: DataFrame, gate: float = 0.3) -> DataFrame:
-    """2 x 2 blocks; the mean of the values within ``gate`` of the top-left one (0 counts)."""
+    """2 x 2 blocks; the mean of the values nearer than ``gate`` to the top-left one (0
+    counts). Other columns name the image."""
+    by = [c for c in image.columns if c not in ("u", "v", "depth")]
     block = [F.floor(F.col(n) / 2).cast("int").alias(n) for n in "uv"]
-    cells = image.groupBy(*block).agg(F.min_by("depth", F.struct("v", "u")).alias("c"), F.collect_list("depth").alias("all"))
-    near = F.filter("all", lambda x: F.abs(x - F.col("c")) <= gate)
-    return cells.select("u", "v", (F.aggregate(near, F.lit(0.0), lambda a, x: a + x) / F.size(near)).alias("depth"))
+    cells = image.groupBy(*by, *block).agg(F.min_by("depth", F.struct("v", "u")).alias("c"), F.collect_list("depth").alias("all"))
+    near = F.filter("all", lambda x: F.abs(x - F.col("c")) < gate)
+    return cells.select(*by, "u", "v", (F.aggregate(near, F.lit(0.0), lambda a, x: a + x) / F.size(near)).alias("depth"))
 
 
 def vertices(image: DataFrame, fx: float, fy: float, cx: float, cy: float) -> DataFrame:
     """Depth times the pixel corner's ray; NULL without depth."""
     z = F.when(F.col("depth") > 0, F.col("depth"))
-    return image.select("u", "v", (z * (F.col("u") - cx) / fx).alias("x"), (z * (F.col("v") - cy) / fy).alias("y"), z.alias("z"))
+    by = [c for c in image.columns if c not in ("u", "v", "depth")]
+    return image.select(*by, "u", "v", (z * (F.col("u") - cx) / fx).alias("x"), (z * (F.col("v") - cy) / fy).alias("y"), z.alias("z"))
 
 
 def normals(vertex: DataFrame, flip_y: bool = False) -> DataFrame:
     """The cross product of central differences, normalised; NULL when any of the five
-    vertices has no depth. Rows and columns are windows of their own; borders use themselves."""
-    out = vertex
+    vertices has no depth. Rows and columns are windows of their own; borders use themselves.
+    Columns other than u, v, x, y, z name the image."""
+    out, names = vertex, [c for c in vertex.columns if c not in ("u", "v", "x", "y", "z")]
     for axis, by in (("u", "v"), ("v", "u")):
-        w = Window.partitionBy(by).orderBy(axis)
+        w = Window.partitionBy(*names, by).orderBy(axis)
         for n in "xyz":
             edge = F.struct(F.col(n).alias("c"))
             out = out.withColumn(f"{axis}p_{n}", F.coalesce(F.lead(edge).over(w), edge)["c"]).withColumn(f"{axis}m_{n}", F.coalesce(F.lag(edge).over(w), edge)["c"])
     du = [F.col(f"up_{n}") - F.col(f"um_{n}") for n in "xyz"]
     dv = [(F.col(f"vp_{n}") - F.col(f"vm_{n}")) * (-1 if flip_y else 1) for n in "xyz"]
     cross = [du[1] * dv[2] - du[2] * dv[1], du[2] * dv[0] - du[0] * dv[2], du[0] * dv[1] - du[1] * dv[0]]
-    out = out.select("u", "v", "x", "y", "z", *[c.alias(f"k{n}") for c, n in zip(cross, "xyz")])
+    out = out.select(*names, "u", "v", "x", "y", "z", *[c.alias(f"k{n}") for c, n in zip(cross, "xyz")])
     norm = F.sqrt(reduce(Column.__add__, [F.col(f"k{n}") * F.col(f"k{n}") for n in "xyz"]))
     valid = F.col("z").isNotNull() & (norm > 0)
-    return out.select("u", "v", *[F.when(valid, F.col(f"k{n}") / norm).alias(f"n{n}") for n in "xyz"])
+    return out.select(*names, "u", "v", *[F.when(valid, F.col(f"k{n}") / norm).alias(f"n{n}") for n in "xyz"])
+
+
+def pyramid(image: DataFrame, levels: int, fx: float, fy: float, cx: float, cy: float) -> DataFrame:
+    """Levels of halved images with vertices and normals; the camera is halved with them."""
+    out = None
+    for level in range(levels):
+        if level:
+            image = half_sample(image)
+        k = 2.0**level
+        by = [c for c in image.columns if c != "depth"]
+        v = vertices(image, fx / k, fy / k, cx / k, cy / k)
+        rows = v.join(normals(v), by).select(F.lit(level).alias("level"), *by, "x", "y", "z", "nx", "ny", "nz")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def shade(normal: list[Column], place: list[Column], light: tuple[float, float, float], ambient: float = 0.1) -> Column:
+    """Grey of a surface point by the angle to the direction from the light; 0 to 255."""
+    d = [p - at for p, at in zip(place, light)]
+    size = lambda c: F.sqrt(c[0] * c[0] + c[1] * c[1] + c[2] * c[2])
+    dot = F.try_divide(normal[0] * d[0] + normal[1] * d[1] + normal[2] * d[2], size(normal) * size(d))
+    grey = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.greatest(dot, F.lit(0.0)) + ambient))
+    return F.coalesce(F.floor(grey * 255.0).cast("int"), F.lit(0))
 
 
 def depth_colour(depth: Column, near: float, far: float) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from octofold.operators import geometry
+
 #: Corners of a cell in the order of the surface construction; fixed values.
 CORNERS = ((0, 0, 0), (1, 0, 0), (1, 0, 1), (0, 0, 1), (0, 1, 0), (1, 1, 0), (1, 1, 1), (0, 1, 1))
 #: The twelve edges as pairs of corners; fixed values.
@@ -21,29 +26,64 @@ def corner_values(bases: DataFrame, voxels: DataFrame, empty: float) -> DataFram
     return got.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("value", F.lit(empty)).alias("value")))), lambda s: s["value"]).alias("corners"))
 
 
-def trilinear(points: DataFrame, voxels: DataFrame, empty: float) -> DataFrame:
-    """Values at points (id, px, py, pz in voxels), x fastest, base clamped at 0."""
-    base = points.select("id", *[F.greatest(F.lit(0), F.floor(f"p{n}")).cast("int").alias(n) for n in "xyz"], *[(F.col(f"p{n}") - F.floor(f"p{n}")).alias(f"f{n}") for n in "xyz"])
-    got = corner_values(base, voxels, empty).join(base, "id")
+def blended(corners: Column) -> Column:
+    """The trilinear mean of a cell's corners at fx, fy, fz, x fastest."""
     out = F.lit(0.0)
     for i, o in enumerate(CORNERS):
         w = F.lit(1.0)
         for c, n in zip(o, "xyz"):
             w = w * (F.col(f"f{n}") if c else 1.0 - F.col(f"f{n}"))
-        out = out + w * F.col("corners")[i]
-    return got.select("id", out.alias("value"))
+        out = out + w * corners[i]
+    return out
 
 
-def gradient(bases: DataFrame, voxels: DataFrame, empty: float, size: int, dim: float) -> DataFrame:
-    """N6 at voxel corners: central differences with indices clamped to the map, scaled by
-    half the voxel's edge."""
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(s).alias("s")) for a in range(3) for s in (-1, 1)])
-    wide = bases.select("id", "x", "y", "z", F.explode(steps).alias("o")).select("id", "o.a", "o.s", "x", "y", "z")
-    for k, n in enumerate("xyz"):
-        wide = wide.withColumn(n, F.when(F.col("a") == k, F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col(n) + F.col("s")))).otherwise(F.col(n)).cast("int"))
-    got = wide.join(voxels.select("x", "y", "z", "value"), ["x", "y", "z"], "left")
-    term = F.col("s") * F.coalesce("value", F.lit(empty)) * (0.5 * dim / size)
-    return got.groupBy("id").agg(*[F.sum(F.when(F.col("a") == k, term).otherwise(0.0)).alias(f"g{n}") for k, n in enumerate("xyz")])
+def bases_of(points: DataFrame, *keep: str) -> DataFrame:
+    """The cell x, y, z of points (px, py, pz in voxels; clamped at 0) and the place fx, fy, fz in it."""
+    return points.select(*keep, *[F.greatest(F.lit(0), F.floor(f"p{n}")).cast("int").alias(n) for n in "xyz"], *[(F.col(f"p{n}") - F.floor(f"p{n}")).alias(f"f{n}") for n in "xyz"])
+
+
+def trilinear(points: DataFrame, voxels: DataFrame, empty: float) -> DataFrame:
+    """Values at points (id, px, py, pz in voxels)."""
+    base = bases_of(points, "id")
+    return corner_values(base, voxels, empty).join(base, "id").select("id", blended(F.col("corners")).alias("value"))
+
+
+def known_cells(voxels: DataFrame) -> DataFrame:
+    """x, y, z and corners of the cells whose eight voxels are all stored: gathered once, so that
+    many points meet one row each."""
+    own = voxels.select(F.struct("x", "y", "z").alias("id"), "x", "y", "z")
+    whole = corner_values(own, voxels, float("nan")).where(~F.exists("corners", F.isnan))
+    return whole.select("id.x", "id.y", "id.z", "corners")
+
+
+#: The 32 voxels around a cell that a gradient reads: at most one axis leaves {0, 1}.
+STENCIL = [o for o in itertools.product((-1, 0, 1, 2), repeat=3) if sum(c in (-1, 2) for c in o) <= 1]
+
+
+def gradient(points: DataFrame, voxels: DataFrame, empty: float, size: int, dim: float) -> DataFrame:
+    """At points (id, px, py, pz in voxels) central differences, weighted trilinearly over
+    STENCIL, with indices clamped to the map; scaled by half a voxel's edge, as in the original."""
+    base = bases_of(points, "id")
+    steps = F.array(*[F.struct(*[F.lit(c).alias(f"d{n}") for c, n in zip(o, "xyz")]) for o in STENCIL])
+    wide = base.select("id", *"xyz", *[f"f{n}" for n in "xyz"], F.inline(steps))
+    clamp = lambda n: F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col(n) + F.col(f"d{n}"))).cast("int")
+    got = wide.select("id", *[c for n in "xyz" for c in (f"f{n}", f"d{n}")], *[clamp(n).alias(n) for n in "xyz"]).join(voxels.select("x", "y", "z", "value"), ["x", "y", "z"], "left")
+
+    def linear(n: str) -> Column:
+        return F.when(F.col(f"d{n}") == 0, 1.0 - F.col(f"f{n}")).when(F.col(f"d{n}") == 1, F.col(f"f{n}")).otherwise(0.0)
+
+    def across(n: str) -> Column:
+        f, d = F.col(f"f{n}"), F.col(f"d{n}")
+        return F.when(d == -1, f - 1.0).when(d == 0, -f).when(d == 1, 1.0 - f).otherwise(f)
+
+    value = F.coalesce("value", F.lit(empty))
+    sums = []
+    for n in "xyz":
+        w = across(n)
+        for other in "xyz".replace(n, ""):
+            w = w * linear(other)
+        sums.append((F.sum(w * value) * (0.5 * dim / size)).alias(f"g{n}"))
+    return got.groupBy("id").agg(*sums)
 
 
 def case_index(cells: DataFrame, inside) -> DataFrame:
@@ -69,3 +109,103 @@ def crossings(cells: DataFrame) -> DataFrame:
 
 def inside_negative(v: Column) -> Column:
     return v < 0
+
+
+@cache
+def case_triangles(case: int) -> list[tuple[int, int, int]]:
+    """Triangles (triples of edges) of a case, by rule: on each face of the cell, edges with
+    a sign change are joined around single inside corners, which gives closed loops; each loop is
+    turned to face outward and cut into a fan. Neighbours agree, as a face decides alone."""
+    inside = [bool(case >> i & 1) for i in range(8)]
+    at = {frozenset(e): k for k, e in enumerate(EDGES)}
+    beside: dict[int, list[int]] = {}
+    for axis in range(3):
+        for side in (0, 1):
+            a, b = (k for k in range(3) if k != axis)
+            ring = sorted((i for i in range(8) if CORNERS[i][axis] == side), key=lambda i: (CORNERS[i][a], CORNERS[i][b] if CORNERS[i][a] == 0 else 1 - CORNERS[i][b]))
+            cut = [at[frozenset((ring[k], ring[(k + 1) % 4]))] if inside[ring[k]] != inside[ring[(k + 1) % 4]] else None for k in range(4)]
+            used = [e for e in cut if e is not None]
+            pairs = [used] if len(used) == 2 else [[cut[k - 1], cut[k]] for k in range(4) if inside[ring[k]]] if used else []
+            for x, y in pairs:
+                beside.setdefault(x, []).append(y)
+                beside.setdefault(y, []).append(x)
+    out, left = [], set(beside)
+    while left:
+        loop = [min(left)]
+        before = None
+        while True:
+            step = next((e for e in beside[loop[-1]] if e != before and (e not in loop or e == loop[0] and len(loop) > 2)), None)
+            before = loop[-1]
+            if step is None or step == loop[0]:
+                break
+            loop.append(step)
+        left -= set(loop)
+        middle = [[(CORNERS[EDGES[e][0]][k] + CORNERS[EDGES[e][1]][k]) / 2 for k in range(3)] for e in loop]
+        normal, outward = [0.0] * 3, [0.0] * 3
+        for p, q in zip(middle, middle[1:] + middle[:1]):
+            for k in range(3):
+                i, j = (k + 1) % 3, (k + 2) % 3
+                normal[k] += p[i] * q[j] - p[j] * q[i]
+        for e in loop:
+            a, b = EDGES[e] if inside[EDGES[e][0]] else EDGES[e][::-1]
+            outward = [o + CORNERS[b][k] - CORNERS[a][k] for k, o in enumerate(outward)]
+        if sum(n * o for n, o in zip(normal, outward)) < 0:
+            loop = loop[:1] + loop[:0:-1]
+        out += [(loop[0], loop[k], loop[k + 1]) for k in range(1, len(loop) - 1)]
+    return out
+
+
+def triangles(cells: DataFrame, size: int) -> DataFrame:
+    """Id, tri and the corner points v0, v1, v2 of the surface triangles of cells
+    (id, x, y, z, corners, case), in voxels; triangles with a coordinate of 0 or less, or past the
+    map, go. The table of cases has a row a triangle and is broadcast."""
+    rows = [(case, k, *t) for case in range(1, 255) for k, t in enumerate(case_triangles(case))]
+    known = F.broadcast(cells.sparkSession.createDataFrame(rows, "`case` int, tri int, e0 int, e1 int, e2 int"))
+    points = F.map_from_entries(F.collect_list(F.struct("edge", F.struct(*[F.col(f"v{n}").alias(n) for n in "xyz"]))))
+    found = crossings(cells).groupBy("id").agg(points.alias("at"))
+    met = cells.select("id", "case").join(known, "case").join(found, "id")
+    out = met.select("id", "tri", *[F.element_at("at", F.col(f"e{k}")).alias(f"v{k}") for k in range(3)])
+    for k in range(3):
+        for n in "xyz":
+            out = out.where((F.col(f"v{k}")[n] > 0) & (F.col(f"v{k}")[n] <= size))
+    return out
+
+
+def raycast(rays: DataFrame, blocks: DataFrame, voxels: DataFrame, far: float, step: float, depth: int, rising: bool) -> DataFrame:
+    """The first crossing of zero along each ray (ray_id, ox..oz, dx..dz of length 1, in
+    voxels): downward for distances, upward for occupancies. Samples a ``step`` apart inside the
+    blocks (key, x, y, z) that the ray pierces are interpolated where all eight voxels are known;
+    the place is interpolated between the two samples; a ray that starts behind a surface misses. A ray's samples are bounded by its length."""
+    hits = geometry.ray_blocks(rays, blocks, far, depth)
+    first, last = F.ceil(F.col("t_in") / step - 1e-9).cast("int"), F.floor(F.least(F.col("t_out"), F.lit(far)) / step + 1e-9).cast("int")
+    spans = hits.select("ray_id", first.alias("a"), last.alias("b")).where("a <= b")
+    samples = spans.select("ray_id", F.explode(F.sequence("a", "b")).alias("k")).distinct().join(rays, "ray_id")
+    places = {f"p{n}": F.col(f"o{n}") + F.col("k") * step * F.col(f"d{n}") for n in "xyz"}
+    samples = samples.select("ray_id", "k", *[c.alias(n) for n, c in places.items()]).where("px >= 0 and py >= 0 and pz >= 0")
+    values = bases_of(samples, "ray_id", "k").join(known_cells(voxels), ["x", "y", "z"]).select("ray_id", "k", blended(F.col("corners")).alias("value"))
+    w = Window.partitionBy("ray_id").orderBy("k")
+    pairs = values.withColumns({"k0": F.lag("k").over(w), "v0": F.lag("value").over(w)}).where("k0 = k - 1")
+    crossed = pairs.where("v0 <= 0 and value > 0" if rising else "v0 > 0 and value <= 0")
+    t = (F.col("k0") + F.col("v0") / (F.col("v0") - F.col("value"))) * step
+    started = values.groupBy("ray_id").agg(F.min_by("value", "k").alias("v")).where("v <= 0" if rising else "v > 0").select("ray_id")
+    found = crossed.groupBy("ray_id").agg(F.min_by(t, "k").alias("t")).join(started, "ray_id", "left_semi")
+    return found.join(rays, "ray_id").select("ray_id", "t", *[(F.col(f"o{n}") + F.col("t") * F.col(f"d{n}")).alias(n) for n in "xyz"])
+
+
+def with_normals(hits: DataFrame, voxels: DataFrame, empty: float, size: int, dim: float, inward: bool) -> DataFrame:
+    """Surface normals of hits (ray_id, t, x, y, z); NULL where the field is flat."""
+    g = gradient(hits.select(F.col("ray_id").alias("id"), *[F.col(n).alias(f"p{n}") for n in "xyz"]), voxels, empty, size, dim)
+    norm = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + F.col("gz") * F.col("gz")) * (-1.0 if inward else 1.0)
+    return hits.join(g.select(F.col("id").alias("ray_id"), *[F.when(norm != 0, F.col(f"g{n}") / norm).alias(f"n{n}") for n in "xyz"]), "ray_id")
+
+
+def pixel_rays(poses: DataFrame, camera) -> DataFrame:
+    """The rays of all pixels of posed images (frame, POSE: world from camera): ray_id, frame,
+    u, v, origin and direction of length 1, in metres."""
+    pixels = poses.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(camera.width - 1)))).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(camera.height - 1))))
+    x, y = (F.col("u") - camera.cx) / camera.fx, (F.col("v") - camera.cy) / camera.fy
+    d = [F.col(f"m{r}0") * x + F.col(f"m{r}1") * y + F.col(f"m{r}2") for r in range(3)]
+    pixels = pixels.withColumns({f"e{n}": c for n, c in zip("xyz", d)})
+    norm = F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey") + F.col("ez") * F.col("ez"))
+    ray = (F.col("frame").cast("long") * camera.height + F.col("v")) * camera.width + F.col("u")
+    return pixels.select(ray.alias("ray_id"), "frame", "u", "v", *[F.col(f"m{r}3").alias(f"o{n}") for r, n in enumerate("xyz")], *[(F.col(f"e{n}") / norm).alias(f"d{n}") for n in "xyz"])

@@ -2,29 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from octofold.operators import fusion
+
+#: Shortest step, largest error and smallest share of pixels of a tracked pose.
+LEAST, MOST_ERROR, LEAST_SHARE = 1e-5, 0.02, 0.15
+
 
-def associate(live: DataFrame, model: DataFrame, far: float = 0.1, least_dot: float = 0.8) -> DataFrame:
-    """Live vertices and normals (u, v, x, y, z, nx, ny, nz, ru, rv: the model pixel they
-    project to, NULL off the image) against the model's; result 1 or the reason for rejection,
-    the error and its six derivatives."""
-    m = model.select(F.col("u").alias("ru"), F.col("v").alias("rv"), *[F.col(n).alias(f"m{n}") for n in ("x", "y", "z", "nx", "ny", "nz")])
-    both = live.join(m, ["ru", "rv"], "left")
-    d = [F.col(f"m{n}") - F.col(n) for n in "xyz"]
-    n = [F.col(f"mn{k}") for k in "xyz"]
-    p = [F.col(k) for k in "xyz"]
+def associate(live: DataFrame, model: DataFrame, camera: fusion.Camera, far: float = 0.1, least_dot: float = 0.8, by: tuple[str, ...] = ()) -> DataFrame:
+    """Live vertices and normals (u, v, x, y, z, nx, ny, nz), moved by the transform in
+    their columns POSE into the model's space and projected with its camera, against the model's
+    vertices and normals at that pixel: result 1 or the reason for rejection, the error and its
+    six derivatives. ``by``: columns that name the pair of images."""
+    place = fusion.moved([F.col(n) for n in "xyz"])
+    normal = [F.col(f"m{r}0") * F.col("nx") + F.col(f"m{r}1") * F.col("ny") + F.col(f"m{r}2") * F.col("nz") for r in range(3)]
+    at = live.select(*by, "u", "v", *[c.alias(f"p{n}") for c, n in zip(place, "xyz")], *[c.alias(f"q{n}") for c, n in zip(normal, "xyz")])
+    at = at.withColumns({"fu": F.try_divide("px", "pz") * camera.fx + camera.cx + 0.5, "fv": F.try_divide("py", "pz") * camera.fy + camera.cy + 0.5})
+    seen = F.col("fu").between(0, camera.width - 1) & F.col("fv").between(0, camera.height - 1)
+    at = at.withColumns({f"r{n}": F.when(seen, F.floor(f"f{n}").cast("int")) for n in "uv"})
+    m = model.select(*by, F.col("u").alias("ru"), F.col("v").alias("rv"), *[F.col(n).alias(f"m{n}") for n in ("x", "y", "z", "nx", "ny", "nz")])
+    both = at.join(m, [*by, "ru", "rv"], "left")
+    p, n = [F.col(f"p{k}") for k in "xyz"], [F.col(f"mn{k}") for k in "xyz"]
+    d = [F.col(f"m{k}") - c for k, c in zip("xyz", p)]
     gap = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
-    dot = F.col("nx") * n[0] + F.col("ny") * n[1] + F.col("nz") * n[2]
-    result = F.when(F.col("nx").isNull(), -1).when(F.col("ru").isNull(), -2).when(F.col("mnx").isNull(), -3).when(gap > far, -4).when(dot < least_dot, -5).otherwise(1)
+    dot = F.col("qx") * n[0] + F.col("qy") * n[1] + F.col("qz") * n[2]
+    result = F.when(F.col("qx").isNull(), -1).when(F.col("ru").isNull(), -2).when(F.col("mnx").isNull(), -3).when(gap > far, -4).when(dot < least_dot, -5).otherwise(1)
     cross = [p[1] * n[2] - p[2] * n[1], p[2] * n[0] - p[0] * n[2], p[0] * n[1] - p[1] * n[0]]
     j = {f"j{i}": c for i, c in enumerate([*n, *cross])}
-    return both.select("u", "v", result.alias("result"), (n[0] * d[0] + n[1] * d[1] + n[2] * d[2]).alias("e"), *[c.alias(k) for k, c in j.items()])
+    return both.select(*by, "u", "v", result.alias("result"), (n[0] * d[0] + n[1] * d[1] + n[2] * d[2]).alias("e"), *[c.alias(k) for k, c in j.items()])
 
 
-def reduce_sums(track: DataFrame) -> DataFrame:
+def reduce_sums(track: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """A1: squared error, J'e (6), upper triangle of J'J (21), counts; one pass, partial sums."""
     ok = F.col("result") == 1
     s = lambda c: F.coalesce(F.sum(F.when(ok, c)), F.lit(0.0))
@@ -33,7 +47,47 @@ def reduce_sums(track: DataFrame) -> DataFrame:
     sums += [s(F.col("e") * F.col(f"j{i}")).alias(f"b{i}") for i in range(6)]
     sums += [s(F.col(f"j{i}") * F.col(f"j{k}")).alias(f"a{i}{k}") for i in range(6) for k in range(i, 6)]
     sums += [count(ok).alias("n"), count(F.col("result") == -4).alias("n4"), count(F.col("result") == -5).alias("n5"), count((F.col("result") > -4) & ~ok).alias("n_other")]
-    return track.agg(*sums)
+    return track.groupBy(*by).agg(*sums)
+
+
+def corrected(sums: DataFrame, poses: DataFrame, by: str) -> DataFrame:
+    """M6, M7: each image's pose (by, POSE) after the step that its sums give, and the step's
+    length; a small solve for each row, in tasks."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            out = []
+            for row in rows.to_dict("records"):
+                x = solve(row)
+                pose = np.eye(4)
+                pose[:3] = np.array([row[c] for c in fusion.POSE], float).reshape(3, 4)
+                out.append([row[by], *(exponential(x) @ pose)[:3].ravel(), float(np.linalg.norm(x))])
+            yield pd.DataFrame(out, columns=[by, *fusion.POSE, "length"])
+
+    return poses.join(sums, by).mapInPandas(run, f"{by} int, {', '.join(f'{c} double' for c in fusion.POSE)}, length double")
+
+
+def coarse_to_fine(live: list[DataFrame], model: list[DataFrame], cameras: list[fusion.Camera], poses: DataFrame, rounds: list[int], by: str, checkpoint, **gates: float) -> DataFrame:
+    """T4: aligns all pairs of images at once; lists go from fine to coarse. Each round is one
+    join and one aggregate; a pair whose step got shorter than LEAST keeps its pose on that level.
+    Returns by, POSE and the last sums' P12 verdict (tracked)."""
+    sums = None
+    for level in reversed(range(len(live))):
+        open_ = poses.withColumn("length", F.lit(1.0))
+        for _ in range(rounds[level]):
+            placed = live[level].join(poses, by)
+            sums = reduce_sums(associate(placed, model[level], cameras[level], by=(by,), **gates), (by,))
+            fresh = corrected(sums, poses, by)
+            still = open_.select(by, F.col("length").alias("before"))
+            turn = fresh.join(still, by)
+            kept = poses.select(by, *[F.col(c).alias(f"old_{c}") for c in fusion.POSE])
+            choose = [F.when(F.col("before") >= LEAST, F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in fusion.POSE]
+            length = F.when(F.col("before") >= LEAST, F.col("length")).otherwise(0.0).alias("length")
+            open_ = checkpoint(turn.join(kept, by).select(by, *choose, length))
+            poses = open_.select(by, *fusion.POSE)
+    pixels = cameras[0].width * cameras[0].height
+    good = (F.col("n") > 0) & (F.sqrt(F.try_divide("ee", "n")) <= MOST_ERROR) & (F.col("n") >= LEAST_SHARE * pixels)
+    return poses.join(sums.select(by, "n", "ee"), by, "left").select(by, *fusion.POSE, F.coalesce(good, F.lit(False)).alias("tracked"))
 
 
 def solve(row) -> np.ndarray:
