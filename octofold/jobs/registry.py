@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from octofold.jobs import fusion_queries, map_queries, series_queries, space_queries, stream_queries
+from octofold.jobs import file_queries, fusion_queries, map_queries, series_queries, space_queries, stream_queries
 
-MODULES = [map_queries, space_queries, series_queries, fusion_queries, stream_queries]
+MODULES = [map_queries, space_queries, series_queries, fusion_queries, stream_queries, file_queries]
 
 
 def queries() -> dict:

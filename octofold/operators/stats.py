@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from octofold.sources.adapters import checkpointed
+
 
 def summary(samples: DataFrame) -> DataFrame:
     """By key; std_ref divides by the longest series plus one, as the original report."""
@@ -18,12 +22,48 @@ def last(samples: DataFrame) -> DataFrame:
     return samples.groupBy("key").agg(F.max_by("value", "seq").alias("last"))
 
 
+#: Rows of a table that may be broadcast, after they were counted; ranges of an ordered table, and
+#: rows of a range; share of a series around a rank that is sorted.
+SMALL, RANGES, RANGE_ROWS, CLOSE = 100_000, 1_000, 100_000, 10_000
+#: Stamps that one task associates.
+RUN_ROWS = 50_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has few rows."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def at_ranks(samples: DataFrame, **ranks) -> DataFrame:
+    """key and, for each name, the value of that rank (a function of n, from 0) in its sorted
+    series. Approximate quantiles, whose error is bounded, enclose the rank; values below are
+    counted and only those between are sorted, so that no task sorts a whole series."""
+    n = F.col("n")
+    out = None
+    for name, rank in ranks.items():
+        counts = samples.groupBy("key").agg(F.count("*").alias("n"), F.percentile_approx("value", F.array(*[F.lit(q / CLOSE) for q in range(0, CLOSE + 1, CLOSE // 200)]), CLOSE).alias("q"))
+        share = rank(n) / F.greatest(n - 1, F.lit(1)) * 200
+        low, high = F.greatest(F.lit(0), F.floor(share - 0.1)).cast("int"), F.least(F.lit(200), F.ceil(share + 0.1)).cast("int")
+        bounds = counts.select("key", rank(n).cast("long").alias("rank"), F.get("q", low).alias("lo"), F.get("q", high).alias("hi"))
+        near = samples.select("key", "value").join(small(bounds), "key")
+        below = near.groupBy("key").agg(F.count(F.when(F.col("value") < F.col("lo"), 1)).alias("below"))
+        place = F.row_number().over(Window.partitionBy("key").orderBy("value")) - 1
+        between = near.where("value between lo and hi").withColumn("place", place).join(small(below), "key")
+        found = between.where("place + below = rank").select("key", F.col("value").alias(name))
+        out = found if out is None else out.join(found, "key")
+    return out
+
+
 def percentile(samples: DataFrame, q: float) -> DataFrame:
     """The element at int((n - 1) q) of each sorted series."""
-    n = samples.groupBy("key").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("value"))
-    ranked = samples.select("key", "value", rank.alias("rank")).join(F.broadcast(n), "key")
-    return ranked.where(F.col("rank") == F.floor((F.col("n") - 1) * q) + 1).select("key", "value")
+    return at_ranks(samples, value=lambda n: F.floor((n - 1) * q))
+
+
+def median(values: DataFrame, column: str) -> DataFrame:
+    """One row with the exact median, as md; NULLs don't count."""
+    series = values.where(F.col(column).isNotNull()).select(F.lit(0).alias("key"), F.col(column).alias("value"))
+    two = at_ranks(series, low=lambda n: F.floor((n - 1) / 2), high=lambda n: F.ceil((n - 1) / 2))
+    return two.agg(F.avg((F.col("low") + F.col("high")) / 2).alias("md"))
 
 
 def buckets(stamp: Column, width: float) -> Column:
@@ -45,35 +85,71 @@ def nearest(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
     return within(a, b, width).groupBy("a_stamp").agg(near).select("a_stamp", F.col("m.b_stamp").alias("b_stamp"))
 
 
-def one_to_one(a: DataFrame, b: DataFrame, width: float, checkpoint) -> DataFrame:
-    """Greedy one-to-one association by (diff, a, b): in each round the pairs that are best
-    for both sides are taken and their sides removed; equal to taking pairs one by one. Rounds
-    are few; each one's candidates are cut from their lineage by ``checkpoint``."""
-    open_ = checkpoint(within(a.select("stamp"), b.select("stamp"), width))
+def one_to_one(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
+    """Greedy one-to-one association by (diff, a, b). Stamps that are ``width`` or more apart
+    from the next never compete, so the order of all stamps falls into runs; a run of at most
+    RUN_ROWS is resolved in one task, longer ones by rounds."""
+    both = a.select("stamp", F.lit(0).alias("side")).union(b.select("stamp", F.lit(1).alias("side")))
+    steps = in_order(both.withColumn("pos", F.struct("stamp", "side")), "pos")
+    cut = steps.withColumn("cut", F.coalesce((F.col("stamp") - F.col("p_stamp") >= width).cast("long"), F.lit(1)))
+    runs = running(cut.select("stamp", "side", "pos", "cut"), "pos", "cut", "run").select("run", "stamp", "side")
+    runs = checkpointed(runs)
+    sizes = runs.groupBy("run").agg(F.min("side").alias("lo"), F.max("side").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+
+    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = (np.sort(rows.stamp[rows.side == k].to_numpy()) for k in (0, 1))
+        lo, hi = np.searchsorted(right, left - width, "left"), np.searchsorted(right, left + width, "right")
+        heap = [(abs(left[i] - right[j]), left[i], right[j], i, j) for i in range(len(left)) for j in range(lo[i], hi[i]) if abs(left[i] - right[j]) < width]
+        used_left, used_right, out = set(), set(), []
+        for d, x, y, i, j in sorted(heap):
+            if i not in used_left and j not in used_right:
+                used_left.add(i)
+                used_right.add(j)
+                out.append((x, y, d))
+        return pd.DataFrame(out, columns=["a_stamp", "b_stamp", "diff"])
+
+    short = runs.join(sizes.where(F.col("n") <= RUN_ROWS), "run", "left_semi")
+    out = short.groupBy("run").applyInPandas(greedy, "a_stamp double, b_stamp double, diff double")
+    dense = runs.join(sizes.where(F.col("n") > RUN_ROWS), "run", "left_semi").drop("run")
+    return out if dense.isEmpty() else out.unionByName(by_rounds(dense, width))
+
+
+def by_rounds(rows: DataFrame, width: float) -> DataFrame:
+    """The same for stamps (stamp, side) without gaps: in each round the pairs that are best for
+    both sides are taken and their sides removed, which equals taking pairs one by one."""
+    open_ = checkpointed(within(rows.where("side = 0").select("stamp"), rows.where("side = 1").select("stamp"), width))
     taken = None
-    while True:
+    while not open_.isEmpty():
         order = F.struct("diff", "a_stamp", "b_stamp")
         best_a = open_.groupBy("a_stamp").agg(F.min(order).alias("m")).select("m.*")
         best_b = open_.groupBy("b_stamp").agg(F.min(order).alias("m")).select("m.*")
-        new = checkpoint(best_a.join(best_b, ["diff", "a_stamp", "b_stamp"]))
+        new = checkpointed(best_a.join(best_b, ["diff", "a_stamp", "b_stamp"]))
         taken = new if taken is None else taken.union(new)
-        open_ = checkpoint(open_.join(new.select("a_stamp"), "a_stamp", "left_anti").join(new.select("b_stamp"), "b_stamp", "left_anti"))
-        if open_.isEmpty():
-            return taken.select("a_stamp", "b_stamp", "diff")
+        open_ = checkpointed(open_.join(new.select("a_stamp"), "a_stamp", "left_anti").join(new.select("b_stamp"), "b_stamp", "left_anti"))
+    return taken.select("a_stamp", "b_stamp", "diff")
 
 
 def error_stats(errors: DataFrame, e: str = "e") -> DataFrame:
     """A12."""
+    errors = checkpointed(errors.select(e))
     c = F.col(e)
-    return errors.agg(F.count(c).alias("n"), F.sqrt(F.avg(c * c)).alias("rmse"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    whole = errors.agg(F.count(c).alias("n"), F.sqrt(F.avg(c * c)).alias("rmse"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    return whole.crossJoin(F.broadcast(median(errors, e))).select("n", "rmse", "mean", F.col("md").alias("median"), "std", "min", "max")  # one row each
+
 
+def ranged(rows: DataFrame, stamp: str) -> DataFrame:
+    """The rows with k, the number of their range of stamps: ranges hold about equal numbers of
+    rows and are RANGES at most, so one row for each is few. Stored, as sampling sets the bounds."""
+    parts = max(1, min(RANGES, rows.count() // RANGE_ROWS + 1))
+    return checkpointed(rows.repartitionByRange(parts, stamp).withColumn("k", F.spark_partition_id()))
 
-def in_order(rows: DataFrame, stamp: str, width: float) -> DataFrame:
-    """The row before each row in the order of stamps, without one global window: time buckets
-    are windows of their own, and each bucket's first row takes the last of the bucket before
+
+def in_order(rows: DataFrame, stamp: str) -> DataFrame:
+    """The row before each row in the order of stamps, without one global window: ranges are
+    windows of their own, and each range's first row takes the last of the range before
     (``p_*`` columns; NULL for the first of all)."""
     names = rows.columns
-    bucket = rows.withColumn("k", buckets(F.col(stamp), width))
+    bucket = ranged(rows, stamp)
     row = F.struct(*names)
     w = Window.partitionBy("k").orderBy(stamp)
     ends = bucket.groupBy("k").agg(F.max_by(row, stamp).alias("end"))
@@ -82,15 +158,32 @@ def in_order(rows: DataFrame, stamp: str, width: float) -> DataFrame:
     return inner.join(F.broadcast(ends.select("k", "before")), "k").withColumn("_prev", F.coalesce("_prev", "before")).select(*names, *[F.col(f"_prev.{c}").alias(f"p_{c}") for c in names])
 
 
-def running(rows: DataFrame, stamp: str, value: str, width: float, out: str) -> DataFrame:
-    """The running sum in the order of stamps, by bucket sums and a window in each bucket."""
-    bucket = rows.withColumn("k", buckets(F.col(stamp), width))
+def running(rows: DataFrame, stamp: str, value: str, out: str) -> DataFrame:
+    """The running sum in the order of stamps, by range sums and a window in each range."""
+    bucket = ranged(rows, stamp)
     sums = bucket.groupBy("k").agg(F.sum(value).alias("s"))
     before = sums.select("k", F.coalesce(F.sum("s").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))
     own = F.sum(value).over(Window.partitionBy("k").orderBy(stamp).rowsBetween(Window.unboundedPreceding, 0))
     return bucket.withColumn("own", own).join(F.broadcast(before), "k").withColumn(out, F.col("own") + F.col("b")).drop("k", "own", "b")
 
 
+def closest(targets: DataFrame, at: str, points: DataFrame, pos: str) -> DataFrame:
+    """J2 without a limit: targets with the nearest point in a struct ``near`` (ties: the lower).
+    Both are ordered together in ranges; the points before and after a range come from its
+    neighbours that have any."""
+    t = targets.select(F.col(at).cast("double").alias("_pos"), F.lit(1).alias("_kind"), F.struct(*targets.columns).alias("_q"), F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("_p"))
+    p = points.select(F.col(pos).cast("double").alias("_pos"), F.lit(0).alias("_kind"), F.lit(None).cast(targets.select(F.struct(*targets.columns)).schema[0].dataType).alias("_q"), F.struct(*points.columns).alias("_p"))
+    rows = ranged(t.unionByName(p), "_pos")
+    ends = rows.groupBy("k").agg(F.min_by("_p", F.when(F.col("_kind") == 0, F.col("_pos"))).alias("first"), F.max_by("_p", F.when(F.col("_kind") == 0, F.col("_pos"))).alias("last"))
+    over = Window.orderBy("k")
+    ends = ends.select("k", F.last("last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("lower"), F.first("first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("upper"))
+    w = Window.partitionBy("k").orderBy("_pos", "_kind")
+    near = rows.withColumns({"_a": F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first("_p", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    near = near.where("_kind = 1").join(F.broadcast(ends), "k").withColumns({"_a": F.coalesce("_a", "lower"), "_b": F.coalesce("_b", "upper")})
+    lower = F.col("_b").isNull() | (F.abs(F.col("_pos") - F.col("_a")[pos]) <= F.abs(F.col("_pos") - F.col("_b")[pos]))
+    return near.select("_q.*", F.when(F.col("_a").isNotNull() & lower, F.col("_a")).otherwise(F.coalesce("_b", "_a")).alias("near"))
+
+
 def moments(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """A10: centroids and the 3 x 3 cross-covariance sums of matched positions."""
     means = {f"{s}{n}": F.avg(f"{s}_{n}") for s in (a, b) for n in ("tx", "ty", "tz")}

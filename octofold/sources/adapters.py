@@ -93,6 +93,14 @@ def traj(spark: SparkSession, sf_dir: str, src: str) -> DataFrame:
     return events.select(seconds().alias("stamp"), F.col("value").alias("tx"), F.col("user_id").cast("double").alias("ty"), F.pmod("event_id", F.lit(97)).cast("double").alias("tz"))
 
 
+def poses(spark: SparkSession, sf_dir: str, src: str) -> DataFrame:
+    """As ``traj``, with a quaternion qx..qw of small whole numbers."""
+    kind = {"gt": "view", "est": "click"}[src]
+    events = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
+    q = {"qx": F.pmod("user_id", F.lit(5)) - 2, "qy": F.pmod("event_id", F.lit(7)) - 3, "qz": F.pmod("event_id", F.lit(3)) - 1, "qw": 1 + F.pmod("event_id", F.lit(2))}
+    return events.select(seconds().alias("stamp"), F.col("value").alias("tx"), F.col("user_id").cast("double").alias("ty"), F.pmod("event_id", F.lit(97)).cast("double").alias("tz"), *[c.cast("double").alias(n) for n, c in q.items()])
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("seq"), "value")
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from octofold.operators import stats
+
 
 class FrameRange(InputPartition):
     def __init__(self, path: str, first: int, last: int, width: int, height: int, record: int):
@@ -37,14 +41,14 @@ class RawDepthReader(DataSourceReader):
         n = end // record
         return [FrameRange(self.path, i, min(n, i + self.step), w, h, record) for i in range(0, n, self.step)]
 
-    def read(self, part: FrameRange) -> Iterator[tuple]:
+    def read(self, part: FrameRange) -> Iterator[pa.RecordBatch]:
         n = part.width * part.height
+        place = np.arange(n, dtype=np.int32)
         with open(part.path, "rb") as f:
             for frame in range(part.first, part.last):
                 f.seek(frame * part.record + 8)
-                depth = struct.unpack(f"<{n}H", f.read(2 * n))
-                for i, mm in enumerate(depth):
-                    yield (frame, i % part.width, i // part.width, mm)
+                depth = np.frombuffer(f.read(2 * n), "<u2").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(n, frame, np.int32), place % part.width, place // part.width, depth)], names=["frame", "u", "v", "mm"])
 
 
 class RawDepth(DataSource):
@@ -61,10 +65,48 @@ class RawDepth(DataSource):
         return RawDepthReader(self.options)
 
 
+def raw_records(spark: SparkSession, path: str, width: int, height: int, light: bool = False) -> DataFrame:
+    """S1, S2 from any store that Spark reads: records of known size (frame, u, v, mm), as many
+    tasks as the file has blocks; the file must hold whole records. ``RawDepth`` reads a file that
+    all machines see as local, whose size is in its header."""
+    n = width * height
+    size = 8 + 2 * n + (0 if light else 8 + 3 * n)
+    raw = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
+    rows = spark.createDataFrame(raw, "frame long, record binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.arange(n, dtype=np.int32)
+        for batch in batches:
+            for frame, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                depth = np.frombuffer(record, "<u2", n, 8).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(n, frame, np.int32), place % width, place // width, depth)], names=["frame", "u", "v", "mm"])
+
+    return rows.mapInArrow(run, "frame int, u int, v int, mm int")
+
+
+def record(frames: DataFrame, width: int, height: int) -> DataFrame:
+    """Frame and its record (headers, millimetres, black pixels) of depth images (frame, u, v,
+    mm); pixels that are missing are 0. A record is one image, so a task holds one at a time."""
+    cells = F.collect_list(F.struct((F.col("v") * width + F.col("u")).alias("i"), "mm"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = struct.pack("<II", width, height)
+        for batch in batches:
+            out = []
+            for pixels in batch.column(1).to_pylist():
+                depth = np.zeros(width * height, "<u2")
+                depth[[p["i"] for p in pixels]] = [p["mm"] for p in pixels]
+                out.append(head + depth.tobytes() + head + bytes(3 * width * height))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["frame", "record"])
+
+    return frames.groupBy("frame").agg(cells.alias("pixels")).select("frame", "pixels").mapInArrow(run, "frame int, record binary")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text with their numbers. A file is one task's read here: these are logs and
-    configurations; numbers follow the order within a file."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("n"), F.trim("value").alias("line"))
+    """Lines of texts with their file and their number in it. Files are logs and configurations,
+    and each is read whole by one task."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    return whole.select("file", "n", F.trim("line").alias("line"))
 
 
 def trajectory(spark: SparkSession, path: str) -> DataFrame:
@@ -72,13 +114,41 @@ def trajectory(spark: SparkSession, path: str) -> DataFrame:
     the last row of a stamp wins, rows without a rotation or with NaN go."""
     names = ("stamp", "tx", "ty", "tz", "qx", "qy", "qz", "qw")
     parts = F.split(F.trim(F.regexp_replace("line", r"[,\s]+", " ")), " ")
-    rows = lines(spark, path).where("line <> '' and not startswith(line, '#')").select("n", parts.alias("p")).where("size(p) >= 8")
-    cols = rows.select("n", *[F.expr(f"try_cast(p[{i}] as double)").alias(c) for i, c in enumerate(names)])
-    last = cols.groupBy("stamp").agg(F.max_by(F.struct(*names[1:]), "n").alias("r")).select("stamp", "r.*")
+    rows = lines(spark, path).where("line <> '' and not startswith(line, '#')").select("file", "n", parts.alias("p")).where("size(p) >= 8")
+    cols = rows.select("file", "n", *[F.expr(f"try_cast(p[{i}] as double)").alias(c) for i, c in enumerate(names)])
+    last = cols.groupBy("stamp").agg(F.max_by(F.struct(*names[1:]), F.struct("file", "n")).alias("r")).select("stamp", "r.*")
     ok = "qx * qx + qy * qy + qz * qz + qw * qw > 0"
     return last.where(ok).where(" and ".join(f"{c} is not null and not isnan({c})" for c in names))
 
 
+def last_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Of each log the last line that begins with a brace, parsed."""
+    rows = lines(spark, path).where("startswith(line, '{')")
+    return rows.groupBy("file").agg(F.max_by("line", "n").alias("line")).select("file", F.from_json("line", schema).alias("r")).select("file", "r.*")
+
+
+def timed_results(spark: SparkSession, results: str, times: str) -> DataFrame:
+    """The i-th line of a file of times before the i-th row of a file of results, whose first
+    column goes; the shorter file ends both."""
+    rows = lines(spark, results).where("line <> ''").select("n", F.expr("slice(split(line, '[,\\s]+'), 2, 1000000)").alias("fields"))
+    stamp = lines(spark, times).where("line <> ''").select("n", F.col("line").alias("stamp"))
+    return stamp.join(rows, "n").select("n", "stamp", "fields")
+
+
+def power_report(spark: SparkSession, path: str) -> DataFrame:
+    """A report with a row of names; comments skipped. Columns are DOUBLE."""
+    rows = spark.read.csv(path, sep="\t", header=True, comment="#")
+    return rows.select(*[F.expr(f"try_cast(`{c}` as double)").alias(c) for c in rows.columns])
+
+
+def energy(report: DataFrame, stamp: str = "Sample_time") -> DataFrame:
+    """By column of a report the energy, its average power and the time."""
+    rails = [c for c in report.columns if c != stamp]
+    steps = stats.in_order(report, stamp).withColumn("dt", F.col(stamp) - F.col(f"p_{stamp}"))
+    long = steps.select("dt", F.explode(F.array(*[F.struct(F.lit(c).alias("rail"), F.col(c).alias("p")) for c in rails])).alias("x")).select("dt", "x.rail", "x.p")
+    return long.groupBy("rail").agg(F.sum(F.col("p") * F.col("dt")).alias("energy"), (F.sum(F.col("p") * F.col("dt")) / F.sum("dt")).alias("average"), F.sum("dt").alias("seconds"))
+
+
 def scene(spark: SparkSession, path: str) -> DataFrame:
     """Key and value of a scene file; keys in lower case, quotes taken off."""
     rows = lines(spark, path).where("not startswith(line, '#') and contains(line, '=')")
@@ -113,3 +183,44 @@ def obj_lines(triangles: DataFrame) -> DataFrame:
     first = 3 * F.col("id") + 1
     f = triangles.select(F.col("id").alias("n"), F.concat_ws(" ", F.lit("f"), first, first + 1, first + 2).alias("line"))
     return v.select(F.lit(0).alias("part"), "n", "line").unionByName(f.select(F.lit(1).alias("part"), "n", "line"))
+
+
+def vtk_lines(triangles: DataFrame) -> DataFrame:
+    """Triangles (id dense from 0, v0, v1, v2) as numbered lines of a mesh text: three
+    fresh points each."""
+    n = triangles.count()
+    spark = triangles.sparkSession
+    head = ["# vtk DataFile Version 1.0", "mesh", "ASCII", "DATASET POLYDATA", f"POINTS {3 * n} FLOAT"]
+    frame = spark.createDataFrame([(0, i, t) for i, t in enumerate(head)] + [(2, 0, f"POLYGONS {n} {4 * n}")], "part int, n long, line string")
+    corner = F.explode(F.arrays_zip(F.array(*map(F.lit, range(3))).alias("k"), F.array("v0", "v1", "v2").alias("v"))).alias("c")
+    points = triangles.select("id", corner).select(F.lit(1).alias("part"), (3 * F.col("id") + F.col("c.k")).alias("n"), F.concat_ws(" ", "c.v.x", "c.v.y", "c.v.z").alias("line"))
+    first = 3 * F.col("id")
+    faces = triangles.select(F.lit(2).alias("part"), (F.col("id") + 1).alias("n"), F.concat_ws(" ", F.lit(3), first, first + 1, first + 2).alias("line"))
+    return frame.unionByName(points).unionByName(faces)
+
+
+def cloud_lines(points: DataFrame, origin: tuple[float, float, float]) -> DataFrame:
+    """Points (id, x, y, z) less the first position."""
+    return points.select("id", F.concat_ws(" ", *[F.col(n) - o for n, o in zip("xyz", origin)]).alias("line"))
+
+
+def slice_3d(spark: SparkSession, voxels: DataFrame, lo: tuple[int, int, int], hi: tuple[int, int, int], empty: float) -> DataFrame:
+    """Every place of the half-open box with its value, numbered with z outermost."""
+    at = spark.range(hi[2] - lo[2]).select((F.col("id") + lo[2]).cast("int").alias("z"))
+    for n, k in (("y", 1), ("x", 0)):
+        at = at.withColumn(n, F.explode(F.sequence(F.lit(lo[k]), F.lit(hi[k] - 1))))
+    sizes = [h - low for low, h in zip(lo, hi)]
+    number = ((F.col("z") - lo[2]).cast("long") * sizes[1] + F.col("y") - lo[1]) * sizes[0] + F.col("x") - lo[0]
+    return at.join(voxels.select("x", "y", "z", "value"), ["x", "y", "z"], "left").select(number.alias("n"), "x", "y", "z", F.coalesce("value", F.lit(empty)).alias("value"))
+
+
+def block_corners(blocks: DataFrame, side: int = 8) -> DataFrame:
+    """The eight corner points of each block (key, x, y, z)."""
+    corner = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("corner")
+    return blocks.select("key", "x", "y", "z", corner).select("key", "corner", *[(F.col(n) + F.shiftright("corner", i).bitwiseAND(F.lit(1)) * side).cast("int").alias(n) for i, n in enumerate("xyz")])
+
+
+def summary_lines(summary: DataFrame) -> DataFrame:
+    """A summary's rows as JSON, numbers as text with four places."""
+    text = [F.format_string("%.4f", F.col(c).cast("double")).alias(c) for c in ("mean", "std", "min", "max", "sum")]
+    return summary.select("key", F.to_json(F.struct(*text)).alias("line"))
