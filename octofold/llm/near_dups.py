@@ -20,7 +20,9 @@ A pair at the threshold is missed only if no band agrees: (1 - 0.85 ** 5) ** 28
 
 Defined cases: null, empty or white-space texts have an empty set, link with nothing and stay;
 fewer than five words form one shingle; rows with a null doc_id link with nothing, stay and have
-a null component; doc_ids should be unique (rows repeated whole get the same result each).
+a null component; doc_ids should be unique (rows repeated whole get the same result each); texts of
+any length count whole; an empty table gives none; other columns are ignored, whatever their names. Of
+buckets' members with equally many copies the smallest doc_id is the pivot.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from octofold.llm.shingles import mix, random_longs, shingle_set
 SHINGLE, ROWS, BANDS = 5, 5, 28
 HASHES = ROWS * BANDS
 FACTOR, OFFSET = random_longs(HASHES) | np.uint64(1), random_longs(HASHES)
-SIGMAS, BLOCK = 5, 1024
+SIGMAS, BLOCK = 5, 512
 #: Members of a block that are compared with another block at once.
 TILE = 128
 #: Minima of the long sketch, of which one byte each is kept.
