@@ -16,7 +16,9 @@ Nothing is broadcast but the bitmaps; items join by a shuffle unless Spark finds
 Defined cases: null, empty or one-word texts and items match nothing; items shorter than GRAM
 words use one n-gram of all their words and those under ``SHORT`` words need ``SHORT_SCORE``;
 repeated rows of documents or items give one row for each pair of ids; an empty benchmark or
-table gives none; null ids of documents are reported as such.
+table gives none; null ids of documents are reported as such; texts of any length are read whole;
+other columns are ignored, whatever their names. Of alignments of equal value in a document the one
+that ends first is reported.
 """
 
 from __future__ import annotations

@@ -18,7 +18,10 @@ of ``WINDOW`` symbols that all step through the automata at once (numpy), a phra
 each window's end; this holds for all languages alike and bounds memory for any text length.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0; with no
-labelled text every document is ``und``; a null doc_id is never learnt from and not held out.
+labelled text every document is ``und``; a null doc_id is never learnt from and not held out;
+repeated rows give repeated results, and repeated rows of the sample are learnt from twice; an empty
+table gives none; columns named lang_pred or score are replaced in ``predict``'s result, all others
+are kept there as they are.
 """
 
 from __future__ import annotations
@@ -41,7 +44,8 @@ TOTAL_CHARS = 512_000
 WINDOW = 512
 #: Symbols (the most frequent) that have a column in the table of steps; the others' transitions
 #: are looked up among sorted keys, with equal results.
-DENSE = 128
+#: The table has at most CELLS steps (64 MB): with very many states fewer symbols have a column.
+DENSE, CELLS = 128, 1 << 24
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -109,12 +113,13 @@ class Model:
             if chr(u).isalpha():
                 self.symbol[u] = other
         self.symbol[known] = np.arange(1, len(known) + 1)
-        self.alphabet, self.last = other + 1, min(other, DENSE)
+        texts = {lang: self.symbol[code_units(joined[lang])].tolist() for lang in self.languages}
+        automata = {lang: SuffixAutomaton(symbols).next for lang, symbols in texts.items()}
+        self.alphabet, self.last = other + 1, min(other, DENSE, max(4, CELLS // max(1, sum(map(len, automata.values()))) - 1))
         width = self.last + 1
         tables, keys, moved, firsts, self.roots, self.costs, base = [], [], [], [], [], [], 0
         for lang in self.languages:
-            symbols = self.symbol[code_units(joined[lang])].tolist()
-            moves = SuffixAutomaton(symbols).next
+            symbols, moves = texts[lang], automata.pop(lang)
             first = np.full(self.alphabet, 2 * base + 1, dtype=np.int64)
             for s, q in moves[0].items():
                 first[s] = 2 * (base + q * width) + 1

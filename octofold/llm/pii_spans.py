@@ -15,7 +15,10 @@ labels are the base spans; a third of the phone stretches are relabelled variant
 country code.
 
 Defined cases: null and empty texts have no spans (the hash is that of the empty string); with
-nothing to learn from only base spans are reported; repeated rows give repeated results.
+nothing to learn from (also an empty table) only base spans are reported; repeated rows give repeated
+results; texts of any length are scanned whole; other columns are ignored by ``digest`` and kept by
+``redact``, whatever their names. Of spans that overlap, base ones stay and touching added ones go;
+segments of equal score: the one found first, by end, then start.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ rejection rate among bad documents is ``GAIN`` times that among good ones, else
 
 Defined cases: a null text has no words and fails the base; labels that are null or name no
 document are ignored; a document labelled more than once counts as good only if all its labels
-say so; an empty labels table switches the learned rules off; repeated rows give repeated
-results.
+say so; an empty labels table switches the learned rules off, an empty documents table gives none;
+repeated rows give repeated results; texts of any length are read whole; other columns of both tables
+are ignored, whatever their names. A value equal to a cutoff is kept.
 """
 
 from __future__ import annotations

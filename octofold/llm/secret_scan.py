@@ -2,12 +2,14 @@
 
 Pattern matches alone decide the three base kinds (assign, access, hex). Candidates for the
 confirmed kinds are decoded first (base64, base64url or hex) and reported only if their bytes
-parse: a private-key encoding whose nested lengths fill their parents, an OpenSSH key whose
-length-prefixed fields follow its magic, or a signed token whose header is JSON with an ``alg``.
+parse: a private-key encoding, plain or encrypted, whose nested lengths fill their parents, an
+OpenSSH key whose length-prefixed fields fill it, a PEM block with encryption headers around whole
+cipher blocks, or a signed token whose header is JSON with an ``alg`` and whose payload is JSON.
 
 Defined cases: null and empty texts give zero counts, the hash of the empty string and no
-spans; repeated rows give repeated results; texts are scanned whole, in linear time. Extra
-columns of the input are ignored by :func:`scan`, which keeps only the id.
+spans; repeated rows give repeated results; texts of any length are scanned whole, in linear time;
+an empty table gives none; other columns of the input are ignored, whatever their names. Spans
+that begin at one place are ordered by kind as listed, then by end.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s\\]+)-----END \1PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----((?:\s*[A-Za-z][A-Za-z0-9-]*: [^\n]*\n)*)([A-Za-z0-9+/=\s\\]+)-----END \1PRIVATE KEY-----")
 BLOB = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+URL_BLOB = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "pem", "key64", "keyhex")
@@ -57,22 +60,44 @@ def der_fields(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+MAGIC = b"openssh-key-v1\x00"
+
+
+def is_openssh(data: bytes) -> bool:
+    """Its magic, then cipher, key derivation and options, the number of keys, so many public
+    keys, and the private part, all length-prefixed, to the end of the bytes."""
+    at, keys, k = len(MAGIC), 1, 0
+    while k < 4 + keys:
+        if at + 4 > len(data):
+            return False
+        n = int.from_bytes(data[at : at + 4], "big")
+        at += 4
+        if k == 3:
+            keys = n
+            if not 1 <= keys <= 64:
+                return False
+            k += 1
+            continue
+        at += n
+        k += 1
+    n = int.from_bytes(data[at : at + 4], "big")
+    return at + 4 <= len(data) and n > 0 and at + 4 + n == len(data)
+
+
 def is_private_key(data: bytes) -> bool:
     """A DER private key: one SEQUENCE fills the bytes and opens with a version INTEGER of 0 or 1,
     followed by integers (RSA, DSA), an octet string (EC) or an algorithm SEQUENCE with an OID and
-    an octet string (PKCS 8); or an OpenSSH key: its magic, then length-prefixed fields."""
-    if data.startswith(b"openssh-key-v1\x00"):
-        at = 15
-        for _ in range(3):  # cipher, kdf and kdf options
-            n = int.from_bytes(data[at : at + 4], "big")
-            at += 4 + n
-            if at + 4 > len(data):
-                return False
-        return True
+    an octet string (PKCS 8); an encrypted one: an algorithm SEQUENCE and an octet string; or an
+    OpenSSH key."""
+    if data.startswith(MAGIC):
+        return is_openssh(data)
     top = der_fields(data)
     if not top or len(top) != 1 or top[0][0] != 0x30:
         return False
     inner = der_fields(top[0][1])
+    if inner and len(inner) == 2 and inner[0][0] == 0x30 and inner[1][0] == 0x04:
+        algorithm = der_fields(inner[0][1])
+        return bool(algorithm) and len(algorithm) == 2 and algorithm[0][0] == 0x06 and algorithm[1][0] == 0x30 and len(inner[1][1]) >= 16
     if not inner or len(inner) < 3 or inner[0][0] != 0x02 or inner[0][1] not in (b"\x00", b"\x01"):
         return False
     if inner[1][0] == 0x30:
@@ -93,12 +118,19 @@ def unbase64(text: str, url: bool = False) -> bytes:
         return b""
 
 
-def is_token_header(part: str) -> bool:
+def is_token(head: str, payload: str) -> bool:
     try:
-        head = json.loads(unbase64(part, url=True))
+        head, payload = (json.loads(unbase64(x, url=True)) for x in (head, payload))
     except (ValueError, RecursionError):
         return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(payload, dict)
+
+
+def is_pem(headers: str, body: str) -> bool:
+    data = unbase64(re.sub(r"\\[nr]|\s", "", body))
+    if "ENCRYPTED" in headers and "DEK-Info:" in headers:
+        return len(data) >= 64 and len(data) % 8 == 0
+    return is_private_key(data)
 
 
 def spans_of(text: str) -> list[tuple[int, str, int]]:
@@ -112,14 +144,15 @@ def spans_of(text: str) -> list[tuple[int, str, int]]:
         out += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     if b"-----BEGIN " in raw:
         for m in PEM.finditer(text):
-            if is_private_key(unbase64(re.sub(r"\\[nr]|\s", "", m[2]))):
+            if is_pem(m[2], m[3]):
                 out.append((m.start(), "pem", m.end()))
     if max(map(len, raw.split()), default=0) >= LONG_WORD:
         out += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
         out += [(m.start(), "keyhex", m.end()) for m in HEX_ANY.finditer(text) if is_private_key(bytes.fromhex(m[0]))]
         out += [(m.start(), "key64", m.end()) for m in BLOB.finditer(text) if is_private_key(unbase64(m[0]))]
+        out += [(m.start(), "key64", m.end()) for m in URL_BLOB.finditer(text) if ("-" in m[0] or "_" in m[0]) and is_private_key(unbase64(m[0], url=True))]
         if b"eyJ" in raw:
-            out += [(m.start(), "jwt", m.end()) for m in JWT.finditer(text) if is_token_header(m[1])]
+            out += [(m.start(), "jwt", m.end()) for m in JWT.finditer(text) if is_token(m[1], m[2])]
     return out
 
 

@@ -18,7 +18,9 @@ bounded memo before they are searched.
 Defined cases: a null or empty text has no ids and decodes to the empty text; characters
 outside the vocabulary become their UTF-8 bytes' pieces; lone surrogates become U+FFFD; the
 space mark itself decodes to a space (as in the library), and ``lossless`` says whether decoding
-gave the text back; repeated rows give repeated results.
+gave the text back; repeated rows give repeated results; texts of any length are encoded whole; an
+empty table gives none; other columns are ignored, whatever their names. There are no ties: at most one
+path survives at a position.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ there; any other text, and any text holding a special token's string, goes throu
 library's normaliser and pre-tokenizer themselves (special strings by its default: one token).
 
 Defined cases: null texts count as empty (0 bytes, 0 tokens); repeated rows are counted each,
-so the route's key is a row number made while reading, never doc_id; empty tables give none.
+so the route's key is a row number made while reading, never doc_id; empty tables give none; texts of
+any length count whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
