@@ -305,11 +305,16 @@ def mc_triangles(spark, d):
     return t.select("id", "tri", *[F.round(F.col(f"v{k}")[n], 6).alias(f"{n}{k}") for k in range(3) for n in "xyz"])
 
 
+NEAR = 2.0
+
+
 def camera_rays(spark, d):
-    """Rays of every pixel of as many frames as the table has, into the field, in voxels."""
+    """Rays of every pixel of as many frames as the table has, from the near plane into the field,
+    in voxels."""
     edge = edge_of(spark, d)
     views = [turned(0.96, 0.28, 1, (edge * 0.3, edge * 0.4, 0.5)), turned(0.96, -0.28, 0, (edge * 0.5, edge * 0.2, 0.5)), turned(1.0, 0.0, 0, (edge * 0.5, edge * 0.5, 0.5)), turned(0.96, 0.28, 0, (edge * 0.5, edge * 0.6, 0.5))]
-    return edge, R.pixel_rays(with_views(frames(spark, d).select("frame").distinct(), views), CAMERA)
+    rays = R.pixel_rays(with_views(frames(spark, d).select("frame").distinct(), views), CAMERA)
+    return edge, rays.withColumns({f"o{n}": F.col(f"o{n}") + NEAR * F.col(f"d{n}") for n in "xyz"})
 
 
 def cast(spark, d, rising: bool):
@@ -328,10 +333,10 @@ def sql_cast(before: str, after: str, start: str) -> str:
     views = f"cw AS (SELECT * FROM (VALUES (0, 0.96e0,0e0,0.28e0,0.3e0, 0e0,1e0,0e0,0.4e0, -0.28e0,0e0,0.96e0), (1, 1e0,0e0,0e0,0.5e0, 0e0,0.96e0,0.28e0,0.2e0, 0e0,-0.28e0,0.96e0), (2, 1e0,0e0,0e0,0.5e0, 0e0,1e0,0e0,0.5e0, 0e0,0e0,1e0), (3, 1e0,0e0,0e0,0.5e0, 0e0,0.96e0,-0.28e0,0.6e0, 0e0,0.28e0,0.96e0)) p(k,m00,m01,m02,m03,m10,m11,m12,m13,m20,m21,m22))"
     return f"""WITH {FIELD}, {FRAMES}, {views}, cr AS (SELECT * FROM (VALUES (0,0,0),(1,0,0),(0,1,0),(1,1,0),(0,0,1),(1,0,1),(0,1,1),(1,1,1)) c(dx,dy,dz)),
 px AS (SELECT f.frame, CAST(u.u AS INTEGER) AS u, CAST(v.v AS INTEGER) AS v, m03*{e} AS ox, m13*{e} AS oy, 0.5e0 AS oz, m00*((u.u-25e0)/40e0)+m01*((v.v-25e0)/40e0)+m02 AS ex, m10*((u.u-25e0)/40e0)+m11*((v.v-25e0)/40e0)+m12 AS ey, m20*((u.u-25e0)/40e0)+m21*((v.v-25e0)/40e0)+m22 AS ez FROM (SELECT DISTINCT frame FROM fr) f JOIN cw ON cw.k=f.frame%4, range(0,50) u(u), range(0,50) v(v)),
-ry AS (SELECT (frame*50+v)*50+u AS ray_id, ox, oy, oz, ex/sqrt(ex*ex+ey*ey+ez*ez) AS dx, ey/sqrt(ex*ex+ey*ey+ez*ez) AS dy, ez/sqrt(ex*ex+ey*ey+ez*ez) AS dz FROM px),
-sm AS (SELECT ray_id, CAST(k.k AS INTEGER) AS k, ox+k.k*0.5e0*dx AS px, oy+k.k*0.5e0*dy AS py, oz+k.k*0.5e0*dz AS pz FROM ry, range(0,81) k(k)),
-vl AS (SELECT ray_id, k, sum(({_V})*f.value) AS value FROM sm, cr c JOIN fld f ON f.x=CAST(floor(px) AS INTEGER)+c.dx AND f.y=CAST(floor(py) AS INTEGER)+c.dy AND f.z=CAST(floor(pz) AS INTEGER)+c.dz WHERE px>=0 AND py>=0 AND pz>=0 GROUP BY ray_id, k HAVING count(*)=8),
-pr AS (SELECT a.ray_id, a.k AS k0, a.value AS v0, b.value AS v1 FROM vl a JOIN vl b ON b.ray_id=a.ray_id AND b.k=a.k+1), ht AS (SELECT ray_id, min(k0) AS k0 FROM pr WHERE {before} AND {after} GROUP BY ray_id),
+r0 AS (SELECT (frame*50+v)*50+u AS ray_id, ox, oy, oz, ex/sqrt(ex*ex+ey*ey+ez*ez) AS dx, ey/sqrt(ex*ex+ey*ey+ez*ez) AS dy, ez/sqrt(ex*ex+ey*ey+ez*ez) AS dz FROM px), ry AS (SELECT ray_id, ox+2e0*dx AS ox, oy+2e0*dy AS oy, oz+2e0*dz AS oz, dx, dy, dz FROM r0),
+s0 AS (SELECT ray_id, CAST(k.k AS INTEGER) AS k, ox+k.k*0.5e0*dx AS px, oy+k.k*0.5e0*dy AS py, oz+k.k*0.5e0*dz AS pz FROM ry, range(0,81) k(k)), sm AS MATERIALIZED (SELECT s0.* FROM s0, ed0 WHERE px>=0 AND py>=0 AND pz>=0 AND px<n AND py<n AND pz<n),
+fm AS MATERIALIZED (SELECT * FROM fld), vl AS MATERIALIZED (SELECT ray_id, k, sum(({_V})*f.value) AS value FROM sm CROSS JOIN cr c JOIN fm f ON f.x=CAST(floor(px) AS INTEGER)+c.dx AND f.y=CAST(floor(py) AS INTEGER)+c.dy AND f.z=CAST(floor(pz) AS INTEGER)+c.dz GROUP BY ray_id, k HAVING count(*)=8),
+pr AS MATERIALIZED (SELECT a.ray_id, a.k AS k0, a.value AS v0, b.value AS v1 FROM vl a JOIN vl b ON b.ray_id=a.ray_id AND b.k=a.k+1), ht AS (SELECT ray_id, min(k0) AS k0 FROM pr WHERE {before} AND {after} GROUP BY ray_id),
 st AS (SELECT ray_id FROM vl GROUP BY ray_id HAVING arg_min(value, k) {start})
 SELECT ht.ray_id AS ray_id, round((ht.k0 + v0/(v0-v1))*0.5e0, 4) AS t FROM ht JOIN pr ON pr.ray_id=ht.ray_id AND pr.k0=ht.k0 JOIN st ON st.ray_id=ht.ray_id"""
 
