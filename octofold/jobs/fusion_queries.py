@@ -199,6 +199,33 @@ def sdf_alloc_list(spark, d):
     return K.held(p, "frame", key=K.block_key("x", "y", "z", 8)).distinct()
 
 
+RATE = 2
+
+
+@query("SELECT event_id AS frame, event_id%2=0 OR event_id<=3 AS integrate, event_id>2 AS raycast, event_id%4=0 AS render FROM events")
+def rate_gates(spark, d):
+    """What happens at each frame of a long sequence."""
+    f = F.col("event_id")
+    return A.table(spark, d, "events").select(f.alias("frame"), U.integrated(f, RATE).alias("integrate"), (f > 2).alias("raycast"), (f % 4 == 0).alias("render"))
+
+
+@query(f"""WITH {FRAMES}, {sql_views('ps', VIEWS)}, {sql_views('pi', [back(v) for v in VIEWS])}, gf AS (SELECT * FROM fr WHERE frame%2=0 OR frame<=3), {HITS.replace('FROM fr ', 'FROM gf ')}, p AS (SELECT frame, 1e0+(0.2e0-s.s*(0.4e0/8))/norm AS f, wx, wy, z FROM w, range(0,8) s(s)), a AS (SELECT frame, wx*f AS ax, wy*f AS ay, z*f AS az FROM p),
+x AS (SELECT CAST(floor(({_W[0]})/0.05e0) AS INTEGER) AS x, CAST(floor(({_W[1]})/0.05e0) AS INTEGER) AS y, CAST(floor(({_W[2]})/0.05e0) AS INTEGER) AS z FROM a JOIN pi ON pi.k = a.frame%4),
+bk AS (SELECT DISTINCT x-x%8 AS bx, y-y%8 AS b_y, z-z%8 AS bz FROM x WHERE x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 255 AND z BETWEEN 0 AND 255),
+vx AS (SELECT bx, b_y, bz, bx+CAST(i.i AS INTEGER) AS x, b_y+CAST(j.j AS INTEGER) AS y, bz+CAST(l.l AS INTEGER) AS z FROM bk, range(0,8) i(i), range(0,8) j(j), range(0,8) l(l)),
+pr AS (SELECT k, bx, b_y, bz, x, y, z, {_P[0]} AS px, {_P[1]} AS py, {_P[2]} AS pz FROM vx, ps), pq AS (SELECT *, px*40e0/pz+25e0+0.5e0 AS fu, py*40e0/pz+25e0+0.5e0 AS fv FROM pr WHERE pz >= 1e-4),
+pj AS (SELECT *, CAST(floor(fu) AS INTEGER) AS u, CAST(floor(fv) AS INTEGER) AS v FROM pq WHERE fu BETWEEN 0.5e0 AND 48.5e0 AND fv BETWEEN 0.5e0 AND 48.5e0),
+ob AS (SELECT bx, b_y, bz, x, y, z, (f.depth-pz)*sqrt(1e0+(px/pz)*(px/pz)+(py/pz)*(py/pz)) AS diff FROM pj JOIN gf f ON f.u=pj.u AND f.v=pj.v AND f.frame%4=pj.k WHERE f.depth > 0),
+fo AS (SELECT bx, b_y, bz, x, y, z, avg(least(1e0, diff/0.2e0)) AS value, count(*) AS w FROM ob WHERE diff > -0.2e0 GROUP BY ALL)
+SELECT {S.key('bx', 'b_y', 'bz', '5')} AS key, count(*) AS n, round(sum(value), 3)+0e0 AS total, CAST(sum(w) AS DOUBLE) AS weight FROM fo GROUP BY 1""")
+def integrate_frames(spark, d):
+    """Allocation and update over all frames that the rate lets through."""
+    image = frames(spark, d)
+    frame = image.select("frame").distinct()
+    m = U.integrate(image, with_views(frame, VIEWS), with_views(frame, [back(v) for v in VIEWS]), CAMERA, VOXEL, MU, 8, RATE)
+    return m.groupBy("key").agg(F.count("*").alias("n"), (F.round(F.sum("value"), 3) + 0.0).alias("total"), F.sum("weight").alias("weight"))
+
+
 BAND = 0.6
 _FIXED, _FIRST = U.step_schedule(VOXEL, BAND, 8)
 STEPS = ", ".join(f"({t!r}e0, {level})" for t, level in [*_FIXED, *((_FIRST + k * 30 * VOXEL, 3) for k in range(40))])

@@ -9,6 +9,7 @@ from octofold.jobs import sqltext as S
 from octofold.operators import alloc
 from octofold.operators import geometry as G
 from octofold.operators import images as I
+from octofold.operators import surface as R
 from octofold.sources import adapters as A
 
 D = A.DEPTH
@@ -161,3 +162,16 @@ def render_depth(spark, d):
 @query(f"""WITH {S.IMAGE}, t AS (SELECT u, v, mm%8 - 6 AS result FROM image) SELECT u, v, CASE result WHEN 1 THEN 8421504 WHEN -1 THEN 0 WHEN -2 THEN 16711680 WHEN -3 THEN 65280 WHEN -4 THEN 255 WHEN -5 THEN 16776960 ELSE 16744448 END AS colour FROM t""")
 def render_track(spark, d):
     return A.image(spark, d).select("u", "v", I.track_colour(F.col("mm") % 8 - 6).alias("colour"))
+
+
+_TRI = "t AS (SELECT vec_id AS id, " + ", ".join(f"CAST(embedding[{3 * k + i + 1}] AS DOUBLE) AS {n}{k}" for k in range(3) for i, n in enumerate("xyz")) + " FROM embeddings)"
+
+
+@query(f"""WITH {_TRI}, c AS (SELECT *, (y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) AS kx, (z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) AS ky, (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) AS kz FROM t), n AS (SELECT *, sqrt(kx*kx+ky*ky+kz*kz) AS norm FROM c)
+SELECT id, {', '.join(f'round(k{n}/nullif(norm,0), 6)+0e0 AS n{n}' for n in 'xyz')}, round(norm/2e0, 8)+0e0 AS area, {', '.join(f'round({f}({n}0,{n}1,{n}2), 7)+0e0 AS {s}{n}' for s, f in (('lo_', 'least'), ('hi_', 'greatest')) for n in 'xyz')} FROM n""")
+def triangle_attributes(spark, d):
+    """Normals, areas and boxes of the triangles of the vectors' first nine elements."""
+    e = A.table(spark, d, "embeddings")
+    v = [F.struct(*[F.element_at("embedding", 3 * k + i + 1).cast("double").alias(n) for i, n in enumerate("xyz")]).alias(f"v{k}") for k in range(3)]
+    t = R.triangle_attributes(e.select(F.col("vec_id").alias("id"), *v))
+    return t.select("id", *[(F.round(c, 8 if c == "area" else 6 if c[0] == "n" else 7) + 0.0).alias(c) for c in t.columns if c != "id"])

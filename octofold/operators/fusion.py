@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from octofold.functions import keys
+
 
 @dataclass(frozen=True)
 class Camera:
@@ -59,7 +61,7 @@ def in_frustum(blocks: DataFrame, camera: Camera, voxel_size: float) -> DataFram
     as in the original, depth has no sign here."""
     p = moved([F.col(n) * voxel_size for n in "xyz"])
     at = blocks.withColumns({"pu": p[0] * camera.fx + p[2] * camera.cx, "pv": p[1] * camera.fy + p[2] * camera.cy, "pz": p[2]})
-    at = at.withColumns({n: F.try_divide(f"p{n}", "pz").cast("int") for n in "uv"})
+    at = at.withColumns({n: F.try_divide(f"p{n}", "pz").try_cast("int") for n in "uv"})
     return at.where(F.col("u").between(0, camera.width - 1) & F.col("v").between(0, camera.height - 1)).drop("pu", "pv", "pz")
 
 
@@ -79,7 +81,7 @@ def project(voxels: DataFrame, camera: Camera, voxel_size: float) -> DataFrame:
     at = voxels.withColumns({f"p{n}": c for c, n in zip(place, "xyz")}).where("pz >= 1e-4")
     at = at.withColumns({f"f{n}": F.try_divide(F.col(f"p{a}") * f, "pz") + c + 0.5 for n, a, f, c in (("u", "x", camera.fx, camera.cx), ("v", "y", camera.fy, camera.cy))})
     seen = at.where(F.col("fu").between(0.5, camera.width - 1.5) & F.col("fv").between(0.5, camera.height - 1.5))
-    return seen.withColumns({"u": F.floor("fu").cast("int"), "v": F.floor("fv").cast("int")}).drop("fu", "fv")
+    return seen.withColumns({n: F.floor(f"f{n}").try_cast("int") for n in "uv"}).drop("fu", "fv")
 
 
 def observe(voxels: DataFrame, image: DataFrame, camera: Camera, voxel_size: float, by: list[str] | None = None) -> DataFrame:
@@ -212,3 +214,24 @@ def visible_blocks(observed: DataFrame) -> DataFrame:
 def in_volume(size: int) -> Column:
     """P10."""
     return F.col("x").between(0, size - 1) & F.col("y").between(0, size - 1) & F.col("z").between(0, size - 1)
+
+
+def integrated(frame: Column, rate: int) -> Column:
+    """Every ``rate``-th frame, and the first four."""
+    return (frame % rate == 0) | (frame <= 3)
+
+
+def integrate(image: DataFrame, poses: DataFrame, back: DataFrame, camera: Camera, voxel_size: float, mu: float, depth: int, rate: int) -> DataFrame:
+    """The frames (frame, u, v, depth) that the rate lets through allocate the blocks of their
+    bands and then update, in order, every voxel of all blocks that they see: key, x, y, z, value
+    and weight. ``poses``: camera from world by frame, ``back``: world from camera."""
+    image = image.where(integrated(F.col("frame"), rate))
+    band = band_points(image.join(back, "frame"), camera, voxel_size, mu).where(in_volume(1 << depth))
+    block = band.select(*[(F.col(n) - F.col(n) % 8).alias(f"b{n}") for n in "xyz"]).distinct()
+    voxels = keys.held(block, "bx", "by", "bz", key=keys.block_key("bx", "by", "bz", depth))
+    for n in "xyz":
+        voxels = voxels.withColumn(n, F.explode(F.sequence(F.col(f"b{n}"), F.col(f"b{n}") + 7)))
+    used = image.select("frame").distinct().join(poses, "frame")
+    seen = observe(seen_by(voxels.select("key", "x", "y", "z"), used, camera, voxel_size), image, camera, voxel_size, ["frame"])
+    folded = fold_sdf(seen.withColumn("diff", distance_along_ray()).withColumnRenamed("x", "vx"), ["key", "vx", "y", "z"], "frame", mu)
+    return folded.select("key", F.col("vx").alias("x"), "y", "z", F.col("x").alias("value"), F.col("w").alias("weight"))

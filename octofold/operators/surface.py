@@ -209,3 +209,14 @@ def pixel_rays(poses: DataFrame, camera) -> DataFrame:
     norm = F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey") + F.col("ez") * F.col("ez"))
     ray = (F.col("frame").cast("long") * camera.height + F.col("v")) * camera.width + F.col("u")
     return pixels.select(ray.alias("ray_id"), "frame", "u", "v", *[F.col(f"m{r}3").alias(f"o{n}") for r, n in enumerate("xyz")], *[(F.col(f"e{n}") / norm).alias(f"d{n}") for n in "xyz"])
+
+
+def triangle_attributes(triangles: DataFrame) -> DataFrame:
+    """Id with the normal of length 1 (NULL if there is none), area and bounding box of
+    triangles (id, v0, v1, v2: structs x, y, z)."""
+    a, b = ({n: F.col(f"v{k}")[n] - F.col("v0")[n] for n in "xyz"} for k in (1, 2))
+    cross = {"x": a["y"] * b["z"] - a["z"] * b["y"], "y": a["z"] * b["x"] - a["x"] * b["z"], "z": a["x"] * b["y"] - a["y"] * b["x"]}
+    out = triangles.withColumns({f"k{n}": c for n, c in cross.items()})
+    norm = F.sqrt(F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky") + F.col("kz") * F.col("kz"))
+    bounds = [f(*[F.col(f"v{k}")[n] for k in range(3)]).alias(f"{s}{n}") for s, f in (("lo_", F.least), ("hi_", F.greatest)) for n in "xyz"]
+    return out.select("id", *[F.try_divide(F.col(f"k{n}"), norm).alias(f"n{n}") for n in "xyz"], (norm / 2.0).alias("area"), *bounds)

@@ -25,7 +25,7 @@ def associate(live: DataFrame, model: DataFrame, camera: fusion.Camera, far: flo
     at = live.select(*by, "u", "v", *[c.alias(f"p{n}") for c, n in zip(place, "xyz")], *[c.alias(f"q{n}") for c, n in zip(normal, "xyz")])
     at = at.withColumns({"fu": F.try_divide("px", "pz") * camera.fx + camera.cx + 0.5, "fv": F.try_divide("py", "pz") * camera.fy + camera.cy + 0.5})
     seen = F.col("fu").between(0, camera.width - 1) & F.col("fv").between(0, camera.height - 1)
-    at = at.withColumns({f"r{n}": F.when(seen, F.floor(f"f{n}").cast("int")) for n in "uv"})
+    at = at.withColumns({f"r{n}": F.when(seen, F.floor(f"f{n}").try_cast("int")) for n in "uv"})
     m = model.select(*by, F.col("u").alias("ru"), F.col("v").alias("rv"), *[F.col(n).alias(f"m{n}") for n in ("x", "y", "z", "nx", "ny", "nz")])
     both = at.join(m, [*by, "ru", "rv"], "left")
     p, n = [F.col(f"p{k}") for k in "xyz"], [F.col(f"mn{k}") for k in "xyz"]
