@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -47,20 +48,40 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._octofold_path = path
+    _here.__dict__.setdefault("paths", set()).add(path)
     return out
 
 
+#: Folders of the ``stored`` tables of this thread that were not deleted yet.
+_here = threading.local()
+
+
+def made() -> set[str]:
+    return set(_here.__dict__.get("paths", ()))
+
+
+def discard_since(known: set[str], kept: DataFrame) -> None:
+    """Deletes the tables stored since ``known`` was taken, but for ``kept``: for a caller that has
+    stored a result and reads nothing else any more."""
+    for path in made() - known - {kept._octofold_path}:
+        remove(kept.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    _here.__dict__.setdefault("paths", set()).discard(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a ``stored`` table that nothing reads any more, and has the JVM
     collect its garbage, upon which Spark removes the shuffle files of the plans before it: with
     many partitions these take more disk than the rows of iterative steps."""
     path = getattr(df, "_octofold_path", None)
     if path:
-        jvm = df.sparkSession._jvm
         gc.collect()
-        jvm.System.gc()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+        df.sparkSession._jvm.System.gc()
+        remove(df.sparkSession, path)
 
 
 #: A key is hot if it has over 1 / HOT of all rows (and HOT_ROWS at least): HOT keys at most.

@@ -183,6 +183,7 @@ def leaks(docs: DataFrame, items: DataFrame, score: float = SCORE) -> DataFrame:
     held = passages.select("passage", F.explode("grams").alias("gram"))
     met = spread_join(held, seeds, "gram", ["passage"], hot_keys(held, "gram")).select("passage", "item_id").distinct()
     pairs = stored(met, "pairs")
+    discard(grams)
     ready = pairs.join(passages.select("passage", "doc_id", "start", "words"), "passage")
     ready = spread_join(ready, items.select("item_id", F.col("words").alias("item")), "item_id", ["passage"], hot_keys(pairs, "item_id"))
 

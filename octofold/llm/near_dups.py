@@ -255,9 +255,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     both = stored(reps.select("doc_id", "sign", "keys").join(sketches(open_ids, docs), "doc_id"), "sketches")
     others = stored(block_pairs(here, mixed, both, percent, hot), "others")
     more = confirmed(others, docs, percent)
-    for used in (buckets, members, roots, mixed, open_ids, both, others):
-        discard(used)
     stars = components(links.union(more))
+    for used in (buckets, members, roots, mixed, open_ids, both, others, reps, links, more):
+        discard(used)
 
     root = classes.join(stars.select(F.col("a").alias("rep"), F.col("b").alias("root")), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     out = spread_join(signed.select("doc_id", "n_shingles", "digest"), root, "digest", ["doc_id"], hot_keys(classes, "digest", "copies"), "left")

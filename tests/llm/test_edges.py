@@ -2,6 +2,7 @@
 very long texts, ties, rows repeated whole, and other columns with names that the operators use."""
 
 import hashlib
+import os
 import re
 from collections import Counter, defaultdict
 
@@ -192,7 +193,10 @@ def test_codec(spark, odd):
 
 def test_pipeline(spark, odd, none):
     pipeline = pytest.importorskip("corpus_pipeline")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
     out = pipeline.run(spark, odd).collect()
+    assert [x.split("-")[1] for x in set(os.listdir(shared)) - before if x.startswith("octofold-")] == ["personal_data"]
     assert {r.doc_id for r in out} == {3, 4, 7, 8, 9, 10, 11, 12, None} and all(r.lossless for r in out)
     assert pipeline.run(spark, none).count() == 0
 
