@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from octofold.llm import decontaminate, language_id, near_dups, pii_spans, spm_codec
-from octofold.llm.common import discard, small_batches, stored, table
+from octofold.llm.common import discard, discard_since, made, small_batches, stored, table
 
 #: Word shingles of five words; a similarity of this many percent or more links.
 SIMILAR = 80
@@ -59,6 +59,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, so each stage starts from a table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        known, before, docs = made(), docs, stored(stage(spark, docs, sf_dir), name)
         discard(before)
+        discard_since(known, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
