@@ -165,13 +165,14 @@ ODDS = "log2(greatest(0.03e0,least(0.97e0,s))/(1e0-greatest(0.03e0,least(0.97e0,
 
 def occupancies(spark, d):
     o = observations(spark, d).where("depth > 0")
-    return o.select("frame", "x", "y", "z", U.occupancy(-F.col("diff") / U.noise(F.col("pz"), VOXEL)).alias("s"))
+    o = K.held(o, "frame", "x", "y", "z", t=-F.col("diff") / U.noise(F.col("pz"), VOXEL))
+    return o.select("frame", "x", "y", "z", U.occupancy(F.col("t")).alias("s"))
 
 
 @query(f"WITH {OCC} SELECT frame, x, y, z, round({ODDS},5)+0e0 AS x_new FROM os WHERE s <> 0.5e0")
 def occupancy_update_frame(spark, d):
     o = occupancies(spark, d).where("s <> 0.5")
-    return o.select("frame", "x", "y", "z", (F.round(U.log_odds_step(F.lit(0.0), F.lit(0.0), F.col("s")), 5) + 0.0).alias("x_new"))
+    return o.select("frame", "x", "y", "z", (F.round(U.log_odds_step(F.lit(0.0), F.lit(0.0), U.log_odds(F.col("s"))), 5) + 0.0).alias("x_new"))
 
 
 @query(f"""WITH RECURSIVE {OCC}, r AS (SELECT x, y, z, frame, {ODDS} AS o, row_number() OVER (PARTITION BY x, y, z ORDER BY frame) AS i, frame - lag(frame) OVER (PARTITION BY x, y, z ORDER BY frame) AS gap FROM os WHERE s <> 0.5e0),

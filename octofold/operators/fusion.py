@@ -134,21 +134,26 @@ def noise(z: Column, voxel_size: float, factor: float = 0.01) -> Column:
     return F.greatest(F.lit(2.0 * voxel_size), F.least(z * z * factor, F.lit(0.05)))
 
 
-def log_odds_step(x: Column, seconds: Column, s: Column, tau: float = 4.0) -> Column:
-    """Decay by the time since the last update, then add the log odds."""
-    decayed = x * F.greatest(F.lit(0.5), 1.0 / (1.0 + seconds / tau))
+def log_odds(s: Column) -> Column:
+    """What an observation adds."""
     clamped = F.greatest(F.lit(0.03), F.least(F.lit(0.97), s))
-    return F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), decayed + F.log2(clamped / (1.0 - clamped))))
+    return F.log2(clamped / (1.0 - clamped))
+
+
+def log_odds_step(x: Column, seconds: Column, odds: Column, tau: float = 4.0) -> Column:
+    """Decay by the time since the last update, then add the log odds."""
+    decayed = x * F.greatest(F.lit(0.5), 1.0 / (1.0 + seconds / tau))
+    return F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), decayed + odds))
 
 
 def fold_occupancy(observations: DataFrame, by: list[str], time: str) -> DataFrame:
     """D14 for occupancy: observations (time, s) folded in time order; s = 1/2 is no news."""
-    kept = observations.where("s <> 0.5")
-    lists = kept.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(time).alias("t"), "s"))).alias("l"))
+    kept = observations.where("s <> 0.5").select(*by, F.col(time).cast("double").alias("t"), log_odds(F.col("s")).alias("odds"))
+    lists = kept.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("t", "odds"))).alias("l"))
 
     def step(a: Column, o: Column) -> Column:
         gap = F.when(a["n"] == 0, 0.0).otherwise(o["t"] - a["t"])
-        return F.struct(log_odds_step(a["x"], gap, o["s"]).alias("x"), o["t"].cast("double").alias("t"), (a["n"] + 1).alias("n"))
+        return F.struct(log_odds_step(a["x"], gap, o["odds"]).alias("x"), o["t"].alias("t"), (a["n"] + 1).alias("n"))
 
     start = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("t"), F.lit(0).alias("n"))
     return lists.select(*by, F.aggregate("l", start, step).alias("a")).select(*by, "a.x", "a.n")

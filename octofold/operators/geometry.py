@@ -95,7 +95,7 @@ def slab(lo: Column, hi: Column, o: Column, d: Column) -> tuple[Column, Column]:
     return t_in, t_out
 
 
-def ray_blocks(rays: DataFrame, blocks: DataFrame, far: float, depth: int, coarse: int = 32) -> DataFrame:
+def ray_blocks(rays: DataFrame, blocks: DataFrame, far: float, depth: int, coarse: int = 16) -> DataFrame:
     """Blocks (key, x, y, z) that each ray pierces within (0, far], with entry and exit. A
     ray first walks coarse cells along its steepest axis, either way: each slice of ``coarse`` voxels
     names the few cells its segment can touch there, and those join the blocks' own cells."""
