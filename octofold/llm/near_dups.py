@@ -10,7 +10,8 @@
    the threshold (``SIGMAS`` standard errors) ends the matter, then on the full sets.
 4. Links so far give components (large-star, small-star). A bucket whose other members are still
    in different components is searched fully: its members get a sketch of ``LONG`` more minima
-   and are dealt into blocks of about ``BLOCK`` (ids, keys and sketches, under 2 KB each), and pairs of blocks compare signatures as
+   and are dealt into blocks of about ``BLOCK``, up to eight times as many in large buckets (ids, keys and
+   sketches, under 2 KB each), and pairs of blocks compare signatures as
    matrices, then the sketches of what is left. Only pairs of different components that neither
    rules out are emitted, by the first bucket that they share, and verified on full sets.
 5. Components over all links; each document gets its component's smallest doc_id.
@@ -42,7 +43,7 @@ from octofold.llm.shingles import mix, random_longs, shingle_set
 SHINGLE, ROWS, BANDS = 5, 5, 28
 HASHES = ROWS * BANDS
 FACTOR, OFFSET = random_longs(HASHES) | np.uint64(1), random_longs(HASHES)
-SIGMAS, BLOCK = 5, 512
+SIGMAS, BLOCK = 5, 256
 #: Members of a block that are compared with another block at once.
 TILE = 128
 #: Minima of the long sketch, of which one byte each is kept.
@@ -173,10 +174,11 @@ def sketches(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 def block_pairs(members: DataFrame, sizes: DataFrame, signs: DataFrame, percent: int, hot: list[tuple]) -> DataFrame:
     """Pairs (a, b) of a bucket's members (key, doc_id, component) in different components that
-    neither signatures nor sketches rule out. A bucket of n members is n / BLOCK blocks, and each pair of
+    neither signatures nor sketches rule out. A bucket of n members is n / BLOCK blocks or fewer, and each pair of
     blocks is a group of its own: no task holds more than two blocks at once."""
     least, least_long = least_agreement(percent), least_agreement(percent, LONG)
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    size = F.least(F.lit(8.0 * BLOCK), F.greatest(F.lit(float(BLOCK)), F.col("n") / 64))  # larger blocks are shipped less often
+    blocks = F.ceil(F.col("n") / size).cast("int")
     dealt = spread_join(members, sizes.select("key", blocks.alias("k")), "key", ["doc_id"], hot).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int"))
     spread = dealt.select("key", "doc_id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     group = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("grp")
