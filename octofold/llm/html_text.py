@@ -44,7 +44,9 @@ from octofold.llm.common import table
 START = re.compile(r"<(/?)([A-Za-z][^\s/<>]*)")
 SIGNS = re.compile("<+")
 REST = re.compile(r"""(?:[^<>"']|"[^"]*"|'[^']*')*+>""")
-ATTR = re.compile(r"""(class|id|role|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTR = re.compile(r"""([^\s"'=<>/]+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?""")
+#: Attributes whose words tell the label; no other attribute does, whatever its name or value holds.
+TELLING = frozenset("class id role".split())
 WORD = re.compile(r"[a-z]+|[0-9]+")
 #: Class names that deny a word: they count as one word.
 DENIES = re.compile(r"(?:has|no|not|with|without|hide|hidden)[-_]")
@@ -65,7 +67,8 @@ GROUPS = {t: g for g, tags in {"article": "article main", "text": "p h1 h2 h3 h4
 GROUPS |= {t: "inline" for t in INLINE}
 AROUND, CONTENT, BESIDE = LABELS = (0, 1, 2)
 SAMPLE_PAGES = 2_000
-#: Different observations that a model keeps, the most frequent first.
+#: Different observations that a model keeps, the most frequent first: its size is bounded, as all
+#: tasks get it. Rarer ones count as never seen.
 VOCABULARY = 20_000
 #: Pseudo-counts: of an observation that tells nothing, of the marks above, of forms of text.
 SEEN, MARKED, FORMED = 0.25, 3_000.0, 10.0
@@ -138,9 +141,10 @@ class Page:
                 self.end_tag(name)
             elif name in SKIPPED:
                 self.parts.append((self.stack[-1][1], " "))
-                ending = None if name in gone else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                if ending:
-                    at = ending.end()
+                ending = None if name in gone else re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(source, at)
+                close = source.find(">", ending.end()) if ending else -1
+                if close >= 0:
+                    at = close + 1
                 else:
                     gone.add(name)
                     at = end if name in ("script", "style", "textarea", "title") else at
@@ -222,11 +226,14 @@ class Page:
 
     @staticmethod
     def named(attrs: str) -> tuple[str, ...]:
-        """The different words of class, id and role."""
+        """The different words of class, id and role, and "hidden" for the attribute of that name."""
         found = {}
         for a in ATTR.finditer(attrs):
-            if a[1].lower() == "hidden":
+            kind = a[1].lower()
+            if kind == "hidden":
                 found["hidden"] = None
+            if kind not in TELLING:
+                continue
             for name in (a[2] or a[3] or a[4] or "").lower().split():
                 found.update(dict.fromkeys([name] if DENIES.match(name) else WORD.findall(name)))
         return tuple(found)

@@ -19,6 +19,7 @@ import binascii
 import hashlib
 import json
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +29,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----((?:\s*[A-Za-z][A-Za-z0-9-]*: [^\n]*\n)*)([A-Za-z0-9+/=\s\\]+)-----END \1PRIVATE KEY-----")
+PEM_LINE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*)PRIVATE KEY-----")
+PEM_BODY = re.compile(r"((?:\s*+[A-Za-z][A-Za-z0-9-]*+: [^\n]*+\n)*+)([A-Za-z0-9+/=\s\\]++)")
 BLOB = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
 URL_BLOB = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
 HEX_ANY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
@@ -126,6 +128,20 @@ def is_token(head: str, payload: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(payload, dict)
 
 
+def pem_blocks(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and content of each BEGIN line that the END line of its name follows next: every
+    character is read once, however many BEGIN lines never end."""
+    begin = None
+    for m in PEM_LINE.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin and begin[2] == m[2]:
+            yield begin.start(), m.end(), text[begin.end() : m.start()]
+            begin = None
+        else:
+            begin = None
+
+
 def is_pem(headers: str, body: str) -> bool:
     data = unbase64(re.sub(r"\\[nr]|\s", "", body))
     if "ENCRYPTED" in headers and "DEK-Info:" in headers:
@@ -143,9 +159,10 @@ def spans_of(text: str) -> list[tuple[int, str, int]]:
     if b"AKIA" in raw:
         out += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     if b"-----BEGIN " in raw:
-        for m in PEM.finditer(text):
-            if is_pem(m[2], m[3]):
-                out.append((m.start(), "pem", m.end()))
+        for start, end, content in pem_blocks(text):
+            m = PEM_BODY.fullmatch(content)
+            if m and is_pem(m[1], m[2]):
+                out.append((start, "pem", end))
     if max(map(len, raw.split()), default=0) >= LONG_WORD:
         out += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
         out += [(m.start(), "keyhex", m.end()) for m in HEX_ANY.finditer(text) if is_private_key(bytes.fromhex(m[0]))]

@@ -52,6 +52,8 @@ def tables(folder, rows):
         benchmark={"item_id": pa.array([1, 1, 2, None, 3] * n, pa.int64()), "text": pa.array([ITEM, ITEM, None, "", "one"] * n, pa.string()), "score": pa.array(["x"] * 5 * n, pa.string())},
         labels={"doc_id": pa.array([4, None, 99, 4, 6] * n, pa.int64()), "quality": pa.array([1, 0, 1, None, 0] * n, pa.int32()), "toxic": pa.array([0, 0, None, 1, 0] * n, pa.int32()), "n_words": pa.array(["x"] * 5 * n, pa.string())},
         pages={"page_id": pa.array([0, None, 2, 3, 0] * n, pa.int64()), "url": pa.array([p[0] for p in pages], pa.string()), "html": pa.array([p[1] for p in pages], pa.string()), "text": pa.array(["x"] * len(pages), pa.string())},
+        embeddings={"vec_id": pa.array([0, None, 20, 20, 1] * n, pa.int64()), "embedding": pa.array([[1.0, 2.0], [1.0, 1.0], None, [0.5, None], [3.0, 1.0]] * n, pa.list_(pa.float32())), "rank": pa.array(["x"] * 5 * n, pa.string())},
+        conversations={"conv_id": pa.array([1, 1, None, 2, 1] * n, pa.int64()), "turn": pa.array([0, 1, 0, None, 0] * n, pa.int64()), "role": pa.array(["user", "assistant", None, "user", "user"] * n, pa.string()), "text": pa.array(["Hi.", "Yes.", None, LONG, "Hi."] * n, pa.string()), "cost": pa.array(["x"] * 5 * n, pa.string())},
     )
 
 
@@ -191,6 +193,26 @@ def test_codec(spark, odd):
     assert all(got[i].n_ids == len(library.encode(t or "")) and got[i].lossless for i, t in ROWS)
 
 
+def test_phrases(spark, odd):
+    from test_phrases import plain
+
+    langs = {i: None if i is None or i % 4 == 0 else "en" for i, _ in ROWS}
+    call = registry.queries()["op11_phrase_stripes"]
+    assert sorted(map(tuple, call(spark, odd).collect())) == plain([(langs[i], t) for i, t in ROWS], 100)
+
+
+def test_vectors(spark, odd):
+    got = registry.queries()["op12_vector_search"](spark, odd).collect()
+    assert [tuple(r) for r in got] == [(0, 1, 1, 5.0)]
+
+
+def test_conversations(spark, odd):
+    from test_conversations import plain, result
+
+    rows = [(1, 0, "user", "Hi."), (1, 1, "assistant", "Yes."), (None, 0, None, None), (2, None, "user", LONG), (1, 0, "user", "Hi.")]
+    assert result(registry.queries()["op13_conversation_repair"](spark, odd)) == plain(rows)
+
+
 def test_pipeline(spark, odd, none):
     pipeline = pytest.importorskip("corpus_pipeline")
     shared = spark.conf.get("spark.checkpoint.dir")

@@ -4,6 +4,7 @@ import time
 from collections import Counter
 
 import pytest
+from helpers import save
 
 from octofold.llm import html_text
 
@@ -67,6 +68,37 @@ def test_inline_elements_and_formulas():
     assert html_text.TreeModel({}).text(text) == "one x two"
 
 
+@pytest.mark.parametrize("mark", ['style="overflow:hidden"', 'aria-hidden="false"', 'title="The hidden gem"', 'data-id="ads"', 'data-grid="comments"', "data-class=sidebar", 'onclick="menu(\'footer\')"', 'alt=\'class="ad"\'', 'data-role = "navigation"', "nohidden", 'x="hidden"'])
+def test_only_class_id_and_role_mark(learnt, mark):
+    """Words of other attributes' names and values say nothing, with or without a model."""
+    body = "".join(f"<p>{sentence(k, 14)}</p>" for k in range(8))
+    want = "\n".join(["A heading here", *[sentence(k, 14) for k in range(8)]])
+    for model in (learnt, html_text.TreeModel({})):
+        assert model.text(f"<html><body><div {mark}><h1>A heading here</h1>{body}</div></body></html>") == want
+        inside = f"<div class=article><p {mark}>{sentence(1, 14)}</p><p>{sentence(2, 14)}</p></div>"
+        assert model.text(f"<html><body>{inside}</body></html>") == f"{sentence(1, 14)}\n{sentence(2, 14)}"
+
+
+@pytest.mark.parametrize("mark", ["hidden", "hidden=''", 'class="ad box"', "id = sidebar", "ROLE='navigation'", 'data-a="1" class=menu', "title='x' hidden"])
+def test_marks_still_work(learnt, mark):
+    page = f"<html><body><article><p>{sentence(1, 14)}</p><div {mark}><p>{sentence(3, 14)}</p></div></article></body></html>"
+    assert learnt.text(page) == html_text.TreeModel({}).text(page) == sentence(1, 14)
+
+
+def test_query_learns_from_its_pages(spark, tmp_path):
+    """The registered query on pages with an article, and on pages whose only sign is a class word
+    that those never have inside: the learnt model leaves it out, the unlearnt one does not."""
+    body = lambda k: "".join(f"<p>{sentence(k + i, 12 + 5 * i)}</p>" for i in range(4))
+    told = [f"<html><body><div class=kasten>{sentence(k, 9)}</div><article><h2>{sentence(k, 3)}</h2>{body(k)}</article></body></html>" for k in range(80)]
+    bare = f"<html><body><div><h2>A title</h2><p>{sentence(5, 30)}</p><p>{sentence(6, 20)}</p></div><div class=kasten>{sentence(1, 11)}</div></body></html>"
+    want = f"A title\n{sentence(5, 30)}\n{sentence(6, 20)}"
+    pages = [*told, bare]
+    folder = save(tmp_path, pages={"page_id": list(range(81)), "url": ["u"] * 81, "html": pages})
+    got = {r.page_id: r.text for r in html_text.op2_html_text(spark, folder).collect()}
+    assert got[80] == want != html_text.TreeModel({}).text(bare)
+    assert all(got[k].split("\n") == [sentence(k, 3), *(sentence(k + i, 12 + 5 * i) for i in range(4))] for k in range(80))
+
+
 HOSTILE = {
     "tags that never end": "<a " * 330_000,
     "deep classes": "<div class=x>" * 77_000,
@@ -77,6 +109,11 @@ HOSTILE = {
     "only signs": "<" * 1_000_000,
     "spans before blocks": "<p>" + "<span class=x>" * 40_000 + "<div></div>" * 40_000,
     "comments": "<!--" * 250_000,
+    "scripts that never end": "<script>" + "</script " * 100_000,
+    "scripts that end late": "<script>" + "</script " * 50_000 + ">" + "<script>" + "</script " * 50_000,
+    "styles without sign": "<style>" * 60_000 + "</style" * 60_000,
+    "attributes": "<div " + "a = " * 200_000 + "><p>x</p></div>",
+    "open quotes": "<div " + "a=\"b c='" * 60_000 + ">",
     "references": "&" * 1_000_000,
 }
 

@@ -37,6 +37,20 @@ def test_secrets_confirmed_by_structure(spark):
     assert got[9].n_access == 1 and got[10].n_hex == 1
 
 
+def test_key_blocks():
+    """A block is a BEGIN line and the END line of its name that follows next."""
+    key64 = base64.b64encode(RSA).decode()
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    whole = f"{begin}\n{key64}\n{end}"
+    pem = lambda t: [(a, b) for a, k, b in secret_scan.spans_of(t) if k == "pem"]
+    assert pem(f"x {whole} y {whole}") == [(2, 2 + len(whole)), (5 + len(whole), 5 + 2 * len(whole))]
+    assert pem(f"{begin} x {whole}") == [(len(begin) + 3, len(begin) + 3 + len(whole))]
+    assert pem(f"{begin}\n{key64}\n-----END PRIVATE KEY-----") == pem(f"{begin}\n{key64}") == pem(f"{begin}{end}") == []
+    locked = base64.b64encode(bytes(range(80))).decode()
+    head = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00-11\n\n"
+    assert len(pem(f"{begin}{head}{locked}\n{end}")) == 1 and pem(f"{begin}\n{locked}\n{end}") == []
+
+
 def test_secret_base_equals_patterns(spark):
     texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{SMALL}/documents.parquet'").fetchall()] + ["x" * 300_000 + " token=abcdefgh"]
     got = rows(secret_scan.scan(documents(spark, texts)))
