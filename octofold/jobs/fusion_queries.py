@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from octofold.functions import keys as K
 from octofold.jobs import series_queries
 from octofold.jobs import sqltext as S
+from octofold.operators import bricks as B
 from octofold.operators import fusion as U
 from octofold.operators import images as I
 from octofold.operators import surface as R
@@ -228,11 +229,12 @@ def integrate_frames(spark, d):
 
 
 BAND = 0.6
-_FIXED, _FIRST = U.step_schedule(VOXEL, BAND, 8)
-STEPS = ", ".join(f"({t!r}e0, {level})" for t, level in [*_FIXED, *((_FIRST + k * 30 * VOXEL, 3) for k in range(40))])
+#: One voxel a step within the band, ten to half a band more, then thirty; block level is 5.
+STEPS = """near AS (SELECT 0e0 AS t, 5 AS level UNION ALL SELECT t + CASE WHEN t < 0.6e0 THEN 1e0 ELSE 10e0 END * 0.05e0, CASE WHEN t < 0.6e0 THEN 5 ELSE 4 END FROM near WHERE t < 1.5e0*0.6e0),
+st AS (SELECT t, level FROM near UNION ALL SELECT (SELECT max(t) FROM near) + 30e0*0.05e0 + k.k*(30e0*0.05e0), 3 FROM range(0, 40) k(k))"""
 
 
-@query(f"""WITH {FRAMES}, {sql_views('pi', [back(v) for v in VIEWS])}, st AS (SELECT * FROM (VALUES {STEPS}) s(t, level)), {HITS}, p AS (SELECT frame, level, 1e0+(0.3e0-t)/norm AS f, wx, wy, z FROM w, st WHERE t < norm + 0.3e0), a AS (SELECT frame, level, wx*f AS ax, wy*f AS ay, z*f AS az FROM p),
+@query(f"""WITH RECURSIVE {FRAMES}, {sql_views('pi', [back(v) for v in VIEWS])}, {STEPS}, {HITS}, p AS (SELECT frame, level, 1e0+(0.3e0-t)/norm AS f, wx, wy, z FROM w, st WHERE t < norm + 0.3e0), a AS (SELECT frame, level, wx*f AS ax, wy*f AS ay, z*f AS az FROM p),
 x AS (SELECT frame, level, CAST(floor(({_W[0]})/0.05e0) AS INTEGER) AS x, CAST(floor(({_W[1]})/0.05e0) AS INTEGER) AS y, CAST(floor(({_W[2]})/0.05e0) AS INTEGER) AS z FROM a JOIN pi ON pi.k = a.frame%4)
 SELECT DISTINCT frame, {S.key('x', 'y', 'z', 'level')} AS key FROM x WHERE x BETWEEN 0 AND 255 AND y BETWEEN 0 AND 255 AND z BETWEEN 0 AND 255""")
 def octant_alloc_list(spark, d):
@@ -280,7 +282,7 @@ _ACR = "CASE d{n} WHEN -1 THEN f{n}-1e0 WHEN 0 THEN -f{n} WHEN 1 THEN 1e0-f{n} E
 _AXES = [" * ".join(["(" + _ACR.format(n=n) + ")", *("(" + _LIN.format(n=m) + ")" for m in "xyz" if m != n)]) for n in "xyz"]
 
 
-@query(f"""WITH {FIELD}, o AS (SELECT * FROM (VALUES {', '.join(str(o) for o in R.STENCIL)}) o(dx,dy,dz)),
+@query(f"""WITH {FIELD}, sp AS (SELECT CAST(range AS INTEGER) AS d FROM range(-1, 3)), o AS (SELECT a.d AS dx, b.d AS dy, c.d AS dz FROM sp a, sp b, sp c WHERE CAST(a.d IN (-1,2) AS INTEGER) + CAST(b.d IN (-1,2) AS INTEGER) + CAST(c.d IN (-1,2) AS INTEGER) <= 1),
 n AS (SELECT b.x+256*b.y+65536*b.z AS id, dx, dy, dz, 0.25e0 AS fx, 0.5e0 AS fy, 0.125e0 AS fz, greatest(0,least(n-1,b.x+dx)) AS nx, greatest(0,least(n-1,b.y+dy)) AS ny, greatest(0,least(n-1,b.z+dz)) AS nz, n AS size FROM fld b, o, ed0),
 g AS (SELECT n.*, coalesce(f.value, 1e0) AS value FROM n LEFT JOIN fld f ON f.x=nx AND f.y=ny AND f.z=nz)
 SELECT id, """ + ", ".join(f"round(sum({w}*value)*(0.5e0/max(size)),5)+0e0 AS g{n}" for w, n in zip(_AXES, "xyz")) + " FROM g GROUP BY id")
@@ -298,7 +300,7 @@ CASE = f"{CELLS}, cs AS (SELECT x, y, z, CAST(CASE WHEN min(CASE WHEN seen THEN
 def cases(spark, d):
     v, b = bases(spark, d)
     cells = R.corner_values(b, v, float("nan")).withColumn("corners", F.transform("corners", lambda c: F.when(~F.isnan(c), c)))
-    return R.case_index(cells, R.inside_negative).join(b, "id")
+    return R.case_index(cells, R.inside_negative)
 
 
 @query(f"WITH {CASE} SELECT k AS case_index, count(*) AS n FROM cs GROUP BY k")
@@ -345,24 +347,30 @@ def camera_rays(spark, d):
     return edge, rays.withColumns({f"o{n}": F.col(f"o{n}") + NEAR * F.col(f"d{n}") for n in "xyz"})
 
 
-def cast(spark, d, rising: bool):
+def cast(spark, d, walk):
+    """Hits of all rays, which end where they leave the field; its padded bricks are stored, as
+    the descent and the walk read them."""
     edge, rays = camera_rays(spark, d)
     v, _ = bases(spark, d)
-    blocks = v.select(*[(F.floor(F.col(n) / 8) * 8).cast("int").alias(n) for n in "xyz"]).distinct()
-    blocks = K.held(blocks, *"xyz", key=K.block_key("x", "y", "z", 8))
-    return edge, v, rays, R.raycast(rays, blocks, v, 40.0, 0.5, 8, rising)
+    padded = A.checkpointed(B.padded(v))
+    return edge, padded, rays, R.raycast(rays, padded, max(3, edge.bit_length() - 1), edge, walk)
 
 
 _V = "CASE c.dx WHEN 1 THEN px-floor(px) ELSE 1e0-(px-floor(px)) END * CASE c.dy WHEN 1 THEN py-floor(py) ELSE 1e0-(py-floor(py)) END * CASE c.dz WHEN 1 THEN pz-floor(pz) ELSE 1e0-(pz-floor(pz)) END"
 
 
-def sql_cast(before: str, after: str, start: str) -> str:
+def sql_rays() -> str:
+    """ry: the rays of all pixels from the near plane."""
     e = "(SELECT n FROM ed0)"
     views = f"cw AS (SELECT * FROM (VALUES (0, 0.96e0,0e0,0.28e0,0.3e0, 0e0,1e0,0e0,0.4e0, -0.28e0,0e0,0.96e0), (1, 1e0,0e0,0e0,0.5e0, 0e0,0.96e0,0.28e0,0.2e0, 0e0,-0.28e0,0.96e0), (2, 1e0,0e0,0e0,0.5e0, 0e0,1e0,0e0,0.5e0, 0e0,0e0,1e0), (3, 1e0,0e0,0e0,0.5e0, 0e0,0.96e0,-0.28e0,0.6e0, 0e0,0.28e0,0.96e0)) p(k,m00,m01,m02,m03,m10,m11,m12,m13,m20,m21,m22))"
-    return f"""WITH {FIELD}, {FRAMES}, {views}, cr AS (SELECT * FROM (VALUES (0,0,0),(1,0,0),(0,1,0),(1,1,0),(0,0,1),(1,0,1),(0,1,1),(1,1,1)) c(dx,dy,dz)),
+    return f"""{views},
 px AS (SELECT f.frame, CAST(u.u AS INTEGER) AS u, CAST(v.v AS INTEGER) AS v, m03*{e} AS ox, m13*{e} AS oy, 0.5e0 AS oz, m00*((u.u-25e0)/40e0)+m01*((v.v-25e0)/40e0)+m02 AS ex, m10*((u.u-25e0)/40e0)+m11*((v.v-25e0)/40e0)+m12 AS ey, m20*((u.u-25e0)/40e0)+m21*((v.v-25e0)/40e0)+m22 AS ez FROM (SELECT DISTINCT frame FROM fr) f JOIN cw ON cw.k=f.frame%4, range(0,50) u(u), range(0,50) v(v)),
-r0 AS (SELECT (frame*50+v)*50+u AS ray_id, ox, oy, oz, ex/sqrt(ex*ex+ey*ey+ez*ez) AS dx, ey/sqrt(ex*ex+ey*ey+ez*ez) AS dy, ez/sqrt(ex*ex+ey*ey+ez*ez) AS dz FROM px), ry AS (SELECT ray_id, ox+2e0*dx AS ox, oy+2e0*dy AS oy, oz+2e0*dz AS oz, dx, dy, dz FROM r0),
-s0 AS (SELECT ray_id, CAST(k.k AS INTEGER) AS k, ox+k.k*0.5e0*dx AS px, oy+k.k*0.5e0*dy AS py, oz+k.k*0.5e0*dz AS pz FROM ry, range(0,81) k(k)), sm AS MATERIALIZED (SELECT s0.* FROM s0, ed0 WHERE px>=0 AND py>=0 AND pz>=0 AND px<n AND py<n AND pz<n),
+r0 AS (SELECT (frame*50+v)*50+u AS ray_id, ox, oy, oz, ex/sqrt(ex*ex+ey*ey+ez*ez) AS dx, ey/sqrt(ex*ex+ey*ey+ez*ez) AS dy, ez/sqrt(ex*ex+ey*ey+ez*ez) AS dz FROM px), ry AS (SELECT ray_id, ox+2e0*dx AS ox, oy+2e0*dy AS oy, oz+2e0*dz AS oz, dx, dy, dz FROM r0)"""
+
+
+def sql_cast(before: str, after: str, start: str) -> str:
+    return f"""WITH {FIELD}, {FRAMES}, {sql_rays()}, cr AS (SELECT * FROM (VALUES (0,0,0),(1,0,0),(0,1,0),(1,1,0),(0,0,1),(1,0,1),(0,1,1),(1,1,1)) c(dx,dy,dz)),
+s0 AS (SELECT ray_id, CAST(k.k AS INTEGER) AS k, ox+k.k*0.5e0*dx AS px, oy+k.k*0.5e0*dy AS py, oz+k.k*0.5e0*dz AS pz FROM ry, range(0, (SELECT 4*n+4 FROM ed0)) k(k)), sm AS MATERIALIZED (SELECT s0.* FROM s0, ed0 WHERE px>=0 AND py>=0 AND pz>=0 AND px<n AND py<n AND pz<n),
 fm AS MATERIALIZED (SELECT * FROM fld), vl AS MATERIALIZED (SELECT ray_id, k, sum(({_V})*f.value) AS value FROM sm CROSS JOIN cr c JOIN fm f ON f.x=CAST(floor(px) AS INTEGER)+c.dx AND f.y=CAST(floor(py) AS INTEGER)+c.dy AND f.z=CAST(floor(pz) AS INTEGER)+c.dz GROUP BY ray_id, k HAVING count(*)=8),
 pr AS MATERIALIZED (SELECT a.ray_id, a.k AS k0, a.value AS v0, b.value AS v1 FROM vl a JOIN vl b ON b.ray_id=a.ray_id AND b.k=a.k+1), ht AS (SELECT ray_id, min(k0) AS k0 FROM pr WHERE {before} AND {after} GROUP BY ray_id),
 st AS (SELECT ray_id FROM vl GROUP BY ray_id HAVING arg_min(value, k) {start})
@@ -372,20 +380,41 @@ SELECT ht.ray_id AS ray_id, round((ht.k0 + v0/(v0-v1))*0.5e0, 4) AS t FROM ht JO
 @query(sql_cast("v0 > 0", "v1 <= 0", "> 0"))
 def raycast_sdf(spark, d):
     """The surface that each pixel sees in the field taken as distances."""
-    return cast(spark, d, False)[3].select("ray_id", F.round("t", 4).alias("t"))
+    return cast(spark, d, B.fixed(0.5, False))[3].select("ray_id", F.round("t", 4).alias("t"))
 
 
 @query(sql_cast("v0 <= 0", "v1 > 0", "<= 0"))
 def raycast_occupancy(spark, d):
     """The same with the field taken as log-odds."""
-    return cast(spark, d, True)[3].select("ray_id", F.round("t", 4).alias("t"))
+    return cast(spark, d, B.fixed(0.5, True))[3].select("ray_id", F.round("t", 4).alias("t"))
+
+
+_BLEND = " + ".join(f"c{i} * " + " * ".join(f"(p{n}-floor(p{n}))" if c else f"(1e0-(p{n}-floor(p{n})))" for c, n in zip(o, "xyz")) for i, o in enumerate([(i & 1, i >> 1 & 1, i >> 2 & 1) for i in range(8)]))
+_STEP = "CASE WHEN raw IS NULL THEN 2e0 ELSE greatest(v*0.1e0, 0.5e0) END"
+_LEAVE = ", ".join(f"CASE WHEN d{n} <> 0 THEN greatest((0e0-o{n})/d{n}, (n-o{n})/d{n}) ELSE 1e9 END" for n in "xyz")
+STEPPED = f"""WITH RECURSIVE {FIELD}, {FRAMES}, {sql_rays()},
+gr AS (SELECT CAST(a.range AS INTEGER) AS x, CAST(b.range AS INTEGER) AS y, CAST(c.range AS INTEGER) AS z FROM range(0, (SELECT n FROM ed0)) a, range(0, (SELECT n FROM ed0)) b, range(0, (SELECT n FROM ed0)) c),
+c8 AS MATERIALIZED (SELECT g.x, g.y, g.z, f0.value AS raw, {', '.join(f'coalesce(f{i}.value, 1e0) AS c{i}' for i in range(8))} FROM gr g {' '.join(f'LEFT JOIN fld f{i} ON f{i}.x=g.x+{i & 1} AND f{i}.y=g.y+{i >> 1 & 1} AND f{i}.z=g.z+{i >> 2 & 1}' for i in range(8))}),
+rf AS MATERIALIZED (SELECT ry.*, least({_LEAVE}) AS far FROM ry, ed0),
+s0 AS (SELECT rf.*, coalesce({_BLEND.replace('px', 'ox').replace('py', 'oy').replace('pz', 'oz')}, 1e0) AS f FROM rf LEFT JOIN c8 ON c8.x=CAST(floor(ox) AS INTEGER) AND c8.y=CAST(floor(oy) AS INTEGER) AND c8.z=CAST(floor(oz) AS INTEGER)),
+m(ray_id, t, f, s, hit) AS (SELECT ray_id, 0e0, f, 2e0, CAST(NULL AS DOUBLE) FROM s0 WHERE f > 0 AND far > 0
+ UNION ALL SELECT ray_id, t + {_STEP}, CASE WHEN raw IS NULL THEN f ELSE v END, {_STEP}, CASE WHEN v < 0 THEN t + s*v/(f-v) END
+ FROM (SELECT *, CASE WHEN raw BETWEEN -0.5e0 AND 0.1e0 THEN {_BLEND} ELSE CAST(raw AS DOUBLE) END AS v FROM (SELECT m.*, ox+t*dx AS px, oy+t*dy AS py, oz+t*dz AS pz FROM m JOIN rf USING (ray_id) WHERE m.hit IS NULL AND m.t < rf.far) q
+  LEFT JOIN c8 ON c8.x=CAST(floor(px) AS INTEGER) AND c8.y=CAST(floor(py) AS INTEGER) AND c8.z=CAST(floor(pz) AS INTEGER)) w)
+SELECT ray_id, round(hit, 4) AS t FROM m WHERE hit IS NOT NULL"""
+
+
+@query(STEPPED)
+def raycast_steps(spark, d):
+    """R2: steps by distance, long ones through what is not stored."""
+    return cast(spark, d, B.stepping(0.1, 0.5, 2.0))[3].select("ray_id", F.round("t", 4).alias("t"))
 
 
 @query()
 def render_volume(spark, d):
     """Grey and normal of every pixel; pixels without a surface are black."""
-    edge, v, rays, hits = cast(spark, d, False)
-    seen = R.with_normals(hits, v, 1.0, edge, 1.0, inward=True)
+    edge, padded, rays, hits = cast(spark, d, B.fixed(0.5, False))
+    seen = R.with_normals(hits, padded, 1.0, edge, 1.0, inward=True)
     grey = I.shade([F.col(f"n{n}") for n in "xyz"], [F.col(n) for n in "xyz"], (edge * 1.0, edge * 1.0, -1.0))
     return rays.select("ray_id", "frame", "u", "v").join(seen.select("ray_id", grey.alias("grey"), *[F.round(f"n{n}", 5).alias(f"n{n}") for n in "xyz"]), "ray_id", "left").withColumn("grey", F.coalesce("grey", F.lit(0)))
 

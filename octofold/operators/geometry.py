@@ -95,32 +95,32 @@ def slab(lo: Column, hi: Column, o: Column, d: Column) -> tuple[Column, Column]:
     return t_in, t_out
 
 
-def ray_blocks(rays: DataFrame, blocks: DataFrame, far: float, depth: int, coarse: int = 16) -> DataFrame:
-    """Blocks (key, x, y, z) that each ray pierces within (0, far], with entry and exit. A
-    ray first walks coarse cells along its steepest axis, either way: each slice of ``coarse`` voxels
-    names the few cells its segment can touch there, and those join the blocks' own cells."""
-    slices = (1 << depth) // coarse
-    steep = F.greatest(*[F.abs(f"d{n}") for n in "xyz"])
-    axis = F.when(F.abs("dx") == steep, "x").when(F.abs("dy") == steep, "y").otherwise("z")
-    named = None
-    for main in "xyz":
-        o, d, low = F.col(f"o{main}"), F.col(f"d{main}"), F.col(f"c{main}") * coarse
-        a, b = F.try_divide(low - o, d), F.try_divide(low + coarse - o, d)
-        still = (d == 0) & o.between(low, low + coarse)  # a ray without direction
-        t0 = F.when(still, 0.0).when(d != 0, F.greatest(F.lit(0.0), F.least(a, b)))
-        t1 = F.when(still, far).when(d != 0, F.least(F.lit(far), F.greatest(a, b)))
-        walk = rays.where(axis == main).withColumn(f"c{main}", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumns({"t0": t0, "t1": t1}).where("t1 >= t0")
-        for n in "xyz".replace(main, ""):
-            p, q = F.col(f"o{n}") + F.col(f"d{n}") * F.col("t0"), F.col(f"o{n}") + F.col(f"d{n}") * F.col("t1")
-            # a cell more at an exact border, where closed blocks of both sides are touched
-            first, last = F.ceil(F.least(p, q) / coarse - 1e-9).cast("int") - 1, F.floor(F.greatest(p, q) / coarse + 1e-9).cast("int")
-            first, last = F.greatest(F.lit(0), first), F.least(F.lit(slices - 1), last)
-            walk = walk.withColumns({f"f{n}": first, f"l{n}": last}).where(f"f{n} <= l{n}").withColumn(f"c{n}", F.explode(F.sequence(f"f{n}", f"l{n}")))
-        walk = walk.select(*rays.columns, "cx", "cy", "cz")
-        named = walk if named is None else named.unionByName(walk)
-    cell = lambda n: F.floor(F.col(n) / coarse).cast("int")
-    placed = blocks.select("key", "x", "y", "z", *[cell(n).alias(f"c{n}") for n in "xyz"])
-    met = named.join(placed, ["cx", "cy", "cz"])
-    t = [slab(F.col(n).cast("double"), F.col(n).cast("double") + 8, F.col(f"o{n}"), F.col(f"d{n}")) for n in "xyz"]
-    met = met.select("ray_id", "key", F.greatest(*[x[0] for x in t], F.lit(0.0)).alias("t_in"), F.least(*[x[1] for x in t]).alias("t_out"))
-    return met.where((F.col("t_in") <= F.col("t_out")) & (F.col("t_in") <= far)).distinct()
+#: Octants of a level that are sent to all tasks: a bound of the level itself, not of the map.
+TOP = 4_096
+
+
+def ray_blocks(rays: DataFrame, blocks: DataFrame, far: float | Column, depth: int) -> DataFrame:
+    """Blocks (key, x, y, z) that each ray pierces within (0, far], with entry and exit. Rays go
+    down the octree of the blocks level by level: each octant that a ray pierces is joined, on its
+    place, with the children that it has. A ray pierces what its parent's closed box holds, so
+    no block is lost, and each is met once."""
+    far = F.lit(far) if isinstance(far, float) else far
+    size = F.lit(1 << depth)
+    inside = blocks.where(" and ".join(f"{n} >= 0" for n in "xyz")).where((F.col("x") < size) & (F.col("y") < size) & (F.col("z") < size))
+    placed = inside.select("key", *[F.shiftright(n, 3).alias(n) for n in "xyz"])
+    top = max(0, depth - K.BLOCK_LOG)
+    levels = [placed]
+    for _ in range(top):
+        levels.append(levels[-1].select(*[F.shiftright(n, 1).alias(n) for n in "xyz"]).distinct())
+    o = [f"{c}{n}" for c in "od" for n in "xyz"]
+    front = rays.select("ray_id", *o, far.alias("far"), *[F.lit(0).alias(f"p{n}") for n in "xyz"])
+    for shift in reversed(range(top + 1)):
+        last = shift == 0
+        child = levels[shift].select(*(["key"] if last else []), *[F.col(n).alias(f"c{n}") for n in "xyz"], *[F.shiftright(n, 1).alias(f"p{n}") for n in "xyz"])
+        child = F.broadcast(child) if 8 ** (top - shift) <= TOP else child
+        side = float(8 << shift)
+        t = [slab(F.col(f"c{n}") * side, F.col(f"c{n}") * side + side, F.col(f"o{n}"), F.col(f"d{n}")) for n in "xyz"]
+        met = front.join(child, ["px", "py", "pz"]).withColumns({"t_in": F.greatest(*[x[0] for x in t], F.lit(0.0)), "t_out": F.least(*[x[1] for x in t])})
+        met = met.where((F.col("t_in") <= F.col("t_out")) & (F.col("t_in") <= F.col("far")))
+        front = met.select("ray_id", "key", "t_in", "t_out") if last else met.select("ray_id", *o, "far", *[F.col(f"c{n}").alias(f"p{n}") for n in "xyz"])
+    return front

@@ -5,10 +5,12 @@ from __future__ import annotations
 import itertools
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from octofold.operators import geometry
+from octofold.operators import bricks, geometry
 
 #: Corners of a cell in the order of the surface construction; fixed values.
 CORNERS = ((0, 0, 0), (1, 0, 0), (1, 0, 1), (0, 0, 1), (0, 1, 0), (1, 1, 0), (1, 1, 1), (0, 1, 1))
@@ -16,14 +18,23 @@ CORNERS = ((0, 0, 0), (1, 0, 0), (1, 0, 1), (0, 0, 1), (0, 1, 0), (1, 1, 0), (1,
 EDGES = ((0, 1), (1, 2), (2, 3), (3, 0), (4, 5), (5, 6), (6, 7), (7, 4), (0, 4), (1, 5), (2, 6), (3, 7))
 
 
+def corners(bases: DataFrame, padded: DataFrame, empty: float) -> DataFrame:
+    """The bases (with x, y, z) and the values of the eight voxels of their cells as an
+    array in CORNERS order; ``empty`` where none is stored. All eight lie in the row of the base's
+    brick."""
+
+    def work(stack: np.ndarray, which: np.ndarray, at: dict) -> list[pa.Array]:
+        own = [at[n] for n in "xyz"]
+        place = [bricks.places(*(c + d for c, d in zip(own, o)), own) for o in CORNERS]
+        found = stack[which[:, None], np.stack(place, axis=1)]
+        return [bricks.list_of(np.where(np.isnan(found), empty, found))]
+
+    return bricks.read(bases, padded, work, ["x", "y", "z"], "corners array<double>")
+
+
 def corner_values(bases: DataFrame, voxels: DataFrame, empty: float) -> DataFrame:
-    """For each base (id, x, y, z) the values of the eight voxels of its cell as an
-    array in CORNERS order; ``empty`` where none is stored."""
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), *[F.lit(c).alias(f"d{n}") for c, n in zip(o, "xyz")]) for i, o in enumerate(CORNERS)])
-    wide = bases.select("id", "x", "y", "z", F.explode(steps).alias("o"))
-    wide = wide.select("id", "o.i", *[(F.col(n) + F.col(f"o.d{n}")).cast("int").alias(n) for n in "xyz"])
-    got = wide.join(voxels.select("x", "y", "z", "value"), ["x", "y", "z"], "left")
-    return got.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("value", F.lit(empty)).alias("value")))), lambda s: s["value"]).alias("corners"))
+    """J10, J11 of voxels (x, y, z, value)."""
+    return corners(bases, bricks.padded(voxels), empty)
 
 
 def blended(corners: Column) -> Column:
@@ -44,46 +55,40 @@ def bases_of(points: DataFrame, *keep: str) -> DataFrame:
 
 def trilinear(points: DataFrame, voxels: DataFrame, empty: float) -> DataFrame:
     """Values at points (id, px, py, pz in voxels)."""
-    base = bases_of(points, "id")
-    return corner_values(base, voxels, empty).join(base, "id").select("id", blended(F.col("corners")).alias("value"))
-
-
-def known_cells(voxels: DataFrame) -> DataFrame:
-    """x, y, z and corners of the cells whose eight voxels are all stored: gathered once, so that
-    many points meet one row each."""
-    own = voxels.select(F.struct("x", "y", "z").alias("id"), "x", "y", "z")
-    whole = corner_values(own, voxels, float("nan")).where(~F.exists("corners", F.isnan))
-    return whole.select("id.x", "id.y", "id.z", "corners")
+    return corner_values(bases_of(points, "id"), voxels, empty).select("id", blended(F.col("corners")).alias("value"))
 
 
 #: The 32 voxels around a cell that a gradient reads: at most one axis leaves {0, 1}.
 STENCIL = [o for o in itertools.product((-1, 0, 1, 2), repeat=3) if sum(c in (-1, 2) for c in o) <= 1]
 
 
-def gradient(points: DataFrame, voxels: DataFrame, empty: float, size: int, dim: float) -> DataFrame:
+def gradients(points: DataFrame, padded: DataFrame, empty: float, size: int, dim: float) -> DataFrame:
     """At points (id, px, py, pz in voxels) central differences, weighted trilinearly over
     STENCIL, with indices clamped to the map; scaled by half a voxel's edge, as in the original."""
-    base = bases_of(points, "id")
-    steps = F.array(*[F.struct(*[F.lit(c).alias(f"d{n}") for c, n in zip(o, "xyz")]) for o in STENCIL])
-    wide = base.select("id", *"xyz", *[f"f{n}" for n in "xyz"], F.inline(steps))
-    clamp = lambda n: F.greatest(F.lit(0), F.least(F.lit(size - 1), F.col(n) + F.col(f"d{n}"))).cast("int")
-    got = wide.select("id", *[c for n in "xyz" for c in (f"f{n}", f"d{n}")], *[clamp(n).alias(n) for n in "xyz"]).join(voxels.select("x", "y", "z", "value"), ["x", "y", "z"], "left")
 
-    def linear(n: str) -> Column:
-        return F.when(F.col(f"d{n}") == 0, 1.0 - F.col(f"f{n}")).when(F.col(f"d{n}") == 1, F.col(f"f{n}")).otherwise(0.0)
+    def work(stack: np.ndarray, which: np.ndarray, at: dict) -> list[pa.Array]:
+        own, f = [at[n] for n in "xyz"], [at[f"f{n}"] for n in "xyz"]
+        linear = [{-1: 0.0 * c, 0: 1.0 - c, 1: c, 2: 0.0 * c} for c in f]
+        across = [{-1: c - 1.0, 0: -c, 1: 1.0 - c, 2: c} for c in f]
+        sums = [np.zeros(len(which)) for _ in range(3)]
+        for o in STENCIL:
+            value = stack[which, bricks.places(*(np.clip(c + d, 0, size - 1) for c, d in zip(own, o)), own)]
+            value = np.where(np.isnan(value), empty, value)
+            for k in range(3):
+                w = across[k][o[k]]
+                for j in range(3):
+                    if j != k:
+                        w = w * linear[j][o[j]]
+                sums[k] += w * value
+        return [pa.array(s * (0.5 * dim / size)) for s in sums]
+
+    base = bases_of(points, "id")
+    return bricks.read(base, padded, work, [*"xyz", "fx", "fy", "fz"], "gx double, gy double, gz double").select("id", "gx", "gy", "gz")
 
-    def across(n: str) -> Column:
-        f, d = F.col(f"f{n}"), F.col(f"d{n}")
-        return F.when(d == -1, f - 1.0).when(d == 0, -f).when(d == 1, 1.0 - f).otherwise(f)
 
-    value = F.coalesce("value", F.lit(empty))
-    sums = []
-    for n in "xyz":
-        w = across(n)
-        for other in "xyz".replace(n, ""):
-            w = w * linear(other)
-        sums.append((F.sum(w * value) * (0.5 * dim / size)).alias(f"g{n}"))
-    return got.groupBy("id").agg(*sums)
+def gradient(points: DataFrame, voxels: DataFrame, empty: float, size: int, dim: float) -> DataFrame:
+    """N6 of voxels (x, y, z, value)."""
+    return gradients(points, bricks.padded(voxels), empty, size, dim)
 
 
 def case_index(cells: DataFrame, inside) -> DataFrame:
@@ -171,44 +176,47 @@ def triangles(cells: DataFrame, size: int) -> DataFrame:
     return out
 
 
-def raycast(rays: DataFrame, blocks: DataFrame, voxels: DataFrame, far: float, step: float, depth: int, rising: bool) -> DataFrame:
-    """The first crossing of zero along each ray (ray_id, ox..oz, dx..dz of length 1, in
-    voxels): downward for distances, upward for occupancies. Samples a ``step`` apart inside the
-    blocks (key, x, y, z) that the ray pierces are interpolated where all eight voxels are known;
-    the place is interpolated between the two samples; a ray that starts behind a surface misses. A ray's samples are bounded by its length."""
-    hits = geometry.ray_blocks(rays, blocks, far, depth)
-    first, last = F.ceil(F.col("t_in") / step - 1e-9).cast("int"), F.floor(F.least(F.col("t_out"), F.lit(far)) / step + 1e-9).cast("int")
-    spans = hits.select("ray_id", first.alias("a"), last.alias("b")).where("a <= b")
-    samples = spans.select("ray_id", F.explode(F.sequence("a", "b")).alias("k")).distinct().join(rays, "ray_id")
-    places = {f"p{n}": F.col(f"o{n}") + F.col("k") * step * F.col(f"d{n}") for n in "xyz"}
-    samples = samples.select("ray_id", "k", *[c.alias(n) for n, c in places.items()]).where("px >= 0 and py >= 0 and pz >= 0")
-    values = bases_of(samples, "ray_id", "k").join(known_cells(voxels), ["x", "y", "z"]).select("ray_id", "k", blended(F.col("corners")).alias("value"))
-    w = Window.partitionBy("ray_id").orderBy("k")
-    pairs = values.withColumns({"k0": F.lag("k").over(w), "v0": F.lag("value").over(w)}).where("k0 = k - 1")
-    crossed = pairs.where("v0 <= 0 and value > 0" if rising else "v0 > 0 and value <= 0")
-    t = (F.col("k0") + F.col("v0") / (F.col("v0") - F.col("value"))) * step
-    started = values.groupBy("ray_id").agg(F.min_by("value", "k").alias("v")).where("v <= 0" if rising else "v > 0").select("ray_id")
-    found = crossed.groupBy("ray_id").agg(F.min_by(t, "k").alias("t")).join(started, "ray_id", "left_semi")
+def raycast(rays: DataFrame, padded: DataFrame, depth: int, size: int, walk, empty: float = 1.0, far: float | None = None) -> DataFrame:
+    """ray_id, the distance t and place x, y, z of the hit of each ray (bundle, ray_id,
+    ox..oz, dx..dz of length 1, in voxels) that ``walk`` (see ``bricks.fixed`` and ``bricks.stepping``)
+    finds. Rays end where they leave the map of edge ``size``, or at ``far``; ``depth``: of the octree
+    of the padded bricks."""
+    leave = []
+    for n in "xyz":
+        o, d = F.col(f"o{n}"), F.col(f"d{n}")
+        leave.append(F.when(d != 0, F.greatest(F.try_divide(-o, d), F.try_divide(size - o, d))))
+    end = F.greatest(F.lit(0.0), F.coalesce(F.least(*leave), F.lit(0.0)))
+    rays = rays.withColumn("far", end if far is None else F.least(end, F.lit(far)))
+    blocks = padded.select(F.struct(*bricks.BLOCK).alias("key"), *[(F.col(f"b{n}") * bricks.SIDE).alias(n) for n in "xyz"])
+    hits = geometry.ray_blocks(rays, blocks, F.col("far"), depth)
+    met = hits.join(rays.select("ray_id", "bundle"), "ray_id").select("bundle", "key.*").distinct()
+    found = bricks.walked(rays, padded, met, walk, empty)
     return found.join(rays, "ray_id").select("ray_id", "t", *[(F.col(f"o{n}") + F.col("t") * F.col(f"d{n}")).alias(n) for n in "xyz"])
 
 
-def with_normals(hits: DataFrame, voxels: DataFrame, empty: float, size: int, dim: float, inward: bool) -> DataFrame:
+def with_normals(hits: DataFrame, padded: DataFrame, empty: float, size: int, dim: float, inward: bool) -> DataFrame:
     """Surface normals of hits (ray_id, t, x, y, z); NULL where the field is flat."""
-    g = gradient(hits.select(F.col("ray_id").alias("id"), *[F.col(n).alias(f"p{n}") for n in "xyz"]), voxels, empty, size, dim)
+    g = gradients(hits.select(F.col("ray_id").alias("id"), *[F.col(n).alias(f"p{n}") for n in "xyz"]), padded, empty, size, dim)
     norm = F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy") + F.col("gz") * F.col("gz")) * (-1.0 if inward else 1.0)
     return hits.join(g.select(F.col("id").alias("ray_id"), *[F.when(norm != 0, F.col(f"g{n}") / norm).alias(f"n{n}") for n in "xyz"]), "ray_id")
 
 
+#: Pixels along an edge of the tile whose rays go together.
+BUNDLE = 16
+
+
 def pixel_rays(poses: DataFrame, camera) -> DataFrame:
-    """The rays of all pixels of posed images (frame, POSE: world from camera): ray_id, frame,
-    u, v, origin and direction of length 1, in metres."""
+    """The rays of all pixels of posed images (frame, POSE: world from camera): ray_id, bundle,
+    frame, u, v, origin and direction of length 1, in metres."""
     pixels = poses.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(camera.width - 1)))).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(camera.height - 1))))
     x, y = (F.col("u") - camera.cx) / camera.fx, (F.col("v") - camera.cy) / camera.fy
     d = [F.col(f"m{r}0") * x + F.col(f"m{r}1") * y + F.col(f"m{r}2") for r in range(3)]
     pixels = pixels.withColumns({f"e{n}": c for n, c in zip("xyz", d)})
     norm = F.sqrt(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey") + F.col("ez") * F.col("ez"))
     ray = (F.col("frame").cast("long") * camera.height + F.col("v")) * camera.width + F.col("u")
-    return pixels.select(ray.alias("ray_id"), "frame", "u", "v", *[F.col(f"m{r}3").alias(f"o{n}") for r, n in enumerate("xyz")], *[(F.col(f"e{n}") / norm).alias(f"d{n}") for n in "xyz"])
+    across, down = -(-camera.width // BUNDLE), -(-camera.height // BUNDLE)
+    bundle = (F.col("frame").cast("long") * down + F.floor(F.col("v") / BUNDLE)) * across + F.floor(F.col("u") / BUNDLE)
+    return pixels.select(ray.alias("ray_id"), bundle.alias("bundle"), "frame", "u", "v", *[F.col(f"m{r}3").alias(f"o{n}") for r, n in enumerate("xyz")], *[(F.col(f"e{n}") / norm).alias(f"d{n}") for n in "xyz"])
 
 
 def triangle_attributes(triangles: DataFrame) -> DataFrame:

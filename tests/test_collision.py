@@ -44,7 +44,7 @@ def test_surface_of_a_ball_faces_outward(spark):
     size, r = 12, 3.3
     field = [(x + 256 * y + 65536 * z, x, y, z, ((x - 6) ** 2 + (y - 6) ** 2 + (z - 6) ** 2) ** 0.5 - r) for x in range(size) for y in range(size) for z in range(size)]
     v = spark.createDataFrame(field, "id int, x int, y int, z int, value double")
-    cells = surface.case_index(surface.corner_values(v, v, 1.0), surface.inside_negative).join(v.select("id", "x", "y", "z"), "id")
+    cells = surface.case_index(surface.corner_values(v, v, 1.0), surface.inside_negative)
     rows = surface.triangles(cells, size).collect()
     sides = Counter()
     for t in rows:
