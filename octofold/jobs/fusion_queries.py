@@ -414,6 +414,7 @@ def raycast_steps(spark, d):
 def render_volume(spark, d):
     """Grey and normal of every pixel; pixels without a surface are black."""
     edge, padded, rays, hits = cast(spark, d, B.fixed(0.5, False))
+    hits = A.checkpointed(hits)
     seen = R.with_normals(hits, padded, 1.0, edge, 1.0, inward=True)
     grey = I.shade([F.col(f"n{n}") for n in "xyz"], [F.col(n) for n in "xyz"], (edge * 1.0, edge * 1.0, -1.0))
     return rays.select("ray_id", "frame", "u", "v").join(seen.select("ray_id", grey.alias("grey"), *[F.round(f"n{n}", 5).alias(f"n{n}") for n in "xyz"]), "ray_id", "left").withColumn("grey", F.coalesce("grey", F.lit(0)))

@@ -287,7 +287,7 @@ def walked(rays: DataFrame, bricks: DataFrame, met: DataFrame, walk: Callable, e
     The rays of a bundle (a tile of pixels) go together and share the bricks (met: bundle, bx, by,
     bz) that any of them pierces, so a brick is sent once a bundle."""
     _small(rays)
-    blocks = met.join(bricks, [*BLOCK]).select("bundle", *BLOCK, "values")
+    blocks = met.join(bricks, [*BLOCK]).select(F.col("bundle").alias("tile"), *BLOCK, "values")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys = np.stack([right.column(c).to_numpy() for c in BLOCK], axis=1).reshape(-1, 3)
@@ -298,5 +298,5 @@ def walked(rays: DataFrame, bricks: DataFrame, met: DataFrame, walk: Callable, e
         return pa.table({"ray_id": left.column("ray_id").filter(pa.array(good)), "t": t[good]})
 
     columns = ["bundle", "ray_id", *(f"{c}{n}" for c in "od" for n in "xyz"), "far"]
-    left = rays.select(*columns).groupBy("bundle").cogroup(blocks.groupBy("bundle"))
+    left = rays.select(*columns).groupBy("bundle").cogroup(blocks.groupBy("tile"))
     return left.applyInArrow(run, "ray_id long, t double")

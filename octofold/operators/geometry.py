@@ -99,8 +99,9 @@ def slab(lo: Column, hi: Column, o: Column, d: Column) -> tuple[Column, Column]:
 TOP = 4_096
 
 
-def ray_blocks(rays: DataFrame, blocks: DataFrame, far: float | Column, depth: int) -> DataFrame:
-    """Blocks (key, x, y, z) that each ray pierces within (0, far], with entry and exit. Rays go
+def ray_blocks(rays: DataFrame, blocks: DataFrame, far: float | Column, depth: int, keep: tuple[str, ...] = ("ray_id",)) -> DataFrame:
+    """Blocks (key, x, y, z) that each ray pierces within (0, far], with entry and exit and the
+    ray's columns ``keep``. Rays go
     down the octree of the blocks level by level: each octant that a ray pierces is joined, on its
     place, with the children that it has. A ray pierces what its parent's closed box holds, so
     no block is lost, and each is met once."""
@@ -113,7 +114,9 @@ def ray_blocks(rays: DataFrame, blocks: DataFrame, far: float | Column, depth: i
     for _ in range(top):
         levels.append(levels[-1].select(*[F.shiftright(n, 1).alias(n) for n in "xyz"]).distinct())
     o = [f"{c}{n}" for c in "od" for n in "xyz"]
-    front = rays.select("ray_id", *o, far.alias("far"), *[F.lit(0).alias(f"p{n}") for n in "xyz"])
+    front = rays.select(*keep, *o, far.alias("far"), *[F.lit(0).alias(f"p{n}") for n in "xyz"])
+    # few rays make many rows: they are dealt out before they do
+    front = front.repartition(int(rays.sparkSession.conf.get("spark.sql.shuffle.partitions")), *o)
     for shift in reversed(range(top + 1)):
         last = shift == 0
         child = levels[shift].select(*(["key"] if last else []), *[F.col(n).alias(f"c{n}") for n in "xyz"], *[F.shiftright(n, 1).alias(f"p{n}") for n in "xyz"])
@@ -122,5 +125,5 @@ def ray_blocks(rays: DataFrame, blocks: DataFrame, far: float | Column, depth: i
         t = [slab(F.col(f"c{n}") * side, F.col(f"c{n}") * side + side, F.col(f"o{n}"), F.col(f"d{n}")) for n in "xyz"]
         met = front.join(child, ["px", "py", "pz"]).withColumns({"t_in": F.greatest(*[x[0] for x in t], F.lit(0.0)), "t_out": F.least(*[x[1] for x in t])})
         met = met.where((F.col("t_in") <= F.col("t_out")) & (F.col("t_in") <= F.col("far")))
-        front = met.select("ray_id", "key", "t_in", "t_out") if last else met.select("ray_id", *o, "far", *[F.col(f"c{n}").alias(f"p{n}") for n in "xyz"])
+        front = met.select(*keep, "key", "t_in", "t_out") if last else met.select(*keep, *o, "far", *[F.col(f"c{n}").alias(f"p{n}") for n in "xyz"])
     return front

@@ -188,8 +188,7 @@ def raycast(rays: DataFrame, padded: DataFrame, depth: int, size: int, walk, emp
     end = F.greatest(F.lit(0.0), F.coalesce(F.least(*leave), F.lit(0.0)))
     rays = rays.withColumn("far", end if far is None else F.least(end, F.lit(far)))
     blocks = padded.select(F.struct(*bricks.BLOCK).alias("key"), *[(F.col(f"b{n}") * bricks.SIDE).alias(n) for n in "xyz"])
-    hits = geometry.ray_blocks(rays, blocks, F.col("far"), depth)
-    met = hits.join(rays.select("ray_id", "bundle"), "ray_id").select("bundle", "key.*").distinct()
+    met = geometry.ray_blocks(rays, blocks, F.col("far"), depth, ("bundle",)).select("bundle", "key.*").distinct()
     found = bricks.walked(rays, padded, met, walk, empty)
     return found.join(rays, "ray_id").select("ray_id", "t", *[(F.col(f"o{n}") + F.col("t") * F.col(f"d{n}")).alias(n) for n in "xyz"])
 
