@@ -11,7 +11,7 @@ from octofold.jobs import map_queries
 from octofold.jobs import sqltext as S
 from octofold.operators import alloc, stats
 from octofold.sources import adapters as A
-from octofold.sources import files
+from octofold.sources import files, formats, obj
 
 QUERIES, ORACLE = {}, {}
 
@@ -67,23 +67,106 @@ def file_log_json(spark, d):
 
 @query(f"WITH {S.FRAMES} SELECT frame + 4*(v//50) AS frame, sum(CASE WHEN mm > 0 THEN 1 ELSE 0 END)::BIGINT AS n, sum(mm*(u+50*(v%50)))::BIGINT AS total FROM frames GROUP BY 1")
 def raw_roundtrip(spark, d):
-    """Frames packed into raw records, written, and read back record by record."""
+    """Frames written as a recording, and read back by the reader."""
+    r = spark.read.format("raw_depth").load(recorded(spark, d))
+    return r.groupBy("frame").agg(F.count(F.when(F.col("mm") > 0, 1)).alias("n"), F.sum((F.col("mm") * (F.col("u") + 50 * F.col("v"))).cast("long")).alias("total"))
+
+
+RAW = ORACLE["raw_roundtrip"]
+
+
+def recorded(spark, d) -> str:
+    """A recording of all frames, in parts in the order of frames."""
+    formats.register(spark)
     more = (F.floor(F.col("v") / 50) * 4).cast("int")
     f = A.frames(spark, d).select((F.col("frame") + more).alias("frame"), "u", (F.col("v") % 50).alias("v"), "mm")
     path = folder(spark, "raw")
-    files.record(f, 50, 50).write.parquet(path)
-    packed = spark.read.parquet(path).select("record", "frame")
-
-    def unpack(batches):
-        import numpy as np
-        import pyarrow as pa
+    files.record(f, 50, 50).repartitionByRange("frame").sortWithinPartitions("frame").write.format("raw_depth").mode("append").save(path)
+    return path
 
-        for batch in batches:
-            for record, frame in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                depth = np.frombuffer(record, "<u2", 2500, 8).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([frame], pa.int32()), pa.array([int((depth > 0).sum())]), pa.array([int((depth * np.arange(2500)).sum())])], names=["frame", "n", "total"])
 
-    return packed.mapInArrow(unpack, "frame int, n long, total long")
+@query(RAW)
+def raw_stream(spark, d):
+    """The recording as a stream, each frame once, in batches."""
+    path, home = recorded(spark, d), folder(spark, "recording")
+    source = spark.readStream.format("raw_depth").load(path)
+    query = source.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{home}/out/batch={n}")).option("checkpointLocation", f"{home}/state").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    r = spark.read.schema("frame int, u int, v int, mm int, batch long").parquet(f"{home}/out")
+    return r.groupBy("frame").agg(F.count(F.when(F.col("mm") > 0, 1)).alias("n"), F.sum((F.col("mm") * (F.col("u") + 50 * F.col("v"))).cast("long")).alias("total"))
+
+
+def triangles(spark, d):
+    """id, v0, v1, v2 of the vectors' first nine elements."""
+    v = [F.struct(*[F.element_at("embedding", 3 * k + i + 1).cast("double").alias(n) for i, n in enumerate("xyz")]).alias(f"v{k}") for k in range(3)]
+    return A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *v)
+
+
+CORNERS = [f"{n}{k}" for k in range(3) for n in "xyz"]
+TRI = "t AS (SELECT vec_id AS id, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(CORNERS)) + " FROM embeddings)"
+
+
+def flat(t):
+    return [F.col(f"v{c[1]}")[c[0]].alias(c) for c in CORNERS]
+
+
+@query(f"WITH {TRI} SELECT CAST(0 AS INTEGER) AS tri, {', '.join(CORNERS)}, CAST(NULL AS VARCHAR) AS material FROM t")
+def mesh_obj(spark, d):
+    """A mesh written as OBJ by parts and read back."""
+    formats.register(spark)
+    path = folder(spark, "obj")
+    triangles(spark, d).repartitionByRange("id").sortWithinPartitions("id").write.format("obj_mesh").mode("append").save(path)
+    t = obj.load(spark, path, parts=True)
+    return t.select("tri", *flat(t), "material")
+
+
+@query(f"""WITH {TRI}, s AS (SELECT *, id // 100 AS scene FROM t) SELECT CAST(k.k AS INTEGER) AS tri, x0 AS x0, y0 AS y0, z0 AS z0, CASE k.k WHEN 0 THEN x1 ELSE x2 END AS x1, CASE k.k WHEN 0 THEN y1 ELSE y2 END AS y1, CASE k.k WHEN 0 THEN z1 ELSE z2 END AS z1, CASE k.k WHEN 0 THEN x2 ELSE x0+1 END AS x2, CASE k.k WHEN 0 THEN y2 ELSE y0+1 END AS y2, CASE k.k WHEN 0 THEN z2 ELSE z0+1 END AS z2,
+ CASE WHEN scene * 100 + (id - scene * 100) // 7 * 7 < scene * 100 THEN NULL ELSE 'm' || CAST(scene * 100 + (id - scene * 100) // 7 * 7 AS VARCHAR) END AS material, CASE WHEN id - scene * 100 < 3 THEN NULL ELSE 'g ' || CAST((id - scene * 100 - 3) // 10 AS VARCHAR) END AS grp FROM s, range(0, 2) k(k)""")
+def obj_scenes(spark, d):
+    """Scenes of quadrilaterals in files of their own, with materials and groups that hold until
+    the next, and corners that count from the start of the file or back from the last vertex."""
+    v = lambda k, more=0.0: F.concat_ws(" ", F.lit("v"), *[F.col(f"v{k}")[n] + more for n in "xyz"])
+    scene = F.floor(F.col("id") / 100)
+    own = F.col("id") - scene * 100
+    first = 4 * own + 1
+    face = F.when(own % 2 == 0, F.lit("f -4/1 -3//2 -2 -1/1/1")).otherwise(F.concat_ws(" ", F.lit("f"), first, first + 1, F.concat(first + 2, F.lit("/7")), first + 3))
+    use = F.when(own % 7 == 0, F.concat(F.lit("usemtl m"), F.col("id")))
+    group = F.when((own >= 3) & ((own - 3) % 10 == 0), F.concat(F.lit("g g "), F.floor((own - 3) / 10)))
+    rows = triangles(spark, d).select("id", scene.alias("scene"), F.explode(F.array_compact(F.array(F.lit("# a row"), use, group, v(0), v(1), v(2), v(0, 1.0), face))).alias("line"))
+    path = folder(spark, "scenes")
+    rows.repartition("scene").sortWithinPartitions("scene", "id").select("scene", "line").write.partitionBy("scene").text(path)
+    t = obj.load(spark, f"{path}/*/*.txt")
+    return t.select("tri", *flat(t), "material", "grp")
+
+
+@query(f"WITH {TRI} SELECT 'points' AS kind, CAST(3*count(*) AS BIGINT) AS n, round(sum({'+'.join(CORNERS)}), 4) AS total FROM t UNION ALL SELECT 'polygons', count(*), round(sum(9e0*id+3), 4) FROM t UNION ALL SELECT 'head', CAST(6 AS BIGINT), CAST(3*count(*) + count(*) + 4*count(*) AS DOUBLE) FROM t")
+def mesh_vtk(spark, d):
+    """A mesh written as VTK by parts; its lines by kind, with the sums of their numbers."""
+    formats.register(spark)
+    path = folder(spark, "vtk")
+    triangles(spark, d).repartitionByRange("id").sortWithinPartitions("id").write.format("vtk_mesh").mode("append").save(path)
+    rows = spark.read.text(path).select(F.split("value", " ").alias("p"))
+    number = lambda k: F.get("p", F.lit(k)).try_cast("double")
+    kind = F.when(number(0).isNull(), "head").when(F.size("p") == 4, "polygons").otherwise("points")
+    total = F.when(kind == "points", number(0) + number(1) + number(2)).when(kind == "polygons", number(1) + number(2) + number(3)).otherwise(F.coalesce(number(1), F.lit(0.0)) + F.coalesce(number(2), F.lit(0.0)))
+    return rows.select(kind.alias("kind"), total.alias("t")).groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum("t"), 4).alias("total"))
+
+
+@query(f"WITH {S.TRAJ}, f AS (SELECT arg_min(tx, stamp) AS fx, arg_min(ty, stamp) AS fy, arg_min(tz, stamp) AS fz FROM est) SELECT round(stamp, 3) AS stamp, round(tx-fx, 6)+0e0 AS x, round(ty-fy, 6)+0e0 AS y, round(tz-fz, 6)+0e0 AS z FROM est, f")
+def cloud_rows(spark, d):
+    """Positions less the first, a row of numbers a line, written and read back."""
+    formats.register(spark)
+    t = A.traj(spark, d, "est")
+    first = t.agg(*[F.min_by(f"t{n}", "stamp").alias(f"f{n}") for n in "xyz"])
+    path = folder(spark, "cloud")
+    moved = t.crossJoin(F.broadcast(first)).select("stamp", *[(F.col(f"t{n}") - F.col(f"f{n}")).alias(n) for n in "xyz"])  # one row
+    moved.repartitionByRange("stamp").sortWithinPartitions("stamp").write.format("number_rows").mode("append").save(path)
+    rows = spark.read.text(path).select(F.split("value", " ").alias("p"))
+    names = ("stamp", "x", "y", "z")
+    return rows.select(*[(F.round(F.get("p", F.lit(k)).cast("double"), 6 if k else 3) + 0.0).alias(c) for k, c in enumerate(names)])
 
 
 @query(f"WITH {map_queries.A_MAP} SELECT level, count(*) AS n, CAST(sum(key%1000003) AS BIGINT) AS keys FROM (SELECT DISTINCT {S.key('x', 'y', 'z', 'l.l')} AS key, CAST(l.l AS INTEGER) AS level FROM mp, range(1,6) l(l)) GROUP BY level")

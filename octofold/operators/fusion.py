@@ -104,9 +104,9 @@ def sdf_step(x: Column, w: Column, sdf: Column, most: float = 100.0) -> tuple[Co
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (w * x + sdf) / (w + 1.0))), F.least(w + 1.0, F.lit(most))
 
 
-def fold_sdf(observations: DataFrame, by: list[str], order: str, mu: float) -> DataFrame:
-    """Observations (diff) of each voxel folded in frame order from (1, 0). The list of a
-    voxel holds one entry a frame."""
+def fold_sdf(observations: DataFrame, by: list[str], order: str, mu: float, prior: DataFrame | None = None) -> DataFrame:
+    """Observations (diff) of each voxel folded in frame order from (1, 0), or from what the
+    voxel has in ``prior`` (by, x, w). The list of a voxel holds one entry a frame."""
     kept = observations.where((F.col("depth") > 0) & (F.col("diff") > -mu))
     lists = kept.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(order, tsdf(F.col("diff"), mu).alias("s")))).alias("l"))
 
@@ -114,7 +114,11 @@ def fold_sdf(observations: DataFrame, by: list[str], order: str, mu: float) -> D
         x, w = sdf_step(a["x"], a["w"], o["s"])
         return F.struct(x.alias("x"), w.alias("w"))
 
-    start = F.struct(F.lit(1.0).alias("x"), F.lit(0.0).alias("w"))
+    x, w = F.lit(1.0), F.lit(0.0)
+    if prior is not None:
+        lists = lists.join(prior.select(*by, F.col("x").alias("x0"), F.col("w").alias("w0")), by, "left")
+        x, w = F.coalesce("x0", x), F.coalesce("w0", w)
+    start = F.struct(x.alias("x"), w.alias("w"))
     return lists.select(*by, F.aggregate("l", start, step).alias("a")).select(*by, "a.x", "a.w")
 
 
@@ -226,17 +230,21 @@ def integrated(frame: Column, rate: int) -> Column:
     return (frame % rate == 0) | (frame <= 3)
 
 
-def integrate(image: DataFrame, poses: DataFrame, back: DataFrame, camera: Camera, voxel_size: float, mu: float, depth: int, rate: int) -> DataFrame:
+def integrate(image: DataFrame, poses: DataFrame, back: DataFrame, camera: Camera, voxel_size: float, mu: float, depth: int, rate: int, prior: DataFrame | None = None) -> DataFrame:
     """The frames (frame, u, v, depth) that the rate lets through allocate the blocks of their
     bands and then update, in order, every voxel of all blocks that they see: key, x, y, z, value
-    and weight. ``poses``: camera from world by frame, ``back``: world from camera."""
+    and weight of these. ``poses``: camera from world by frame, ``back``: world from camera; ``prior``:
+    the map so far, whose blocks are seen too."""
     image = image.where(integrated(F.col("frame"), rate))
     band = band_points(image.join(back, "frame"), camera, voxel_size, mu).where(in_volume(1 << depth))
-    block = band.select(*[(F.col(n) - F.col(n) % 8).alias(f"b{n}") for n in "xyz"]).distinct()
+    corner = [(F.col(n) - F.col(n) % 8).alias(f"b{n}") for n in "xyz"]
+    block = band.select(*corner)
+    block = (block if prior is None else block.unionByName(prior.select(*corner))).distinct()
     voxels = keys.held(block, "bx", "by", "bz", key=keys.block_key("bx", "by", "bz", depth))
     for n in "xyz":
         voxels = voxels.withColumn(n, F.explode(F.sequence(F.col(f"b{n}"), F.col(f"b{n}") + 7)))
     used = image.select("frame").distinct().join(poses, "frame")
     seen = observe(seen_by(voxels.select("key", "x", "y", "z"), used, camera, voxel_size), image, camera, voxel_size, ["frame"])
-    folded = fold_sdf(seen.withColumn("diff", distance_along_ray()).withColumnRenamed("x", "vx"), ["key", "vx", "y", "z"], "frame", mu)
+    before = None if prior is None else prior.select("key", F.col("x").alias("vx"), "y", "z", F.col("value").alias("x"), F.col("weight").alias("w"))
+    folded = fold_sdf(seen.withColumn("diff", distance_along_ray()).withColumnRenamed("x", "vx"), ["key", "vx", "y", "z"], "frame", mu, before)
     return folded.select("key", F.col("vx").alias("x"), "y", "z", F.col("x").alias("value"), F.col("w").alias("weight"))

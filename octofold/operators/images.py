@@ -36,7 +36,7 @@ def half_sample(image: DataFrame, gate: float = 0.3) -> DataFrame:
     counts). Other columns name the image."""
     by = [c for c in image.columns if c not in ("u", "v", "depth")]
     block = [F.floor(F.col(n) / 2).cast("int").alias(n) for n in "uv"]
-    cells = image.groupBy(*by, *block).agg(F.min_by("depth", F.struct("v", "u")).alias("c"), F.collect_list("depth").alias("all"))
+    cells = image.groupBy(*by, *block).agg(F.min_by("depth", F.struct("v", "u")).alias("c"), F.sort_array(F.collect_list("depth")).alias("all"))
     near = F.filter("all", lambda x: F.abs(x - F.col("c")) < gate)
     return cells.select(*by, "u", "v", (F.aggregate(near, F.lit(0.0), lambda a, x: a + x) / F.size(near)).alias("depth"))
 

@@ -9,81 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from octofold.operators import stats
 
 
-class FrameRange(InputPartition):
-    def __init__(self, path: str, first: int, last: int, width: int, height: int, record: int):
-        super().__init__(first)
-        self.path, self.first, self.last, self.width, self.height, self.record = path, first, last, width, height, record
-
-
-class RawDepthReader(DataSourceReader):
-    """Records of a header (width, height), 16-bit millimetres, and unless ``light`` a
-    second header with RGB bytes; the first record's size holds for all. Frames are read by
-    seek, ``frames`` at a time in a task; an incomplete last record is not a frame."""
-
-    def __init__(self, options: dict):
-        self.path = options["path"]
-        self.light = options.get("light", "false").lower() == "true"
-        self.step = int(options.get("frames", "8"))
-
-    def partitions(self) -> list[InputPartition]:
-        with open(self.path, "rb") as f:
-            head = f.read(8)
-            end = f.seek(0, 2)
-        if len(head) < 8:
-            return []
-        w, h = struct.unpack("<II", head)
-        record = 8 + 2 * w * h + (0 if self.light else 8 + 3 * w * h)
-        n = end // record
-        return [FrameRange(self.path, i, min(n, i + self.step), w, h, record) for i in range(0, n, self.step)]
-
-    def read(self, part: FrameRange) -> Iterator[pa.RecordBatch]:
-        n = part.width * part.height
-        place = np.arange(n, dtype=np.int32)
-        with open(part.path, "rb") as f:
-            for frame in range(part.first, part.last):
-                f.seek(frame * part.record + 8)
-                depth = np.frombuffer(f.read(2 * n), "<u2").astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(n, frame, np.int32), place % part.width, place // part.width, depth)], names=["frame", "u", "v", "mm"])
-
-
-class RawDepth(DataSource):
-    """spark.read.format("raw_depth").load(path): frame, u, v, mm."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "raw_depth"
-
-    def schema(self) -> str:
-        return "frame int, u int, v int, mm int"
-
-    def reader(self, schema) -> DataSourceReader:
-        return RawDepthReader(self.options)
-
-
-def raw_records(spark: SparkSession, path: str, width: int, height: int, light: bool = False) -> DataFrame:
-    """S1, S2 from any store that Spark reads: records of known size (frame, u, v, mm), as many
-    tasks as the file has blocks; the file must hold whole records. ``RawDepth`` reads a file that
-    all machines see as local, whose size is in its header."""
-    n = width * height
-    size = 8 + 2 * n + (0 if light else 8 + 3 * n)
-    raw = spark.sparkContext.binaryRecords(path, size).zipWithIndex().map(lambda x: (x[1], bytearray(x[0])))
-    rows = spark.createDataFrame(raw, "frame long, record binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = np.arange(n, dtype=np.int32)
-        for batch in batches:
-            for frame, record in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                depth = np.frombuffer(record, "<u2", n, 8).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(n, frame, np.int32), place % width, place // width, depth)], names=["frame", "u", "v", "mm"])
-
-    return rows.mapInArrow(run, "frame int, u int, v int, mm int")
-
-
 def record(frames: DataFrame, width: int, height: int) -> DataFrame:
     """Frame and its record (headers, millimetres, black pixels) of depth images (frame, u, v,
     mm); pixels that are missing are 0. A record is one image, so a task holds one at a time."""

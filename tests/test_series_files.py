@@ -90,7 +90,7 @@ def test_raw_recording(spark, tmp_path):
         for k in range(5):
             f.write(struct.pack("<II", w, h) + struct.pack(f"<{w * h}H", *range(k, k + w * h)) + struct.pack("<II", w, h) + bytes(3 * w * h))
         f.write(b"rest")
-    spark.dataSource.register(files.RawDepth)
+    spark.dataSource.register(formats.RawDepth)
     df = spark.read.format("raw_depth").option("frames", "2").load(str(tmp_path / "a.raw"))
     assert df.count() == 5 * w * h
     assert df.where("frame = 3 and u = 1 and v = 2").first().mm == 3 + 9
