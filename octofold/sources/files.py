@@ -59,7 +59,7 @@ def last_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def timed_results(spark: SparkSession, results: str, times: str) -> DataFrame:
     """The i-th line of a file of times before the i-th row of a file of results, whose first
     column goes; the shorter file ends both."""
-    rows = lines(spark, results).where("line <> ''").select("n", F.expr("slice(split(line, '[,\\s]+'), 2, 1000000)").alias("fields"))
+    rows = lines(spark, results).where("line <> ''").select("n", F.split("line", r"[,\s]+").alias("p")).select("n", F.slice("p", F.lit(2), F.size("p")).alias("fields"))
     stamp = lines(spark, times).where("line <> ''").select("n", F.col("line").alias("stamp"))
     return stamp.join(rows, "n").select("n", "stamp", "fields")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from octofold.jobs import fusion_queries, series_queries
 from octofold.operators import fusion, stats, tracking
-from octofold.sources import adapters, files
+from octofold.sources import adapters, files, formats
 
 
 def test_greedy_association(spark):
