@@ -159,6 +159,31 @@ def sdf_fold_frames(spark, d):
     return f.select(F.col("vx").alias("x"), "y", "z", (F.round("x", 5) + 0.0).alias("mean"), F.col("w").alias("weight"))
 
 
+#: A grid of runs: two cameras of one image size, three bands and two rates.
+RUNS = [(k, fx, mu, rate) for k, (fx, mu, rate) in enumerate((fx, mu, rate) for fx in (40.0, 50.0) for mu in (0.1, 0.2, 0.4) for rate in (1, 3))]
+
+
+@query(f"""WITH {PROJ}, {FRAMES}, rn AS (SELECT * FROM (VALUES {', '.join(f'({k}, {fx!r}e0, {mu!r}e0, {rate})' for k, fx, mu, rate in RUNS)}) r(run, fx, mu, rate)),
+sf AS (SELECT run, fx, mu, rate, k, x, y, z, px, py, pz, px*fx/pz+25e0+0.5e0 AS fu, py*fx/pz+25e0+0.5e0 AS fv FROM pr, rn WHERE pz >= 1e-4), sp AS (SELECT *, CAST(floor(fu) AS INTEGER) AS u, CAST(floor(fv) AS INTEGER) AS v FROM sf WHERE fu BETWEEN 0.5e0 AND 48.5e0 AND fv BETWEEN 0.5e0 AND 48.5e0),
+so AS (SELECT sp.*, f.frame, least(1e0, (f.depth-pz)*sqrt(1e0+(px/pz)*(px/pz)+(py/pz)*(py/pz))/mu) AS s FROM sp JOIN fr f ON f.u=sp.u AND f.v=sp.v AND f.frame%4=sp.k WHERE f.depth > 0 AND (f.frame%rate=0 OR f.frame<=3)),
+sv AS (SELECT run, x, y, z, avg(s) AS mean, count(*) AS w FROM so WHERE s > -1e0 GROUP BY 1, 2, 3, 4)
+SELECT rn.run, rn.fx, rn.mu, rn.rate, count(sv.x) AS voxels, round(coalesce(avg(mean), 0e0), 4)+0e0 AS mean, coalesce(CAST(sum(w) AS DOUBLE), 0e0) AS weight FROM rn LEFT JOIN sv ON sv.run=rn.run GROUP BY 1, 2, 3, 4""")
+def sweep_runs(spark, d):
+    """A grid of runs in one plan. Camera, band and rate are columns: the voxels that the
+    widest camera may see are projected by each run's own, and folded by run and voxel."""
+    runs = spark.createDataFrame(RUNS, "run int, fx double, mu double, rate int")
+    image = frames(spark, d)
+    seen = U.seen_by(small_voxels(spark, d), with_views(image.select("frame").distinct(), VIEWS), CAMERA, VOXEL)
+    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("run"), F.lit(fx).alias("fx"), F.lit(mu).alias("mu"), F.lit(rate).alias("rate")) for k, fx, mu, rate in RUNS])).alias("r")
+    posed = seen.select("*", grid).select(*seen.columns, "r.*").where(U.integrated(F.col("frame"), F.col("rate")))
+    camera = U.Camera(F.col("fx"), F.col("fx"), 25.0, 25.0, 50, 50)
+    met = U.observe(posed, image, camera, VOXEL, ["frame"]).withColumn("diff", U.distance_along_ray()).withColumnRenamed("x", "vx")
+    folded = U.fold_sdf(met, ["run", "vx", "y", "z"], "frame", F.col("mu"))
+    out = folded.groupBy("run").agg(F.count("*").alias("voxels"), F.avg("x").alias("mean"), F.sum("w").alias("weight"))
+    out = runs.join(out, "run", "left").fillna({"voxels": 0, "mean": 0.0, "weight": 0.0})
+    return out.select("run", "fx", "mu", "rate", "voxels", (F.round("mean", 4) + 0.0).alias("mean"), "weight")
+
+
 SPL = "CASE WHEN {t}<=-3 THEN 0e0 WHEN {t}>=3 THEN 1e0 WHEN {t}<=-1 THEN power(3e0+{t},3)/48e0 WHEN {t}<=1 THEN 0.5e0+{t}*(3e0+{t})*(3e0-{t})/24e0 ELSE 1e0-power(3e0-{t},3)/48e0 END"
 OCC = f"{OBS}, oc AS (SELECT frame, x, y, z, -diff/greatest(0.1e0, least(pz*pz*0.01e0, 0.05e0)) AS t FROM ob WHERE depth>0), os AS (SELECT frame, x, y, z, ({SPL.format(t='t')}) - 0.5e0*({SPL.format(t='(t-3e0)')}) AS s FROM oc)"
 ODDS = "log2(greatest(0.03e0,least(0.97e0,s))/(1e0-greatest(0.03e0,least(0.97e0,s))))"

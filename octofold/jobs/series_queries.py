@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from octofold.jobs import sqltext as S
 from octofold.operators import poses as P
 from octofold.operators import stats as T
+from octofold.operators.tracking import horn
 from octofold.sources import adapters as A
 
 QUERIES, ORACLE = {}, {}
@@ -271,6 +273,34 @@ def best_scale(spark, d):
     return spark.createDataFrame([(round(k, 3), round(error(k), 3))], "scale double, rmse double")
 
 
+_W = [[f"covar_pop(a_t{i}, b_t{j})" for j in "xyz"] for i in "xyz"]
+_M = {(i, j): "+".join(f"w{k}{i}*w{k}{j}" for k in range(3)) for i in range(3) for j in range(i, 3)}
+_DET = "({0}00*({0}11*{0}22-{0}12*{0}21)-{0}01*({0}10*{0}22-{0}12*{0}20)+{0}02*({0}10*{0}21-{0}11*{0}20))"
+
+
+@query(f"""{MATCHED}, w AS (SELECT {', '.join(f'{_W[i][j]} AS w{i}{j}' for i in range(3) for j in range(3))}, {'+'.join(f'var_pop(a_t{n})' for n in 'xyz')} AS aa, {'+'.join(f'var_pop(b_t{n})' for n in 'xyz')} AS bb FROM m),
+g AS (SELECT *, {', '.join(f'{x} AS m{i}{j}' for (i, j), x in _M.items())}, {_DET.format('w')} AS det FROM w), q AS (SELECT *, (m00+m11+m22)/3e0 AS q FROM g), p AS (SELECT *, sqrt(((m00-q)*(m00-q)+(m11-q)*(m11-q)+(m22-q)*(m22-q)+2e0*(m01*m01+m02*m02+m12*m12))/6e0) AS p FROM q),
+n AS (SELECT *, (m00-q)/p AS n00, m01/p AS n01, m02/p AS n02, m01/p AS n10, (m11-q)/p AS n11, m12/p AS n12, m02/p AS n20, m12/p AS n21, (m22-q)/p AS n22 FROM p), f AS (SELECT *, acos(greatest(-1e0, least(1e0, {_DET.format('n')}/2e0)))/3e0 AS phi FROM n),
+e AS (SELECT *, q+2e0*p*cos(phi) AS e1, q+2e0*p*cos(phi+2e0*pi()/3e0) AS e3 FROM f), s AS (SELECT *, sqrt(e1)+sqrt(greatest(0e0, 3e0*q-e1-e3))+sign(det)*sqrt(greatest(0e0, e3)) AS s FROM e), k AS (SELECT *, greatest(0e0, least(4e0, s/aa)) AS k FROM s)
+SELECT round(k, 3) AS scale, round(sqrt(greatest(0e0, k*k*aa-2e0*k*s+bb)), 3) AS rmse FROM k""")
+def best_scale_aligned(spark, d):
+    """A18 with A11: the scale whose best rigid alignment leaves the least error. The rotation is found
+    anew for each scale that the section search tries, from the moments at the driver."""
+    m = matched(spark, d)
+    axes = ("tx", "ty", "tz")
+    moments = [F.covar_pop(f"a_{i}", f"b_{j}").alias(f"w_{i}_{j}") for i in axes for j in axes] + [F.covar_pop(f"{s}_{i}", f"{s}_{i}").alias(f"{s}_{i}") for s in "ab" for i in axes]
+    r = m.agg(*moments).first()
+    w = np.array([[r[f"w_{i}_{j}"] for j in axes] for i in axes])
+    aa, bb = (sum(r[f"{s}_{i}"] for i in axes) for s in "ab")
+
+    def error(k: float) -> float:
+        turn, _ = horn(k * w, np.zeros(3), np.zeros(3))
+        return max(0.0, k * k * aa - 2 * k * float(np.trace(turn @ w)) + bb) ** 0.5
+
+    k = P.golden_section(0.0, 4.0, 1e-9, lambda x: error(x) ** 2)
+    return spark.createDataFrame([(round(k, 3), round(error(k), 3))], "scale double, rmse double")
+
+
 @query(f"WITH {S.TRAJ}, a AS (SELECT *, row_number() OVER (ORDER BY stamp) AS i FROM est), b AS (SELECT *, row_number() OVER (ORDER BY stamp) AS i FROM gt) SELECT a.stamp AS a_stamp, b.stamp AS b_stamp FROM a JOIN b USING (i)")
 def assoc_positional(spark, d):
     """The i-th pose of one trajectory with the i-th of the other."""

@@ -167,11 +167,28 @@ def render_track(spark, d):
 _TRI = "t AS (SELECT vec_id AS id, " + ", ".join(f"CAST(embedding[{3 * k + i + 1}] AS DOUBLE) AS {n}{k}" for k in range(3) for i, n in enumerate("xyz")) + " FROM embeddings)"
 
 
+def nine(spark, d):
+    """Triangles of the vectors' first nine elements."""
+    v = [F.struct(*[F.element_at("embedding", 3 * k + i + 1).cast("double").alias(n) for i, n in enumerate("xyz")]).alias(f"v{k}") for k in range(3)]
+    return A.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), *v)
+
+
 @query(f"""WITH {_TRI}, c AS (SELECT *, (y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) AS kx, (z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) AS ky, (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) AS kz FROM t), n AS (SELECT *, sqrt(kx*kx+ky*ky+kz*kz) AS norm FROM c)
 SELECT id, {', '.join(f'round(k{n}/nullif(norm,0), 6)+0e0 AS n{n}' for n in 'xyz')}, round(norm/2e0, 8)+0e0 AS area, {', '.join(f'round({f}({n}0,{n}1,{n}2), 7)+0e0 AS {s}{n}' for s, f in (('lo_', 'least'), ('hi_', 'greatest')) for n in 'xyz')} FROM n""")
 def triangle_attributes(spark, d):
     """Normals, areas and boxes of the triangles of the vectors' first nine elements."""
-    e = A.table(spark, d, "embeddings")
-    v = [F.struct(*[F.element_at("embedding", 3 * k + i + 1).cast("double").alias(n) for i, n in enumerate("xyz")]).alias(f"v{k}") for k in range(3)]
-    t = R.triangle_attributes(e.select(F.col("vec_id").alias("id"), *v))
+    t = R.triangle_attributes(nine(spark, d))
     return t.select("id", *[(F.round(c, 8 if c == "area" else 6 if c[0] == "n" else 7) + 0.0).alias(c) for c in t.columns if c != "id"])
+
+
+_DRAW = [f"((k.k*{a}+{b})%{m})/{m}e0" for a, b, m in ((7919, 13, 10007), (104729, 7, 9973), (1299709, 3, 9949))]
+
+
+@query(f"""WITH {_TRI}, c AS (SELECT *, (y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) AS kx, (z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) AS ky, (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) AS kz FROM t),
+a AS (SELECT *, sqrt(kx*kx+ky*ky+kz*kz)/2e0 AS area FROM c), r AS (SELECT *, sum(area) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM a), w AS (SELECT max(upto) AS whole, count(*) AS n FROM r),
+p AS (SELECT k.k AS k, (k.k+{_DRAW[0]})/(4e0*n)*whole AS place, {_DRAW[1]} AS u0, {_DRAW[2]} AS v0 FROM w, range(0, (SELECT 4*n FROM w)) k(k)), q AS (SELECT k, place, CASE WHEN u0+v0>1 THEN 1e0-u0 ELSE u0 END AS u, CASE WHEN u0+v0>1 THEN 1e0-v0 ELSE v0 END AS v FROM p)
+SELECT q.k, r.id, {', '.join(f'round(u*{n}0+v*{n}1+(1e0-(u+v))*{n}2, 6)+0e0 AS {n}' for n in 'xyz')} FROM q JOIN r ON q.place >= r.upto-r.area AND q.place < r.upto""")
+def mesh_samples(spark, d):
+    """Four points a triangle, spread by area."""
+    t = nine(spark, d)
+    return R.surface_samples(t, 4 * t.count()).select("k", "id", *[(F.round(c, 6) + 0.0).alias(c) for c in "xyz"])

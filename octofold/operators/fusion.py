@@ -36,22 +36,34 @@ def inverse(poses: DataFrame) -> DataFrame:
     return poses.select(*[c for c in poses.columns if c not in POSE], *[{**rotation, **shift}[c].alias(c) for c in POSE])
 
 
-def seen_by(voxels: DataFrame, poses: DataFrame, camera: Camera, voxel_size: float, cell: int = 16) -> DataFrame:
-    """Voxels with the frames (frame, POSE: camera from world) that may see them. A frame names
-    the coarse cells that reach into the four planes of its view; voxels meet it there."""
-    span = voxels.agg(*[f(F.floor(F.col(n) / cell)).cast("int").alias(f"{k}{n}") for n in "xyz" for k, f in (("lo", F.min), ("hi", F.max))])
-    named = poses.crossJoin(F.broadcast(span.where("lox is not null")))  # one row
-    for n in "xyz":
-        named = named.withColumn(f"c{n}", F.explode(F.sequence(f"lo{n}", f"hi{n}")))
+#: Small cells along an edge of a large one.
+STRIDE = 4
+
+
+def in_view(cells: DataFrame, camera: Camera, voxel_size: float, cell: int) -> DataFrame:
+    """The cells (frame, POSE, cx, cy, cz) of ``cell`` voxels that reach into the view's four planes."""
     centre = moved([(F.col(f"c{n}") + 0.5) * (cell * voxel_size) for n in "xyz"])
-    named = named.select("frame", *POSE, "cx", "cy", "cz", *[c.alias(f"p{n}") for c, n in zip(centre, "xyz")])
+    named = cells.select("frame", *POSE, "cx", "cy", "cz", *[c.alias(f"p{n}") for c, n in zip(centre, "xyz")])
     reach = cell * voxel_size * 3**0.5 / 2 + 2 * voxel_size
     near = F.col("pz") >= -reach
     for axis, f, c, size in (("px", camera.fx, camera.cx, camera.width), ("py", camera.fy, camera.cy, camera.height)):
         for edge in (c, c - size):
             inward = (F.col(axis) * f + F.col("pz") * edge) * (1 if edge == c else -1) * (1 if f > 0 else -1)
             near = near & (inward >= -reach * (f * f + edge * edge) ** 0.5)
-    named = named.where(near).drop("px", "py", "pz")
+    return named.where(near).drop("px", "py", "pz")
+
+
+def seen_by(voxels: DataFrame, poses: DataFrame, camera: Camera, voxel_size: float, cell: int = 16) -> DataFrame:
+    """Voxels with the frames (frame, POSE: camera from world) that may see them. A frame names
+    the coarse cells that reach into the four planes of its view, large ones first; voxels meet it there."""
+    span = voxels.agg(*[f(F.floor(F.col(n) / (STRIDE * cell))).cast("int").alias(f"{k}{n}") for n in "xyz" for k, f in (("lo", F.min), ("hi", F.max))])
+    named = poses.crossJoin(F.broadcast(span.where("lox is not null")))  # one row
+    for n in "xyz":
+        named = named.withColumn(f"c{n}", F.explode(F.sequence(f"lo{n}", f"hi{n}")))
+    named = in_view(named.select("frame", *POSE, "cx", "cy", "cz"), camera, voxel_size, STRIDE * cell)
+    for n in "xyz":  # only where a large cell is in view, its small ones
+        named = named.withColumn(f"c{n}", F.explode(F.sequence(F.col(f"c{n}") * STRIDE, F.col(f"c{n}") * STRIDE + STRIDE - 1)))
+    named = in_view(named, camera, voxel_size, cell)
     placed = voxels.withColumns({f"c{n}": F.floor(F.col(n) / cell).cast("int") for n in "xyz"})
     return placed.join(named, ["cx", "cy", "cz"]).drop("cx", "cy", "cz")
 

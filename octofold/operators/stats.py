@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,7 +28,7 @@ def last(samples: DataFrame) -> DataFrame:
 #: rows of a range; share of a series around a rank that is sorted.
 SMALL, RANGES, RANGE_ROWS, CLOSE = 100_000, 1_000, 100_000, 10_000
 #: Stamps that one task associates.
-RUN_ROWS = 50_000
+RUN_ROWS = 1_000_000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -45,11 +47,12 @@ def at_ranks(samples: DataFrame, **ranks) -> DataFrame:
         share = rank(n) / F.greatest(n - 1, F.lit(1)) * 200
         low, high = F.greatest(F.lit(0), F.floor(share - 0.1)).cast("int"), F.least(F.lit(200), F.ceil(share + 0.1)).cast("int")
         bounds = counts.select("key", rank(n).cast("long").alias("rank"), F.get("q", low).alias("lo"), F.get("q", high).alias("hi"))
-        near = samples.select("key", "value").join(small(bounds), "key")
+        flat = bounds.where("lo = hi").select("key", F.col("lo").alias(name))  # one value makes up the place
+        near = samples.select("key", "value").join(small(bounds.where("lo < hi")), "key")
         below = near.groupBy("key").agg(F.count(F.when(F.col("value") < F.col("lo"), 1)).alias("below"))
         place = F.row_number().over(Window.partitionBy("key").orderBy("value")) - 1
         between = near.where("value between lo and hi").withColumn("place", place).join(small(below), "key")
-        found = between.where("place + below = rank").select("key", F.col("value").alias(name))
+        found = between.where("place + below = rank").select("key", F.col("value").alias(name)).unionByName(flat)
         out = found if out is None else out.join(found, "key")
     return out
 
@@ -97,14 +100,30 @@ def one_to_one(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
     sizes = runs.groupBy("run").agg(F.min("side").alias("lo"), F.max("side").alias("hi"), F.count("*").alias("n")).where("lo < hi")
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
+        """Each left stamp offers its nearest right one that is left; a stamp whose offer is taken
+        comes back with the next: one offer a stamp is held."""
         left, right = (np.sort(rows.stamp[rows.side == k].to_numpy()) for k in (0, 1))
-        lo, hi = np.searchsorted(right, left - width, "left"), np.searchsorted(right, left + width, "right")
-        heap = [(abs(left[i] - right[j]), left[i], right[j], i, j) for i in range(len(left)) for j in range(lo[i], hi[i]) if abs(left[i] - right[j]) < width]
-        used_left, used_right, out = set(), set(), []
-        for d, x, y, i, j in sorted(heap):
-            if i not in used_left and j not in used_right:
-                used_left.add(i)
-                used_right.add(j)
+        low = np.searchsorted(right, left, "left") - 1  # the next to offer on either side
+        high = low + 1
+        heap: list[tuple] = []
+
+        def offer(i: int) -> None:
+            x, a, b = left[i], low[i], high[i]
+            below, above = x - right[a] if a >= 0 else np.inf, right[b] - x if b < len(right) else np.inf
+            if min(below, above) < width:
+                j = a if below <= above else b
+                (low if below <= above else high)[i] += -1 if below <= above else 1
+                heapq.heappush(heap, (abs(x - right[j]), x, right[j], i, j))
+
+        for i in range(len(left)):
+            offer(i)
+        used, out = set(), []
+        while heap:
+            d, x, y, i, j = heapq.heappop(heap)
+            if j in used:
+                offer(i)
+            else:
+                used.add(j)
                 out.append((x, y, d))
         return pd.DataFrame(out, columns=["a_stamp", "b_stamp", "diff"])
 

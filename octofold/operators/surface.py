@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from octofold.operators import bricks, geometry
+from octofold.operators import bricks, geometry, stats
 
 #: Corners of a cell in the order of the surface construction; fixed values.
 CORNERS = ((0, 0, 0), (1, 0, 0), (1, 0, 1), (0, 0, 1), (0, 1, 0), (1, 1, 0), (1, 1, 1), (0, 1, 1))
@@ -227,3 +227,31 @@ def triangle_attributes(triangles: DataFrame) -> DataFrame:
     norm = F.sqrt(F.col("kx") * F.col("kx") + F.col("ky") * F.col("ky") + F.col("kz") * F.col("kz"))
     bounds = [f(*[F.col(f"v{k}")[n] for k in range(3)]).alias(f"{s}{n}") for s, f in (("lo_", F.least), ("hi_", F.greatest)) for n in "xyz"]
     return out.select("id", *[F.try_divide(F.col(f"k{n}"), norm).alias(f"n{n}") for n in "xyz"], (norm / 2.0).alias("area"), *bounds)
+
+
+#: Multiplier, shift and modulus of the numbers in [0, 1) that sample k has: place, u and v.
+DRAWS = ((7_919, 13, 10_007), (104_729, 7, 9_973), (1_299_709, 3, 9_949))
+
+
+def surface_samples(triangles: DataFrame, n: int) -> DataFrame:
+    """N points of a surface of triangles (id, v0, v1, v2: structs x, y, z), evenly by area: k, id
+    and x, y, z. Sample k lies in the k-th n-th of the running area, at a place drawn by a
+    rule; a triangle finds its own samples from where its area begins and ends, so nothing is
+    joined. Inside a triangle the point is uniform: weights past the diagonal are turned back."""
+    area = triangle_attributes(triangles).select("id", "area").where("area > 0")
+    placed = stats.checkpointed(stats.running(area, "id", "area", "upto"))
+    whole = placed.agg(F.max("upto").alias("whole"))
+    rows = placed.crossJoin(F.broadcast(whole))  # one row
+    k = F.col("k")
+    draw = [((k * a + b) % m) / float(m) for a, b, m in DRAWS]
+    low, high = (F.floor(c / F.col("whole") * n).cast("long") for c in (F.col("upto") - F.col("area"), F.col("upto")))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.greatest(F.lit(0), low - 1), F.least(F.lit(n - 1), high + 1))))
+    at = (k + draw[0]) / float(n) * F.col("whole")
+    # the next triangle begins where this one ends, whatever the sums' last bits
+    rows = rows.withColumn("from", F.col("upto") - F.col("area")).where((at >= F.col("from")) & (at < F.col("upto")))
+    one = rows.groupBy("k").agg(F.min("id").alias("id"))
+    u, v = draw[1], draw[2]
+    turned = u + v > 1
+    u, v = F.when(turned, 1.0 - u).otherwise(u), F.when(turned, 1.0 - v).otherwise(v)
+    point = [(u * F.col("v0")[c] + v * F.col("v1")[c] + (1.0 - (u + v)) * F.col("v2")[c]).alias(c) for c in "xyz"]
+    return one.join(triangles.select("id", "v0", "v1", "v2"), "id").select("k", "id", *point)
