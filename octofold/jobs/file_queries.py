@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from octofold.functions import keys as K
-from octofold.jobs import map_queries
 from octofold.jobs import sqltext as S
 from octofold.operators import alloc, stats
 from octofold.sources import adapters as A
@@ -169,10 +168,11 @@ def cloud_rows(spark, d):
     return rows.select(*[(F.round(F.get("p", F.lit(k)).cast("double"), 6 if k else 3) + 0.0).alias(c) for k, c in enumerate(names)])
 
 
-@query(f"WITH {map_queries.A_MAP} SELECT level, count(*) AS n, CAST(sum(key%1000003) AS BIGINT) AS keys FROM (SELECT DISTINCT {S.key('x', 'y', 'z', 'l.l')} AS key, CAST(l.l AS INTEGER) AS level FROM mp, range(1,6) l(l)) GROUP BY level")
+@query(f"WITH {S.POINTS} SELECT level, count(*) AS n, CAST(sum(key%1000003) AS BIGINT) AS keys FROM (SELECT DISTINCT {S.key('x', 'y', 'z', 'l.l')} AS key, CAST(l.l AS INTEGER) AS level FROM points, range(1,6) l(l)) GROUP BY level")
 def map_roundtrip(spark, d):
     """A map saved by level and loaded."""
-    v, b = map_queries.a_map(spark, d)
+    v = alloc.voxels(A.points(spark, d), A.DEPTH)
+    b = v.select("key").distinct()
     path = folder(spark, "map")
     files.save_map(alloc.levels(b, A.DEPTH), v, path)
     octants, _ = files.load_map(spark, path)

@@ -58,7 +58,7 @@ def sql_touch(n: str, e: str, place: str, side: str) -> str:
 _AXES = (("bx", "ex", "x"), ("by_", "ey", "y"), ("bz", "ez", "z"))
 
 
-@query(f"""WITH {S.POINTS}, {S.BOXES}, mp AS (SELECT * FROM points WHERE w <= 4), vx AS (SELECT x, y, z, x-x%8 AS cx, y-y%8 AS cy, z-z%8 AS cz, CASE WHEN max(w) >= 4 THEN 2 WHEN max(w) >= 3 THEN 1 ELSE 0 END AS status FROM mp GROUP BY x, y, z),
+@query(f"""WITH {S.POINTS}, {S.BOXES}, vx AS (SELECT x, y, z, x-x%8 AS cx, y-y%8 AS cy, z-z%8 AS cz, CASE WHEN max(w) >= 4 THEN 2 WHEN max(w) >= 3 THEN 1 ELSE 0 END AS status FROM points GROUP BY x, y, z),
 oc AS (SELECT DISTINCT CAST(l.l AS INTEGER) AS level, cx-cx%(256>>CAST(l.l AS INTEGER)) AS x, cy-cy%(256>>CAST(l.l AS INTEGER)) AS y, cz-cz%(256>>CAST(l.l AS INTEGER)) AS z FROM vx, range(0,6) l(l)),
 ch AS (SELECT level+1 AS level, x+(128>>level)*CAST(i.i AS INTEGER) AS x, y+(128>>level)*CAST(j.j AS INTEGER) AS y, z+(128>>level)*CAST(k.k AS INTEGER) AS z FROM oc, range(0,2) i(i), range(0,2) j(j), range(0,2) k(k) WHERE level < 5),
 ms AS (SELECT ch.*, 256>>ch.level AS s FROM ch ANTI JOIN oc ON oc.level=ch.level AND oc.x=ch.x AND oc.y=ch.y AND oc.z=ch.z),
@@ -69,10 +69,10 @@ al AS (SELECT box_id, bl.x+CAST(i.i AS INTEGER) AS x, bl.y+CAST(j.j AS INTEGER)
 r2 AS (SELECT box_id, coalesce(status, 1) AS status FROM al LEFT JOIN vx ON vx.x=al.x AND vx.y=al.y AND vx.z=al.z)
 SELECT b.box_id, CASE coalesce(max(r.status), 0) WHEN 0 THEN 'empty' WHEN 1 THEN 'unseen' ELSE 'occupied' END AS status FROM boxes b LEFT JOIN (SELECT * FROM r1 UNION ALL SELECT * FROM r2) r ON r.box_id=b.box_id GROUP BY b.box_id""")
 def box_octree_collision(spark, d):
-    """Boxes against the voxels, unwritten voxels and missing children of a map of the samples
-    with w <= 4."""
+    """Boxes against the voxels, unwritten voxels and missing children of the map of all
+    samples."""
     status = F.when(F.max("w") >= 4, 2).when(F.max("w") >= 3, 1).otherwise(0)
-    v = A.points(spark, d).where("w <= 4").groupBy("x", "y", "z").agg(status.alias("status"))
+    v = A.points(spark, d).groupBy("x", "y", "z").agg(status.alias("status"))
     v = K.held(v, "x", "y", "z", "status", key=K.block_key("x", "y", "z", D))
     blocks = v.select("key").distinct()
     slots = alloc.empty_slots(alloc.levels(blocks, D), D).withColumn("status", F.lit(1))

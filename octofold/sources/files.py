@@ -31,9 +31,17 @@ def record(frames: DataFrame, width: int, height: int) -> DataFrame:
     return frames.groupBy("frame").agg(cells.alias("pixels")).select("frame", "pixels").mapInArrow(run, "frame int, record binary")
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """pos (file, where its split begins, place in the split) and line of texts. Files are split
+    among tasks; places grow within a split, and no line is counted."""
+    rows = spark.read.text(path)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
+    return rows.select(at.alias("pos"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of texts with their file and their number in it. Files are logs and configurations,
-    and each is read whole by one task."""
+    """Lines of texts with their file and their number in it, for small files whose lines are counted
+    (configurations, lists of times): each is read whole by one task."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     return whole.select("file", "n", F.trim("line").alias("line"))
 
@@ -43,17 +51,17 @@ def trajectory(spark: SparkSession, path: str) -> DataFrame:
     the last row of a stamp wins, rows without a rotation or with NaN go."""
     names = ("stamp", "tx", "ty", "tz", "qx", "qy", "qz", "qw")
     parts = F.split(F.trim(F.regexp_replace("line", r"[,\s]+", " ")), " ")
-    rows = lines(spark, path).where("line <> '' and not startswith(line, '#')").select("file", "n", parts.alias("p")).where("size(p) >= 8")
-    cols = rows.select("file", "n", *[F.expr(f"try_cast(p[{i}] as double)").alias(c) for i, c in enumerate(names)])
-    last = cols.groupBy("stamp").agg(F.max_by(F.struct(*names[1:]), F.struct("file", "n")).alias("r")).select("stamp", "r.*")
+    rows = ordered_lines(spark, path).where("line <> '' and not startswith(line, '#')").select("pos", parts.alias("p")).where("size(p) >= 8")
+    cols = rows.select("pos", *[F.expr(f"try_cast(p[{i}] as double)").alias(c) for i, c in enumerate(names)])
+    last = cols.groupBy("stamp").agg(F.max_by(F.struct(*names[1:]), "pos").alias("r")).select("stamp", "r.*")
     ok = "qx * qx + qy * qy + qz * qz + qw * qw > 0"
     return last.where(ok).where(" and ".join(f"{c} is not null and not isnan({c})" for c in names))
 
 
 def last_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Of each log the last line that begins with a brace, parsed."""
-    rows = lines(spark, path).where("startswith(line, '{')")
-    return rows.groupBy("file").agg(F.max_by("line", "n").alias("line")).select("file", F.from_json("line", schema).alias("r")).select("file", "r.*")
+    rows = ordered_lines(spark, path).where("startswith(line, '{')")
+    return rows.groupBy("pos.file").agg(F.max_by("line", "pos").alias("line")).select("file", F.from_json("line", schema).alias("r")).select("file", "r.*")
 
 
 def timed_results(spark: SparkSession, results: str, times: str) -> DataFrame:

@@ -6,14 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octofold.operators import stats
-
-
-def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """pos (file, where its split begins, place in the split) and line of texts. Files are split
-    among tasks; places grow within a split, and no line is counted."""
-    rows = spark.read.text(path)
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"))
-    return rows.select(at.alias("pos"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"))
+from octofold.sources.files import ordered_lines
 
 
 def counted(lines: DataFrame) -> DataFrame:
