@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import threading
@@ -109,6 +110,22 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str], hot:
     return a.join(b, [key, "_part"], how).drop("_part")
 
 
+#: What this Python worker keeps from task to task: workers outlive the stage that filled it.
+tools: dict[str, object] = {}
+
+
+def forget() -> None:
+    """Frees what earlier stages left in this worker, for stages that do not use it."""
+    if tools:
+        tools.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """One output row for each row of df[columns].
 
@@ -118,6 +135,7 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, make: Callable[[],
     names = [part.split()[0] for part in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         work, types = make(), None
         for batch in batches:
             rows = [work(*row) for row in zip(*(batch.column(c).to_pylist() for c in columns))]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octofold.llm.common import bitmap, discard, hot_keys, marked, spread_join, stored, table
+from octofold.llm.common import bitmap, discard, forget, hot_keys, marked, spread_join, stored, table
 from octofold.llm.shingles import hash_words, windows
 
 GRAM, RARE_DOCS = 3, 1_000
@@ -56,6 +56,7 @@ def item_words(items: DataFrame) -> DataFrame:
     """item_id and words (hashes, in order) of each distinct item that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             words = [words_of(t).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], names=["item_id", "words"])
@@ -68,6 +69,7 @@ def item_grams(items: DataFrame) -> DataFrame:
     """item_id, gram and its words, one row for each n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             ids, grams, parts = [], [], []
             for item, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -85,6 +87,7 @@ def scan(docs: DataFrame, gram_bits, word_bits, reach: int) -> DataFrame:
     one row with the counts of items' words (start -1, words and their counts in grams) whose
     n_words is the number of all words it read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total, counts = 0, {}
         for batch in batches:
             ids, names, starts, words_out, grams_out, seen = [], [], [], [], [], []
@@ -188,6 +191,7 @@ def leaks(docs: DataFrame, items: DataFrame, score: float = SCORE) -> DataFrame:
     ready = spread_join(ready, items.select("item_id", F.col("words").alias("item")), "item_id", ["passage"], hot_keys(pairs, "item_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             scores, ends = [], []
             for start, words, item in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))):

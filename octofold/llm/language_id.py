@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octofold.llm.common import table
+from octofold.llm.common import forget, table
 
 UNKNOWN = "und"
 MAX_CHARS, DOC_CHARS, SAMPLE_DOCS = 16_000, 1_000, 64
@@ -234,6 +234,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     names, text_at = keep.columns, keep.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             lang, score = sent.value.predict(batch.column(text_at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
@@ -248,6 +249,7 @@ def known_language(docs: DataFrame, model: Model) -> DataFrame:
     text_at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             lang, _ = sent.value.predict(batch.column(text_at).to_pylist())
             yield batch.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octofold.llm.common import BITMAP_BITS, bitmap, discard, hot_keys, marked, spread_join, stored, table
+from octofold.llm.common import BITMAP_BITS, bitmap, discard, forget, hot_keys, marked, spread_join, stored, table
 from octofold.llm.components import components
 from octofold.llm.shingles import mix, random_longs, shingle_set
 
@@ -75,6 +75,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a digest of the set, the signature (16 bits a minimum), band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             count, digest, sign, keys = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -110,6 +111,7 @@ def likely(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     least = least_agreement(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -165,6 +167,7 @@ def sketches(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id and the long sketch of the documents in ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             long = [minima(shingle_set(t, SHINGLE), LONG_FACTOR, LONG_OFFSET).astype(np.uint8).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(long, pa.binary())], names=["doc_id", "long"])
@@ -210,6 +213,7 @@ def block_pairs(members: DataFrame, sizes: DataFrame, signs: DataFrame, percent:
         return pairs[:, 0], pairs[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         held: list[tuple] = []
 
         def done() -> Iterator[pa.RecordBatch]:

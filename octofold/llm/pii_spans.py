@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octofold.llm.common import map_rows, table
+from octofold.llm.common import forget, map_rows, table
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_RIGHT = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -352,6 +352,7 @@ def redact(docs: DataFrame, model: SemiMarkov) -> DataFrame:
     at = names.index("text")
 
     def run(batches):
+        forget()
         for batch in batches:
             texts = []
             for text in batch.column(at).to_pylist():

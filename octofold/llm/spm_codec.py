@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from octofold.llm.common import table
+from octofold.llm.common import table, tools
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -234,14 +234,11 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
     """The codec of this Python worker, with what it remembers from earlier tasks."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    if path not in tools:
+        tools[path] = Codec(path)
+    return tools[path]
 
 
 def encode_texts(docs: DataFrame, path: str) -> DataFrame:
