@@ -53,7 +53,7 @@ def texts(seed, n):
 def test_equals_plain(spark, monkeypatch, slices):
     """Also with many slices, small partial stripes and looks at few words."""
     if slices:
-        for name, value in {"SLICE": 5, "HELD": 40, "TOGETHER": 60, "MEMO": 7}.items():
+        for name, value in {"SLICE": 5, "HELD": 40, "GROUP": 900, "PART": 16, "BUCKETS": 2}.items():
             monkeypatch.setattr(P, name, value)
     rows = texts(slices, 400) + [("en", None), (None, ""), ("en", "q " * 300), (None, "z")]
     got = P.collocations(documents(spark, [t for _, t in rows], langs=[g for g, _ in rows]).repartition(3), least=8, top=60)
@@ -75,18 +75,38 @@ def test_scores_pass_64_bits(spark):
     assert (int(got["score"]), got["k"], got["l"], got["r"]) == (1000 * a * n // (left * right), 1, left, right)
 
 
-def test_totals_count_all_that_follows(spark):
-    """A prefix's total is its frequency, with what follows that is no extension."""
+def test_merged_stripes(spark):
+    """Totals of the stripes without prefix are all words; extensions are counted exactly."""
     docs = documents(spark, ["x y. x z, x y x", "x y; y x y"] * 5).select("lang", "text")
-    words = P.word_counts(docs)
-    stripes = P.merged(P.partial_stripes(docs, 2, P.bitmap(words.withColumnRenamed("word", "phrase").where("a >= 10")), 1), 10)
-    got = {(r.prefix, tuple(r.words), tuple(r.counts), r.total, r.largest) for r in stripes.collect()}
-    assert got == {("x", ("y",), (20,), 30, 20), ("y", ("x",), (10,), 25, 10)}
-
-
-def test_bitmap_has_every_phrase(spark):
+    none = np.zeros(P.BITS // 8, np.uint8)
+    one = P.merged(P.partial_stripes(docs, 1, none, 3, 5), 1, 10).collect()
+    words = {r.key: r.word for r in P.names(docs, none | 255).collect()}
+    assert sum(r.n for r in one if r.word == 0) == 60
+    assert {(words[r.key], r.n) for r in one if r.word} == {("x", 30), ("y", 25)}
+    known = P.bitmap(spark.createDataFrame([(r.key,) for r in one if r.word], "key long"))
+    two = P.merged(P.partial_stripes(docs, 2, known, 2, 5), 2, 10).collect()
+    assert {(words[r.prefix], words[r.word], r.n) for r in two if r.word} == {("x", "y", 20), ("y", "x", 10)}
+    assert sum(r.n for r in two if not r.word and words[r.prefix] == "x") == 20
+
+
+def test_words_and_keys(monkeypatch):
+    """Words, pieces and keys of texts that are hashed in parts, also of a word longer than a part."""
+    texts = ["A b\tB,a  b\n\nÉ .", "", "b" * 100 + " a", " ,; ", "a b"]
+    langs = ["x", "x", "y", "y", "y"]
+    whole = P.Words([t.encode() for t in texts], langs)
+    assert [whole.word(i).decode() for i in range(len(whole.key))] == ["a", "b", "b", "a", "b", "É", "b" * 100, "a", "a", "b"]
+    assert whole.first.tolist() == [True, False, False, True, False, True, True, False, True, False]
+    monkeypatch.setattr(P, "PART", 16)
+    assert (P.Words([t.encode() for t in texts], langs).key == whole.key).all()
+    named = {(whole.names[g], whole.word(i)): int(k) for i, (g, k) in enumerate(zip(whole.lang, whole.key))}
+    assert len(set(named.values())) == len(named) == 6 and [named[whole.names[g], whole.word(i)] for i, g in enumerate(whole.lang)] == whole.key.tolist()
+    two = whole.windows(2)[1]
+    assert (two != 0).tolist() == [True, True, False, True, False, False, True, False, True, False]
+    assert two[0] == two[3] != two[8]
+
+
+def test_bitmap_has_every_key(spark):
     rng = np.random.default_rng(1)
-    phrases = [" ".join(f"w{k}" for k in rng.integers(0, 999, 3)) for _ in range(500)]
-    bits = P.bitmap(spark.createDataFrame([("en", p) for p in phrases], "lang string, phrase string"))
-    keys = [P.reduce(P.step, np.array([[P.word_key("en", w)] for w in p.encode().split()], np.uint64))[0] for p in phrases]
-    assert P.marked(bits, np.array(keys, np.uint64)).all() and P.marked(bits, rng.integers(1, 1 << 62, 9_999).astype(np.uint64)).mean() < 0.01
+    keys = rng.integers(-(1 << 62), 1 << 62, 5_000)
+    bits = P.bitmap(spark.createDataFrame([(int(k),) for k in keys], "key long"))
+    assert P.marked(bits, keys.view(np.uint64)).all() and P.marked(bits, rng.integers(1, 1 << 62, 9_999).astype(np.uint64)).mean() < 0.01
