@@ -193,13 +193,20 @@ class Loop:
         conf = "spark.sql.streaming.stateStore.providerClass"
         self.spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         image = self.spark.readStream.schema(IMAGE).option("maxFilesPerTrigger", files).parquet(self.source)
-        self._through(image, self.track, "tracking")
+        self._start(image, self.track, "tracking").awaitTermination()
         # batches are folders: their number is part of a file's path alone
         moved = self.spark.readStream.schema(f"{MOVE}, batch long").option("maxFilesPerTrigger", 64).parquet(f"{self.home}/moves").drop("batch")
         keyed = moved.select((F.col("frame") % self.s.sequences).alias("sequence"), "*").groupBy("sequence")
         poses = keyed.transformWithStateInPandas(Poses(self.s.sequences, self.s.first), MOVE, "append", "None")
-        self._through(poses, self.fuse, "poses")
-
-    def _through(self, stream: DataFrame, work: Callable[[DataFrame, int], None], name: str) -> None:
-        query = stream.writeStream.foreachBatch(work).option("checkpointLocation", f"{self.home}/state/{name}").trigger(availableNow=True).start()
+        # no more partitions of the state than sequences; what ``fuse`` does is planned by the session itself
+        name = "spark.sql.shuffle.partitions"
+        usual = self.spark.conf.get(name)
+        self.spark.conf.set(name, str(min(int(usual), self.s.sequences)))
+        try:
+            query = self._start(poses, self.fuse, "poses")
+        finally:
+            self.spark.conf.set(name, usual)
         query.awaitTermination()
+
+    def _start(self, stream: DataFrame, work: Callable[[DataFrame, int], None], name: str):
+        return stream.writeStream.foreachBatch(work).option("checkpointLocation", f"{self.home}/state/{name}").trigger(availableNow=True).start()
