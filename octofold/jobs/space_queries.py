@@ -94,7 +94,8 @@ hits AS (SELECT * FROM t WHERE t_in <= t_out AND t_in <= 40e0)"""
 
 def hits(spark, d):
     corner = A.points(spark, d).select(*[(F.col(n) - F.col(n) % 8).alias(n) for n in "xyz"]).distinct()
-    return G.ray_blocks(A.rays(spark, d), K.held(corner, "x", "y", "z", key=K.block_key("x", "y", "z", D)), 40.0, D)
+    blocks = A.checkpointed(K.held(corner, "x", "y", "z", key=K.block_key("x", "y", "z", D)))  # read once a level
+    return G.ray_blocks(A.rays(spark, d), blocks, 40.0, D)
 
 
 @query(f"{HITS} SELECT ray_id, key, round(t_in, 6) AS t_in, round(t_out, 6) AS t_out FROM hits")

@@ -123,7 +123,8 @@ def ray_blocks(rays: DataFrame, blocks: DataFrame, far: float | Column, depth: i
         child = F.broadcast(child) if 8 ** (top - shift) <= TOP else child
         side = float(8 << shift)
         t = [slab(F.col(f"c{n}") * side, F.col(f"c{n}") * side + side, F.col(f"o{n}"), F.col(f"d{n}")) for n in "xyz"]
-        met = front.join(child, ["px", "py", "pz"]).withColumns({"t_in": F.greatest(*[x[0] for x in t], F.lit(0.0)), "t_out": F.least(*[x[1] for x in t])})
+        met = front.join(child, ["px", "py", "pz"])
+        met = K.held(met, *met.columns, t_in=F.greatest(*[x[0] for x in t], F.lit(0.0)), t_out=F.least(*[x[1] for x in t]))
         met = met.where((F.col("t_in") <= F.col("t_out")) & (F.col("t_in") <= F.col("far")))
         front = met.select(*keep, "key", "t_in", "t_out") if last else met.select(*keep, *o, "far", *[F.col(f"c{n}").alias(f"p{n}") for n in "xyz"])
     return front
