@@ -27,7 +27,7 @@ def last(samples: DataFrame) -> DataFrame:
 #: Rows of a table that may be broadcast, after they were counted; ranges of an ordered table, and
 #: rows of a range; share of a series around a rank that is sorted.
 SMALL, RANGES, RANGE_ROWS, CLOSE = 100_000, 1_000, 100_000, 10_000
-#: Stamps that one task associates.
+#: Stamps that one task associates after the ranges.
 RUN_ROWS = 1_000_000
 
 
@@ -69,83 +69,102 @@ def median(values: DataFrame, column: str) -> DataFrame:
     return two.agg(F.avg((F.col("low") + F.col("high")) / 2).alias("md"))
 
 
-def buckets(stamp: Column, width: float) -> Column:
-    return F.floor(stamp / width).cast("long")
-
-
-def within(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
-    """Pairs with |a.stamp - b.stamp| < width: b is sent to its own and the two next buckets of
-    that width, which turns the range join into an equality."""
-    left = a.select(*[F.col(c).alias(f"a_{c}") for c in a.columns], buckets(F.col("stamp"), width).alias("k"))
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: buckets(F.col("stamp"), width) + i)).alias("k"))
-    d = F.abs(F.col("a_stamp") - F.col("b_stamp"))
-    return left.join(right, "k").withColumn("diff", d).where(d < width).drop("k")
-
-
 def nearest(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
-    """Of each a the nearest b within width; ties take the lower stamp."""
-    near = F.min(F.struct("diff", "b_stamp")).alias("m")
-    return within(a, b, width).groupBy("a_stamp").agg(near).select("a_stamp", F.col("m.b_stamp").alias("b_stamp"))
+    """Of each a the nearest b within width; ties take the lower stamp. Different stamps only, in
+    one order, so the work does not grow with how many lie within width."""
+    left, right = a.select(F.col("stamp").alias("a_stamp")).dropna().distinct(), b.select("stamp").dropna().distinct()
+    near = closest(left, "a_stamp", right, "stamp").select("a_stamp", F.col("near.stamp").alias("b_stamp"))
+    return near.where(F.abs(F.col("a_stamp") - F.col("b_stamp")) < width)
+
+
+def greedy(stamp: np.ndarray, side: np.ndarray, low: float, high: float, width: float) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy association by (diff, a, b) of a range of stamps that has others before ``low`` and
+    after ``high``: its certain pairs (indices of both), and which rows stay open, as rows outside
+    may decide on them. Each left stamp offers its nearest right one that is left; a stamp whose
+    offer is taken comes back with the next: one offer a stamp is held. From the difference on at
+    which a row outside might be as near, a stamp is open, and so is whatever an open one offers to."""
+    l, r = (np.nonzero(side == k)[0][np.argsort(stamp[side == k], kind="stable")] for k in (0, 1))
+    left, right = stamp[l].tolist(), stamp[r].tolist()
+    edge = [np.minimum(stamp[k] - low, high - stamp[k]).tolist() for k in (l, r)]
+    m, heap, pairs = len(right), [], []
+    at = np.searchsorted(right, left, "left").tolist()
+    below, above = [x - 1 for x in at], at  # the next to offer on either side
+    down, up = list(range(m + 1)), list(range(m + 1))  # the next free one; down is moved by one
+    open_l, open_r, used, done = [x < width for x in edge[0]], [x < width for x in edge[1]], [False] * m, [False] * len(left)
+    sure_l, sure_r = [True] * len(left), [True] * m
+
+    def free(links: list[int], j: int) -> int:
+        root = j
+        while links[root] != root:
+            root = links[root]
+        while links[j] != root:
+            links[j], j = root, links[j]
+        return root
+
+    def offer(i: int) -> None:
+        x = left[i]
+        a, b = free(down, below[i] + 1) - 1, free(up, above[i])
+        below[i], above[i] = a, b
+        d, e = x - right[a] if a >= 0 else np.inf, right[b] - x if b < m else np.inf
+        if min(d, e) < width:
+            j = a if d <= e else b
+            if d <= e:
+                below[i] = a - 1
+            else:
+                above[i] = b + 1
+            heapq.heappush(heap, (min(d, e), x, right[j], i, j))
+
+    for i in range(len(left)):
+        offer(i)
+    while heap:
+        d, _, _, i, j = heapq.heappop(heap)
+        if used[j]:
+            offer(i)
+        elif sure_l[i] and sure_r[j] and d < edge[0][i] and d < edge[1][j]:
+            used[j], done[i] = True, True
+            down[j + 1], up[j] = j, j + 1
+            pairs.append((l[i], r[j]))
+        else:  # either may still get another
+            sure_l[i] = sure_r[j] = False
+            open_l[i] = open_r[j] = True
+            offer(i)
+    keep = np.zeros(len(stamp), bool)
+    keep[l] = np.array(open_l, bool) & ~np.array(done, bool)
+    keep[r] = np.array(open_r, bool) & ~np.array(used, bool)
+    found = np.array(pairs, dtype=int).reshape(-1, 2)
+    return found, keep
 
 
 def one_to_one(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
-    """Greedy one-to-one association by (diff, a, b). Stamps that are ``width`` or more apart
-    from the next never compete, so the order of all stamps falls into runs; a run of at most
-    RUN_ROWS is resolved in one task, longer ones by rounds."""
-    both = a.select("stamp", F.lit(0).alias("side")).union(b.select("stamp", F.lit(1).alias("side")))
-    steps = in_order(both.withColumn("pos", F.struct("stamp", "side")), "pos")
-    cut = steps.withColumn("cut", F.coalesce((F.col("stamp") - F.col("p_stamp") >= width).cast("long"), F.lit(1)))
-    runs = running(cut.select("stamp", "side", "pos", "cut"), "pos", "cut", "run").select("run", "stamp", "side")
-    runs = checkpointed(runs)
-    sizes = runs.groupBy("run").agg(F.min("side").alias("lo"), F.max("side").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        """Each left stamp offers its nearest right one that is left; a stamp whose offer is taken
-        comes back with the next: one offer a stamp is held."""
-        left, right = (np.sort(rows.stamp[rows.side == k].to_numpy()) for k in (0, 1))
-        low = np.searchsorted(right, left, "left") - 1  # the next to offer on either side
-        high = low + 1
-        heap: list[tuple] = []
-
-        def offer(i: int) -> None:
-            x, a, b = left[i], low[i], high[i]
-            below, above = x - right[a] if a >= 0 else np.inf, right[b] - x if b < len(right) else np.inf
-            if min(below, above) < width:
-                j = a if below <= above else b
-                (low if below <= above else high)[i] += -1 if below <= above else 1
-                heapq.heappush(heap, (abs(x - right[j]), x, right[j], i, j))
-
-        for i in range(len(left)):
-            offer(i)
-        used, out = set(), []
-        while heap:
-            d, x, y, i, j = heapq.heappop(heap)
-            if j in used:
-                offer(i)
-            else:
-                used.add(j)
-                out.append((x, y, d))
-        return pd.DataFrame(out, columns=["a_stamp", "b_stamp", "diff"])
-
-    short = runs.join(sizes.where(F.col("n") <= RUN_ROWS), "run", "left_semi")
-    out = short.groupBy("run").applyInPandas(greedy, "a_stamp double, b_stamp double, diff double")
-    dense = runs.join(sizes.where(F.col("n") > RUN_ROWS), "run", "left_semi").drop("run")
-    return out if dense.isEmpty() else out.unionByName(by_rounds(dense, width))
-
-
-def by_rounds(rows: DataFrame, width: float) -> DataFrame:
-    """The same for stamps (stamp, side) without gaps: in each round the pairs that are best for
-    both sides are taken and their sides removed, which equals taking pairs one by one."""
-    open_ = checkpointed(within(rows.where("side = 0").select("stamp"), rows.where("side = 1").select("stamp"), width))
-    taken = None
-    while not open_.isEmpty():
-        order = F.struct("diff", "a_stamp", "b_stamp")
-        best_a = open_.groupBy("a_stamp").agg(F.min(order).alias("m")).select("m.*")
-        best_b = open_.groupBy("b_stamp").agg(F.min(order).alias("m")).select("m.*")
-        new = checkpointed(best_a.join(best_b, ["diff", "a_stamp", "b_stamp"]))
-        taken = new if taken is None else taken.union(new)
-        open_ = checkpointed(open_.join(new.select("a_stamp"), "a_stamp", "left_anti").join(new.select("b_stamp"), "b_stamp", "left_anti"))
-    return taken.select("a_stamp", "b_stamp", "diff")
+    """Greedy one-to-one association by (diff, a, b). Tasks resolve ranges of the ordered stamps;
+    what they leave open near their ends goes on, in ranges with other ends, until RUN_ROWS at most
+    are left for one task."""
+    left, taken, share = a.select("stamp", F.lit(0).alias("side")).union(b.select("stamp", F.lit(1).alias("side"))), None, 1.0
+
+    def resolve(rows: pd.DataFrame) -> pd.DataFrame:
+        stamp, side = rows.stamp.to_numpy(), rows.side.to_numpy()
+        pairs, keep = greedy(stamp, side, rows.low.iloc[0], rows.high.iloc[0], width)
+        x, y = stamp[pairs[:, 0]], stamp[pairs[:, 1]]
+        met = pd.DataFrame({"a_stamp": x, "b_stamp": y, "diff": np.abs(x - y), "side": -1})
+        rest = pd.DataFrame({"a_stamp": stamp[keep], "b_stamp": np.nan, "diff": np.nan, "side": side[keep]})
+        return pd.concat([met, rest])
+
+    while True:
+        rows = ranged(left, "stamp", share)
+        last = rows.count() <= RUN_ROWS and taken is not None
+        if last:
+            placed = rows.withColumns({"k": F.lit(0), "low": F.lit(float("-inf")), "high": F.lit(float("inf"))})
+        else:
+            over = Window.orderBy("k")
+            ends = rows.groupBy("k").agg(F.min("stamp").alias("first"), F.max("stamp").alias("last"))
+            ends = ends.select("k", F.coalesce(F.lag("last").over(over), F.lit(float("-inf"))).alias("low"), F.coalesce(F.lead("first").over(over), F.lit(float("inf"))).alias("high"))
+            placed = rows.join(F.broadcast(ends), "k")
+        out = checkpointed(placed.groupBy("k").applyInPandas(resolve, "a_stamp double, b_stamp double, diff double, side int"))
+        new = out.where("side = -1").drop("side")
+        taken = new if taken is None else taken.unionByName(new)
+        left, share = out.where("side >= 0").select(F.col("a_stamp").alias("stamp"), "side"), share * 0.6
+        if last or left.isEmpty():
+            return taken
 
 
 def error_stats(errors: DataFrame, e: str = "e") -> DataFrame:
@@ -156,10 +175,11 @@ def error_stats(errors: DataFrame, e: str = "e") -> DataFrame:
     return whole.crossJoin(F.broadcast(median(errors, e))).select("n", "rmse", "mean", F.col("md").alias("median"), "std", "min", "max")  # one row each
 
 
-def ranged(rows: DataFrame, stamp: str) -> DataFrame:
+def ranged(rows: DataFrame, stamp: str, share: float = 1.0) -> DataFrame:
     """The rows with k, the number of their range of stamps: ranges hold about equal numbers of
-    rows and are RANGES at most, so one row for each is few. Stored, as sampling sets the bounds."""
-    parts = max(1, min(RANGES, rows.count() // RANGE_ROWS + 1))
+    rows and are RANGES at most (``share`` of as many), so one row for each is few. Stored, as
+    sampling sets the bounds."""
+    parts = max(1, int(min(RANGES, rows.count() // RANGE_ROWS + 1) * share))
     return checkpointed(rows.repartitionByRange(parts, stamp).withColumn("k", F.spark_partition_id()))
 
 
@@ -196,8 +216,9 @@ def closest(targets: DataFrame, at: str, points: DataFrame, pos: str) -> DataFra
     ends = rows.groupBy("k").agg(F.min_by("_p", F.when(F.col("_kind") == 0, F.col("_pos"))).alias("first"), F.max_by("_p", F.when(F.col("_kind") == 0, F.col("_pos"))).alias("last"))
     over = Window.orderBy("k")
     ends = ends.select("k", F.last("last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("lower"), F.first("first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("upper"))
-    w = Window.partitionBy("k").orderBy("_pos", "_kind")
-    near = rows.withColumns({"_a": F.last("_p", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_b": F.first("_p", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    # both frames begin at the first row: one that ends at the last is read anew for every row
+    so_far = lambda *order: F.last("_p", True).over(Window.partitionBy("k").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    near = rows.withColumn("_a", so_far("_pos", "_kind")).withColumn("_b", so_far(F.desc("_pos"), "_kind"))
     near = near.where("_kind = 1").join(F.broadcast(ends), "k").withColumns({"_a": F.coalesce("_a", "lower"), "_b": F.coalesce("_b", "upper")})
     lower = F.col("_b").isNull() | (F.abs(F.col("_pos") - F.col("_a")[pos]) <= F.abs(F.col("_pos") - F.col("_b")[pos]))
     return near.select("_q.*", F.when(F.col("_a").isNotNull() & lower, F.col("_a")).otherwise(F.coalesce("_b", "_a")).alias("near"))
