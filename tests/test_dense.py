@@ -9,7 +9,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from octofold.jobs import series_queries
-from octofold.operators import poses, stats
+from octofold.operators import geometry, poses, stats
 
 
 def stamps(spark, values):
@@ -69,3 +69,19 @@ def test_copies_of_stamps_are_all_compared(spark):
     est, gt = (series_queries.posed(spark, SMALL, s) for s in ("est", "gt"))
     one = poses.pair_errors(poses.delta_pairs(est, 7200.0, "s"), gt).count()
     assert poses.pair_errors(poses.delta_pairs(est.union(est), 7200.0, "s"), gt).count() == 4 * one > 0
+
+
+def test_equal_boxes_are_tested_once(spark):
+    """2,000 boxes in one place: all pairs come out, from one test of a pair of shapes."""
+    box = spark.range(2_000).select(F.col("id").alias("box_id"), *[F.lit(k).alias(n) for n, k in (("bx", 30), ("by", 31), ("bz", 32), ("ex", 4), ("ey", 4), ("ez", 4))])
+    seen = spark.sparkContext.accumulator(0)
+
+    def test(a, ea, b, eb):
+        def count(x, y):
+            seen.add(1)
+            return True
+
+        return geometry.overlap(a, ea, b, eb) & F.udf(count, "boolean")(F.col(a), F.col(b))
+
+    assert geometry.pairs(box, box, test).count() == 4_000_000
+    assert 0 < seen.value < 100
