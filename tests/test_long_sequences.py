@@ -5,7 +5,7 @@ import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from octofold.jobs import registry
+from octofold.jobs import fusion_queries, registry
 from octofold.operators import fusion
 
 
@@ -60,3 +60,14 @@ def test_frames_of_one_pose_share_its_projection(spark):
         fusion.project = whole
     assert len(got) == 200 * 20 and all(r.depth == r.frame + 0.5 and abs(r.pz - (r.z * 0.05 + r.frame % 2)) < 1e-9 for r in got)
     assert seen.value == 40
+
+
+def test_rays_of_one_pose_are_cast_once(spark, long):
+    """120 frames from four poses: 10,000 rays are cast, and every frame has its hits."""
+    _, rays, shots = fusion_queries.pose_rays(spark, long)
+    assert rays.count() == 4 * 2500 and shots.count() > 100
+    hits = fusion_queries.raycast_steps(spark, long).collect()
+    by = {}
+    for r in hits:
+        by.setdefault(r.ray_id // 2500 % 4, {}).setdefault(r.ray_id // 2500, set()).add((r.ray_id % 2500, r.t))
+    assert by and all(len({frozenset(x) for x in f.values()}) == 1 and len(f) > 20 for f in by.values())
