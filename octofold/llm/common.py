@@ -92,9 +92,13 @@ HOT, HOT_ROWS = 256, 500
 def hot_keys(df: DataFrame, key: str, n: str | None = None) -> list[tuple]:
     """The hot keys of df, each with the number of tasks that its rows are dealt to; at most HOT
     pairs reach the driver. ``n``: a column that holds the rows that a row of df stands for."""
-    counts = df.groupBy(key).agg((F.sum(n) if n else F.count("*")).alias("n")).where(F.col(key).isNotNull())
-    least = max(HOT_ROWS, (counts.agg(F.sum("n")).first()[0] or 0) // HOT)
-    return [(r[0], -(-r["n"] // least)) for r in counts.where(F.col("n") > least).collect()]
+    rows = df.where(F.col(key).isNotNull())
+    size = F.sum(n) if n else F.count("*")
+    top = rows.groupBy(key).agg(size.alias("n")).where(F.col("n") > HOT_ROWS).orderBy(F.desc("n")).limit(HOT).collect()
+    if not top:
+        return []
+    least = max(HOT_ROWS, rows.agg(size).first()[0] // HOT)
+    return [(r[0], -(-r["n"] // least)) for r in top if r["n"] > least]
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str], hot: list[tuple], how: str = "inner") -> DataFrame:
@@ -167,9 +171,9 @@ def bitmap(keys: DataFrame, column: str) -> np.ndarray:
     BITMAP_BITS / 64 numbers reach the driver. ``marked`` reads it."""
     at = F.pmod(F.col(column), F.lit(BITMAP_BITS))
     words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    found = words.toArrow()  # one job, where an iterator runs one for each partition
     out = np.zeros(BITMAP_BITS // 64, dtype=np.int64)
-    for r in words.toLocalIterator():
-        out[r["word"]] = r["bits"]
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint8)
 
 
