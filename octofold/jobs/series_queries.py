@@ -226,20 +226,20 @@ def rounded_errors(df):
 @query(f"{sql_rpe(sql_delta('SELECT stamp, stamp AS at FROM est', 7200.0))} SELECT {ERRORS} FROM er")
 def rpe_seconds(spark, d):
     """Relative pose errors of poses two hours apart."""
-    return rounded_errors(P.pair_errors(P.delta_pairs(posed(spark, d, "est"), 7200.0, "s"), posed(spark, d, "gt")))
+    return rounded_errors(P.delta_errors(posed(spark, d, "est"), posed(spark, d, "gt"), 7200.0, "s"))
 
 
 @query(f"{sql_rpe(sql_delta('SELECT stamp, row_number() OVER (ORDER BY stamp)-1e0 AS at FROM est', 2.0))} SELECT {ERRORS} FROM er")
 def rpe_frames(spark, d):
     """The same of every second pose."""
-    return rounded_errors(P.pair_errors(P.delta_pairs(posed(spark, d, "est"), 2.0, "f"), posed(spark, d, "gt")))
+    return rounded_errors(P.delta_errors(posed(spark, d, "est"), posed(spark, d, "gt"), 2.0, "f"))
 
 
 @query()
 def rpe_metres(spark, d):
     """The same of poses 500 m of path apart; sums of lengths differ in their last bits, so SQL
     can choose another neighbour. Held against a plain version in the tests."""
-    return rounded_errors(P.pair_errors(P.delta_pairs(posed(spark, d, "est"), 500.0, "m"), posed(spark, d, "gt")))
+    return rounded_errors(P.delta_errors(posed(spark, d, "est"), posed(spark, d, "gt"), 500.0, "m"))
 
 
 SAMPLED = 10_000
