@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from octofold.jobs import sqltext as S
@@ -90,6 +91,22 @@ def matched(spark, d):
     return near.join(a, "a_stamp").join(b, "b_stamp")
 
 
+def matched_stamps(spark, d):
+    """a_stamp and b_stamp of the matched stamps, and both trajectories."""
+    est, gt = A.traj(spark, d, "est"), A.traj(spark, d, "gt")
+    return T.nearest(est, gt, TOLERANCE), est, gt
+
+
+def matched_pairs(spark, d):
+    """All pairs of poses of matched stamps (a_*, b_*); equal poses of a stamp are one, and w says how
+    many pairs a row stands for."""
+    near, *sides = matched_stamps(spark, d)
+    for s, rows in zip("ab", sides):
+        poses = rows.groupBy("stamp", *T.AXES).agg(F.count("*").alias(f"c_{s}"))
+        near = near.join(poses.select(F.col("stamp").alias(f"{s}_stamp"), *[F.col(n).alias(f"{s}_{n}") for n in T.AXES], f"c_{s}"), f"{s}_stamp")
+    return near.withColumn("w", F.col("c_a") * F.col("c_b")).drop("c_a", "c_b")
+
+
 def distance():
     d = [F.col(f"a_{n}") - F.col(f"b_{n}") for n in ("tx", "ty", "tz")]
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
@@ -100,8 +117,8 @@ STATS = "count(e) AS n, round(sqrt(avg(e*e)),4) AS rmse, round(avg(e),4) AS mean
 
 @query(f"{MATCHED}, x AS (SELECT sqrt((a_tx-b_tx)*(a_tx-b_tx)+(a_ty-b_ty)*(a_ty-b_ty)+(a_tz-b_tz)*(a_tz-b_tz)) AS e FROM m) SELECT {STATS} FROM x")
 def ate_no_align(spark, d):
-    e = matched(spark, d).select(distance().alias("e"))
-    return rounded(T.error_stats(e), 4, "rmse", "mean", "median", "std", "min", "max")
+    e = matched_pairs(spark, d).select(distance().alias("e"), "w")
+    return rounded(T.error_stats(e, weight="w"), 4, "rmse", "mean", "median", "std", "min", "max")
 
 
 @query(f"{MATCHED} SELECT count(*) AS n, " + ", ".join(f"round(avg({s}_{n}),4) AS {s}{n}" for s in "ab" for n in ("tx", "ty", "tz")) + ", " + ", ".join(f"round(covar_pop(a_{m},b_{n})*count(*)/1e3,3) AS w_{m}_{n}" for m in ("tx", "ty", "tz") for n in ("tx", "ty", "tz")) + " FROM m")
@@ -147,21 +164,30 @@ def gap_segments(spark, d):
 @query("SELECT event_id, round(greatest(coalesce(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 0e0), 0e0), 6) AS delta FROM events")
 def frame_delta(spark, d):
     """The difference to the sample before (of the same user), 0 when it decreases."""
-    from pyspark.sql import Window
-
     before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
     return A.table(spark, d, "events").select("event_id", F.round(F.greatest(F.coalesce(F.col("value") - before, F.lit(0.0)), F.lit(0.0)), 6).alias("delta"))
 
 
 @query(f"{MATCHED}, o AS (SELECT *, lag(a_tx) OVER w AS pa_tx, lag(a_ty) OVER w AS pa_ty, lag(a_tz) OVER w AS pa_tz, lag(b_tx) OVER w AS pb_tx, lag(b_ty) OVER w AS pb_ty, lag(b_tz) OVER w AS pb_tz FROM m WINDOW w AS (ORDER BY stamp)), x AS (SELECT sqrt(power(a_tx-pa_tx-b_tx+pb_tx,2)+power(a_ty-pa_ty-b_ty+pb_ty,2)+power(a_tz-pa_tz-b_tz+pb_tz,2)) AS e FROM o) SELECT {STATS} FROM x")
 def rpe_stats(spark, d):
-    """Relative translation error of consecutive matched poses."""
-    m = T.in_order(matched(spark, d).drop("b_stamp"), "a_stamp")
-    sq = None
-    for n in ("tx", "ty", "tz"):
-        t = F.pow(F.col(f"a_{n}") - F.col(f"p_a_{n}") - F.col(f"b_{n}") + F.col(f"p_b_{n}"), 2)
-        sq = t if sq is None else sq + t
-    return rounded(T.error_stats(m.select(F.sqrt(sq).alias("e"))), 4, "rmse", "mean", "median", "std", "min", "max")
+    """Relative translation error of consecutive matched poses. Of the pairs of one stamp, those of
+    one pose of a follow each other, each time with the same steps of b; so steps are counted, not pairs."""
+    near, est, gt = matched_stamps(spark, d)
+    row = F.struct(*T.AXES)
+    ends = lambda rows, s: rows.groupBy(F.col("stamp").alias(f"{s}_stamp")).agg(F.count("*").alias(f"c_{s}"), F.min(row).alias(f"{s}_first"), F.max(row).alias(f"{s}_last"))
+    before = F.lag(row).over(Window.partitionBy("stamp").orderBy(*T.AXES))
+    within = lambda rows, s: rows.select(F.col("stamp").alias(f"{s}_stamp"), row.alias("now"), before.alias("before")).where("before IS NOT NULL")
+
+    def error(a, pa, b, pb):
+        sq = [F.pow(F.col(f"{a}.{n}") - F.col(f"{pa}.{n}") - F.col(f"{b}.{n}") + F.col(f"{pb}.{n}"), 2) for n in T.AXES]
+        return F.sqrt(sq[0] + sq[1] + sq[2]).alias("e")
+
+    stamps = T.checkpointed(near.join(ends(est, "a"), "a_stamp").join(ends(gt, "b"), "b_stamp"))
+    one = F.lit(1).cast("long").alias("w")
+    across = T.in_order(stamps.drop("b_stamp", "c_a", "c_b"), "a_stamp").select(error("a_first", "p_a_last", "b_first", "p_b_last"), one)
+    a_steps = stamps.join(within(est, "a"), "a_stamp").select(error("now", "before", "b_first", "b_last"), one)
+    b_steps = stamps.join(within(gt, "b"), "b_stamp").select(error("a_first", "a_first", "now", "before"), F.col("c_a").alias("w"))
+    return rounded(T.error_stats(across.unionByName(a_steps).unionByName(b_steps), weight="w"), 4, "rmse", "mean", "median", "std", "min", "max")
 
 
 @query("""SELECT user_id % 8 AS run, """ + ", ".join(f"round(avg(CASE WHEN event_type='{k}' THEN value END),4) AS avg_{k}" for k in PHASES) + " FROM events GROUP BY 1")
@@ -253,7 +279,7 @@ def rpe_sampled(spark, d):
     drawn = spark.range(SAMPLED).select(((m * 7919 + 13) % n).alias("a"), ((m * 104729 + 7) % n).alias("b")).distinct()
     side = lambda k, at: est.select(F.col("at").cast("long").alias(at), *[F.col(c).alias(f"{k}_{c}") for c in ("stamp", *P.POSE)])
     errors = P.pair_errors(drawn.join(side("i", "a"), "a").join(side("j", "b"), "b").drop("a", "b"), posed(spark, d, "gt"))
-    return rounded(T.error_stats(errors, "trans"), 4, "rmse", "mean", "median", "std", "min", "max")
+    return rounded(T.error_stats(T.checkpointed(errors.select("trans")), "trans"), 4, "rmse", "mean", "median", "std", "min", "max")
 
 
 _AB = "+".join(f"(a_{n}-ma{n})*(b_{n}-mb{n})" for n in ("tx", "ty", "tz"))

@@ -167,12 +167,32 @@ def one_to_one(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
             return taken
 
 
-def error_stats(errors: DataFrame, e: str = "e") -> DataFrame:
-    """A12."""
-    errors = checkpointed(errors.select(e))
-    c = F.col(e)
-    whole = errors.agg(F.count(c).alias("n"), F.sqrt(F.avg(c * c)).alias("rmse"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
-    return whole.crossJoin(F.broadcast(median(errors, e))).select("n", "rmse", "mean", F.col("md").alias("median"), "std", "min", "max")  # one row each
+#: Buckets of a distribution for each factor e.
+FINE = 200
+
+
+def error_stats(errors: DataFrame, e: str = "e", weight: str | None = None) -> DataFrame:
+    """A12, of errors of 0 or more, each as often as ``weight`` says. The errors are made twice and not
+    stored: all are counted in buckets of equal ratio, then those of the median's buckets are ordered."""
+    at = F.when(F.col(e) > 0, F.least(F.floor(F.least(F.ln(e) * FINE, F.lit(1e9))), F.lit(1_000_000_000))).otherwise(-1_000_000_000)
+    rows = errors.where(F.col(e).isNotNull()).select(F.col(e).alias("e"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w"), at.alias("bucket"))
+    low, above, w = F.exp(F.col("bucket") / FINE), F.col("e") - F.exp(F.col("bucket") / FINE), F.col("w")
+    by = rows.groupBy("bucket").agg(F.sum("w").alias("w"), F.sum(w * above).alias("s"), F.sum(w * above * above).alias("q"), F.sum(w * F.col("e") * F.col("e")).alias("ee"), F.min("e").alias("min"), F.max("e").alias("max"))
+    by = checkpointed(by.withColumn("mean", low + F.col("s") / w).withColumn("apart", F.col("q") - F.col("s") * F.col("s") / w))
+    upto = F.sum("w").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    whole = by.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"), F.sqrt(F.sum("ee") / F.sum("w")).alias("rmse"), (F.sum(w * F.col("mean")) / F.sum("w")).alias("mean"), F.min("min").alias("min"), F.max("max").alias("max"))
+    off = F.col("mean") - F.col("m")
+    spread = by.crossJoin(F.broadcast(whole.select(F.col("mean").alias("m")))).agg(F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("apart") + w * off * off) / F.sum("w"))).alias("std"))  # one row
+    ranks = whole.select(F.floor((F.col("n") - 1) / 2).alias("first"), F.ceil((F.col("n") - 1) / 2).alias("second"))
+    held = by.withColumn("before", upto - w).crossJoin(F.broadcast(ranks)).where((F.col("before") <= F.col("second")) & (F.col("before") + w > F.col("first")))
+    held = checkpointed(held.select("bucket", "before", "first", "second"))
+    start = held.agg(F.min("before").alias("before"), F.first("first").alias("first"), F.first("second").alias("second"))
+    near = checkpointed(rows.join(F.broadcast(held.select("bucket")), "bucket").groupBy("e").agg(F.sum("w").alias("w")))  # two buckets at most
+    near = running(near, "e", "w", "upto").crossJoin(F.broadcast(start)).withColumn("from", F.col("before") + F.col("upto") - w)
+    holds = lambda rank: F.max(F.when((F.col("from") <= F.col(rank)) & (F.col("from") + w > F.col(rank)), F.col("e")))
+    md = near.agg(((holds("first") + holds("second")) / 2).alias("median"))
+    out = whole.crossJoin(F.broadcast(spread)).crossJoin(F.broadcast(md))
+    return out.select("n", "rmse", "mean", "median", "std", "min", "max")  # one row each
 
 
 def ranged(rows: DataFrame, stamp: str, share: float = 1.0) -> DataFrame:
@@ -229,3 +249,6 @@ def moments(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     means = {f"{s}{n}": F.avg(f"{s}_{n}") for s in (a, b) for n in ("tx", "ty", "tz")}
     both = {f"w_{m}_{n}": F.covar_pop(f"{a}_{m}", f"{b}_{n}") * F.count("*") for m in ("tx", "ty", "tz") for n in ("tx", "ty", "tz")}
     return pairs.agg(F.count("*").alias("n"), *[c.alias(k) for k, c in {**means, **both}.items()])
+
+
+AXES = ("tx", "ty", "tz")
