@@ -97,6 +97,10 @@ def matched_stamps(spark, d):
     return T.nearest(est, gt, TOLERANCE), est, gt
 
 
+def matched_moments(spark, d):
+    return T.pair_moments(*matched_stamps(spark, d))
+
+
 def matched_pairs(spark, d):
     """All pairs of poses of matched stamps (a_*, b_*); equal poses of a stamp are one, and w says how
     many pairs a row stands for."""
@@ -123,8 +127,8 @@ def ate_no_align(spark, d):
 
 @query(f"{MATCHED} SELECT count(*) AS n, " + ", ".join(f"round(avg({s}_{n}),4) AS {s}{n}" for s in "ab" for n in ("tx", "ty", "tz")) + ", " + ", ".join(f"round(covar_pop(a_{m},b_{n})*count(*)/1e3,3) AS w_{m}_{n}" for m in ("tx", "ty", "tz") for n in ("tx", "ty", "tz")) + " FROM m")
 def ate_moments(spark, d):
-    m = T.moments(matched(spark, d))
-    m = m.withColumns({c: F.round(c, 4) for c in m.columns if c[0] in "ab"})
+    m = matched_moments(spark, d)
+    m = m.select(*[c for c in m.columns if c[0] != "v"]).withColumns({c: F.round(c, 4) for c in m.columns if c[0] in "ab"})
     return m.withColumns({c: F.round(F.col(c) / 1e3, 3) for c in m.columns if c[0] == "w"})
 
 

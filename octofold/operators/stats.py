@@ -252,3 +252,32 @@ def moments(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 AXES = ("tx", "ty", "tz")
+
+
+def pair_moments(near: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """As ``moments``, of all poses of a with all poses of b whose stamps ``near`` (a_stamp, b_stamp)
+    matches, and v_a_*, v_b_*, their variances. One row a stamp: the means and spreads of its poses
+    tell what their pairs add up to, so pairs are not made."""
+
+    def by_stamp(rows: DataFrame, s: str) -> DataFrame:
+        per = [c for n in AXES for c in (F.count(n).alias(f"c_{s}_{n}"), F.avg(n).alias(f"{s}_{n}"), (F.var_pop(n) * F.count(n)).alias(f"q_{s}_{n}"))]
+        return rows.groupBy(F.col("stamp").alias(f"{s}_stamp")).agg(F.count("*").alias(f"c_{s}"), *per)
+
+    met = near.join(by_stamp(a, "a"), "a_stamp").join(by_stamp(b, "b"), "b_stamp")
+    col, mean = F.col, lambda w, x: F.try_divide(F.sum(w * x), F.sum(w))
+    other = {"a": "b", "b": "a"}
+    sides = [(s, n) for s in "ab" for n in AXES]
+    weight = {(s, n): col(f"c_{s}_{n}") * col(f"c_{other[s]}") for s, n in sides}
+    means = met.agg(F.coalesce(F.sum(col("c_a") * col("c_b")), F.lit(0)).alias("n"), *[mean(weight[k], col("_".join(k))).alias("".join(k)) for k in sides])
+    # differences from the means of all: what cancels out is small
+    far = met.crossJoin(F.broadcast(means)).withColumns({f"{s}_{n}": col(f"{s}_{n}") - col(f"{s}{n}") for s, n in sides})  # one row
+    out = {}
+    for m in AXES:
+        for n in AXES:
+            w, x, y = col(f"c_a_{m}") * col(f"c_b_{n}"), col(f"a_{m}"), col(f"b_{n}")
+            out[f"w_{m}_{n}"] = mean(w, x * y) - mean(w, x) * mean(w, y)
+    for s, n in sides:
+        w, x = weight[s, n], col(f"{s}_{n}")
+        out[f"v_{s}_{n}"] = F.try_divide(F.sum(w * x * x + col(f"q_{s}_{n}") * col(f"c_{other[s]}")), F.sum(w)) - mean(w, x) * mean(w, x)
+    found = means.crossJoin(F.broadcast(far.agg(*[c.alias(k) for k, c in out.items()])))  # one row each
+    return found.withColumns({k: col(k) * col("n") for k in out if k[0] == "w"})

@@ -61,7 +61,7 @@ def by_sql(d, name):
     return names, sorted(got.fetchall())
 
 
-@pytest.mark.parametrize("name", ["ate_no_align"])
+@pytest.mark.parametrize("name", ["ate_no_align", "ate_moments"])
 def test_equal_stamps_as_in_sql(spark, copies, stored, name):
     """All n * m pairs of a stamp count, but only rows of poses and stamps are stored."""
     names, want = by_sql(copies, name)
@@ -72,6 +72,25 @@ def test_equal_stamps_as_in_sql(spark, copies, stored, name):
     assert max(stored) <= poses
 
 
+def test_moments_of_very_many_pairs(spark):
+    """A stamp with 200,000 poses on either side: 4e10 pairs are counted without being made."""
+    side = lambda k: spark.range(200_000).select(F.lit(5.0).alias("stamp"), *[((F.col("id") * k + i) % 97 + 1e6).alias(n) for i, n in enumerate(stats.AXES)])
+    a, b = side(3), side(5)
+    near = spark.createDataFrame([(5.0, 5.0)], "a_stamp double, b_stamp double")
+    got = stats.pair_moments(near, a, b).first()
+    mean, var = a.agg(F.avg("tx"), F.var_pop("tx")).first()
+    assert got["n"] == 200_000**2 and abs(got["atx"] - mean) < 1e-6 and abs(got["v_a_tx"] - var) < 1e-6 * var
+    assert abs(got["w_tx_ty"]) < 1e-6 * got["n"]
+
+
+def test_moments_as_of_pairs(spark, copies):
+    near, est, gt = Q.matched_stamps(spark, copies)
+    side = lambda rows, s: rows.select(*[F.col(c).alias(f"{s}_{c}") for c in ("stamp", *stats.AXES)])
+    want = stats.moments(near.join(side(est, "a"), "a_stamp").join(side(gt, "b"), "b_stamp")).first().asDict()
+    got = stats.pair_moments(near, est, gt).first()
+    assert all(abs(got[c] - v) <= 1e-6 + 1e-9 * abs(v) for c, v in want.items())
+
+
 @pytest.mark.parametrize("values", [[0.0], [0.0, 0.0, 3.5], [2.0, 1e-9, 1e9, 7.0], [5.25] * 9, [1.0 + k / 1e6 for k in range(800)]])
 def test_weighted_errors(spark, values):
     rows = spark.createDataFrame([(v, 1 + k % 3) for k, v in enumerate(values)] + [(None, 4)], "e double, w long")
