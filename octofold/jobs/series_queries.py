@@ -294,10 +294,10 @@ _AA, _BB = (_AB.replace(x, y).replace(f"m{x[0]}t", f"m{y[0]}t") for x, y in (("b
 def best_scale(spark, d):
     """The scale that gives the least error about the centroids. Three sums reach the
     driver, where the section search runs."""
-    m = matched(spark, d)
-    axes = ("tx", "ty", "tz")
-    total = lambda x, y: sum((F.covar_pop(f"{x}_{n}", f"{y}_{n}") for n in axes), F.lit(0.0))
-    r = m.agg(total("a", "b").alias("ab"), total("a", "a").alias("aa"), total("b", "b").alias("bb")).first()
+    m = matched_moments(spark, d)
+    total = lambda *names: sum((F.col(n) for n in names), F.lit(0.0))
+    ab, aa, bb = [f"w_{n}_{n}" for n in T.AXES], [f"v_a_{n}" for n in T.AXES], [f"v_b_{n}" for n in T.AXES]
+    r = m.select((total(*ab) / F.col("n")).alias("ab"), total(*aa).alias("aa"), total(*bb).alias("bb")).first()
     error = lambda k: max(0.0, k * k * r["aa"] - 2 * k * r["ab"] + r["bb"]) ** 0.5
     k = P.golden_section(0.0, 4.0, 1e-9, lambda x: error(x) ** 2)
     return spark.createDataFrame([(round(k, 3), round(error(k), 3))], "scale double, rmse double")
@@ -316,12 +316,9 @@ SELECT round(k, 3) AS scale, round(sqrt(greatest(0e0, k*k*aa-2e0*k*s+bb)), 3) AS
 def best_scale_aligned(spark, d):
     """A18 with A11: the scale whose best rigid alignment leaves the least error. The rotation is found
     anew for each scale that the section search tries, from the moments at the driver."""
-    m = matched(spark, d)
-    axes = ("tx", "ty", "tz")
-    moments = [F.covar_pop(f"a_{i}", f"b_{j}").alias(f"w_{i}_{j}") for i in axes for j in axes] + [F.covar_pop(f"{s}_{i}", f"{s}_{i}").alias(f"{s}_{i}") for s in "ab" for i in axes]
-    r = m.agg(*moments).first()
-    w = np.array([[r[f"w_{i}_{j}"] for j in axes] for i in axes])
-    aa, bb = (sum(r[f"{s}_{i}"] for i in axes) for s in "ab")
+    r = matched_moments(spark, d).first()
+    w = np.array([[r[f"w_{i}_{j}"] / r["n"] for j in T.AXES] for i in T.AXES])
+    aa, bb = (sum(r[f"v_{s}_{i}"] for i in T.AXES) for s in "ab")
 
     def error(k: float) -> float:
         turn, _ = horn(k * w, np.zeros(3), np.zeros(3))

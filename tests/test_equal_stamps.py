@@ -61,7 +61,7 @@ def by_sql(d, name):
     return names, sorted(got.fetchall())
 
 
-@pytest.mark.parametrize("name", ["ate_no_align", "ate_moments"])
+@pytest.mark.parametrize("name", ["ate_no_align", "ate_moments", "best_scale", "best_scale_aligned"])
 def test_equal_stamps_as_in_sql(spark, copies, stored, name):
     """All n * m pairs of a stamp count, but only rows of poses and stamps are stored."""
     names, want = by_sql(copies, name)
