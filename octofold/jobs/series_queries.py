@@ -83,14 +83,6 @@ r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY diff, b) AS rn FROM c
 m AS (SELECT e.tx AS a_tx, e.ty AS a_ty, e.tz AS a_tz, g.tx AS b_tx, g.ty AS b_ty, g.tz AS b_tz, r.a AS stamp FROM r JOIN est e ON e.stamp=r.a JOIN gt g ON g.stamp=r.b WHERE rn=1)"""
 
 
-def matched(spark, d):
-    est, gt = A.traj(spark, d, "est"), A.traj(spark, d, "gt")
-    near = T.nearest(est, gt, TOLERANCE)
-    a = est.select(F.col("stamp").alias("a_stamp"), *[F.col(n).alias(f"a_{n}") for n in ("tx", "ty", "tz")])
-    b = gt.select(F.col("stamp").alias("b_stamp"), *[F.col(n).alias(f"b_{n}") for n in ("tx", "ty", "tz")])
-    return near.join(a, "a_stamp").join(b, "b_stamp")
-
-
 def matched_stamps(spark, d):
     """a_stamp and b_stamp of the matched stamps, and both trajectories."""
     est, gt = A.traj(spark, d, "est"), A.traj(spark, d, "gt")
@@ -134,10 +126,15 @@ def ate_moments(spark, d):
 
 @query(f"{MATCHED}, f AS (SELECT arg_min(b_tx, stamp) AS fx, arg_min(b_ty, stamp) AS fy, arg_min(b_tz, stamp) AS fz FROM m) SELECT stamp, round(2*(a_tx+fx),4) AS x, round(2*(a_ty+fy),4) AS y, round(2*(a_tz+fz),4) AS z FROM m, f")
 def remove_const_offset(spark, d):
-    """Multiplier times (position plus the first true position)."""
-    m = matched(spark, d)
-    first = m.agg(*[F.min_by(f"b_t{n}", "a_stamp").alias(f"f{n}") for n in "xyz"])
-    return m.crossJoin(F.broadcast(first)).select(F.col("a_stamp").alias("stamp"), *[F.round(2 * (F.col(f"a_t{n}") + F.col(f"f{n}")), 4).alias(n) for n in "xyz"])
+    """Multiplier times (position plus the first true position), once for each true pose of the
+    matched stamp."""
+    near, est, gt = matched_stamps(spark, d)
+    start = near.agg(F.min_by("b_stamp", "a_stamp").alias("stamp"))
+    first = gt.join(F.broadcast(start), "stamp").agg(F.min(F.struct(*T.AXES)).alias("f"))  # one row each
+    times = near.join(gt.groupBy(F.col("stamp").alias("b_stamp")).agg(F.count("*").alias("times")), "b_stamp")
+    m = times.join(est.withColumnRenamed("stamp", "a_stamp"), "a_stamp").crossJoin(F.broadcast(first))
+    m = m.select(F.col("a_stamp").alias("stamp"), *[F.round(2 * (F.col(f"t{n}") + F.col(f"f.t{n}")), 4).alias(n) for n in "xyz"], "times")
+    return m.select("stamp", "x", "y", "z", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("col")
 
 
 STEPS = f"""WITH {S.TRAJ}, o AS (SELECT stamp, tx, ty, tz, lag(tx) OVER w AS px, lag(ty) OVER w AS py, lag(tz) OVER w AS pz, lag(stamp) OVER w AS pstamp FROM gt WINDOW w AS (ORDER BY stamp)),
