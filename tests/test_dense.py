@@ -2,6 +2,7 @@
 
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -85,3 +86,22 @@ def test_equal_boxes_are_tested_once(spark):
 
     assert geometry.pairs(box, box, test).count() == 4_000_000
     assert 0 < seen.value < 100
+
+
+def test_pairs_of_equal_boxes_are_dealt_out(spark):
+    """3,000 boxes in one place: their 9 million pairs were made in one task."""
+    box = spark.range(3_000).select(F.col("id").alias("box_id"), *[F.lit(k).alias(n) for n, k in (("bx", 30), ("by", 31), ("bz", 32), ("ex", 4), ("ey", 4), ("ez", 4))])
+    tasks = [r["count"] for r in geometry.pairs(box, box, geometry.overlap).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 9_000_000 and max(tasks) < sum(tasks) / 3
+
+
+def test_pairs_of_repeated_and_missing_ids(spark, monkeypatch):
+    """Lists of eight ids at most lose no pair and add none, also of ids that come often or are null."""
+    monkeypatch.setattr(geometry, "CHUNK", 8)
+    ids = [*range(40), *[7] * 30, *[None] * 20]
+    rows = [(i, 20 + 2 * (k % 3), 30, 31, 3, 4, 5) for k, i in enumerate(ids)]
+    box = spark.createDataFrame(rows, "box_id long, bx int, by int, bz int, ex int, ey int, ez int")
+    assert geometry.classes(box, ["bx", "by", "bz", "ex", "ey", "ez"], "a")[1].agg(F.max(F.size("a_ids"))).first()[0] <= 8
+    want = Counter((a[0], b[0]) for a in rows for b in rows if abs(b[1] - a[1]) <= 3)
+    got = geometry.pairs(box, box, geometry.overlap).groupBy("a_box_id", "b_box_id").count().collect()
+    assert {(r[0], r[1]): r[2] for r in got} == want
